@@ -182,3 +182,86 @@ def usage_priorities(seqs: DataFrame, contexts: DataFrame, ids: Sequence[str] |
     return seqs.select(*ids).join(pr, ids, "left").select(
         *ids, F.coalesce("prio", F.lit(1).cast("bigint")).alias("prio")
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# Candidates and ranked names per variable
+# ---------------------------------------------------------------------------------------------
+
+def successors(ngrams: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Top-``k`` successors of every context by (cnt desc, name) -> (ctx, name, cnt).
+
+    ``row_number() <= k`` is planned as a WindowGroupLimit: a partial limit runs before the
+    shuffle, so the hot empty context (the whole vocabulary) is cut to ``k`` rows per task.
+    """
+    s = ngrams.select(
+        prefix_drop_last(F.col("ngram")).alias("ctx"),
+        F.element_at("ngram", -1).alias("name"), "cnt",
+    )
+    w = Window.partitionBy("ctx").orderBy(F.col("cnt").desc(), F.col("name"))
+    return s.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk")
+
+
+def candidates(usage_rows: DataFrame, ngrams: DataFrame, ids: Sequence[str] = ("file_id", "pos"),
+               ngram_col: str = "ngram", k: int = TOP_K) -> DataFrame:
+    """M9: names that may follow a usage's context: the union over every context suffix
+    (the empty one included) of its top-``k`` successors -> (ids, name) distinct.
+
+    The empty context is the same for every usage; its ``k`` names travel as one scalar
+    array (a proven bound of ``k``) instead of a join on a single hot key.
+    """
+    ids = list(ids)
+    succ = successors(ngrams, k)
+    body = prefix_drop_last(F.col(ngram_col))
+    # sequence(1, 0) would count down, so rows with an empty body are left out here
+    ex = usage_rows.where(F.size(body) > 0).select(
+        *ids, F.explode(F.transform(F.sequence(F.lit(1), F.size(body)), lambda j: suffix(body, j))).alias("ctx")
+    )
+    from_ctx = ex.join(succ.where(F.size("ctx") > 0).select("ctx", "name"), "ctx").select(*ids, "name")
+    top = succ.where(F.size("ctx") == 0).agg(F.collect_list("name")).scalar()
+    from_empty = usage_rows.select(*ids, F.explode(top).alias("name"))
+    return from_ctx.unionByName(from_empty).distinct()
+
+
+def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
+               known: DataFrame | None = None, k: int = TOP_K, lam: float = LAMBDA,
+               ngram_col: str = "ngram") -> DataFrame:
+    """Per variable, the ``k`` best names by ``sum over usages of P(name | usage context)
+    * prio / sum(prio)`` -> (decl_id, name, p, rank).
+
+    ``usage_rows`` come from U3 (masked left n-grams, usage last). Candidates (M9) are put at
+    the last position only; other occurrences of the target stay <unknown>. ``known``
+    (T2 table, optional) keeps only names declared with the usage's kind (T3).
+    Ties are broken by name on the 6-digit value.
+    """
+    if contexts is None:
+        contexts = context_counts(ngrams)
+    ids = ["file_id", "pos"]
+    u = usage_rows.select(*ids, "decl_id", "kind", F.col(ngram_col).alias("ngram"))
+    prio = usage_priorities(u, contexts, ids=ids, seq_col="ngram")
+    cands = candidates(u, ngrams, ids, "ngram", k)
+    cands = cands.join(u.select(*ids, "decl_id", "kind", "ngram"), ids)
+    if known is not None:
+        cands = cands.join(
+            known.select("kind", F.col("token").alias("name")), ["kind", "name"], "left_semi"
+        )
+    seqs = cands.select(
+        *ids, "decl_id", "name",
+        F.concat(prefix_drop_last(F.col("ngram")), F.array(F.col("name"))).alias("seq"),
+    )
+    p = jm_probability(seqs, ngrams, contexts, ids=[*ids, "name"], seq_col="seq", lam=lam)
+    total = prio.join(u.select(*ids, "decl_id"), ids).groupBy("decl_id").agg(F.sum("prio").alias("total"))
+    scored = (
+        p.join(seqs.select(*ids, "name", "decl_id"), [*ids, "name"]).join(prio, ids)
+        .groupBy("decl_id", "name").agg(F.sum(F.col("p") * F.col("prio")).alias("wp"))
+        .join(total, "decl_id")
+        .select("decl_id", "name", F.round(F.col("wp") / F.col("total"), 6).alias("p"))
+    )
+    return top_k(scored, ["decl_id"], k)
+
+
+def top_k(scored: DataFrame, by: Sequence[str], k: int = TOP_K, score: str = "p",
+          name: str = "name") -> DataFrame:
+    """At most ``k`` rows per group by (score desc, name) -> adds ``rank`` (1-based)."""
+    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(name))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namemine.operators import lm
+from namemine.operators import lm, tokens, usages
 from namemine.sources import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,34 @@ def q_usage_priority(spark, sf_dir):
     toks, _, cx = event_model(spark, sf_dir)
     seqs = lm.with_window(toks)
     return lm.usage_priorities(seqs, cx, ids=["file_id", "pos"])
+
+
+def event_usages(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    return toks, usages.left_ngrams(toks)
+
+
+@query("rank_names")
+def q_rank_names(spark, sf_dir):
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    ranked = lm.rank_names(u, ng, lm.context_counts(ng), known=tokens.known_names(toks))
+    return ranked.select("decl_id", "name", "p", "rank")
+
+
+@query("candidates")
+def q_candidates(spark, sf_dir):
+    """M9 + T3 on binding W: number of candidate names per variable over all its usages."""
+    toks = B.word_tokens(spark, sf_dir)
+    ng = lm.ngram_counts_from_arrays(B.word_token_arrays(spark, sf_dir))
+    u = usages.left_ngrams(toks)
+    c = lm.candidates(u, ng, ["file_id", "pos"])
+    c = c.join(u.select("file_id", "pos", "decl_id", "kind"), ["file_id", "pos"])
+    c = c.join(tokens.known_names(toks).select("kind", F.col("token").alias("name")), ["kind", "name"], "left_semi")
+    return c.groupBy("decl_id").agg(F.countDistinct("name").alias("n_names"))
+
+
+@query("left_ngram")
+def q_left_ngram(spark, sf_dir):
+    _, u = event_usages(spark, sf_dir)
+    return u.select("decl_id", "pos", "usage_ix", joined("ngram").alias("ngram"))

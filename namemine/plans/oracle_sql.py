@@ -101,3 +101,62 @@ pr AS (
 SELECT e_win.file_id, e_win.pos, CAST(greatest(1, coalesce(prio, 0)) AS BIGINT) AS prio
 FROM e_win LEFT JOIN pr USING (file_id, pos)
 """)
+
+# Usages of binding E with the masked left n-gram (U3): all tokens of the target -> <unknown>.
+E_USAGE = E_MODEL + """,
+e_lw AS (
+  SELECT *, list({'t': token, 'd': decl_id}) OVER (PARTITION BY file_id ORDER BY pos
+              ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS lw
+  FROM e_tok),
+e_use AS (
+  SELECT file_id, pos, "offset", decl_id, token,
+         list_transform(lw, lambda e: CASE WHEN e.d = decl_id THEN '<unknown>' ELSE e.t END) AS ng,
+         CAST(row_number() OVER (PARTITION BY file_id, decl_id ORDER BY "offset", pos) - 1 AS INTEGER) AS usage_ix
+  FROM e_lw)"""
+
+oracle("left_ngram", f"""
+WITH {E_USAGE}
+SELECT decl_id, pos, usage_ix, array_to_string(ng, ' ') AS ngram FROM e_use
+""")
+
+oracle("rank_names", f"""
+WITH {E_USAGE},
+body AS (SELECT file_id, pos, decl_id, list_slice(ng, 1, len(ng) - 1) AS b FROM e_use),
+succ AS (
+  SELECT list_slice(ngram, 1, len(ngram) - 1) AS ctx, ngram[len(ngram)] AS name, cnt,
+         row_number() OVER (PARTITION BY list_slice(ngram, 1, len(ngram) - 1)
+                            ORDER BY cnt DESC, ngram[len(ngram)]) AS rk
+  FROM e_ng),
+cand AS (
+  SELECT DISTINCT b.file_id, b.pos, b.decl_id, b.b, s.name
+  FROM body b, range(0, 6) r(j)
+  JOIN succ s ON s.rk <= 10 AND s.ctx = list_slice(b.b, len(b.b) - r.j + 1, len(b.b))
+  WHERE r.j <= len(b.b)),
+cand_known AS (
+  SELECT * FROM cand WHERE name IN (SELECT token FROM e_tok WHERE is_decl)),
+seqs AS (SELECT file_id, pos, decl_id, name, list_append(b, name) AS s FROM cand_known),
+{jm_sql('seqs', 'file_id, pos, name', 's', 'e_ng', 'e_cx', 'e_v')},
+pr_t AS (
+  SELECT b.file_id, b.pos, r.k, coalesce(cx.cnt, 0) AS x
+  FROM body b, range(1, 6) r(k)
+  LEFT JOIN e_cx cx ON cx.ctx = list_slice(b.b, len(b.b) - r.k + 1, len(b.b))
+  WHERE r.k <= len(b.b)),
+pr_z AS (
+  SELECT file_id, pos, k,
+         CASE WHEN k < coalesce(min(k) FILTER (WHERE x = 0) OVER (PARTITION BY file_id, pos), 99)
+              THEN x ELSE 0 END AS x
+  FROM pr_t),
+pr_f AS (
+  SELECT file_id, pos, list_reduce(list_prepend(0::BIGINT, list(x::BIGINT ORDER BY k)), lambda a, x: a // 2 + x) AS prio
+  FROM pr_z GROUP BY ALL),
+prio AS (
+  SELECT b.file_id, b.pos, b.decl_id, greatest(1, coalesce(pr_f.prio, 0)) AS prio
+  FROM body b LEFT JOIN pr_f USING (file_id, pos)),
+tot AS (SELECT decl_id, sum(prio) AS total FROM prio GROUP BY decl_id),
+agg AS (
+  SELECT s.decl_id, s.name, round(sum(jm_p.p * prio.prio) / tot.total, 6) AS p
+  FROM jm_p JOIN seqs s USING (file_id, pos, name) JOIN prio USING (file_id, pos) JOIN tot ON tot.decl_id = s.decl_id
+  GROUP BY s.decl_id, s.name, tot.total),
+rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM agg)
+SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10
+""")

@@ -31,8 +31,11 @@ TOKEN_COLUMNS = [
 
 
 def token_kind(token: Column) -> Column:
+    """ident = word starting lower-case (a variable), string = capitalised word (stands for a
+    string literal), num = digits, punct = anything else."""
     return (
-        F.when(token.rlike("^[A-Za-z]"), F.lit("ident"))
+        F.when(token.rlike("^[a-z]"), F.lit("ident"))
+        .when(token.rlike("^[A-Z]"), F.lit("string"))
         .when(token.rlike("^[0-9]"), F.lit("num"))
         .otherwise(F.lit("punct"))
     )
@@ -62,7 +65,8 @@ def word_token_arrays(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHA
 def word_tokens(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) -> DataFrame:
     """Binding W: ``tokens`` rows from documents.
 
-    ``decl_id`` = ``doc_id:token`` for alphabetic tokens, the first occurrence is the declaration.
+    ``decl_id`` = ``doc_id:token`` for words starting lower-case (variables), the first
+    occurrence is the declaration; capitalised words stand for string literals.
     ``offset`` and ``line`` are running sums over the blank-prefixed pieces; Catalyst drops
     these windows when a query does not use them.
     """
@@ -79,7 +83,7 @@ def word_tokens(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) ->
         F.col("pt.piece").alias("piece"), F.col("pt.token").alias("token"),
     )
     in_file = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ident = F.col("token").rlike("^[A-Za-z]")
+    ident = F.col("token").rlike("^[a-z]")
     decl_id = F.when(ident, F.concat(F.col("file_id").cast("string"), F.lit(":"), F.col("token")))
     first_pos = F.min("pos").over(Window.partitionBy("file_id", "token"))
     return rows.select(
@@ -89,8 +93,8 @@ def word_tokens(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) ->
         .cast("int").alias("line"),
         "token",
         token_kind(F.col("token")).alias("kind"),
-        F.when(ident, F.lit("string")).when(F.col("token").rlike("^[0-9]"), F.lit("number"))
-        .alias("lit_type"),
+        F.when(F.col("token").rlike("^[A-Z]"), F.lit("string"))
+        .when(F.col("token").rlike("^[0-9]"), F.lit("number")).alias("lit_type"),
         decl_id.alias("decl_id"),
         (ident & (F.col("pos") == first_pos)).alias("is_decl"),
         F.lit(False).alias("is_write"),
