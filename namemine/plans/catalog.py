@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from namemine.operators import lm, tokens, usages
 from namemine.sources import bindings as B
+from namemine.sources import corpus
+from namemine.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,3 +107,153 @@ def q_candidates(spark, sf_dir):
 def q_left_ngram(spark, sf_dir):
     _, u = event_usages(spark, sf_dir)
     return u.select("decl_id", "pos", "usage_ix", joined("ngram").alias("ngram"))
+
+
+# ---------------------------------------------------------------------------------------------
+# S: sources and sinks (checked keys on binding W)
+# ---------------------------------------------------------------------------------------------
+
+@query("corpus_scan")
+def q_corpus_scan(spark, sf_dir):
+    files = B.word_files(spark, sf_dir)
+    return files.groupBy("project").agg(
+        F.count("*").alias("n_files"), F.sum("n_chars").alias("n_chars")
+    )
+
+
+@query("size_guard")
+def q_size_guard(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    clamped = corpus.clamp(docs, 5000)
+    kept = corpus.skip_larger(docs, 125 * 1024).select("file_id", F.lit(True).alias("kept"))
+    return clamped.join(kept, "file_id", "left").select(
+        "file_id", F.length("text").alias("clamped_chars"), F.coalesce("kept", F.lit(False)).alias("kept")
+    )
+
+
+@query("project_split")
+def q_project_split(spark, sf_dir):
+    files = B.word_files(spark, sf_dir)
+    train = [f"src{i}" for i in range(2, 11)]
+    parts = corpus.project_split(files, train=train, test=["src0", "src1"])
+    return parts.select("file_id", "split")
+
+
+@query("file_stats")
+def q_file_stats(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    files = docs.select(
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text"
+    )
+    return corpus.file_stats(files)
+
+
+# ---------------------------------------------------------------------------------------------
+# T: tokens and vocabulary (binding W)
+# ---------------------------------------------------------------------------------------------
+
+@query("tokenize")
+def q_tokenize(spark, sf_dir):
+    return B.word_tokens(spark, sf_dir).select("file_id", "pos", "offset", "token", "kind")
+
+
+@query("known_names")
+def q_known_names(spark, sf_dir):
+    return tokens.known_names(B.word_tokens(spark, sf_dir))
+
+
+@query("kind_filter")
+def q_kind_filter(spark, sf_dir):
+    toks = B.word_tokens(spark, sf_dir)
+    cands = toks.select("file_id", "pos", "kind", F.col("token").alias("name"))
+    kept = tokens.kind_filter(cands, tokens.known_names(toks), {"ident": "ident"})
+    return kept.groupBy("kind").agg(F.count("*").alias("n_kept"))
+
+
+@query("mask_literals")
+def q_mask_literals(spark, sf_dir):
+    toks = B.word_tokens(spark, sf_dir).withColumn("target", F.col("decl_id"))
+    m = tokens.mask_literals(toks)
+    return m.groupBy("masked").agg(F.count("*").alias("cnt"))
+
+
+@query("mask_target")
+def q_mask_target(spark, sf_dir):
+    u = usages.left_ngrams(B.word_tokens(spark, sf_dir))
+    return u.select("decl_id", "pos", joined("ngram").alias("ngram"))
+
+
+def word_vocab(spark, sf_dir):
+    toks = B.word_tokens(spark, sf_dir)
+    return toks, tokens.build_vocab(toks)
+
+
+@query("vocab_build")
+def q_vocab_build(spark, sf_dir):
+    return word_vocab(spark, sf_dir)[1]
+
+
+@query("vocab_cutoff")
+def q_vocab_cutoff(spark, sf_dir):
+    return tokens.vocab_cutoff(word_vocab(spark, sf_dir)[1], 5)
+
+
+@query("encode")
+def q_encode(spark, sf_dir):
+    toks, vocab = word_vocab(spark, sf_dir)
+    return tokens.encode(toks, vocab).select("file_id", "pos", "idx")
+
+
+@query("decode")
+def q_decode(spark, sf_dir):
+    toks, vocab = word_vocab(spark, sf_dir)
+    enc = tokens.encode(toks, vocab).select("file_id", "pos", "idx")
+    return tokens.decode(enc, vocab).select("file_id", "pos", "word")
+
+
+@query("model_priority")
+def q_model_priority(spark, sf_dir):
+    return tokens.model_priority(B.word_tokens(spark, sf_dir), "project")
+
+
+# ---------------------------------------------------------------------------------------------
+# U: usage mining
+# ---------------------------------------------------------------------------------------------
+
+@query("declarations")
+def q_declarations(spark, sf_dir):
+    return usages.declarations(B.word_tokens(spark, sf_dir)).select("decl_id", "pos", "token")
+
+
+@query("usages")
+def q_usages(spark, sf_dir):
+    return usages.usages(B.word_tokens(spark, sf_dir)).select("decl_id", "pos", "usage_ix")
+
+
+@query("distance_to_declaration")
+def q_distance(spark, sf_dir):
+    u = usages.distance_to_declaration(usages.usages(B.word_tokens(spark, sf_dir)))
+    return u.select("decl_id", "pos", F.col("distance").cast("int").alias("distance"))
+
+
+@query("line_position")
+def q_line_position(spark, sf_dir):
+    return usages.line_position(B.word_tokens(spark, sf_dir))
+
+
+@query("centered_context")
+def q_centered_context(spark, sf_dir):
+    u = usages.centered_context(B.event_tokens(spark, sf_dir))
+    return u.select("decl_id", "pos", "context")
+
+
+@query("variable_features")
+def q_variable_features(spark, sf_dir):
+    u = usages.centered_context(B.event_tokens(spark, sf_dir))
+    v = usages.variable_features(u)
+    return v.select(
+        "decl_id", "variable",
+        F.array_join("ngrams", "\t").alias("ngrams"),
+        F.array_join(F.transform("other_features", lambda a: a[0].cast("string")), ",").alias("other_features"),
+        "kind",
+    )

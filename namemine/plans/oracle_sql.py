@@ -160,3 +160,181 @@ agg AS (
 rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM agg)
 SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10
 """)
+
+# Binding W: documents tokenised by regex; lower-case words are variables, capitalised words
+# stand for string literals, digits are numbers.
+W_TOK = r"""
+w_arr AS (
+  SELECT source AS project, doc_id AS file_id, n_chars,
+         regexp_extract_all(substr(text, 1, 65536), '\s*(?:[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s])') AS pieces,
+         regexp_extract_all(substr(text, 1, 65536), '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]') AS toks
+  FROM documents),
+w_raw AS (
+  SELECT project, file_id, CAST(unnest(range(len(toks))) AS INTEGER) AS pos,
+         unnest(pieces) AS piece, unnest(toks) AS token
+  FROM w_arr),
+w_tok AS (
+  SELECT project, file_id, pos,
+         CAST(sum(length(piece)) OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+              - length(token) AS INTEGER) AS "offset",
+         CAST(sum(length(piece) - length(replace(piece, chr(10), '')))
+              OVER (PARTITION BY file_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS INTEGER) AS line,
+         token,
+         CASE WHEN regexp_matches(token, '^[a-z]') THEN 'ident'
+              WHEN regexp_matches(token, '^[A-Z]') THEN 'string'
+              WHEN regexp_matches(token, '^[0-9]') THEN 'num' ELSE 'punct' END AS kind,
+         CASE WHEN regexp_matches(token, '^[A-Z]') THEN 'string'
+              WHEN regexp_matches(token, '^[0-9]') THEN 'number' END AS lit_type,
+         CASE WHEN regexp_matches(token, '^[a-z]') THEN CAST(file_id AS VARCHAR) || ':' || token END AS decl_id,
+         regexp_matches(token, '^[a-z]') AND pos = min(pos) OVER (PARTITION BY file_id, token) AS is_decl
+  FROM w_raw)"""
+
+# Vocabulary of binding W: idx by (cnt desc, token), 1-based.
+W_VOCAB = W_TOK + """,
+w_vocab AS (
+  SELECT CAST(row_number() OVER (ORDER BY cnt DESC, token) AS INTEGER) AS idx, token, cnt
+  FROM (SELECT token, count(*) AS cnt FROM w_tok GROUP BY token))"""
+
+W_USE = W_TOK + """,
+w_decl AS (SELECT file_id, decl_id, "offset" AS decl_offset FROM w_tok WHERE is_decl),
+w_use AS (
+  SELECT t.*, d.decl_offset,
+         CAST(row_number() OVER (PARTITION BY t.file_id, t.decl_id ORDER BY t."offset", t.pos) - 1 AS INTEGER) AS usage_ix
+  FROM w_tok t JOIN w_decl d ON d.file_id = t.file_id AND d.decl_id = t.decl_id)"""
+
+oracle("corpus_scan", f"""
+SELECT source AS project, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS n_chars
+FROM documents GROUP BY source
+""")
+
+oracle("size_guard", f"""
+SELECT doc_id AS file_id, CAST(length(substr(text, 1, 5000)) AS INTEGER) AS clamped_chars,
+       octet_length(encode(text)) <= 125 * 1024 AS kept
+FROM documents
+""")
+
+oracle("project_split", f"""
+SELECT doc_id AS file_id, CASE WHEN source IN ('src0', 'src1') THEN 'test' ELSE 'train' END AS split
+FROM documents
+WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9', 'src10')
+""")
+
+oracle("file_stats", f"""
+SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path, CAST(length(text) AS INTEGER) AS n_chars FROM documents
+""")
+
+oracle("tokenize", f"""
+WITH {W_TOK}
+SELECT file_id, pos, "offset", token, kind FROM w_tok
+""")
+
+oracle("known_names", f"""
+WITH {W_TOK}
+SELECT DISTINCT kind, token FROM w_tok WHERE is_decl
+""")
+
+oracle("kind_filter", f"""
+WITH {W_TOK}
+SELECT kind, count(*) AS n_kept
+FROM w_tok t
+WHERE kind IN ('ident') AND EXISTS (SELECT 1 FROM w_tok k WHERE k.is_decl AND k.kind = t.kind AND k.token = t.token)
+GROUP BY kind
+""")
+
+oracle("mask_literals", f"""
+WITH {W_TOK},
+m AS (
+  SELECT CASE WHEN lit_type = 'string' THEN CASE WHEN length(token) > 10 THEN '<str>' ELSE token END
+              WHEN lit_type = 'number' THEN CASE WHEN token IN ('0', '1', '32', '64') THEN token ELSE '<num>' END
+              WHEN decl_id IS NOT NULL THEN '<var>'
+              ELSE token END AS masked
+  FROM w_tok)
+SELECT masked, count(*) AS cnt FROM m GROUP BY masked
+""")
+
+oracle("vocab_build", f"""
+WITH {W_VOCAB}
+SELECT idx, token, cnt FROM w_vocab
+""")
+
+oracle("vocab_cutoff", f"""
+WITH {W_VOCAB}
+SELECT idx, token, cnt FROM w_vocab WHERE cnt >= 5
+""")
+
+oracle("encode", f"""
+WITH {W_VOCAB}
+SELECT t.file_id, t.pos, v.idx FROM w_tok t LEFT JOIN w_vocab v ON v.token = t.token
+""")
+
+oracle("decode", f"""
+WITH {W_VOCAB}
+SELECT t.file_id, t.pos, coalesce(v2.token, '<unknown>') AS word
+FROM w_tok t LEFT JOIN w_vocab v ON v.token = t.token LEFT JOIN w_vocab v2 ON v2.idx = v.idx
+""")
+
+oracle("model_priority", f"""
+WITH {W_TOK}
+SELECT project, count(DISTINCT token) AS priority FROM w_tok GROUP BY project
+""")
+
+oracle("declarations", f"""
+WITH {W_TOK}
+SELECT decl_id, pos, token FROM w_tok WHERE is_decl AND decl_id IS NOT NULL
+""")
+
+oracle("usages", f"""
+WITH {W_USE}
+SELECT decl_id, pos, usage_ix FROM w_use
+""")
+
+oracle("distance_to_declaration", f"""
+WITH {W_USE}
+SELECT decl_id, pos, CAST(abs("offset" - decl_offset) AS INTEGER) AS distance FROM w_use
+""")
+
+oracle("line_position", f"""
+WITH {W_TOK}
+SELECT file_id, pos, token, line FROM w_tok
+""")
+
+oracle("mask_target", f"""
+WITH {W_USE},
+w_lw AS (
+  SELECT file_id, pos, list({{'t': token, 'd': decl_id}}) OVER (PARTITION BY file_id ORDER BY pos
+              ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS lw
+  FROM w_tok)
+SELECT u.decl_id, u.pos,
+       array_to_string(list_transform(l.lw, lambda e: CASE WHEN e.d = u.decl_id THEN '<unknown>' ELSE e.t END), ' ') AS ngram
+FROM w_use u JOIN w_lw l USING (file_id, pos)
+""")
+
+oracle("centered_context", f"""
+WITH {E_TOK},
+lw AS (
+  SELECT *, list({{'t': token, 'd': decl_id}}) OVER (PARTITION BY file_id ORDER BY pos
+              ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS lw
+  FROM e_tok)
+SELECT decl_id, pos,
+       array_to_string(list_transform(lw, lambda e: CASE WHEN e.d = decl_id THEN '<var>' ELSE e.t END), '▁') AS context
+FROM lw
+""")
+
+oracle("variable_features", f"""
+WITH {E_TOK},
+lw AS (
+  SELECT *, list({{'t': token, 'd': decl_id}}) OVER (PARTITION BY file_id ORDER BY pos
+              ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS lw,
+         min("offset") FILTER (WHERE is_decl) OVER (PARTITION BY file_id, decl_id) AS decl_offset
+  FROM e_tok),
+u AS (
+  SELECT decl_id, "offset", pos, token,
+         array_to_string(list_transform(lw, lambda e: CASE WHEN e.d = decl_id THEN '<var>' ELSE e.t END), '▁') AS ctx,
+         abs("offset" - decl_offset) AS distance
+  FROM lw)
+SELECT decl_id, arg_min(token, "offset") AS variable,
+       string_agg(ctx, chr(9) ORDER BY "offset", pos) AS ngrams,
+       string_agg(CAST(distance AS VARCHAR), ',' ORDER BY "offset", pos) AS other_features,
+       'ident' AS kind
+FROM u GROUP BY decl_id
+""")
