@@ -126,8 +126,8 @@ def _suffix_terms(seqs: DataFrame, ids: list[str], seq_col: str, ngrams: DataFra
     s = F.col(seq_col)
     ex = seqs.select(
         *ids, *scope,
-        F.posexplode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: suffix(s, k))).alias("i", "g"),
-    ).select(*ids, *scope, (F.col("i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
+        F.posexplode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: suffix(s, k))).alias("_i", "g"),
+    ).select(*ids, *scope, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
     c = ngrams.select(*scope, F.col("ngram").alias("g"), F.col("cnt").alias("c"))
     x = contexts.select(*scope, "ctx", F.col("cnt").alias("x"))
     return (
@@ -164,11 +164,11 @@ def priority_terms(seqs: DataFrame, contexts: DataFrame, ids: list[str], seq_col
     ex = seqs.where(F.size(s) > 1).select(
         *ids, *scope,
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(body)), lambda k: suffix(body, k)))
-        .alias("i", "ctx"),
+        .alias("_i", "ctx"),
     )
     x = contexts.select(*scope, "ctx", F.col("cnt").alias("x"))
     return ex.join(x, [*scope, "ctx"], "left").select(
-        *ids, (F.col("i") + 1).alias("k"), F.coalesce("x", F.lit(0)).alias("x")
+        *ids, (F.col("_i") + 1).alias("k"), F.coalesce("x", F.lit(0)).alias("x")
     )
 
 
@@ -265,3 +265,175 @@ def top_k(scored: DataFrame, by: Sequence[str], k: int = TOP_K, score: str = "p"
     """At most ``k`` rows per group by (score desc, name) -> adds ``rank`` (1-based)."""
     w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(name))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ---------------------------------------------------------------------------------------------
+# M8: total probability of the real name
+# ---------------------------------------------------------------------------------------------
+
+def total_probability(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
+                      ngram_col: str = "ngram", lam: float = LAMBDA) -> DataFrame:
+    """M8: per variable ``sum(P * prio) / sum(prio)`` over its usages, P = probability of the
+    variable's real name after its masked left context -> (decl_id, p)."""
+    if contexts is None:
+        contexts = context_counts(ngrams)
+    ids = ["file_id", "pos"]
+    u = usage_rows.select(
+        *ids, "decl_id",
+        F.concat(prefix_drop_last(F.col(ngram_col)), F.array(F.col("token"))).alias("seq"),
+        F.col(ngram_col).alias("masked"),
+    )
+    p = jm_probability(u, ngrams, contexts, ids=ids, seq_col="seq", lam=lam)
+    prio = usage_priorities(u, contexts, ids=ids, seq_col="masked")
+    return (
+        u.select(*ids, "decl_id").join(p, ids).join(prio, ids)
+        .groupBy("decl_id").agg((F.sum(F.col("p") * F.col("prio")) / F.sum("prio")).alias("p"))
+    )
+
+
+# ---------------------------------------------------------------------------------------------
+# Context model (all target positions of a variable at once)
+# ---------------------------------------------------------------------------------------------
+
+def context_candidates(usage_rows: DataFrame, ngrams: DataFrame, known: DataFrame | None = None,
+                       k: int = TOP_K) -> DataFrame:
+    """Union over all target positions of the candidates after the context with every
+    target masked -> (decl_id, kind, name) distinct, kind-filtered (T3) when ``known`` is given."""
+    ids = ["file_id", "pos"]
+    c = candidates(usage_rows, ngrams, ids, "ngram", k)
+    c = c.join(usage_rows.select(*ids, "decl_id", "kind"), ids).select("decl_id", "kind", "name").distinct()
+    if known is not None:
+        c = c.join(known.select("kind", F.col("token").alias("name")), ["kind", "name"], "left_semi")
+    return c
+
+
+def union_positions(targets: DataFrame, scope_sizes: DataFrame, order: int = ORDER,
+                    scope_col: str = "scope_id") -> DataFrame:
+    """Positions scored for a variable: union of ``[idx, min(idx + order, n))`` over its target
+    positions, each counted once -> (decl_id, scope, i)."""
+    t = targets.join(scope_sizes, scope_col)
+    return t.select(
+        "decl_id", scope_col,
+        F.explode(F.sequence(F.col("pos"), F.least(F.col("pos") + order, F.col("n")) - 1)).alias("i"),
+    ).distinct()
+
+
+def substitute(scope_tokens: DataFrame, cands: DataFrame, order: int = ORDER,
+               scope_col: str = "scope_id") -> DataFrame:
+    """Put each candidate at every target position; one row per scored position with the
+    ``order``-token window ending there -> (decl_id, name, i, seq).
+
+    Windows are built once per scope position; the candidate rows multiply only the scored
+    positions of their own variable (at most ``k`` candidates per context suffix, M9).
+    """
+    w = Window.partitionBy(scope_col).orderBy("pos").rowsBetween(-(order - 1), 0)
+    win = scope_tokens.select(
+        scope_col, F.col("pos").alias("i"),
+        F.collect_list(F.struct("token", "decl_id")).over(w).alias("w"),
+    )
+    sizes = scope_tokens.groupBy(scope_col).agg((F.max("pos") + 1).alias("n"))
+    targets = scope_tokens.where(F.col("decl_id").isNotNull()).select("decl_id", scope_col, "pos")
+    pos = union_positions(targets, sizes, order, scope_col)
+    rows = pos.join(win, [scope_col, "i"]).join(cands.select("decl_id", "name"), "decl_id")
+    seq = F.transform(
+        "w", lambda e: F.when(e["decl_id"].isNotNull() & (e["decl_id"] == F.col("decl_id")), F.col("name"))
+        .otherwise(e["token"])
+    )
+    return rows.select("decl_id", "name", "i", seq.alias("seq"))
+
+
+def context_logprob(scope_tokens: DataFrame, cands: DataFrame, ngrams: DataFrame,
+                    contexts: DataFrame | None = None, order: int = ORDER,
+                    scope_col: str = "scope_id", lam: float = LAMBDA) -> DataFrame:
+    """``sum(log P)`` over the union of scored windows with the candidate substituted ->
+    (decl_id, name, logprob). With ``cands`` = the real names this is M16."""
+    if contexts is None:
+        contexts = context_counts(ngrams)
+    s = substitute(scope_tokens, cands, order, scope_col)
+    p = jm_probability(s, ngrams, contexts, ids=["decl_id", "name", "i"], seq_col="seq", lam=lam)
+    return p.groupBy("decl_id", "name").agg(F.sum(F.log("p")).alias("logprob"))
+
+
+def name_logprob(scope_tokens: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
+                 order: int = ORDER, scope_col: str = "scope_id") -> DataFrame:
+    """Log probability of the given name in its scope -> (decl_id, name, logprob)."""
+    real = scope_tokens.where(F.col("decl_id").isNotNull()).groupBy("decl_id").agg(
+        F.min_by("token", "pos").alias("name")
+    )
+    return context_logprob(scope_tokens, real, ngrams, contexts, order, scope_col)
+
+
+def softmax(scored: DataFrame, by: Sequence[str] = ("decl_id",), col: str = "logprob",
+            temperature: float = 6.0, out: str = "p") -> DataFrame:
+    """Softmax with temperature, max-shifted, per group."""
+    w = Window.partitionBy(*by)
+    z = F.col(col) / temperature
+    e = F.exp(z - F.max(z).over(w))
+    return scored.withColumn(out, e / F.sum(e).over(w))
+
+
+# ---------------------------------------------------------------------------------------------
+# Mixing models, model choice, collisions
+# ---------------------------------------------------------------------------------------------
+
+def collision_filter(preds: DataFrame, visible: DataFrame, scope_col: str = "scope_id") -> DataFrame:
+    """Drop names already visible in the variable's scope (``visible(scope, decl_id, name)``),
+    except the variable's own name."""
+    v = visible.select(scope_col, F.col("decl_id").alias("_other"), "name")
+    clash = preds.join(v, [scope_col, "name"]).where(F.col("_other") != F.col("decl_id")) \
+        .select("decl_id", "name").distinct()
+    return preds.join(clash, ["decl_id", "name"], "left_anti")
+
+
+def mix_rank(preds: DataFrame, prior_weight: int = 1, k: int = TOP_K, min_p: float = 0.001,
+             visible: DataFrame | None = None, scope_col: str = "scope_id") -> DataFrame:
+    """Merge model predictions ``(decl_id, [scope,] name, p, priority, model)``:
+    ``sum(p * priority) / (prior_weight + sum of model priorities)`` per name, drop collisions,
+    keep the ``k`` best, **then** drop those below ``min_p`` -> (decl_id, name, p, rank)."""
+    keys = ["decl_id", scope_col] if visible is not None else ["decl_id"]
+    psum = preds.select("decl_id", "model", "priority").distinct().groupBy("decl_id").agg(
+        (F.sum("priority") + F.lit(prior_weight)).alias("psum")
+    )
+    scored = (
+        preds.groupBy(*keys, "name").agg(F.sum(F.col("p") * F.col("priority")).alias("wp"))
+        .join(psum, "decl_id")
+        .select(*keys, "name", F.round(F.col("wp") / F.col("psum"), 6).alias("p"))
+    )
+    if visible is not None:
+        scored = collision_filter(scored, visible, scope_col)
+    return top_k(scored, ["decl_id"], k).where(F.col("p") >= min_p)
+
+
+def mix_probability(probs: DataFrame) -> DataFrame:
+    """Per variable ``sum(p * priority) / sum(priority)``, 0 when no model has a priority.
+    ``probs(decl_id, model, p, priority)``."""
+    g = probs.groupBy("decl_id").agg(
+        F.sum(F.col("p") * F.col("priority")).alias("wp"), F.sum("priority").alias("ps")
+    )
+    return g.select("decl_id", F.coalesce(F.col("wp") / F.nullif(F.col("ps"), F.lit(0)), F.lit(0.0)).alias("p"))
+
+
+def unlikely_names(probs: DataFrame, threshold: float = 0.001) -> DataFrame:
+    """Variables whose name probability is below ``threshold``."""
+    return probs.where(F.col("p") < threshold)
+
+
+def model_scope(variables: DataFrame, ngrams: DataFrame, project_col: str = "project",
+                global_scope: str = "global") -> DataFrame:
+    """Model of each variable: its project's own model if there is one, else the
+    unscoped (global) one; no model at all -> priority 0 -> (decl_id, model_scope, priority).
+
+    ``ngrams`` carries a ``scope`` column; the priority of a model is its vocabulary size.
+    """
+    prio = ngrams.where(F.col("n") == 1).groupBy("scope").agg(F.count("*").alias("priority"))
+    own = variables.join(prio.withColumnRenamed("scope", project_col), project_col, "left") \
+        .withColumnRenamed("priority", "own_priority")
+    # the global model's priority is one value: a scalar subquery, no join
+    glob = prio.where(F.col("scope") == global_scope).select(F.max("priority")).scalar()
+    both = own.withColumn("global_priority", glob)
+    return both.select(
+        "decl_id",
+        F.when(F.col("own_priority").isNotNull(), F.col(project_col).cast("string"))
+        .when(F.col("global_priority").isNotNull(), F.lit(global_scope)).alias("model_scope"),
+        F.coalesce("own_priority", "global_priority", F.lit(0)).alias("priority"),
+    )

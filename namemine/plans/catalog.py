@@ -257,3 +257,66 @@ def q_variable_features(spark, sf_dir):
         F.array_join(F.transform("other_features", lambda a: a[0].cast("string")), ",").alias("other_features"),
         "kind",
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# M: context model and mixing (binding E; the scope of a variable is the user's sequence)
+# ---------------------------------------------------------------------------------------------
+
+def event_context(spark, sf_dir):
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    cx = lm.context_counts(ng)
+    cands = lm.context_candidates(u, ng, known=tokens.known_names(toks))
+    scope = toks.select(F.col("file_id").alias("scope_id"), "pos", "token", "decl_id")
+    return toks, u, ng, cx, cands, scope
+
+
+@query("total_probability")
+def q_total_probability(spark, sf_dir):
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    return lm.total_probability(u, ng).select("decl_id", r6("p").alias("p"))
+
+
+@query("context_candidates")
+def q_context_candidates(spark, sf_dir):
+    return event_context(spark, sf_dir)[4].select("decl_id", "name")
+
+
+@query("substitute")
+def q_substitute(spark, sf_dir):
+    _, _, _, _, cands, scope = event_context(spark, sf_dir)
+    return lm.substitute(scope, cands).select("decl_id", "name", "i", joined("seq").alias("seq"))
+
+
+def event_logprob(spark, sf_dir):
+    _, _, ng, cx, cands, scope = event_context(spark, sf_dir)
+    return lm.context_logprob(scope, cands, ng, cx)
+
+
+@query("context_logprob")
+def q_context_logprob(spark, sf_dir):
+    return event_logprob(spark, sf_dir).select("decl_id", "name", r6("logprob").alias("logprob"))
+
+
+@query("softmax")
+def q_softmax(spark, sf_dir):
+    sm = lm.softmax(event_logprob(spark, sf_dir))
+    return sm.select("decl_id", "name", r6("p").alias("p"))
+
+
+def event_context_top10(spark, sf_dir):
+    sm = lm.softmax(event_logprob(spark, sf_dir))
+    return lm.top_k(sm.select("decl_id", "name", r6("p").alias("p")), ["decl_id"])
+
+
+@query("top10")
+def q_top10(spark, sf_dir):
+    return event_context_top10(spark, sf_dir)
+
+
+@query("name_logprob")
+def q_name_logprob(spark, sf_dir):
+    _, _, ng, cx, _, scope = event_context(spark, sf_dir)
+    return lm.name_logprob(scope, ng, cx).select("decl_id", "name", r6("logprob").alias("logprob"))

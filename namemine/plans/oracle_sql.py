@@ -119,9 +119,9 @@ WITH {E_USAGE}
 SELECT decl_id, pos, usage_ix, array_to_string(ng, ' ') AS ngram FROM e_use
 """)
 
-oracle("rank_names", f"""
-WITH {E_USAGE},
-body AS (SELECT file_id, pos, decl_id, list_slice(ng, 1, len(ng) - 1) AS b FROM e_use),
+# Candidates per usage (M9 + T3), the n-gram ranking (M10) over binding E.
+E_CAND = E_USAGE + """,
+body AS (SELECT file_id, pos, decl_id, token, list_slice(ng, 1, len(ng) - 1) AS b, ng FROM e_use),
 succ AS (
   SELECT list_slice(ngram, 1, len(ngram) - 1) AS ctx, ngram[len(ngram)] AS name, cnt,
          row_number() OVER (PARTITION BY list_slice(ngram, 1, len(ngram) - 1)
@@ -134,8 +134,6 @@ cand AS (
   WHERE r.j <= len(b.b)),
 cand_known AS (
   SELECT * FROM cand WHERE name IN (SELECT token FROM e_tok WHERE is_decl)),
-seqs AS (SELECT file_id, pos, decl_id, name, list_append(b, name) AS s FROM cand_known),
-{jm_sql('seqs', 'file_id, pos, name', 's', 'e_ng', 'e_cx', 'e_v')},
 pr_t AS (
   SELECT b.file_id, b.pos, r.k, coalesce(cx.cnt, 0) AS x
   FROM body b, range(1, 6) r(k)
@@ -152,15 +150,89 @@ pr_f AS (
 prio AS (
   SELECT b.file_id, b.pos, b.decl_id, greatest(1, coalesce(pr_f.prio, 0)) AS prio
   FROM body b LEFT JOIN pr_f USING (file_id, pos)),
-tot AS (SELECT decl_id, sum(prio) AS total FROM prio GROUP BY decl_id),
+tot AS (SELECT decl_id, sum(prio) AS total FROM prio GROUP BY decl_id)"""
+
+E_RANK = E_CAND + """,
+seqs AS (SELECT file_id, pos, decl_id, name, list_append(b, name) AS s FROM cand_known),
+""" + jm_sql('seqs', 'file_id, pos, name', 's', 'e_ng', 'e_cx', 'e_v') + """,
 agg AS (
   SELECT s.decl_id, s.name, round(sum(jm_p.p * prio.prio) / tot.total, 6) AS p
   FROM jm_p JOIN seqs s USING (file_id, pos, name) JOIN prio USING (file_id, pos) JOIN tot ON tot.decl_id = s.decl_id
   GROUP BY s.decl_id, s.name, tot.total),
-rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM agg)
+rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM agg)"""
+
+oracle("rank_names", f"""
+WITH {E_RANK}
 SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10
 """)
 
+# Context model over binding E (scope = the user's whole sequence).
+def e_context(cands: str) -> str:
+    return E_CAND + f""",
+cc AS ({cands}),
+sizes AS (SELECT file_id, max(pos) + 1 AS n FROM e_tok GROUP BY file_id),
+upos AS (
+  SELECT DISTINCT decl_id, file_id, i FROM (
+    SELECT t.decl_id, t.file_id, unnest(range(t.pos, least(t.pos + 6, z.n))) AS i
+    FROM e_tok t JOIN sizes z USING (file_id))),
+cwin AS (
+  SELECT file_id, pos AS i, list({{'t': token, 'd': decl_id}}) OVER (PARTITION BY file_id ORDER BY pos
+             ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w
+  FROM e_tok),
+sub AS (
+  SELECT u.decl_id, c.name, u.i,
+         list_transform(w.w, lambda e: CASE WHEN e.d = u.decl_id THEN c.name ELSE e.t END) AS s
+  FROM upos u JOIN cwin w USING (file_id, i) JOIN cc c ON c.decl_id = u.decl_id),
+""" + jm_sql('sub', 'decl_id, name, i', 's', 'e_ng', 'e_cx', 'e_v') + """,
+lp AS (SELECT decl_id, name, sum(ln(p)) AS logprob FROM jm_p GROUP BY decl_id, name),
+sm_e AS (
+  SELECT decl_id, name, logprob, exp(logprob / 6 - max(logprob / 6) OVER (PARTITION BY decl_id)) AS e FROM lp),
+sm AS (SELECT decl_id, name, logprob, e / sum(e) OVER (PARTITION BY decl_id) AS p FROM sm_e)"""
+
+E_CC = "SELECT DISTINCT decl_id, name FROM cand_known"
+E_REAL = "SELECT decl_id, arg_min(token, pos) AS name FROM e_tok GROUP BY decl_id"
+
+oracle("context_candidates", f"""
+WITH {E_CAND}
+SELECT DISTINCT decl_id, name FROM cand_known
+""")
+
+oracle("substitute", f"""
+WITH {e_context(E_CC)}
+SELECT decl_id, name, i, array_to_string(s, ' ') AS seq FROM sub
+""")
+
+oracle("context_logprob", f"""
+WITH {e_context(E_CC)}
+SELECT decl_id, name, round(logprob, 6) AS logprob FROM lp
+""")
+
+oracle("softmax", f"""
+WITH {e_context(E_CC)}
+SELECT decl_id, name, round(p, 6) AS p FROM sm
+""")
+
+oracle("top10", f"""
+WITH {e_context(E_CC)},
+r AS (SELECT decl_id, name, round(p, 6) AS p,
+             row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm)
+SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+""")
+
+oracle("name_logprob", f"""
+WITH {e_context(E_REAL)}
+SELECT decl_id, name, round(logprob, 6) AS logprob FROM lp
+""")
+
+oracle("total_probability", f"""
+WITH {E_CAND},
+seqs AS (SELECT file_id, pos, decl_id, list_append(b, token) AS s FROM body),
+{jm_sql('seqs', 'file_id, pos', 's', 'e_ng', 'e_cx', 'e_v')}
+SELECT s.decl_id, round(sum(jm_p.p * prio.prio) / sum(prio.prio), 6) AS p
+FROM jm_p JOIN seqs s USING (file_id, pos) JOIN prio USING (file_id, pos)
+GROUP BY s.decl_id
+""")
+
 # Binding W: documents tokenised by regex; lower-case words are variables, capitalised words
 # stand for string literals, digits are numbers.
 W_TOK = r"""
