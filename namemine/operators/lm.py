@@ -426,8 +426,9 @@ def model_scope(variables: DataFrame, ngrams: DataFrame, project_col: str = "pro
     ``ngrams`` carries a ``scope`` column; the priority of a model is its vocabulary size.
     """
     prio = ngrams.where(F.col("n") == 1).groupBy("scope").agg(F.count("*").alias("priority"))
-    own = variables.join(prio.withColumnRenamed("scope", project_col), project_col, "left") \
-        .withColumnRenamed("priority", "own_priority")
+    own = variables.withColumn("_scope", F.col(project_col).cast("string")).join(
+        prio.withColumnRenamed("scope", "_scope"), "_scope", "left"
+    ).withColumnRenamed("priority", "own_priority").drop("_scope")
     # the global model's priority is one value: a scalar subquery, no join
     glob = prio.where(F.col("scope") == global_scope).select(F.max("priority")).scalar()
     both = own.withColumn("global_priority", glob)

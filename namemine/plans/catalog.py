@@ -320,3 +320,85 @@ def q_top10(spark, sf_dir):
 def q_name_logprob(spark, sf_dir):
     _, _, ng, cx, _, scope = event_context(spark, sf_dir)
     return lm.name_logprob(scope, ng, cx).select("decl_id", "name", r6("logprob").alias("logprob"))
+
+
+@query("unlearn_file")
+def q_unlearn_file(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    ng = lm.unlearn(lm.ngram_counts(toks), lm.ngram_counts(toks.where(F.col("project") == 0)))
+    return ng.select("n", joined("ngram").alias("ngram"), "cnt")
+
+
+@query("file_model")
+def q_file_model(spark, sf_dir):
+    ng = lm.ngram_counts(B.event_tokens(spark, sf_dir), by="file_id")
+    return ng.select("file_id", "n", joined("ngram").alias("ngram"), "cnt")
+
+
+@query("accumulate_model")
+def q_accumulate_model(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    a = lm.ngram_counts(toks.where(F.col("project") < 5))
+    b = lm.ngram_counts(toks.where(F.col("project") >= 5))
+    return lm.add_counts(a, b).select("n", joined("ngram").alias("ngram"), "cnt")
+
+
+def event_visible(toks):
+    return usages.declarations(toks).select(
+        F.col("file_id").alias("scope_id"), "decl_id", F.col("token").alias("name")
+    )
+
+
+def event_predictions(spark, sf_dir):
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    cx = lm.context_counts(ng)
+    v = lm.vocab_size(ng).cast("bigint")
+    ngram = lm.rank_names(u, ng, cx, known=tokens.known_names(toks)).select(
+        "decl_id", "name", "p", v.alias("priority"), F.lit("ngram").alias("model"))
+    ctx = event_context_top10(spark, sf_dir).select(
+        "decl_id", "name", "p", v.alias("priority"), F.lit("context").alias("model"))
+    scope = toks.select("decl_id", F.col("file_id").alias("scope_id")).distinct()
+    return toks, ngram.unionByName(ctx).join(scope, "decl_id")
+
+
+@query("collision_filter")
+def q_collision_filter(spark, sf_dir):
+    toks, preds = event_predictions(spark, sf_dir)
+    kept = lm.collision_filter(preds.where(F.col("model") == "ngram"), event_visible(toks))
+    return kept.select("decl_id", "name")
+
+
+@query("mix_rank")
+def q_mix_rank(spark, sf_dir):
+    toks, preds = event_predictions(spark, sf_dir)
+    return lm.mix_rank(preds, prior_weight=1, visible=event_visible(toks)).select("decl_id", "name", "p", "rank")
+
+
+def event_mix_probability(spark, sf_dir):
+    toks, u, ng, cx, _, scope = event_context(spark, sf_dir)
+    v = lm.vocab_size(ng).cast("bigint")
+    tp = lm.total_probability(u, ng, cx).select("decl_id", "p", v.alias("priority"), F.lit("ngram").alias("model"))
+    nl = lm.name_logprob(scope, ng, cx).select(
+        "decl_id", F.exp("logprob").alias("p"), v.alias("priority"), F.lit("context").alias("model"))
+    return lm.mix_probability(tp.unionByName(nl))
+
+
+@query("mix_probability")
+def q_mix_probability(spark, sf_dir):
+    return event_mix_probability(spark, sf_dir).select("decl_id", r6("p").alias("p"))
+
+
+@query("unlikely_names")
+def q_unlikely_names(spark, sf_dir):
+    return lm.unlikely_names(event_mix_probability(spark, sf_dir)).select("decl_id", r6("p").alias("p"))
+
+
+@query("model_scope")
+def q_model_scope(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    own = lm.ngram_counts(toks.where(F.col("project") < 5), by="project").withColumn(
+        "scope", F.col("project").cast("string")).drop("project")
+    glob = lm.ngram_counts(toks).withColumn("scope", F.lit("global"))
+    variables = toks.select("decl_id", "project").distinct()
+    return lm.model_scope(variables, own.unionByName(glob))

@@ -410,3 +410,89 @@ SELECT decl_id, arg_min(token, "offset") AS variable,
        'ident' AS kind
 FROM u GROUP BY decl_id
 """)
+
+E_GRAMS = E_WIN + """,
+e_g AS (SELECT project, file_id, list_slice(w, len(w) - n + 1, len(w)) AS g FROM e_win, range(1, 7) r(n) WHERE n <= len(w))"""
+
+oracle("unlearn_file", f"""
+WITH {E_GRAMS}
+SELECT CAST(len(g) AS INTEGER) AS n, array_to_string(g, ' ') AS ngram, count(*) FILTER (WHERE project <> 0) AS cnt
+FROM e_g GROUP BY g HAVING count(*) FILTER (WHERE project <> 0) > 0
+""")
+
+oracle("file_model", f"""
+WITH {E_GRAMS}
+SELECT file_id, CAST(len(g) AS INTEGER) AS n, array_to_string(g, ' ') AS ngram, count(*) AS cnt
+FROM e_g GROUP BY file_id, g
+""")
+
+oracle("accumulate_model", f"""
+WITH {E_GRAMS}
+SELECT CAST(len(g) AS INTEGER) AS n, array_to_string(g, ' ') AS ngram, count(*) AS cnt FROM e_g GROUP BY g
+""")
+
+E_PRED = E_RANK + """,
+ngram_pred AS (SELECT decl_id, name, p, (SELECT v FROM e_v) AS priority, 'ngram' AS model FROM rk WHERE rank <= 10),
+""" + e_context(E_CC).split(E_CAND + ",", 1)[1].replace("jm_", "cm_") + """,
+ctx_pred AS (
+  SELECT decl_id, name, p, (SELECT v FROM e_v) AS priority, 'context' AS model FROM (
+    SELECT decl_id, name, round(p, 6) AS p,
+           row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm)
+  WHERE rank <= 10),
+preds AS (SELECT * FROM ngram_pred UNION ALL SELECT * FROM ctx_pred),
+visible AS (SELECT file_id, decl_id AS other, token AS name FROM e_tok WHERE is_decl),
+dscope AS (SELECT DISTINCT decl_id, file_id FROM e_tok),
+clash AS (
+  SELECT DISTINCT p.decl_id, p.name FROM preds p JOIN dscope d USING (decl_id)
+  JOIN visible v ON v.file_id = d.file_id AND v.name = p.name AND v.other <> p.decl_id)"""
+
+oracle("collision_filter", f"""
+WITH {E_PRED}
+SELECT decl_id, name FROM ngram_pred p WHERE NOT EXISTS (
+  SELECT 1 FROM clash c WHERE c.decl_id = p.decl_id AND c.name = p.name)
+""")
+
+oracle("mix_rank", f"""
+WITH {E_PRED},
+psum AS (SELECT decl_id, sum(priority) + 1 AS psum FROM (SELECT DISTINCT decl_id, model, priority FROM preds) GROUP BY decl_id),
+sc AS (
+  SELECT p.decl_id, p.name, round(sum(p.p * p.priority) / any_value(s.psum), 6) AS p
+  FROM preds p JOIN psum s USING (decl_id) GROUP BY p.decl_id, p.name),
+kept AS (SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM clash c WHERE c.decl_id = sc.decl_id AND c.name = sc.name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM kept)
+SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND p >= 0.001
+""")
+
+E_MIXP = e_context(E_REAL) + """,
+seqs AS (SELECT file_id, pos, decl_id, list_append(b, token) AS s FROM body),
+""" + jm_sql('seqs', 'file_id, pos', 's', 'e_ng', 'e_cx', 'e_v').replace('jm_', 'tp_') + """,
+tp AS (
+  SELECT s.decl_id, sum(tp_p.p * prio.prio) / sum(prio.prio) AS p
+  FROM tp_p JOIN seqs s USING (file_id, pos) JOIN prio USING (file_id, pos) GROUP BY s.decl_id),
+probs AS (
+  SELECT decl_id, p, (SELECT v FROM e_v) AS priority FROM tp
+  UNION ALL SELECT decl_id, exp(logprob), (SELECT v FROM e_v) FROM lp),
+mixp AS (
+  SELECT decl_id, coalesce(sum(p * priority) / nullif(sum(priority), 0), 0) AS p FROM probs GROUP BY decl_id)"""
+
+oracle("mix_probability", f"""
+WITH {E_MIXP}
+SELECT decl_id, round(p, 6) AS p FROM mixp
+""")
+
+oracle("unlikely_names", f"""
+WITH {E_MIXP}
+SELECT decl_id, round(p, 6) AS p FROM mixp WHERE p < 0.001
+""")
+
+oracle("model_scope", f"""
+WITH {E_GRAMS},
+uni AS (SELECT DISTINCT project, g FROM e_g WHERE len(g) = 1),
+own AS (SELECT project, count(*) AS priority FROM uni WHERE project < 5 GROUP BY project),
+gmodel AS (SELECT count(DISTINCT g) AS priority FROM uni),
+vars AS (SELECT DISTINCT decl_id, project FROM e_tok)
+SELECT v.decl_id,
+       CASE WHEN o.priority IS NOT NULL THEN CAST(v.project AS VARCHAR) ELSE 'global' END AS model_scope,
+       coalesce(o.priority, (SELECT priority FROM gmodel), 0) AS priority
+FROM vars v LEFT JOIN own o USING (project)
+""")
