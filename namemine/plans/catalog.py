@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namemine.operators import lm, tokens, usages
+from namemine.functions import names
+from namemine.operators import lm, tokens, trees, usages
 from namemine.sources import bindings as B
 from namemine.sources import corpus
 from namemine.sources.tables import read_table
@@ -402,3 +403,110 @@ def q_model_scope(spark, sf_dir):
     glob = lm.ngram_counts(toks).withColumn("scope", F.lit("global"))
     variables = toks.select("decl_id", "project").distinct()
     return lm.model_scope(variables, own.unionByName(glob))
+
+
+# ---------------------------------------------------------------------------------------------
+# X: tree path contexts (binding O; customers are methods)
+# ---------------------------------------------------------------------------------------------
+
+@query("tree_leaves")
+def q_tree_leaves(spark, sf_dir):
+    return trees.tree_leaves(B.order_tree(spark, sf_dir)).select("method_id", "node_id", "text")
+
+
+@query("child_id")
+def q_child_id(spark, sf_dir):
+    return trees.child_ids(B.order_tree(spark, sf_dir)).select("node_id", "child_id")
+
+
+@query("leaf_pairs")
+def q_leaf_pairs(spark, sf_dir):
+    """Number of leaf pairs i < j per method (counted, never emitted)."""
+    leaves = trees.tree_leaves(B.order_tree(spark, sf_dir))
+    n = leaves.groupBy("method_id").agg(F.count("*").alias("n_leaves"))
+    return n.select("method_id", (F.col("n_leaves") * (F.col("n_leaves") - 1) / 2).cast("bigint").alias("n_pairs"))
+
+
+@query("path_filter")
+def q_path_filter(spark, sf_dir):
+    """X4 with the default bounds (8, 2) and with length 3 (the longest path here is 4)."""
+    lc = trees.leaf_chains(B.order_tree(spark, sf_dir))
+    a = trees.path_pairs(lc, 8, 2).groupBy(F.col("s_method_id").alias("method_id")).agg(F.count("*").alias("n_kept"))
+    b = trees.path_pairs(lc, 3, 2).groupBy(F.col("s_method_id").alias("method_id")).agg(F.count("*").alias("n_kept_3"))
+    return a.join(b, "method_id", "full").fillna(0, ["n_kept", "n_kept_3"])
+
+
+@query("short_types")
+def q_short_types(spark, sf_dir):
+    ast = B.order_tree(spark, sf_dir)
+    return trees.short_types(ast).groupBy("type", "short_type").agg(F.count("*").alias("n_nodes"))
+
+
+@query("normalise_name")
+def q_normalise_name(spark, sf_dir):
+    """X6 over every line of every document (the label table cuts at 50 chars)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select(
+        "doc_id", F.col("line_no").cast("int").alias("line_no"),
+        F.substring(names.normalize_name(F.col("line")), 1, 50).alias("name"),
+    )
+
+
+@query("subtokens")
+def q_subtokens(spark, sf_dir):
+    """Sub-token frequencies over all blank-separated chunks of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("text")
+    chunks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("chunk"))
+    subs = chunks.select(F.explode(names.subtokens(F.col("chunk"))).alias("subtoken"))
+    return subs.groupBy("subtoken").agg(F.count("*").alias("cnt"))
+
+
+@query("leaf_label")
+def q_leaf_label(spark, sf_dir):
+    """X8 on the word tokens as leaves: numbers are integer literals, words are names."""
+    toks = B.word_tokens(spark, sf_dir).select("token", "kind").distinct()
+    raw = F.when(F.col("kind") == "num", F.lit("IntegerLiteralExpr")).otherwise(F.lit("NameExpr"))
+    return toks.select("token", "kind", names.leaf_label(F.col("token"), raw, F.lit("Block")).alias("label"))
+
+
+def order_leaf_chains(spark, sf_dir):
+    return trees.leaf_chains(B.order_tree(spark, sf_dir))
+
+
+@query("path_string")
+def q_path_string(spark, sf_dir):
+    p = trees.path_string(trees.path_pairs(order_leaf_chains(spark, sf_dir)))
+    return p.groupBy("path").agg(F.count("*").alias("cnt"))
+
+
+def order_path_contexts(spark, sf_dir):
+    methods = trees.method_labels(B.order_methods(spark, sf_dir)).withColumnRenamed("label", "name")
+    return trees.path_contexts(order_leaf_chains(spark, sf_dir), methods.select("method_id", "name"))
+
+
+@query("path_contexts")
+def q_path_contexts(spark, sf_dir):
+    return order_path_contexts(spark, sf_dir).select("method_id", "line")
+
+
+@query("method_label")
+def q_method_label(spark, sf_dir):
+    return trees.method_labels(B.order_methods(spark, sf_dir))
+
+
+@query("context_cap")
+def q_context_cap(spark, sf_dir):
+    return trees.context_cap(order_path_contexts(spark, sf_dir)).select("method_id", "capped")
+
+
+@query("method_length")
+def q_method_length(spark, sf_dir):
+    """X13 with each document as a method body: length distribution per project."""
+    docs = read_table(spark, sf_dir, "documents").select("source", "text")
+    return docs.groupBy("source", trees.method_length(F.col("text")).alias("length")).agg(F.count("*").alias("n_methods"))
+
+
+@query("method_text")
+def q_method_text(spark, sf_dir):
+    return trees.method_text(B.order_methods(spark, sf_dir), B.order_params(spark, sf_dir))

@@ -496,3 +496,187 @@ SELECT v.decl_id,
        coalesce(o.priority, (SELECT priority FROM gmodel), 0) AS priority
 FROM vars v LEFT JOIN own o USING (project)
 """)
+
+
+# ---------------------------------------------------------------------------------------------
+# X: trees (binding O has a fixed depth: customer -> order -> line)
+# ---------------------------------------------------------------------------------------------
+
+def sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
+def sql_normalized(x: str) -> str:
+    s = f"lower({x})"
+    s = f"regexp_replace({s}, '\\\\n', '', 'g')"
+    s = f"regexp_replace({s}, '//s+', '', 'g')"
+    s = f"regexp_replace({s}, '[\"'',]', '', 'g')"
+    return f"regexp_replace({s}, '[^ -~]', '', 'g')"
+
+
+def sql_normalize(x: str, default: str) -> str:
+    n = sql_normalized(x)
+    return (f"CASE WHEN regexp_replace({n}, '[^A-Za-z]', '', 'g') <> '' THEN regexp_replace({n}, '[^A-Za-z]', '', 'g') "
+            f"WHEN replace({n}, ' ', '_') <> '' THEN replace({n}, ' ', '_') ELSE '{default}' END")
+
+
+def sql_subtokens(x: str) -> str:
+    """No look-around in RE2: insert blanks at the camel-case boundaries, then split."""
+    spaced = f"regexp_replace(regexp_replace({sql_trim(x)}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
+    parts = f"string_split_regex({spaced}, '_|[0-9]|\\s+')"
+    normed = f"list_transform({parts}, lambda p: CASE WHEN p = '' THEN '' ELSE {sql_normalize('p', '')} END)"
+    return f"list_filter({normed}, lambda p: p <> '')"
+
+
+O_TREE = """
+o_o AS (
+  SELECT o.o_orderkey, o.o_custkey, o.o_orderpriority,
+         CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderkey) - 1 AS INTEGER) AS oi
+  FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey),
+o_l0 AS (
+  SELECT l.l_orderkey, l.l_returnflag, CAST(l.l_quantity AS BIGINT) AS q, o.o_custkey, o.oi,
+         CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
+              l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS INTEGER) AS li
+  FROM lineitem l JOIN o_o o ON o.o_orderkey = l.l_orderkey),
+o_l AS (SELECT *, CAST(min(li) OVER (PARTITION BY l_orderkey, q) AS INTEGER) AS lc FROM o_l0),
+o_ol AS (SELECT * FROM o_o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM o_l)),
+o_leaf AS (
+  SELECT o_custkey AS m, (l_orderkey * 1000 + li) * 3 + 2 AS node_id, l_returnflag AS text, 2 AS d, oi, li, lc FROM o_l
+  UNION ALL
+  SELECT o_custkey, o_orderkey * 3 + 1, o_orderpriority, 1, oi, NULL, oi FROM o_ol
+  UNION ALL
+  SELECT c_custkey, c_custkey * 3, c_name, 0, NULL, NULL, 0 FROM customer
+  WHERE c_custkey NOT IN (SELECT o_custkey FROM o_o)),
+o_pairs AS (
+  SELECT s.m, CASE WHEN s.oi = t.oi THEN 2 ELSE s.d + t.d END AS len, s.text AS s_text, t.text AS t_text, s.oi AS s_oi, s.li AS s_li, t.oi AS t_oi, t.li AS t_li,
+         CASE WHEN s.oi = t.oi THEN 'Nm' || s.lc || '|Cal|Nm' || t.lc
+              ELSE CASE WHEN s.d = 2 THEN 'Nm' || s.lc || '|Cal|' ELSE 'Cal' || s.oi || '|' END || 'Mth'
+                   || CASE WHEN t.d = 2 THEN '|Cal' || t.oi || '|Nm' || t.lc ELSE '|Cal' || t.oi END END AS path
+  FROM o_leaf s JOIN o_leaf t ON s.m = t.m AND s.d > 0 AND t.d > 0
+   AND ((s.oi = t.oi AND s.d = 2 AND t.d = 2 AND s.li < t.li AND t.lc - s.lc <= 2)
+        OR (s.oi < t.oi AND t.oi - s.oi <= 2)))"""
+
+O_METHODS = """
+o_m AS (
+  SELECT c.c_custkey AS method_id, lower(c.c_mktsegment) || replace(c.c_name, '#', '') AS name,
+         CASE WHEN c.c_custkey % 11 = 0 THEN NULL ELSE '{ return ' || lower(c.c_mktsegment) || '; }' END AS body,
+         c.c_mktsegment IN ('HOUSEHOLD', 'MACHINERY') AS is_public, c.c_mktsegment = 'FURNITURE' AS is_private,
+         c.c_custkey % 2 = 0 AS is_static, coalesce(n.n_name, 'void') AS return_type
+  FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey),
+o_ml AS (
+  SELECT method_id, CASE WHEN len(""" + sql_subtokens("name") + """) > 0
+                         THEN array_to_string(""" + sql_subtokens("name") + """, '|')
+                         ELSE """ + sql_normalize("name", "BLANK") + """ END AS label
+  FROM o_m WHERE body IS NOT NULL)"""
+
+O_CONTEXTS = O_TREE + "," + O_METHODS + """,
+o_lab AS (
+  SELECT *, array_to_string(""" + sql_subtokens("s_text") + """, '|') AS s_lab,
+            array_to_string(""" + sql_subtokens("t_text") + """, '|') AS t_lab
+  FROM o_pairs WHERE len <= 8),
+o_ctx AS (
+  SELECT m AS method_id, count(*) AS n,
+         string_agg(s_lab || ',' || path || ',' || t_lab, ' ' ORDER BY s_oi, coalesce(s_li, -1), t_oi, coalesce(t_li, -1)) AS ctxs,
+         string_agg(s_lab || ',' || path || ',' || t_lab, ' ' ORDER BY s_oi, coalesce(s_li, -1), t_oi, coalesce(t_li, -1))
+           FILTER (WHERE true) AS ctxs2
+  FROM o_lab GROUP BY m)"""
+
+oracle("tree_leaves", f"""
+WITH {O_TREE}
+SELECT m AS method_id, node_id, text FROM o_leaf
+""")
+
+oracle("child_id", f"""
+WITH {O_TREE}
+SELECT c_custkey * 3 AS node_id, 0 AS child_id FROM customer
+UNION ALL SELECT o_orderkey * 3 + 1, oi FROM o_o
+UNION ALL SELECT (l_orderkey * 1000 + li) * 3 + 2, lc FROM o_l
+""")
+
+oracle("leaf_pairs", f"""
+WITH {O_TREE}
+SELECT m AS method_id, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_pairs FROM o_leaf GROUP BY m
+""")
+
+oracle("path_filter", f"""
+WITH {O_TREE}
+SELECT m AS method_id, count(*) AS n_kept, count(*) FILTER (WHERE len <= 3) AS n_kept_3 FROM o_pairs GROUP BY m
+""")
+
+oracle("short_types", f"""
+SELECT 'MethodDeclaration' AS type, 'Mth' AS short_type, count(*) AS n_nodes FROM customer
+UNION ALL SELECT 'MethodCallExpr', 'Cal', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'NameExpr', 'Nm', count(*) FROM lineitem
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+""")
+
+oracle("path_string", f"""
+WITH {O_TREE}
+SELECT path, count(*) AS cnt FROM o_pairs GROUP BY path
+""")
+
+oracle("path_contexts", f"""
+WITH {O_CONTEXTS}
+SELECT c.method_id, l.label || ' ' || c.ctxs AS line FROM o_ctx c JOIN o_ml l USING (method_id)
+""")
+
+oracle("context_cap", f"""
+WITH {O_CONTEXTS}
+SELECT c.method_id, ' ' || l.label || ' ' || c.ctxs || repeat(' ', CAST(greatest(0, 999 - c.n) AS INTEGER)) AS capped
+FROM o_ctx c JOIN o_ml l USING (method_id)
+""")
+
+oracle("method_label", f"""
+WITH {O_METHODS}
+SELECT method_id, label FROM o_ml
+""")
+
+oracle("method_text", f"""
+WITH {O_METHODS},
+o_p AS (
+  SELECT o_custkey AS method_id,
+         string_agg(regexp_replace(o_orderpriority, '^[0-9]-| ', '', 'g') || ' o' || o_orderkey, ',' ORDER BY o_orderkey) AS ps
+  FROM orders GROUP BY o_custkey)
+SELECT m.method_id,
+       CASE WHEN body IS NULL THEN '' ELSE
+         CASE WHEN is_public THEN 'public ' WHEN is_private THEN 'private ' ELSE '' END
+         || CASE WHEN is_static THEN 'static ' ELSE '' END
+         || return_type || ' ' || name || '(' || coalesce(p.ps, '') || ') ' || body END AS method_text
+FROM o_m m LEFT JOIN o_p p USING (method_id)
+""")
+
+oracle("method_length", f"""
+WITH c0 AS (SELECT source, replace(replace(text, chr(13) || chr(10), chr(10)), chr(9), ' ') AS clean FROM documents),
+c1 AS (SELECT source, CASE WHEN starts_with(clean, '{{' || chr(10)) THEN {sql_trim('substr(clean, 4)')} ELSE clean END AS c1 FROM c0),
+c2 AS (SELECT source, CASE WHEN suffix(c1, chr(10) || '}}') THEN {sql_trim('substr(c1, 1, length(c1) - 2)')} ELSE c1 END AS c2 FROM c1),
+ln AS (
+  SELECT source, CASE WHEN c2 = '' THEN 0 ELSE len(list_filter(string_split(c2, chr(10)), lambda l:
+           {sql_trim('l')} NOT IN ('{{', '}}', '') AND NOT starts_with({sql_trim('l')}, '/')
+           AND NOT starts_with({sql_trim('l')}, '*'))) END AS length
+  FROM c2)
+SELECT source, CAST(length AS INTEGER) AS length, count(*) AS n_methods FROM ln GROUP BY ALL
+""")
+
+oracle("normalise_name", f"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line
+  FROM documents)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, substr({sql_normalize('line', 'BLANK')}, 1, 50) AS name FROM l
+""")
+
+oracle("subtokens", f"""
+WITH ch AS (SELECT unnest(regexp_extract_all(text, '\\S+')) AS chunk FROM documents),
+st AS (SELECT unnest({sql_subtokens('chunk')}) AS subtoken FROM ch)
+SELECT subtoken, count(*) AS cnt FROM st GROUP BY subtoken
+""")
+
+oracle("leaf_label", f"""
+WITH {W_TOK},
+t AS (SELECT DISTINCT token, kind FROM w_tok),
+s AS (SELECT token, kind, {sql_subtokens('token')} AS sub, substr({sql_normalize('token', 'BLANK')}, 1, 50) AS name FROM t)
+SELECT token, kind,
+       CASE WHEN len(sub) > 0 THEN array_to_string(sub, '|')
+            WHEN kind = 'num' AND name NOT IN ('0', '1', '32', '64') THEN '<NUM>'
+            ELSE name END AS label
+FROM s
+""")

@@ -123,3 +123,87 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first_pos = F.min("pos").over(Window.partitionBy("file_id", "token"))
     return rows.withColumn("is_decl", F.col("pos") == first_pos).select(*TOKEN_COLUMNS)
+
+
+# ---------------------------------------------------------------------------------------------
+# Binding O: customer -> orders -> lineitem as a syntax tree; customers are methods.
+# ---------------------------------------------------------------------------------------------
+
+# Node types of binding O (customer = method declaration, order = call, line = name).
+O_TYPES = {"customer": "MethodDeclaration", "order": "MethodCallExpr", "line": "NameExpr"}
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+AST_COLUMNS = ["file_id", "method_id", "node_id", "parent_id", "child_ix", "raw_type", "op", "text",
+               "start", "end", "is_comment", "is_stmt"]
+
+
+def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ast`` rows: customer node (root, id 3k), its orders (id 3k+1, ``child_ix`` by orderkey,
+    range = orderkey), their lines (id 3(1000 orderkey + ix)+2, ``child_ix`` by line attributes,
+    range = quantity, text = return flag)."""
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *[
+        c for c in LINE_ORDER if c not in ("l_returnflag",)])
+    cnode = cust.select(
+        F.col("c_nationkey").alias("file_id"), F.col("c_custkey").alias("method_id"),
+        (F.col("c_custkey") * 3).alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"),
+        F.lit(0).alias("child_ix"), F.lit(O_TYPES["customer"]).alias("raw_type"),
+        F.col("c_name").alias("text"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"),
+    )
+    oc = orders.join(cust.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    onode = oc.select(
+        F.col("c_nationkey").alias("file_id"), F.col("o_custkey").alias("method_id"),
+        (F.col("o_orderkey") * 3 + 1).alias("node_id"), (F.col("o_custkey") * 3).alias("parent_id"),
+        (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("int").alias("child_ix"),
+        F.lit(O_TYPES["order"]).alias("raw_type"), F.col("o_orderpriority").alias("text"),
+        F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("end"),
+    )
+    lo = lines.join(oc.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "c_nationkey"), "l_orderkey")
+    ix = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1).cast("int")
+    lnode = lo.select("c_nationkey", "o_custkey", "l_orderkey", "l_returnflag", "l_quantity", ix.alias("ix")).select(
+        F.col("c_nationkey").alias("file_id"), F.col("o_custkey").alias("method_id"),
+        ((F.col("l_orderkey") * 1000 + F.col("ix")) * 3 + 2).alias("node_id"),
+        (F.col("l_orderkey") * 3 + 1).alias("parent_id"), F.col("ix").alias("child_ix"),
+        F.lit(O_TYPES["line"]).alias("raw_type"), F.col("l_returnflag").alias("text"),
+        F.col("l_quantity").cast("bigint").alias("start"), F.col("l_quantity").cast("bigint").alias("end"),
+    )
+    nodes = cnode.unionByName(onode).unionByName(lnode)
+    return nodes.select(
+        *AST_COLUMNS[:6], F.lit(None).cast("string").alias("op"), "text", "start", "end",
+        F.lit(False).alias("is_comment"), F.lit(False).alias("is_stmt"),
+    )
+
+
+def order_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``methods`` from customers: name = market segment + customer name (camel case), class =
+    nation, no body every 11th customer, a constructor when the balance is negative, overriding
+    every 5th; modifiers from the segment; return type = nation name."""
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment", "c_acctbal")
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = cust.join(nation, "c_nationkey", "left")
+    return c.select(
+        F.col("c_custkey").alias("method_id"), F.col("c_nationkey").alias("class_id"),
+        F.concat(F.lower("c_mktsegment"), F.regexp_replace("c_name", "#", "")).alias("name"),
+        F.when(F.col("c_custkey") % 11 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("{ return "), F.lower("c_mktsegment"), F.lit("; }"))).alias("body"),
+        (F.col("c_acctbal") < 0).alias("is_constructor"),
+        (F.col("c_custkey") % 5 == 0).alias("has_super"),
+        F.col("c_mktsegment").isin("HOUSEHOLD", "MACHINERY").alias("is_public"),
+        (F.col("c_mktsegment") == "FURNITURE").alias("is_private"),
+        (F.col("c_custkey") % 2 == 0).alias("is_static"),
+        F.coalesce(F.col("n_name"), F.lit("void")).alias("return_type"),
+    )
+
+
+def order_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``params(method_id, ix, type, name)``: a customer's orders in orderkey order; type from
+    the order priority, name ``o<orderkey>``."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return orders.select(
+        F.col("o_custkey").alias("method_id"), (F.row_number().over(w) - 1).cast("int").alias("ix"),
+        F.regexp_replace("o_orderpriority", "^[0-9]-| ", "").alias("type"),
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"),
+    )
