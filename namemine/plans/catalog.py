@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namemine.functions import names
-from namemine.operators import lm, tokens, trees, usages
+from namemine.functions.masks import mask_literal
+from namemine.operators import graphs, lm, tokens, trees, usages
 from namemine.sources import bindings as B
 from namemine.sources import corpus
 from namemine.sources.tables import read_table
@@ -510,3 +511,194 @@ def q_method_length(spark, sf_dir):
 @query("method_text")
 def q_method_text(spark, sf_dir):
     return trees.method_text(B.order_methods(spark, sf_dir), B.order_params(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------------------
+# G: code graphs (token graphs on binding E, tree graphs on binding O)
+# ---------------------------------------------------------------------------------------------
+
+def event_graph(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    base = graphs.next_token(toks).unionByName(graphs.last_use(toks)).unionByName(graphs.last_write(toks))
+    return toks, graphs.reverse_edges(base)
+
+
+@query("reverse_edges")
+def q_reverse_edges(spark, sf_dir):
+    return event_graph(spark, sf_dir)[1]
+
+
+@query("edge_dedup")
+def q_edge_dedup(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    nt = graphs.next_token(toks)
+    both = graphs.edge_dedup(nt.unionByName(nt).unionByName(graphs.last_use(toks)))
+    return both.groupBy("edge_type").agg(F.count("*").alias("n_edges"))
+
+
+@query("next_token")
+def q_next_token(spark, sf_dir):
+    return graphs.next_token(B.event_tokens(spark, sf_dir))
+
+
+@query("last_lexical_use")
+def q_last_lexical_use(spark, sf_dir):
+    return graphs.last_lexical_use(B.event_tokens(spark, sf_dir))
+
+
+@query("child_edges")
+def q_child_edges(spark, sf_dir):
+    return graphs.child_edges(B.order_tree(spark, sf_dir))
+
+
+@query("last_use")
+def q_last_use(spark, sf_dir):
+    return graphs.last_use(B.event_tokens(spark, sf_dir))
+
+
+@query("last_write")
+def q_last_write(spark, sf_dir):
+    return graphs.last_write(B.event_tokens(spark, sf_dir))
+
+
+def event_cfg(toks):
+    """Control flow over binding E: each event flows to the next; a click may skip the next
+    event; a signup jumps back three events (a loop)."""
+    nxt = toks.select("file_id", F.col("pos").alias("from"), (F.col("pos") + 1).alias("to"))
+    skip = toks.where(F.col("token") == "click").select("file_id", F.col("pos").alias("from"), (F.col("pos") + 2).alias("to"))
+    loop = toks.where((F.col("token") == "signup") & (F.col("pos") >= 3)).select(
+        "file_id", F.col("pos").alias("from"), (F.col("pos") - 3).alias("to"))
+    sizes = toks.groupBy("file_id").agg(F.max("pos").alias("last"))
+    return nxt.unionByName(skip).unionByName(loop).join(sizes, "file_id").where(F.col("to") <= F.col("last")).drop("last")
+
+
+@query("flow_last_use_write")
+def q_flow_last_use(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    return graphs.flow_last_use(toks.select("file_id", "pos", "decl_id"), event_cfg(toks))
+
+
+def order_graph_inputs(spark, sf_dir):
+    ast = B.order_tree(spark, sf_dir)
+    lines = ast.where(F.col("raw_type") == B.O_TYPES["line"])
+    return ast, lines
+
+
+@query("computed_from")
+def q_computed_from(spark, sf_dir):
+    ast, lines = order_graph_inputs(spark, sf_dir)
+    first = lines.where(F.col("child_ix") == 0).select(
+        F.col("method_id").alias("graph_id"), F.col("node_id").alias("target"), F.col("parent_id").alias("rhs_root"))
+    idents = lines.where(F.col("child_ix") > 0).select("node_id")
+    return graphs.computed_from(first, graphs.subtree_closure(ast), idents)
+
+
+@query("formal_arg_name")
+def q_formal_arg_name(spark, sf_dir):
+    ast, lines = order_graph_inputs(spark, sf_dir)
+    orders = ast.where(F.col("raw_type") == B.O_TYPES["order"]).select(
+        "method_id", F.col("node_id").alias("call_id"), "child_ix")
+    callee = orders.select("method_id", (F.col("child_ix") - 1).alias("child_ix"), F.col("call_id").alias("callee"))
+    calls = orders.join(callee, ["method_id", "child_ix"])
+    ident = F.when(F.col("text") != "N", F.col("node_id"))
+    args = lines.join(calls.select(F.col("call_id").alias("parent_id"), "callee", "method_id"), ["parent_id", "method_id"]) \
+        .select(F.col("method_id").alias("graph_id"), F.col("parent_id").alias("call_id"), "callee",
+                F.col("child_ix").alias("ix"), ident.alias("node_id"))
+    params = lines.select(F.col("parent_id").alias("callee"), F.col("child_ix").alias("ix"), ident.alias("node_id"))
+    return graphs.formal_arg_name(args, params)
+
+
+def order_tree_typed(spark, sf_dir):
+    """Binding O with urgent orders typed as lambdas (a return inside one is not a method's)."""
+    ast = B.order_tree(spark, sf_dir)
+    return ast.withColumn("raw_type", F.when(
+        (F.col("raw_type") == B.O_TYPES["order"]) & (F.col("text") == "1-URGENT"), F.lit("LambdaExpr")
+    ).otherwise(F.col("raw_type")))
+
+
+@query("returns_to")
+def q_returns_to(spark, sf_dir):
+    ast = order_tree_typed(spark, sf_dir)
+    returns = ast.where((F.col("raw_type") == B.O_TYPES["line"]) & (F.col("text") == "R")).select(
+        F.col("method_id").alias("graph_id"), "node_id")
+    return graphs.returns_to(returns, graphs.subtree_closure(ast), ast)
+
+
+@query("guarded_by")
+def q_guarded_by(spark, sf_dir):
+    ast, lines = order_graph_inputs(spark, sf_dir)
+    status = read_table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 3 + 1).alias("node_id"), "o_orderstatus")
+    orders = ast.where(F.col("raw_type") == B.O_TYPES["order"]).join(status, "node_id")
+    cond = orders.where(F.col("child_ix") == 0).select("method_id", F.col("node_id").alias("cond_root"))
+    body = orders.where(F.col("child_ix") > 0).select(
+        "method_id", F.col("node_id").alias("body_root"), (F.col("o_orderstatus") == "O").alias("negated"))
+    branches = cond.join(body, "method_id").withColumnRenamed("method_id", "graph_id")
+    idents = lines.select("node_id", F.concat_ws(":", F.col("method_id").cast("string"), "text").alias("decl_id"))
+    return graphs.guarded_by(branches, graphs.subtree_closure(ast), idents)
+
+
+@query("rewire_target")
+def q_rewire_target(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    targets = toks.select("file_id", F.col("decl_id").alias("target")).distinct()
+    return graphs.rewire_target(toks.join(targets, "file_id")).select("target", "graph_id", "src", "dst")
+
+
+@query("state_sets")
+def q_state_sets(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    half = F.max("pos").over(Window.partitionBy("file_id")) / 2
+    st = toks.select(F.col("file_id").cast("string").alias("decl_id"), F.col("token").alias("ident"),
+                     (F.col("pos") <= half).alias("first"))
+    a, b = st.where("first").drop("first"), st.where("not first").drop("first")
+    merged = graphs.state_merge(a, b).select("decl_id", "ident", "cnt", F.lit("merge").alias("op"))
+    dist = graphs.state_distinct(a).select("decl_id", "ident", F.lit(1).cast("bigint").alias("cnt"), F.lit("distinct").alias("op"))
+    sub = graphs.state_subtract(a, b).groupBy("decl_id", "ident").agg(F.count("*").alias("cnt")) \
+        .withColumn("op", F.lit("subtract"))
+    return merged.unionByName(dist).unionByName(sub)
+
+
+def event_subgraphs(spark, sf_dir):
+    toks, g = event_graph(spark, sf_dir)
+    roots = toks.select("decl_id", F.col("file_id").alias("graph_id"), F.col("pos").cast("bigint").alias("node"))
+    return toks, graphs.k_hop_subgraph(g, roots)
+
+
+@query("k_hop_subgraph")
+def q_k_hop_subgraph(spark, sf_dir):
+    return event_subgraphs(spark, sf_dir)[1].select("decl_id", "src", "dst", "edge_type")
+
+
+@query("remove_edge")
+def q_remove_edge(spark, sf_dir):
+    toks, g = event_graph(spark, sf_dir)
+    return graphs.remove_edges(g, graphs.last_write(toks))
+
+
+@query("node_labels")
+def q_node_labels(spark, sf_dir):
+    ast = B.order_tree(spark, sf_dir)
+    leaves = trees.tree_leaves(ast).select("node_id", F.lit(True).alias("is_leaf"))
+    nodes = ast.join(leaves, "node_id", "left").fillna(False, ["is_leaf"]).select(
+        "method_id", "node_id", "raw_type", "text", "is_leaf",
+        F.lit(None).cast("string").alias("lit_type"), F.lit(None).cast("string").alias("decl_id"),
+        F.lit(None).cast("string").alias("target"))
+    lab = graphs.node_labels(nodes)
+    return lab.groupBy(F.col("method_id").alias("graph_id"), "label").agg(F.count("*").alias("cnt"))
+
+
+@query("graph_record")
+def q_graph_record(spark, sf_dir):
+    toks, sub = event_subgraphs(spark, sf_dir)
+    nodes = sub.select("decl_id", "graph_id", F.col("src").alias("node")).distinct()
+    tok = toks.select(F.col("file_id").alias("graph_id"), F.col("pos").cast("bigint").alias("node"),
+                      F.col("token").alias("text"), "lit_type", F.col("decl_id").alias("tok_decl"))
+    labeled = nodes.join(tok, ["graph_id", "node"]).select(
+        "decl_id", "node",
+        mask_literal(F.col("text"), F.col("lit_type"), F.col("tok_decl"), F.col("decl_id")).alias("label"))
+    rec = graphs.graph_record(labeled, sub.select("decl_id", "src", "dst", "edge_type"))
+    return rec.select(
+        "decl_id", F.size("node_labels").alias("n_nodes"), F.size(F.map_keys("edges")).alias("n_types"),
+        F.aggregate(F.map_values("edges"), F.lit(0), lambda a, v: a + F.size(v)).alias("n_edges"),
+        F.size(F.filter(F.map_values("node_labels"), lambda x: x == "<var>")).alias("n_target_nodes"),
+    )

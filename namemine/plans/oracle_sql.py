@@ -680,3 +680,204 @@ SELECT token, kind,
             ELSE name END AS label
 FROM s
 """)
+
+
+# ---------------------------------------------------------------------------------------------
+# G: graphs (binding E token graphs; binding O tree graphs)
+# ---------------------------------------------------------------------------------------------
+
+E_EDGES = E_TOK + """,
+e_nt AS (
+  SELECT file_id AS graph_id, CAST(pos AS BIGINT) AS src,
+         CAST(lead(pos) OVER (PARTITION BY file_id ORDER BY pos) AS BIGINT) AS dst, 'NextToken' AS edge_type FROM e_tok),
+e_lu AS (
+  SELECT file_id AS graph_id, CAST(pos AS BIGINT) AS src,
+         CAST(lag(pos) OVER (PARTITION BY file_id, decl_id ORDER BY pos) AS BIGINT) AS dst, 'LastUse' AS edge_type FROM e_tok),
+e_lw AS (
+  SELECT file_id AS graph_id, CAST(pos AS BIGINT) AS src,
+         CAST(max(CASE WHEN is_write THEN pos END) OVER (PARTITION BY file_id, decl_id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS dst, 'LastWrite' AS edge_type FROM e_tok),
+e_base AS (
+  SELECT DISTINCT * FROM (SELECT * FROM e_nt UNION ALL SELECT * FROM e_lu UNION ALL SELECT * FROM e_lw) WHERE dst IS NOT NULL),
+e_g AS (
+  SELECT DISTINCT * FROM (
+    SELECT * FROM e_base
+    UNION ALL SELECT graph_id, dst, src, 'reversed' || edge_type FROM e_base))"""
+
+oracle("reverse_edges", f"""
+WITH {E_EDGES}
+SELECT * FROM e_g
+""")
+
+oracle("edge_dedup", f"""
+WITH {E_EDGES}
+SELECT edge_type, count(*) AS n_edges FROM (
+  SELECT DISTINCT * FROM (SELECT * FROM e_nt UNION ALL SELECT * FROM e_nt UNION ALL SELECT * FROM e_lu) WHERE dst IS NOT NULL)
+GROUP BY edge_type
+""")
+
+oracle("next_token", f"""
+WITH {E_EDGES}
+SELECT * FROM e_nt WHERE dst IS NOT NULL
+""")
+
+oracle("last_lexical_use", f"""
+WITH {E_TOK}
+SELECT * FROM (
+  SELECT file_id AS graph_id, CAST(pos AS BIGINT) AS src,
+         CAST(lag(pos) OVER (PARTITION BY file_id, token ORDER BY pos) AS BIGINT) AS dst, 'LastLexicalUse' AS edge_type
+  FROM e_tok) WHERE dst IS NOT NULL
+""")
+
+oracle("last_use", f"""
+WITH {E_EDGES}
+SELECT * FROM e_lu WHERE dst IS NOT NULL
+""")
+
+oracle("last_write", f"""
+WITH {E_EDGES}
+SELECT * FROM e_lw WHERE dst IS NOT NULL
+""")
+
+oracle("remove_edge", f"""
+WITH {E_EDGES}
+SELECT * FROM e_g g WHERE NOT EXISTS (
+  SELECT 1 FROM e_lw w WHERE w.dst IS NOT NULL AND w.graph_id = g.graph_id
+    AND ((w.src = g.src AND w.dst = g.dst AND g.edge_type = 'LastWrite')
+      OR (w.src = g.dst AND w.dst = g.src AND g.edge_type = 'reversedLastWrite')))
+""")
+
+oracle("rewire_target", f"""
+WITH {E_TOK},
+tg AS (SELECT DISTINCT file_id, decl_id AS target FROM e_tok),
+r AS (
+  SELECT tg.target, t.file_id AS graph_id, CAST(t.pos AS BIGINT) AS src,
+         CAST(lag(t.pos) OVER (PARTITION BY tg.target, t.file_id, t.token, t.decl_id = tg.target ORDER BY t.pos) AS BIGINT) AS dst
+  FROM e_tok t JOIN tg USING (file_id))
+SELECT DISTINCT target, graph_id, src, dst FROM r WHERE dst IS NOT NULL
+""")
+
+oracle("state_sets", f"""
+WITH {E_TOK},
+st AS (SELECT CAST(file_id AS VARCHAR) AS decl_id, token AS ident,
+              pos <= max(pos) OVER (PARTITION BY file_id) / 2 AS first FROM e_tok),
+a AS (SELECT decl_id, ident FROM st WHERE first),
+b AS (SELECT decl_id, ident FROM st WHERE NOT first)
+SELECT decl_id, ident, count(*) AS cnt, 'merge' AS op FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL
+UNION ALL SELECT DISTINCT decl_id, ident, 1, 'distinct' FROM a
+UNION ALL SELECT decl_id, ident, count(*), 'subtract' FROM a
+  WHERE NOT (decl_id IN (SELECT decl_id FROM b) AND (decl_id, ident) IN (SELECT decl_id, ident FROM b))
+  GROUP BY ALL
+""")
+
+oracle("flow_last_use_write", f"""
+WITH RECURSIVE {E_TOK},
+sizes AS (SELECT file_id, max(pos) AS last FROM e_tok GROUP BY file_id),
+cfg AS (
+  SELECT c.* FROM (
+    SELECT file_id, pos AS frm, pos + 1 AS dst FROM e_tok
+    UNION ALL SELECT file_id, pos, pos + 2 FROM e_tok WHERE token = 'click'
+    UNION ALL SELECT file_id, pos, pos - 3 FROM e_tok WHERE token = 'signup' AND pos >= 3) c
+  JOIN sizes s USING (file_id) WHERE c.dst <= s.last),
+walk(file_id, decl_id, u, here) AS (
+  SELECT file_id, decl_id, pos, pos FROM e_tok
+  UNION
+  SELECT w.file_id, w.decl_id, w.u, c.frm
+  FROM walk w JOIN cfg c ON c.file_id = w.file_id AND c.dst = w.here
+  LEFT JOIN e_tok t ON t.file_id = c.file_id AND t.pos = c.frm AND t.decl_id = w.decl_id
+  WHERE t.pos IS NULL)
+SELECT DISTINCT w.file_id AS graph_id, CAST(w.u AS BIGINT) AS src, CAST(c.frm AS BIGINT) AS dst, 'LastUse' AS edge_type
+FROM walk w JOIN cfg c ON c.file_id = w.file_id AND c.dst = w.here
+JOIN e_tok t ON t.file_id = c.file_id AND t.pos = c.frm AND t.decl_id = w.decl_id
+""")
+
+oracle("k_hop_subgraph", f"""
+WITH RECURSIVE {E_EDGES},
+reach(decl_id, graph_id, node, hop) AS (
+  SELECT decl_id, file_id, CAST(pos AS BIGINT), 0 FROM e_tok
+  UNION
+  SELECT r.decl_id, r.graph_id, g.dst, r.hop + 1 FROM reach r JOIN e_g g ON g.graph_id = r.graph_id AND g.src = r.node
+  WHERE r.hop < 7),
+vis AS (SELECT DISTINCT decl_id, graph_id, node FROM reach),
+cp AS (SELECT v.decl_id, g.graph_id, g.src, g.dst, g.edge_type FROM vis v JOIN e_g g ON g.graph_id = v.graph_id AND g.src = v.node),
+both_dirs AS (
+  SELECT * FROM cp
+  UNION ALL SELECT decl_id, graph_id, dst, src,
+    CASE WHEN starts_with(edge_type, 'reversed') THEN substr(edge_type, 9) ELSE 'reversed' || edge_type END FROM cp)
+SELECT DISTINCT decl_id, src, dst, edge_type FROM both_dirs
+""")
+
+oracle("graph_record", f"""
+WITH RECURSIVE {E_EDGES},
+reach(decl_id, graph_id, node, hop) AS (
+  SELECT decl_id, file_id, CAST(pos AS BIGINT), 0 FROM e_tok
+  UNION
+  SELECT r.decl_id, r.graph_id, g.dst, r.hop + 1 FROM reach r JOIN e_g g ON g.graph_id = r.graph_id AND g.src = r.node
+  WHERE r.hop < 7),
+vis AS (SELECT DISTINCT decl_id, graph_id, node FROM reach),
+cp AS (SELECT v.decl_id, g.graph_id, g.src, g.dst, g.edge_type FROM vis v JOIN e_g g ON g.graph_id = v.graph_id AND g.src = v.node),
+sub AS (
+  SELECT DISTINCT * FROM (SELECT * FROM cp
+  UNION ALL SELECT decl_id, graph_id, dst, src,
+    CASE WHEN starts_with(edge_type, 'reversed') THEN substr(edge_type, 9) ELSE 'reversed' || edge_type END FROM cp)),
+nodes AS (SELECT DISTINCT decl_id, graph_id, src AS node FROM sub),
+lab AS (
+  SELECT n.decl_id, count(*) AS n_nodes, count(*) FILTER (WHERE t.decl_id = n.decl_id) AS n_target_nodes
+  FROM nodes n JOIN e_tok t ON t.file_id = n.graph_id AND t.pos = n.node GROUP BY n.decl_id),
+ed AS (SELECT decl_id, count(*) AS n_edges, count(DISTINCT edge_type) AS n_types FROM sub GROUP BY decl_id)
+SELECT decl_id, CAST(n_nodes AS INTEGER) AS n_nodes, CAST(n_types AS INTEGER) AS n_types,
+       CAST(n_edges AS INTEGER) AS n_edges, CAST(n_target_nodes AS INTEGER) AS n_target_nodes
+FROM lab JOIN ed USING (decl_id)
+""")
+
+oracle("child_edges", f"""
+WITH {O_TREE}
+SELECT o_custkey AS graph_id, o_custkey * 3 AS src, o_orderkey * 3 + 1 AS dst, 'Child' AS edge_type FROM o_o
+UNION ALL SELECT o_custkey, l_orderkey * 3 + 1, (l_orderkey * 1000 + li) * 3 + 2, 'Child' FROM o_l
+""")
+
+oracle("computed_from", f"""
+WITH {O_TREE}
+SELECT a.o_custkey AS graph_id, (a.l_orderkey * 1000 + a.li) * 3 + 2 AS src, (b.l_orderkey * 1000 + b.li) * 3 + 2 AS dst,
+       'ComputedFrom' AS edge_type
+FROM o_l a JOIN o_l b ON a.l_orderkey = b.l_orderkey AND a.li = 0 AND b.li > 0
+""")
+
+oracle("formal_arg_name", f"""
+WITH {O_TREE},
+calls AS (SELECT a.o_custkey, a.o_orderkey AS call_o, b.o_orderkey AS callee_o FROM o_o a JOIN o_o b ON a.o_custkey = b.o_custkey AND b.oi = a.oi + 1),
+na AS (SELECT l_orderkey, count(*) AS n FROM o_l GROUP BY l_orderkey),
+ok AS (SELECT c.* FROM calls c JOIN na x ON x.l_orderkey = c.call_o JOIN na y ON y.l_orderkey = c.callee_o WHERE x.n = y.n)
+SELECT ok.o_custkey AS graph_id, (a.l_orderkey * 1000 + a.li) * 3 + 2 AS src, (p.l_orderkey * 1000 + p.li) * 3 + 2 AS dst,
+       'FormalArgName' AS edge_type
+FROM ok JOIN o_l a ON a.l_orderkey = ok.call_o JOIN o_l p ON p.l_orderkey = ok.callee_o AND p.li = a.li
+WHERE a.l_returnflag <> 'N' AND p.l_returnflag <> 'N'
+""")
+
+oracle("returns_to", f"""
+WITH {O_TREE}
+SELECT l.o_custkey AS graph_id, (l.l_orderkey * 1000 + l.li) * 3 + 2 AS src, l.o_custkey * 3 AS dst, 'ReturnsTo' AS edge_type
+FROM o_l l JOIN o_o o ON o.o_orderkey = l.l_orderkey
+WHERE l.l_returnflag = 'R' AND o.o_orderpriority <> '1-URGENT'
+""")
+
+oracle("guarded_by", f"""
+WITH {O_TREE},
+st AS (SELECT o_orderkey, o_orderstatus FROM orders),
+cond AS (SELECT o_custkey, o_orderkey FROM o_o WHERE oi = 0),
+cv AS (SELECT DISTINCT c.o_custkey, c.o_orderkey AS cond_o, l.l_returnflag FROM cond c JOIN o_l l ON l.l_orderkey = c.o_orderkey)
+SELECT DISTINCT b.o_custkey AS graph_id, (l.l_orderkey * 1000 + l.li) * 3 + 2 AS src, cv.cond_o * 3 + 1 AS dst,
+       CASE WHEN st.o_orderstatus = 'O' THEN 'GuardedByNegation' ELSE 'GuardedBy' END AS edge_type
+FROM o_o b JOIN st ON st.o_orderkey = b.o_orderkey JOIN o_l l ON l.l_orderkey = b.o_orderkey
+JOIN cv ON cv.o_custkey = b.o_custkey AND cv.l_returnflag = l.l_returnflag
+WHERE b.oi > 0
+""")
+
+oracle("node_labels", f"""
+WITH {O_TREE},
+lab AS (
+  SELECT c_custkey AS graph_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM o_o) THEN 'hodDeclara' ELSE c_name END AS label FROM customer
+  UNION ALL SELECT o_custkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM o_l) THEN 'hodCall' ELSE o_orderpriority END FROM o_o
+  UNION ALL SELECT o_custkey, l_returnflag FROM o_l)
+SELECT graph_id, label, count(*) AS cnt FROM lab GROUP BY ALL
+""")
