@@ -255,15 +255,18 @@ def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | N
         p.join(seqs.select(*ids, "name", "decl_id"), [*ids, "name"]).join(prio, ids)
         .groupBy("decl_id", "name").agg(F.sum(F.col("p") * F.col("prio")).alias("wp"))
         .join(total, "decl_id")
-        .select("decl_id", "name", F.round(F.col("wp") / F.col("total"), 6).alias("p"))
+        .select("decl_id", "name", (F.col("wp") / F.col("total")).alias("p"))
     )
     return top_k(scored, ["decl_id"], k)
 
 
 def top_k(scored: DataFrame, by: Sequence[str], k: int = TOP_K, score: str = "p",
           name: str = "name") -> DataFrame:
-    """At most ``k`` rows per group by (score desc, name) -> adds ``rank`` (1-based)."""
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(name))
+    """At most ``k`` rows per group by (score desc, name) -> adds ``rank`` (1-based).
+
+    Scores are compared on 6 digits so that near-ties resolve by name the same way everywhere.
+    """
+    w = Window.partitionBy(*by).orderBy(F.round(F.col(score), 6).desc(), F.col(name))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -397,7 +400,7 @@ def mix_rank(preds: DataFrame, prior_weight: int = 1, k: int = TOP_K, min_p: flo
     scored = (
         preds.groupBy(*keys, "name").agg(F.sum(F.col("p") * F.col("priority")).alias("wp"))
         .join(psum, "decl_id")
-        .select(*keys, "name", F.round(F.col("wp") / F.col("psum"), 6).alias("p"))
+        .select(*keys, "name", (F.col("wp") / F.col("psum")).alias("p"))
     )
     if visible is not None:
         scored = collision_filter(scored, visible, scope_col)

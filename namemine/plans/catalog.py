@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from namemine.functions import names
 from namemine.functions.masks import mask_literal
-from namemine.operators import graphs, lm, tokens, trees, usages
+from namemine.operators import beams, checks, contributors, evaluate, feedback, graphs, lm, tokens, trees, usages
 from namemine.sources import bindings as B
 from namemine.sources import corpus
 from namemine.sources.tables import read_table
@@ -90,7 +90,7 @@ def q_rank_names(spark, sf_dir):
     toks, u = event_usages(spark, sf_dir)
     ng = lm.ngram_counts(toks)
     ranked = lm.rank_names(u, ng, lm.context_counts(ng), known=tokens.known_names(toks))
-    return ranked.select("decl_id", "name", "p", "rank")
+    return ranked.select("decl_id", "name", r6("p").alias("p"), "rank")
 
 
 @query("candidates")
@@ -310,12 +310,12 @@ def q_softmax(spark, sf_dir):
 
 def event_context_top10(spark, sf_dir):
     sm = lm.softmax(event_logprob(spark, sf_dir))
-    return lm.top_k(sm.select("decl_id", "name", r6("p").alias("p")), ["decl_id"])
+    return lm.top_k(sm.select("decl_id", "name", "p"), ["decl_id"])
 
 
 @query("top10")
 def q_top10(spark, sf_dir):
-    return event_context_top10(spark, sf_dir)
+    return event_context_top10(spark, sf_dir).select("decl_id", "name", r6("p").alias("p"), "rank")
 
 
 @query("name_logprob")
@@ -374,7 +374,8 @@ def q_collision_filter(spark, sf_dir):
 @query("mix_rank")
 def q_mix_rank(spark, sf_dir):
     toks, preds = event_predictions(spark, sf_dir)
-    return lm.mix_rank(preds, prior_weight=1, visible=event_visible(toks)).select("decl_id", "name", "p", "rank")
+    mixed = lm.mix_rank(preds, prior_weight=1, visible=event_visible(toks))
+    return mixed.select("decl_id", "name", r6("p").alias("p"), "rank")
 
 
 def event_mix_probability(spark, sf_dir):
@@ -702,3 +703,168 @@ def q_graph_record(spark, sf_dir):
         F.aggregate(F.map_values("edges"), F.lit(0), lambda a, v: a + F.size(v)).alias("n_edges"),
         F.size(F.filter(F.map_values("node_labels"), lambda x: x == "<var>")).alias("n_target_nodes"),
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# B: beams (binding B)
+# ---------------------------------------------------------------------------------------------
+
+def beam_scores(spark, sf_dir):
+    t = beams.beam_transpose(B.beam_cells(spark, sf_dir))
+    return beams.beam_score(t, B.beam_dictionary(spark, sf_dir))
+
+
+@query("beam_transpose")
+def q_beam_transpose(spark, sf_dir):
+    t = beams.beam_transpose(B.beam_cells(spark, sf_dir))
+    return t.select("item", "beam", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",").alias("token_ids"),
+                    F.size("logps").alias("n_steps"))
+
+
+@query("beam_score")
+def q_beam_score(spark, sf_dir):
+    return beam_scores(spark, sf_dir).select("item", "beam", "name", r6("score").alias("score"))
+
+
+@query("beam_filter")
+def q_beam_filter(spark, sf_dir):
+    return beams.beam_filter(beam_scores(spark, sf_dir)).select("item", "beam", "name", r6("score").alias("score"))
+
+
+# ---------------------------------------------------------------------------------------------
+# I: checks
+# ---------------------------------------------------------------------------------------------
+
+@query("eligible_methods")
+def q_eligible_methods(spark, sf_dir):
+    return checks.eligible_methods(B.order_methods(spark, sf_dir)).select("method_id", "name")
+
+
+@query("method_name_findings")
+def q_method_name_findings(spark, sf_dir):
+    """I2 on the n-gram suggestions of binding E: variables whose name is not suggested."""
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    sug = lm.rank_names(u, ng, lm.context_counts(ng), known=tokens.known_names(toks)).withColumnRenamed("decl_id", "element")
+    cur = usages.declarations(toks).select(F.col("decl_id").alias("element"), F.col("token").alias("name"))
+    return checks.name_findings(cur, sug)
+
+
+def doc_lines(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")) \
+        .withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@query("long_conditions")
+def q_long_conditions(spark, sf_dir):
+    lc = checks.long_conditions(doc_lines(spark, sf_dir))
+    return lc.select("doc_id", "line_no", F.length("text").alias("length"))
+
+
+@query("captured_params")
+def q_captured_params(spark, sf_dir):
+    """I4: long document lines as conditions; the document's declared words as its parameters."""
+    conds = checks.long_conditions(doc_lines(spark, sf_dir)).select(
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("cond_id"),
+        F.col("doc_id").alias("method_id"), "text")
+    params = usages.declarations(B.word_tokens(spark, sf_dir)).select(
+        F.col("file_id").alias("method_id"), F.col("pos").alias("ix"), F.col("kind").alias("type"), F.col("token").alias("name"))
+    return checks.captured_params(conds, params)
+
+
+@query("pick_free_name")
+def q_pick_free_name(spark, sf_dir):
+    """I5 on binding E: the best suggestion that no other variable of the user is named."""
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    ranked = lm.rank_names(u, ng, lm.context_counts(ng), known=tokens.known_names(toks))
+    files = toks.select("decl_id", "file_id").distinct()
+    sug = ranked.join(files, "decl_id").select(F.col("decl_id").alias("element"), F.col("file_id").alias("class_id"),
+                                               "name", F.col("p").alias("score"))
+    sib = usages.declarations(toks).select(F.col("file_id").alias("class_id"), F.col("token").alias("name"),
+                                           F.col("decl_id").alias("element"))
+    return checks.pick_free_name(sug, sib)
+
+
+# ---------------------------------------------------------------------------------------------
+# F: suggestion state and feedback (binding F)
+# ---------------------------------------------------------------------------------------------
+
+def fmt_scores(c):
+    return F.array_join(F.transform(c, lambda x: F.format_string("%.2f", x)), ",")
+
+
+@query("rename_stats")
+def q_rename_stats(spark, sf_dir):
+    s = feedback.rename_stats(B.feedback_events(spark, sf_dir), applied="applied", ignored="ignore")
+    return s.select("applied", "ignored", fmt_scores("applied_scores").alias("applied_scores"),
+                    fmt_scores("ignored_scores").alias("ignored_scores"))
+
+
+@query("latest_state")
+def q_latest_state(spark, sf_dir):
+    return feedback.latest_state(B.feedback_events(spark, sf_dir))
+
+
+def feedback_suggestions(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("user_id", "event_type", "value", "props")
+    name = F.concat(F.lit("n"), (F.get_json_object("props", "$.k").cast("int") % 7).cast("string"))
+    ev = ev.select(F.col("user_id").alias("element"), "event_type", "value", name.alias("name"))
+    sug = ev.where(F.col("event_type") == "view").select("element", "name", F.col("value").alias("score"))
+    add = ev.where(F.col("event_type") == "click").select("element", "name")
+    rem = ev.where(F.col("event_type") == "error").select("element", "name")
+    return sug, add, rem
+
+
+@query("suggestion_edit")
+def q_suggestion_edit(spark, sf_dir):
+    return feedback.suggestion_edit(*feedback_suggestions(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------------------
+# E: evaluation records; D: contributors
+# ---------------------------------------------------------------------------------------------
+
+def event_records(spark, sf_dir):
+    toks, u, ng, cx, cands, scope = event_context(spark, sf_dir)
+    ngram = lm.rank_names(u, ng, cx, known=tokens.known_names(toks))
+    ctx = event_context_top10(spark, sf_dir)
+    variables = usages.declarations(toks).select("decl_id", "file_id", F.col("token").alias("name"), "line", "kind")
+    return evaluate.prediction_records(variables, ngram, ctx, scope="project")
+
+
+@query("prediction_records")
+def q_prediction_records(spark, sf_dir):
+    r = event_records(spark, sf_dir)
+    names_of = lambda c: F.array_join(F.transform(F.coalesce(c, F.array()), lambda e: e["name"]), "|")
+    return r.select("decl_id", "ground_truth", names_of(F.col("ngram")).alias("ngram"),
+                    names_of(F.col("context")).alias("context"), "line", "kind", "scope")
+
+
+@query("file_predictions")
+def q_file_predictions(spark, sf_dir):
+    fp = evaluate.file_predictions(event_records(spark, sf_dir))
+    return fp.select("file_id", F.size("records").alias("n_records"))
+
+
+@query("contributors")
+def q_contributors(spark, sf_dir):
+    """The n-gram and the context model registered as contributors, mixed with prior 0."""
+    toks, u, ng, cx, cands, scope = event_context(spark, sf_dir)
+    v = lm.vocab_size(ng).cast("bigint")
+    reg = contributors.Contributors()
+    reg.register("ngram", lambda _: lm.rank_names(u, ng, cx, known=tokens.known_names(toks)).withColumn("priority", v))
+    reg.register("context", lambda _: event_context_top10(spark, sf_dir).withColumn("priority", v))
+    mixed = reg.suggest(toks.select("decl_id").distinct(), prior_weight=0)
+    return mixed.select("decl_id", "name", r6("p").alias("p"), "rank")
+
+
+@query("node_labeler")
+def q_node_labeler(spark, sf_dir):
+    """G17 with a user labeler given as a Column (upper-case text, raw type for inner nodes)."""
+    ast = B.order_tree(spark, sf_dir)
+    leaves = trees.tree_leaves(ast).select("node_id", F.lit(True).alias("is_leaf"))
+    nodes = ast.join(leaves, "node_id", "left").fillna(False, ["is_leaf"])
+    lab = graphs.node_labels(nodes, label=F.when(F.col("is_leaf"), F.upper("text")).otherwise(F.col("raw_type")))
+    return lab.groupBy(F.col("method_id").alias("graph_id"), "label").agg(F.count("*").alias("cnt"))

@@ -156,14 +156,14 @@ E_RANK = E_CAND + """,
 seqs AS (SELECT file_id, pos, decl_id, name, list_append(b, name) AS s FROM cand_known),
 """ + jm_sql('seqs', 'file_id, pos, name', 's', 'e_ng', 'e_cx', 'e_v') + """,
 agg AS (
-  SELECT s.decl_id, s.name, round(sum(jm_p.p * prio.prio) / tot.total, 6) AS p
+  SELECT s.decl_id, s.name, sum(jm_p.p * prio.prio) / tot.total AS p
   FROM jm_p JOIN seqs s USING (file_id, pos, name) JOIN prio USING (file_id, pos) JOIN tot ON tot.decl_id = s.decl_id
   GROUP BY s.decl_id, s.name, tot.total),
-rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM agg)"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM agg)"""
 
 oracle("rank_names", f"""
 WITH {E_RANK}
-SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10
+SELECT decl_id, name, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10
 """)
 
 # Context model over binding E (scope = the user's whole sequence).
@@ -436,7 +436,7 @@ ngram_pred AS (SELECT decl_id, name, p, (SELECT v FROM e_v) AS priority, 'ngram'
 """ + e_context(E_CC).split(E_CAND + ",", 1)[1].replace("jm_", "cm_") + """,
 ctx_pred AS (
   SELECT decl_id, name, p, (SELECT v FROM e_v) AS priority, 'context' AS model FROM (
-    SELECT decl_id, name, round(p, 6) AS p,
+    SELECT decl_id, name, p,
            row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm)
   WHERE rank <= 10),
 preds AS (SELECT * FROM ngram_pred UNION ALL SELECT * FROM ctx_pred),
@@ -456,11 +456,11 @@ oracle("mix_rank", f"""
 WITH {E_PRED},
 psum AS (SELECT decl_id, sum(priority) + 1 AS psum FROM (SELECT DISTINCT decl_id, model, priority FROM preds) GROUP BY decl_id),
 sc AS (
-  SELECT p.decl_id, p.name, round(sum(p.p * p.priority) / any_value(s.psum), 6) AS p
+  SELECT p.decl_id, p.name, sum(p.p * p.priority) / any_value(s.psum) AS p
   FROM preds p JOIN psum s USING (decl_id) GROUP BY p.decl_id, p.name),
 kept AS (SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM clash c WHERE c.decl_id = sc.decl_id AND c.name = sc.name)),
-r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name) AS rank FROM kept)
-SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND p >= 0.001
+r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM kept)
+SELECT decl_id, name, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND p >= 0.001
 """)
 
 E_MIXP = e_context(E_REAL) + """,
@@ -881,3 +881,155 @@ lab AS (
   UNION ALL SELECT o_custkey, l_returnflag FROM o_l)
 SELECT graph_id, label, count(*) AS cnt FROM lab GROUP BY ALL
 """)
+
+
+# ---------------------------------------------------------------------------------------------
+# B, I, F, E, D
+# ---------------------------------------------------------------------------------------------
+
+B_CELLS = """
+b_r AS (SELECT vec_id, embedding, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS step FROM embeddings),
+b_v AS (SELECT label AS item, CAST(step AS INTEGER) AS step, CAST(unnest(range(10)) AS INTEGER) AS beam,
+               CAST(unnest(embedding[1:10]) AS DOUBLE) AS v FROM b_r WHERE step < 5),
+b_c AS (SELECT item, step, beam, CAST(abs(CAST(trunc(v * 1000) AS INTEGER)) % 25 AS INTEGER) AS token_id, v AS logp FROM b_v),
+b_d AS (SELECT n_nationkey AS token_id, lower(n_name) AS subtoken FROM nation),
+b_s AS (
+  SELECT c.item, c.beam,
+         coalesce(max(d.subtoken) FILTER (WHERE c.step = 0), '')
+         || coalesce(string_agg(upper(substr(d.subtoken, 1, 1)) || substr(d.subtoken, 2), '' ORDER BY c.step)
+                     FILTER (WHERE c.step > 0 AND d.subtoken IS NOT NULL AND d.subtoken NOT IN ('<PAD>', '<UNK>')), '') AS name,
+         exp(sum(c.logp)) AS score
+  FROM b_c c LEFT JOIN b_d d USING (token_id) GROUP BY c.item, c.beam)"""
+
+oracle("beam_transpose", f"""
+WITH {B_CELLS}
+SELECT item, beam, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY step) AS token_ids, CAST(count(*) AS INTEGER) AS n_steps
+FROM b_c GROUP BY item, beam
+""")
+
+oracle("beam_score", f"""
+WITH {B_CELLS}
+SELECT item, beam, name, round(score, 6) AS score FROM b_s
+""")
+
+oracle("beam_filter", f"""
+WITH {B_CELLS}
+SELECT item, beam, name, round(score, 6) AS score FROM b_s
+WHERE length(name) > 0 AND name <> lower(name) AND name NOT IN ('<UNK>', '<PAD>')
+""")
+
+oracle("eligible_methods", f"""
+WITH {O_METHODS}
+SELECT m.method_id, m.name FROM o_m m JOIN customer c ON c.c_custkey = m.method_id
+WHERE m.body IS NOT NULL AND NOT c.c_acctbal < 0 AND NOT c.c_custkey % 5 = 0
+""")
+
+oracle("method_name_findings", f"""
+WITH {E_RANK},
+sug AS (SELECT decl_id, name FROM rk WHERE rank <= 10),
+cur AS (SELECT decl_id, token AS name FROM e_tok WHERE is_decl)
+SELECT decl_id AS element, name FROM cur
+WHERE decl_id IN (SELECT decl_id FROM sug) AND (decl_id, name) NOT IN (SELECT decl_id, name FROM sug)
+""")
+
+DOC_LINES = """
+d_l AS (
+  SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no,
+         unnest(string_split(text, chr(10))) AS text
+  FROM documents)"""
+
+oracle("long_conditions", f"""
+WITH {DOC_LINES}
+SELECT doc_id, line_no, CAST(length(text) AS INTEGER) AS length FROM d_l WHERE length(text) > 100
+""")
+
+oracle("captured_params", f"""
+WITH {DOC_LINES}, {W_TOK},
+c AS (SELECT CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR) AS cond_id, doc_id, text FROM d_l WHERE length(text) > 100),
+p AS (SELECT file_id, pos, kind, token FROM w_tok WHERE is_decl AND decl_id IS NOT NULL)
+SELECT cond_id, string_agg(p.kind || ' ' || p.token, ', ' ORDER BY p.pos) AS declared,
+       string_agg(p.token, ', ' ORDER BY p.pos) AS call
+FROM c JOIN p ON p.file_id = c.doc_id AND contains(c.text, p.token)
+GROUP BY cond_id
+""")
+
+oracle("pick_free_name", f"""
+WITH {E_RANK},
+sug AS (SELECT r.decl_id, d.file_id, r.name, r.p FROM rk r JOIN (SELECT DISTINCT decl_id, file_id FROM e_tok) d USING (decl_id) WHERE r.rank <= 10),
+sib AS (SELECT file_id, token AS name, decl_id AS owner FROM e_tok WHERE is_decl),
+free AS (SELECT * FROM sug s WHERE NOT EXISTS (
+  SELECT 1 FROM sib WHERE sib.file_id = s.file_id AND sib.name = s.name AND sib.owner <> s.decl_id)),
+best AS (SELECT decl_id, name, row_number() OVER (PARTITION BY decl_id ORDER BY p DESC, name DESC) AS r FROM free)
+SELECT decl_id AS element, name FROM best WHERE r = 1
+""")
+
+oracle("rename_stats", f"""
+SELECT count(*) FILTER (WHERE event_type = 'purchase') AS applied,
+       count(*) FILTER (WHERE event_type = 'error') AS ignored,
+       coalesce(string_agg(printf('%.2f', value), ',' ORDER BY value) FILTER (WHERE event_type = 'purchase'), '') AS applied_scores,
+       coalesce(string_agg(printf('%.2f', value), ',' ORDER BY value) FILTER (WHERE event_type = 'error'), '') AS ignored_scores
+FROM events
+""")
+
+oracle("latest_state", f"""
+WITH p AS (
+  SELECT user_id, value, ts, event_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+  FROM events WHERE event_type = 'view'),
+lp AS (SELECT user_id, value, ts, event_id FROM p WHERE r = 1)
+SELECT lp.user_id AS element, lp.value,
+       EXISTS (SELECT 1 FROM events e WHERE e.user_id = lp.user_id AND e.event_type = 'click'
+               AND (e.ts > lp.ts OR (e.ts = lp.ts AND e.event_id > lp.event_id))) AS need_recalc,
+       EXISTS (SELECT 1 FROM events e WHERE e.user_id = lp.user_id AND e.event_type = 'error'
+               AND (e.ts > lp.ts OR (e.ts = lp.ts AND e.event_id > lp.event_id))) AS "ignore"
+FROM lp
+""")
+
+oracle("suggestion_edit", f"""
+WITH ev AS (
+  SELECT user_id AS element, event_type, value, 'n' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 7 AS VARCHAR) AS name
+  FROM events),
+u AS (
+  SELECT element, name, value AS score FROM ev WHERE event_type = 'view'
+  UNION ALL SELECT element, name, -1.0 FROM ev WHERE event_type = 'click')
+SELECT * FROM u WHERE (element, name) NOT IN (SELECT element, name FROM ev WHERE event_type = 'error')
+""")
+
+E_REC = E_PRED + """,
+cands_ctx AS (
+  SELECT decl_id, name, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm),
+vars AS (SELECT decl_id, file_id, token AS ground_truth FROM e_tok WHERE is_decl AND length(token) > 0),
+rec AS (
+  SELECT v.decl_id, v.file_id, v.ground_truth,
+         coalesce((SELECT string_agg(name, '|' ORDER BY rank) FROM rk WHERE rk.decl_id = v.decl_id AND rk.rank <= 10), '') AS ngram,
+         coalesce((SELECT string_agg(name, '|' ORDER BY rank) FROM cands_ctx c WHERE c.decl_id = v.decl_id AND c.rank <= 10), '') AS context
+  FROM vars v)"""
+
+oracle("prediction_records", f"""
+WITH {E_REC}
+SELECT decl_id, ground_truth, ngram, context, 0 AS line, 'ident' AS kind, 'project' AS scope FROM rec
+""")
+
+oracle("file_predictions", f"""
+WITH {E_TOK}
+SELECT file_id, CAST(count(*) AS INTEGER) AS n_records FROM e_tok WHERE is_decl GROUP BY file_id
+""")
+
+oracle("contributors", f"""
+WITH {E_PRED},
+psum AS (SELECT decl_id, sum(priority) AS psum FROM (SELECT DISTINCT decl_id, model, priority FROM preds) GROUP BY decl_id),
+sc AS (
+  SELECT p.decl_id, p.name, sum(p.p * p.priority) / any_value(s.psum) AS p
+  FROM preds p JOIN psum s USING (decl_id) GROUP BY p.decl_id, p.name),
+r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sc)
+SELECT decl_id, name, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND p >= 0.001
+""")
+
+oracle("node_labeler", f"""
+WITH {O_TREE},
+lab AS (
+  SELECT c_custkey AS graph_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM o_o) THEN 'MethodDeclaration' ELSE upper(c_name) END AS label FROM customer
+  UNION ALL SELECT o_custkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM o_l) THEN 'MethodCallExpr' ELSE upper(o_orderpriority) END FROM o_o
+  UNION ALL SELECT o_custkey, upper(l_returnflag) FROM o_l)
+SELECT graph_id, label, count(*) AS cnt FROM lab GROUP BY ALL
+""")

@@ -207,3 +207,46 @@ def order_params(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace("o_orderpriority", "^[0-9]-| ", "").alias("type"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"),
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# Binding F: events as suggestion feedback; binding B: embeddings as beam-search output.
+# ---------------------------------------------------------------------------------------------
+
+# Fixed values of binding F: event type -> feedback action (signup is noise).
+F_ACTIONS = {"view": "put", "click": "recalculate", "error": "ignore", "purchase": "applied"}
+
+
+def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feedback(ts, event_id, element, action, value)`` from events."""
+    ev = read_table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "value")
+    action = F.lit(None).cast("string")
+    for k, v in F_ACTIONS.items():
+        action = F.when(F.col("event_type") == k, F.lit(v)).otherwise(action)
+    return ev.select("ts", "event_id", F.col("user_id").alias("element"), action.alias("action"), "value")
+
+
+BEAM_STEPS = 5
+BEAM_WIDTH = 10
+DICT_SIZE = 25
+
+
+def beam_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``beams(item, step, beam, token_id, logp)``: item = label, step = rank of the vector in its
+    label (first 5), beam = index 0..9 of the embedding, logp = the value,
+    token_id = |trunc(value * 1000)| mod 25."""
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    ranked = emb.withColumn("step", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int")) \
+        .where(F.col("step") < BEAM_STEPS)
+    cells = ranked.select("label", "step", F.posexplode(F.slice("embedding", 1, BEAM_WIDTH)).alias("beam", "v"))
+    v = F.col("v").cast("double")
+    return cells.select(
+        F.col("label").alias("item"), "step", F.col("beam").cast("int").alias("beam"),
+        (F.abs((v * 1000).cast("int")) % DICT_SIZE).cast("int").alias("token_id"), v.alias("logp"),
+    )
+
+
+def beam_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dictionary(token_id, subtoken)`` = nation key -> lower-case nation name."""
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return n.select(F.col("n_nationkey").alias("token_id"), F.lower("n_name").alias("subtoken"))
