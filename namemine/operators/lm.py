@@ -121,25 +121,36 @@ def vocab_size(ngrams: DataFrame) -> Column:
 # ---------------------------------------------------------------------------------------------
 
 def _suffix_terms(seqs: DataFrame, ids: list[str], seq_col: str, ngrams: DataFrame,
-                  contexts: DataFrame, scope: list[str]) -> DataFrame:
-    """Rows (ids, k, c_k, x_k) for k = 1..len(seq): count of the last k tokens and of its context."""
+                  contexts: DataFrame, scope: list[str], minus: tuple[DataFrame, DataFrame] | None = None,
+                  minus_keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (ids, k, c_k, x_k) for k = 1..len(seq): count of the last k tokens and of its context.
+
+    ``minus`` = (n-gram counts, context counts) keyed by ``minus_keys`` (columns of ``seqs``) are
+    subtracted: leave-one-out without touching the model (M4, M5).
+    """
     s = F.col(seq_col)
+    mk = [k for k in minus_keys if k not in ids]
     ex = seqs.select(
-        *ids, *scope,
+        *ids, *scope, *mk,
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: suffix(s, k))).alias("_i", "g"),
-    ).select(*ids, *scope, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
+    ).select(*ids, *scope, *mk, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
     c = ngrams.select(*scope, F.col("ngram").alias("g"), F.col("cnt").alias("c"))
     x = contexts.select(*scope, "ctx", F.col("cnt").alias("x"))
-    return (
-        ex.join(c, [*scope, "g"], "left").join(x, [*scope, "ctx"], "left")
-        .select(*ids, "k", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("x", F.lit(0)).alias("x"))
-    )
+    j = ex.join(c, [*scope, "g"], "left").join(x, [*scope, "ctx"], "left")
+    cc, xx = F.coalesce("c", F.lit(0)), F.coalesce("x", F.lit(0))
+    if minus is not None:
+        mc = minus[0].select(*minus_keys, F.col("ngram").alias("g"), F.col("cnt").alias("mc"))
+        mx = minus[1].select(*minus_keys, "ctx", F.col("cnt").alias("mx"))
+        j = j.join(mc, [*minus_keys, "g"], "left").join(mx, [*minus_keys, "ctx"], "left")
+        cc, xx = cc - F.coalesce("mc", F.lit(0)), xx - F.coalesce("mx", F.lit(0))
+    return j.select(*ids, "k", cc.alias("c"), xx.alias("x"))
 
 
 def jm_probability(seqs: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
                    ids: Sequence[str] | str = ("file_id", "pos"), seq_col: str = "win",
                    lam: float = LAMBDA, scope: Sequence[str] | str | None = None,
-                   vocab: Column | None = None) -> DataFrame:
+                   vocab: Column | None = None, minus: tuple[DataFrame, DataFrame] | None = None,
+                   minus_keys: Sequence[str] = ()) -> DataFrame:
     """M6: smoothed P(last token | previous tokens) for each sequence row -> (ids, p).
 
     ``ids`` must identify a row of ``seqs``. Counts are looked up with two equi-joins on the
@@ -149,7 +160,7 @@ def jm_probability(seqs: DataFrame, ngrams: DataFrame, contexts: DataFrame | Non
     if contexts is None:
         contexts = context_counts(ngrams, scope)
     v = vocab if vocab is not None else vocab_size(ngrams)
-    terms = _suffix_terms(seqs, ids, seq_col, ngrams, contexts, scope)
+    terms = _suffix_terms(seqs, ids, seq_col, ngrams, contexts, scope, minus, minus_keys)
     folded = terms.groupBy(*ids).agg(
         F.sort_array(F.collect_list(F.struct("k", "c", "x"))).alias("terms")
     )
@@ -157,26 +168,33 @@ def jm_probability(seqs: DataFrame, ngrams: DataFrame, contexts: DataFrame | Non
 
 
 def priority_terms(seqs: DataFrame, contexts: DataFrame, ids: list[str], seq_col: str,
-                   scope: list[str]) -> DataFrame:
+                   scope: list[str], minus_contexts: DataFrame | None = None,
+                   minus_keys: Sequence[str] = ()) -> DataFrame:
     """Context counts of the contexts of lengths 1..L-1 that end just before the last token."""
     s = F.col(seq_col)
     body = prefix_drop_last(s)
+    mk = [k for k in minus_keys if k not in ids]
     ex = seqs.where(F.size(s) > 1).select(
-        *ids, *scope,
+        *ids, *scope, *mk,
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(body)), lambda k: suffix(body, k)))
         .alias("_i", "ctx"),
     )
     x = contexts.select(*scope, "ctx", F.col("cnt").alias("x"))
-    return ex.join(x, [*scope, "ctx"], "left").select(
-        *ids, (F.col("_i") + 1).alias("k"), F.coalesce("x", F.lit(0)).alias("x")
-    )
+    j = ex.join(x, [*scope, "ctx"], "left")
+    xx = F.coalesce("x", F.lit(0))
+    if minus_contexts is not None:
+        mx = minus_contexts.select(*minus_keys, "ctx", F.col("cnt").alias("mx"))
+        j = j.join(mx, [*minus_keys, "ctx"], "left")
+        xx = xx - F.coalesce("mx", F.lit(0))
+    return j.select(*ids, (F.col("_i") + 1).alias("k"), xx.alias("x"))
 
 
 def usage_priorities(seqs: DataFrame, contexts: DataFrame, ids: Sequence[str] | str = ("file_id", "pos"),
-                     seq_col: str = "win", scope: Sequence[str] | str | None = None) -> DataFrame:
+                     seq_col: str = "win", scope: Sequence[str] | str | None = None,
+                     minus_contexts: DataFrame | None = None, minus_keys: Sequence[str] = ()) -> DataFrame:
     """M7: usage priority of each sequence -> (ids, prio BIGINT); 1 for a sequence of length 1."""
     ids, scope = _cols(ids), _cols(scope)
-    terms = priority_terms(seqs, contexts, ids, seq_col, scope)
+    terms = priority_terms(seqs, contexts, ids, seq_col, scope, minus_contexts, minus_keys)
     folded = terms.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("t"))
     pr = folded.select(*ids, usage_priority(F.transform("t", lambda e: e["x"])).alias("prio"))
     return seqs.select(*ids).join(pr, ids, "left").select(
@@ -441,3 +459,45 @@ def model_scope(variables: DataFrame, ngrams: DataFrame, project_col: str = "pro
         .when(F.col("global_priority").isNotNull(), F.lit(global_scope)).alias("model_scope"),
         F.coalesce("own_priority", "global_priority", F.lit(0)).alias("priority"),
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# M4 / M5: leave-one-out without mutating the model
+# ---------------------------------------------------------------------------------------------
+
+def loo_probability(tokens: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
+                    order: int = ORDER, lam: float = LAMBDA) -> DataFrame:
+    """M4: P of every token given its left context with its own file forgotten:
+    ``c = total(g) - file(g)``, ``x = total(ctx) - file(ctx)`` by two extra left joins on
+    (file_id, n-gram); the vocabulary stays the global one -> (file_id, pos, p)."""
+    if contexts is None:
+        contexts = context_counts(ngrams)
+    file_ng = ngram_counts(tokens, order, by="file_id")
+    file_cx = context_counts(file_ng, by="file_id")
+    seqs = with_window(tokens, order)
+    return jm_probability(seqs, ngrams, contexts, ids=["file_id", "pos"], seq_col="win", lam=lam,
+                          vocab=vocab_size(ngrams), minus=(file_ng, file_cx), minus_keys=["file_id"])
+
+
+def loo_usage_probability(tokens: DataFrame, usage_rows: DataFrame, ngrams: DataFrame,
+                          contexts: DataFrame | None = None, order: int = ORDER, lam: float = LAMBDA) -> DataFrame:
+    """M5: M8 with the variable's own usage sequences forgotten first: the n-grams ending at
+    each usage (its real, unmasked window) are subtracted per variable -> (decl_id, p)."""
+    if contexts is None:
+        contexts = context_counts(ngrams)
+    ids = ["file_id", "pos"]
+    real = with_window(tokens, order).where(F.col("decl_id").isNotNull()).select("decl_id", *ids, "win")
+    own = _explode_suffixes(real, ["decl_id"]).groupBy("decl_id", "ngram").agg(F.count("*").alias("cnt"))
+    own_cx = own.groupBy("decl_id", prefix_drop_last(F.col("ngram")).alias("ctx")).agg(F.sum("cnt").alias("cnt"))
+    u = usage_rows.select(
+        *ids, "decl_id",
+        F.concat(prefix_drop_last(F.col("ngram")), F.array(F.col("token"))).alias("seq"),
+        F.col("ngram").alias("masked"),
+    )
+    p = jm_probability(u, ngrams, contexts, ids=ids, seq_col="seq", lam=lam, vocab=vocab_size(ngrams),
+                       minus=(own, own_cx), minus_keys=["decl_id"])
+    prio = usage_priorities(u, contexts, ids=ids, seq_col="masked", minus_contexts=own_cx, minus_keys=["decl_id"])
+    return (
+        u.select(*ids, "decl_id").join(p, ids).join(prio, ids)
+        .groupBy("decl_id").agg((F.sum(F.col("p") * F.col("prio")) / F.sum("prio")).alias("p"))
+    )

@@ -53,36 +53,34 @@ def mask_targets(tokens: DataFrame, target_col: str = "target") -> DataFrame:
     return tokens.withColumn("masked", mask_target(F.col("token"), F.col("decl_id"), F.col(target_col)))
 
 
-def build_vocab(tokens: DataFrame, token_col: str = "token", buckets: int | None = None) -> DataFrame:
-    """``(idx, token, cnt)``; idx by rank of (cnt desc, token), 1-based (0 = unknown).
+def dense_index(df: DataFrame, order: list, out: str = "idx", buckets: int | None = None) -> DataFrame:
+    """Add a 1-based dense row number ``out`` in ``order`` without one global sort task.
 
-    The counts are range-partitioned on the sort key; each range is numbered locally and
-    shifted by the sizes of the ranges before it (a table with one row per range), so no
-    single task ever holds the whole vocabulary.
+    Rows are range-partitioned on the sort key; each range is numbered locally and shifted by
+    the sizes of the ranges before it (a table with one row per range, broadcast). The ranged
+    rows are checkpointed to the shared checkpoint dir, so the range ids stay fixed when a lost
+    executor forces a recompute and both uses below see the same ranges.
     """
-    counts = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count("*").alias("cnt"))
-    spark = counts.sparkSession
+    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Checkpointed (to the shared checkpoint dir), so the range ids stay fixed when a lost
-    # executor forces a recompute and both uses below see the same ranges.
-    ranged = counts.repartitionByRange(n, F.col("cnt").desc(), F.col("token")).withColumn(
-        "bucket", F.spark_partition_id()
-    ).checkpoint()
-    local = ranged.withColumn(
-        "local_ix",
-        F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("cnt").desc(), "token")),
-    )
-    sizes = ranged.groupBy("bucket").agg(F.count("*").alias("size"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_bucket", F.spark_partition_id()).checkpoint()
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    sizes = ranged.groupBy("_bucket").agg(F.count("*").alias("_size"))
     offsets = sizes.select(
-        "bucket",
-        (F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("start"),
-    ).fillna(0, ["start"])
+        "_bucket",
+        F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_start"),
+    ).fillna(0, ["_start"])
     # one row per range partition: a proven size bound for the broadcast
-    return local.join(F.broadcast(offsets), "bucket").select(
-        (F.col("start") + F.col("local_ix")).cast("int").alias("idx"), "token", "cnt"
-    )
+    return local.join(F.broadcast(offsets), "_bucket").withColumn(
+        out, (F.col("_start") + F.col("_local")).cast("int")
+    ).drop("_bucket", "_local", "_start")
+
+
+def build_vocab(tokens: DataFrame, token_col: str = "token", buckets: int | None = None) -> DataFrame:
+    """``(idx, token, cnt)``; idx by rank of (cnt desc, token), 1-based (0 = unknown)."""
+    counts = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count("*").alias("cnt"))
+    return dense_index(counts, [F.col("cnt").desc(), F.col("token")], "idx", buckets).select("idx", "token", "cnt")
 
 
 def encode(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:

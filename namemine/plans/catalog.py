@@ -17,7 +17,9 @@ from namemine.functions import names
 from namemine.functions.masks import mask_literal
 from namemine.operators import beams, checks, contributors, evaluate, feedback, graphs, lm, tokens, trees, usages
 from namemine.sources import bindings as B
-from namemine.sources import corpus
+from namemine.sources import corpus, sinks
+from namemine.streaming import jobs as stream_jobs
+from namemine.streaming import runner as stream_runner
 from namemine.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -868,3 +870,188 @@ def q_node_labeler(spark, sf_dir):
     nodes = ast.join(leaves, "node_id", "left").fillna(False, ["is_leaf"])
     lab = graphs.node_labels(nodes, label=F.when(F.col("is_leaf"), F.upper("text")).otherwise(F.col("raw_type")))
     return lab.groupBy(F.col("method_id").alias("graph_id"), "label").agg(F.count("*").alias("cnt"))
+
+
+# ---------------------------------------------------------------------------------------------
+# M1 on binding W, leave-one-out (M4, M5)
+# ---------------------------------------------------------------------------------------------
+
+@query("ngram_counts_words")
+def q_ngram_counts_words(spark, sf_dir):
+    """M1 over all documents (arrays in the row, no shuffle before the aggregation)."""
+    ng = lm.ngram_counts_from_arrays(B.word_token_arrays(spark, sf_dir))
+    return ng.select("n", joined("ngram").alias("ngram"), "cnt")
+
+
+@query("loo_counts")
+def q_loo_counts(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    return lm.loo_probability(toks, ng).select("file_id", "pos", r6("p").alias("p"))
+
+
+@query("loo_usage")
+def q_loo_usage(spark, sf_dir):
+    toks, u = event_usages(spark, sf_dir)
+    ng = lm.ngram_counts(toks)
+    return lm.loo_usage_probability(toks, u, ng).select("decl_id", r6("p").alias("p"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Types and scopes
+# ---------------------------------------------------------------------------------------------
+
+@query("type_list")
+def q_type_list(spark, sf_dir):
+    """U8: a customer's declared type = its nation; direct supertype = the nation's region."""
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    decls = cust.join(nation, cust.c_nationkey == nation.n_nationkey).select("c_custkey", F.col("n_name").alias("type"))
+    parents = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.col("n_name").alias("type"), F.col("r_name").alias("parent"))
+    t = usages.type_list(decls, parents)
+    return t.select("c_custkey", F.array_join("types", "|").alias("types"))
+
+
+def order_variables(spark, sf_dir):
+    """Variables of binding O: (customer, return flag); its usages are the lines with that flag."""
+    ast = B.order_tree(spark, sf_dir)
+    lines = ast.where(F.col("raw_type") == B.O_TYPES["line"])
+    uses = lines.select(F.concat_ws(":", F.col("method_id").cast("string"), "text").alias("decl_id"),
+                        "method_id", "node_id")
+    return ast, uses
+
+
+@query("scope_root")
+def q_scope_root(spark, sf_dir):
+    ast, uses = order_variables(spark, sf_dir)
+    return usages.scope_root(uses, graphs.subtree_closure(ast)).select("decl_id", "scope_root")
+
+
+@query("scope_context")
+def q_scope_context(spark, sf_dir):
+    ast, uses = order_variables(spark, sf_dir)
+    closure = graphs.subtree_closure(ast)
+    roots = usages.scope_root(uses, closure)
+    leaves = trees.tree_leaves(ast).select("node_id")
+    ctx = usages.scope_context(roots, closure, leaves, uses)
+    return ctx.groupBy("decl_id").agg(F.count("*").alias("n_tokens"), F.count_if("is_target").alias("n_targets"))
+
+
+# ---------------------------------------------------------------------------------------------
+# Files in the shared checkpoint folder
+# ---------------------------------------------------------------------------------------------
+
+def scratch(spark, name):
+    from namemine.streaming.runner import stream_dir
+    return stream_dir(spark, name)
+
+
+@query("vocab_read")
+def q_vocab_read(spark, sf_dir):
+    _, vocab = word_vocab(spark, sf_dir)
+    path = scratch(spark, "vocab")
+    sinks.write_vocab(vocab, path)
+    return sinks.read_vocab(spark, path, cutoff=2).select("idx", "token", "cnt", "gap")
+
+
+@query("vocab_write")
+def q_vocab_write(spark, sf_dir):
+    _, vocab = word_vocab(spark, sf_dir)
+    path = scratch(spark, "vocab")
+    sinks.write_vocab(vocab, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def saved_event_model(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    path = scratch(spark, "model")
+    sizes = sinks.save_model(lm.ngram_counts(toks), tokens.known_names(toks), tokens.build_vocab(toks), path)
+    return path, sizes
+
+
+@query("model_save")
+def q_model_save(spark, sf_dir):
+    _, sizes = saved_event_model(spark, sf_dir)
+    return sizes.select("part", (F.col("size_mb") > 0).alias("written"))
+
+
+@query("model_load")
+def q_model_load(spark, sf_dir):
+    path, _ = saved_event_model(spark, sf_dir)
+    ng, _, _ = sinks.load_model(spark, path)
+    return ng.select("n", joined("ngram").alias("ngram"), "cnt")
+
+
+@query("usage_dataset_json")
+def q_usage_dataset_json(spark, sf_dir):
+    toks = B.event_tokens(spark, sf_dir)
+    v = usages.variable_features(usages.centered_context(toks))
+    rec = v.join(toks.select("file_id", "project").distinct(), "file_id").select(
+        "project", F.col("file_id").cast("string").alias("path"), "variable", "ngrams", "other_features", "kind")
+    path = scratch(spark, "dataset")
+    sinks.write_usage_dataset(rec, path)
+    back = spark.read.text(path).select("project", F.expr("from_json(value, 'map<string, array<struct<variable:string>>>')").alias("m"))
+    return back.select("project", F.explode("m").alias("path", "vars")).select(
+        "project", "path", F.size("vars").alias("n_vars"))
+
+
+@query("chunked_json")
+def q_chunked_json(spark, sf_dir):
+    toks, sub = event_subgraphs(spark, sf_dir)
+    rec = sub.groupBy("decl_id").agg(F.count("*").alias("n_edges"))
+    path = scratch(spark, "chunks")
+    sinks.write_chunked_json(rec, path, per_file=100)
+    back = spark.read.schema("decl_id string, n_edges long").json(path)
+    per_file = back.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
+    return per_file.agg(F.sum("n").alias("n_records"), (F.max("n") <= 100).alias("within_limit"))
+
+
+@query("resume_antijoin")
+def q_resume_antijoin(spark, sf_dir):
+    """A log holding the even users (plus one broken line) -> the odd users are pending."""
+    files = B.word_files(spark, sf_dir).select(F.col("file_id").cast("string").alias("path"))
+    log = files.where(F.col("path").cast("bigint") % 2 == 0).select(
+        F.to_json(F.create_map("path", F.array(F.lit("x")))).alias("value")).unionByName(
+        spark.range(1).select(F.lit("{broken").alias("value")))
+    path = scratch(spark, "log")
+    log.write.mode("append").text(path)
+    return sinks.pending(files, spark, path)
+
+
+# ---------------------------------------------------------------------------------------------
+# R: streaming (file streams run with availableNow)
+# ---------------------------------------------------------------------------------------------
+
+def table_stream(spark, sf_dir, name, schema):
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@query("stream_ngram_counts")
+def q_stream_ngram_counts(spark, sf_dir):
+    docs = table_stream(spark, sf_dir, "documents", read_table(spark, sf_dir, "documents").schema)
+    changes = docs.select(F.col("doc_id").alias("file_id"), "text", F.lit(1).alias("sign"))
+    out = stream_runner.run_complete(stream_jobs.stream_ngram_counts(changes), "ngrams")
+    return out.where(F.col("cnt") > 0).select("n", joined("ngram").alias("ngram"), "cnt")
+
+
+def feedback_stream(spark, sf_dir):
+    ev = table_stream(spark, sf_dir, "events", read_table(spark, sf_dir, "events").schema)
+    action = F.lit(None).cast("string")
+    for k, v in B.F_ACTIONS.items():
+        action = F.when(F.col("event_type") == k, F.lit(v)).otherwise(action)
+    return ev.select("ts", "event_id", F.col("user_id").alias("element"), action.alias("action"), "value")
+
+
+@query("stream_rename_stats")
+def q_stream_rename_stats(spark, sf_dir):
+    s = stream_runner.run_complete(
+        stream_jobs.stream_rename_stats(feedback_stream(spark, sf_dir), applied="applied", ignored="ignore"), "stats")
+    return s.select("applied", "ignored", fmt_scores("applied_scores").alias("applied_scores"),
+                    fmt_scores("ignored_scores").alias("ignored_scores"))
+
+
+@query("stream_latest_state")
+def q_stream_latest_state(spark, sf_dir):
+    return stream_runner.run_complete(stream_jobs.stream_latest_state(feedback_stream(spark, sf_dir)), "state")

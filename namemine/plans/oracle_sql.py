@@ -44,18 +44,29 @@ e_cx AS (SELECT list_slice(ngram, 1, len(ngram) - 1) AS ctx, sum(cnt) AS cnt FRO
 e_v AS (SELECT count(*) AS v FROM e_ng WHERE len(ngram) = 1)"""
 
 
-def jm_sql(seq_table: str, ids: str, seq: str, ng: str, cx: str, v: str, extra_where: str = "") -> str:
+def jm_sql(seq_table: str, ids: str, seq: str, ng: str, cx: str, v: str, extra_where: str = "",
+           minus: tuple[str, str, str] | None = None) -> str:
     """Closed form of the interpolated probability for rows of ``seq_table``:
-    P = sum_{k<=H} 0.5 * 0.5^(H-k) * c_k / x_k + 0.5^H / V, H = last k before the first unseen context."""
+    P = sum_{k<=H} 0.5 * 0.5^(H-k) * c_k / x_k + 0.5^H / V, H = last k before the first unseen context.
+    ``minus`` = (n-gram table, context table, key column) subtracted per key (leave-one-out)."""
+    c, x, mj = "coalesce(ng.cnt, 0)", "coalesce(cx.cnt, 0)", ""
+    if minus is not None:
+        mng, mcx, key = minus
+        c += " - coalesce(mng.cnt, 0)"
+        x += " - coalesce(mcx.cnt, 0)"
+        mj = f"""
+  LEFT JOIN {mng} mng ON mng.{key} = s.{key} AND mng.ngram = list_slice(s.{seq}, len(s.{seq}) - r.k + 1, len(s.{seq}))
+  LEFT JOIN {mcx} mcx ON mcx.{key} = s.{key} AND mcx.ctx = list_slice(s.{seq}, len(s.{seq}) - r.k + 1, len(s.{seq}) - 1)"""
+    sel = ", ".join(f"s.{i.strip()} AS {i.strip()}" for i in ids.split(","))
     return f"""
 jm_t AS (
-  SELECT {ids}, r.k, coalesce(ng.cnt, 0) AS c, coalesce(cx.cnt, 0) AS x
+  SELECT {sel}, r.k, {c} AS c, {x} AS x
   FROM {seq_table} s, range(1, 7) r(k)
   LEFT JOIN {ng} ng ON ng.ngram = list_slice(s.{seq}, len(s.{seq}) - r.k + 1, len(s.{seq}))
-  LEFT JOIN {cx} cx ON cx.ctx = list_slice(s.{seq}, len(s.{seq}) - r.k + 1, len(s.{seq}) - 1)
+  LEFT JOIN {cx} cx ON cx.ctx = list_slice(s.{seq}, len(s.{seq}) - r.k + 1, len(s.{seq}) - 1){mj}
   WHERE r.k <= len(s.{seq}) {extra_where}),
 jm_h AS (
-  SELECT {ids}, coalesce(min(k) FILTER (WHERE x = 0), max(k) + 1) - 1 AS h FROM jm_t GROUP BY ALL),
+  SELECT {ids}, coalesce(min(k) FILTER (WHERE x <= 0), max(k) + 1) - 1 AS h FROM jm_t GROUP BY ALL),
 jm_p AS (
   SELECT {ids}, sum(CASE WHEN k <= h THEN 0.5 * pow(0.5, h - k) * c / x ELSE 0 END)
                 + pow(0.5, h) / (SELECT v FROM {v}) AS p
@@ -1033,3 +1044,134 @@ lab AS (
   UNION ALL SELECT o_custkey, upper(l_returnflag) FROM o_l)
 SELECT graph_id, label, count(*) AS cnt FROM lab GROUP BY ALL
 """)
+
+
+
+# ---------------------------------------------------------------------------------------------
+# M1 on W, M4, M5, U8-U10, sinks, streams
+# ---------------------------------------------------------------------------------------------
+
+W_NGRAMS = """
+wd AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 65536), '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]') AS t FROM documents),
+wt AS (SELECT doc_id, unnest(t) AS t0, unnest(range(len(t))) AS i FROM wd),
+wl AS (
+  SELECT t0, lag(t0, 1) OVER w AS t1, lag(t0, 2) OVER w AS t2, lag(t0, 3) OVER w AS t3,
+         lag(t0, 4) OVER w AS t4, lag(t0, 5) OVER w AS t5
+  FROM wt WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+wg AS (
+  SELECT 1 AS n, t0 AS g FROM wl
+  UNION ALL SELECT 2, t1 || ' ' || t0 FROM wl WHERE t1 IS NOT NULL
+  UNION ALL SELECT 3, t2 || ' ' || t1 || ' ' || t0 FROM wl WHERE t2 IS NOT NULL
+  UNION ALL SELECT 4, t3 || ' ' || t2 || ' ' || t1 || ' ' || t0 FROM wl WHERE t3 IS NOT NULL
+  UNION ALL SELECT 5, t4 || ' ' || t3 || ' ' || t2 || ' ' || t1 || ' ' || t0 FROM wl WHERE t4 IS NOT NULL
+  UNION ALL SELECT 6, t5 || ' ' || t4 || ' ' || t3 || ' ' || t2 || ' ' || t1 || ' ' || t0 FROM wl WHERE t5 IS NOT NULL),
+wn AS (SELECT CAST(n AS INTEGER) AS n, g AS ngram, count(*) AS cnt FROM wg GROUP BY n, g)"""
+
+oracle("ngram_counts_words", f"""
+WITH {W_NGRAMS}
+SELECT n, ngram, cnt FROM wn
+""")
+
+oracle("stream_ngram_counts", f"""
+WITH {W_NGRAMS}
+SELECT n, ngram, CAST(cnt AS BIGINT) AS cnt FROM wn
+""")
+
+oracle("loo_counts", f"""
+WITH {E_MODEL},
+f_g AS (SELECT file_id, list_slice(w, len(w) - n + 1, len(w)) AS g FROM e_win, range(1, 7) r(n) WHERE n <= len(w)),
+f_ng AS (SELECT file_id, g AS ngram, count(*) AS cnt FROM f_g GROUP BY ALL),
+f_cx AS (SELECT file_id, list_slice(ngram, 1, len(ngram) - 1) AS ctx, sum(cnt) AS cnt FROM f_ng GROUP BY ALL),
+{jm_sql('e_win', 'file_id, pos', 'w', 'e_ng', 'e_cx', 'e_v', minus=('f_ng', 'f_cx', 'file_id'))}
+SELECT file_id, pos, round(p, 6) AS p FROM jm_p
+""")
+
+oracle("loo_usage", f"""
+WITH {E_CAND},
+own_g AS (
+  SELECT t.decl_id, list_slice(w.w, len(w.w) - r.n + 1, len(w.w)) AS g
+  FROM e_win w JOIN e_tok t USING (file_id, pos), range(1, 7) r(n) WHERE r.n <= len(w.w)),
+own AS (SELECT decl_id, g AS ngram, count(*) AS cnt FROM own_g GROUP BY ALL),
+own_cx AS (SELECT decl_id, list_slice(ngram, 1, len(ngram) - 1) AS ctx, sum(cnt) AS cnt FROM own GROUP BY ALL),
+seqs AS (SELECT file_id, pos, decl_id, list_append(b, token) AS s FROM body),
+{jm_sql('seqs', 'file_id, pos', 's', 'e_ng', 'e_cx', 'e_v', minus=('own', 'own_cx', 'decl_id'))},
+lp_t AS (
+  SELECT b.file_id, b.pos, r.k, coalesce(cx.cnt, 0) - coalesce(oc.cnt, 0) AS x
+  FROM body b, range(1, 6) r(k)
+  LEFT JOIN e_cx cx ON cx.ctx = list_slice(b.b, len(b.b) - r.k + 1, len(b.b))
+  LEFT JOIN own_cx oc ON oc.decl_id = b.decl_id AND oc.ctx = list_slice(b.b, len(b.b) - r.k + 1, len(b.b))
+  WHERE r.k <= len(b.b)),
+lp_z AS (
+  SELECT file_id, pos, k,
+         CASE WHEN k < coalesce(min(k) FILTER (WHERE x <= 0) OVER (PARTITION BY file_id, pos), 99) THEN x ELSE 0 END AS x
+  FROM lp_t),
+lp_f AS (
+  SELECT file_id, pos, list_reduce(list_prepend(0::BIGINT, list(x::BIGINT ORDER BY k)), lambda a, x: a // 2 + x) AS prio
+  FROM lp_z GROUP BY ALL),
+lprio AS (SELECT b.file_id, b.pos, greatest(1, coalesce(f.prio, 0)) AS prio FROM body b LEFT JOIN lp_f f USING (file_id, pos))
+SELECT s.decl_id, round(sum(jm_p.p * lprio.prio) / sum(lprio.prio), 6) AS p
+FROM jm_p JOIN seqs s USING (file_id, pos) JOIN lprio USING (file_id, pos)
+GROUP BY s.decl_id
+""")
+
+oracle("type_list", f"""
+SELECT c.c_custkey, n.n_name || coalesce('|' || r.r_name, '') AS types
+FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+""")
+
+O_SCOPE = O_TREE + """,
+o_var AS (
+  SELECT CAST(o_custkey AS VARCHAR) || ':' || l_returnflag AS decl_id, o_custkey,
+         CASE WHEN count(DISTINCT l_orderkey) = 1 THEN min(l_orderkey) * 3 + 1 ELSE o_custkey * 3 END AS scope_root,
+         count(DISTINCT l_orderkey) = 1 AS in_order, min(l_orderkey) AS one_order, count(*) AS n_targets
+  FROM o_l GROUP BY o_custkey, l_returnflag)"""
+
+oracle("scope_root", f"""
+WITH {O_SCOPE}
+SELECT decl_id, scope_root FROM o_var
+""")
+
+oracle("scope_context", f"""
+WITH {O_SCOPE}
+SELECT decl_id,
+       CASE WHEN in_order THEN (SELECT count(*) FROM o_l l WHERE l.l_orderkey = v.one_order)
+            ELSE (SELECT count(*) FROM o_leaf f WHERE f.m = v.o_custkey) END AS n_tokens,
+       n_targets
+FROM o_var v
+""")
+
+oracle("vocab_read", f"""
+WITH {W_VOCAB}
+SELECT CAST(row_number() OVER (ORDER BY idx) AS INTEGER) AS idx, token, cnt, false AS gap FROM w_vocab WHERE cnt >= 2
+""")
+
+oracle("vocab_write", f"""
+WITH {W_VOCAB}
+SELECT CAST(cnt AS VARCHAR) || chr(9) || CAST(idx AS VARCHAR) || chr(9) || token AS line FROM w_vocab
+""")
+
+oracle("model_save", """
+SELECT * FROM (VALUES ('ngrams', true), ('known_names', true), ('vocab', true)) t(part, written)
+""")
+
+oracle("model_load", f"""
+WITH {E_MODEL}
+SELECT CAST(len(ngram) AS INTEGER) AS n, array_to_string(ngram, ' ') AS ngram, cnt FROM e_ng
+""")
+
+oracle("usage_dataset_json", f"""
+WITH {E_TOK}
+SELECT project, CAST(file_id AS VARCHAR) AS path, CAST(count(*) AS INTEGER) AS n_vars FROM e_tok WHERE is_decl GROUP BY ALL
+""")
+
+oracle("chunked_json", f"""
+WITH {E_TOK}
+SELECT count(*) AS n_records, true AS within_limit FROM e_tok WHERE is_decl
+""")
+
+oracle("resume_antijoin", """
+SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 2 = 1
+""")
+
+oracle("stream_rename_stats", ORACLE["rename_stats"])
+oracle("stream_latest_state", ORACLE["latest_state"])
