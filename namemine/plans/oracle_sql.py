@@ -1175,3 +1175,33 @@ SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 2 = 1
 
 oracle("stream_rename_stats", ORACLE["rename_stats"])
 oracle("stream_latest_state", ORACLE["latest_state"])
+
+oracle("candidates", f"""
+WITH {W_NGRAMS}, {W_TOK},
+succ AS (
+  SELECT n - 1 AS cn, CASE WHEN n = 1 THEN '' ELSE regexp_replace(ngram, ' [^ ]+$', '') END AS ctx,
+         regexp_extract(ngram, '[^ ]+$') AS name, cnt FROM wn),
+top AS (
+  SELECT cn, ctx, name FROM (
+    SELECT *, row_number() OVER (PARTITION BY cn, ctx ORDER BY cnt DESC, name) AS r FROM succ) WHERE r <= 10),
+ml AS (
+  SELECT file_id, pos, decl_id, kind,
+         CASE WHEN lag(decl_id, 1) OVER w = decl_id THEN '<unknown>' ELSE lag(token, 1) OVER w END AS m1,
+         CASE WHEN lag(decl_id, 2) OVER w = decl_id THEN '<unknown>' ELSE lag(token, 2) OVER w END AS m2,
+         CASE WHEN lag(decl_id, 3) OVER w = decl_id THEN '<unknown>' ELSE lag(token, 3) OVER w END AS m3,
+         CASE WHEN lag(decl_id, 4) OVER w = decl_id THEN '<unknown>' ELSE lag(token, 4) OVER w END AS m4,
+         CASE WHEN lag(decl_id, 5) OVER w = decl_id THEN '<unknown>' ELSE lag(token, 5) OVER w END AS m5
+  FROM w_tok WINDOW w AS (PARTITION BY file_id ORDER BY pos)),
+u AS (SELECT * FROM ml WHERE decl_id IS NOT NULL),
+uc AS (
+  SELECT file_id, pos, decl_id, kind, 1 AS cn, m1 AS ctx FROM u WHERE m1 IS NOT NULL
+  UNION ALL SELECT file_id, pos, decl_id, kind, 2, m2 || ' ' || m1 FROM u WHERE m2 IS NOT NULL
+  UNION ALL SELECT file_id, pos, decl_id, kind, 3, m3 || ' ' || m2 || ' ' || m1 FROM u WHERE m3 IS NOT NULL
+  UNION ALL SELECT file_id, pos, decl_id, kind, 4, m4 || ' ' || m3 || ' ' || m2 || ' ' || m1 FROM u WHERE m4 IS NOT NULL
+  UNION ALL SELECT file_id, pos, decl_id, kind, 5, m5 || ' ' || m4 || ' ' || m3 || ' ' || m2 || ' ' || m1 FROM u WHERE m5 IS NOT NULL),
+c AS (
+  SELECT uc.decl_id, uc.kind, top.name FROM uc JOIN top USING (cn, ctx)
+  UNION ALL SELECT u.decl_id, u.kind, top.name FROM u, top WHERE top.cn = 0),
+known AS (SELECT DISTINCT kind, token AS name FROM w_tok WHERE is_decl)
+SELECT decl_id, count(DISTINCT name) AS n_names FROM c JOIN known USING (kind, name) GROUP BY decl_id
+""")
