@@ -74,11 +74,12 @@ def ngram_counts_from_arrays(files: DataFrame, order: int = ORDER, by: Sequence[
     """
     by = _cols(by)
     t = F.col(tokens_col)
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(t)),
+    # an empty file gives one empty window, dropped by the filter (sequence(1, 0) counts down)
+    windows = F.filter(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))),
         lambda i: F.slice(t, F.greatest(F.lit(1), i - order + 1), F.least(i, F.lit(order))),
-    )
-    win = files.where(F.size(t) > 0).select(*by, F.explode(windows).alias("win"))
+    ), lambda w: F.size(w) > 0)
+    win = files.select(*by, F.explode(windows).alias("win"))
     grams = _explode_suffixes(win, by)
     return grams.groupBy(*by, F.size("ngram").alias("n"), "ngram").agg(F.count("*").alias("cnt"))
 

@@ -449,7 +449,7 @@ def q_short_types(spark, sf_dir):
 @query("normalise_name")
 def q_normalise_name(spark, sf_dir):
     """X6 over every line of every document (the label table cuts at 50 chars)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = B.documents(spark, sf_dir, "doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select(
         "doc_id", F.col("line_no").cast("int").alias("line_no"),
@@ -460,7 +460,7 @@ def q_normalise_name(spark, sf_dir):
 @query("subtokens")
 def q_subtokens(spark, sf_dir):
     """Sub-token frequencies over all blank-separated chunks of all documents."""
-    docs = read_table(spark, sf_dir, "documents").select("text")
+    docs = B.documents(spark, sf_dir, "text")
     chunks = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("chunk"))
     subs = chunks.select(F.explode(names.subtokens(F.col("chunk"))).alias("subtoken"))
     return subs.groupBy("subtoken").agg(F.count("*").alias("cnt"))
@@ -507,7 +507,7 @@ def q_context_cap(spark, sf_dir):
 @query("method_length")
 def q_method_length(spark, sf_dir):
     """X13 with each document as a method body: length distribution per project."""
-    docs = read_table(spark, sf_dir, "documents").select("source", "text")
+    docs = B.documents(spark, sf_dir, "source", "text")
     return docs.groupBy("source", trees.method_length(F.col("text")).alias("length")).agg(F.count("*").alias("n_methods"))
 
 
@@ -753,7 +753,7 @@ def q_method_name_findings(spark, sf_dir):
 
 
 def doc_lines(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = B.documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")) \
         .withColumn("line_no", F.col("line_no").cast("int"))
 

@@ -41,9 +41,27 @@ def token_kind(token: Column) -> Column:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores when the scan yields fewer splits than cores (one large file
+    with a single row group); a no-op on a cluster input that is already split finely.
+
+    Text rows carry all per-row work up to the first shuffle (regex, n-gram generation), so
+    they must not sit in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2)
+    return df
+
+
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The documents table (selected columns), spread over the cores."""
+    return spread(read_table(spark, sf_dir, "documents").select(*(cols or ("doc_id", "text", "lang", "source", "n_chars"))))
+
+
 def word_files(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) -> DataFrame:
     """``files(project, file_id, path, text, n_chars)`` from documents, clamped to ``max_chars``."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "source", "doc_id", "text", "n_chars")
     return docs.select(
         F.col("source").alias("project"),
         F.col("doc_id").alias("file_id"),
