@@ -26,12 +26,15 @@ def declarations(tokens: DataFrame) -> DataFrame:
 def usages(tokens: DataFrame) -> DataFrame:
     """Declaration and references in the same file, ordered by offset -> adds ``usage_ix``.
 
-    Self equi-join of declarations and tokens on (file_id, decl_id); a reference without a
+    The declaration is found by a window over (file_id, decl_id) rather than a self-join: token
+    rows partitioned by file already satisfy it, so no further shuffle. A reference without a
     declaration in its file is dropped.
     """
-    decl = declarations(tokens).select("file_id", "decl_id", F.col("offset").alias("decl_offset"))
-    u = tokens.where(F.col("decl_id").isNotNull()).join(decl, ["file_id", "decl_id"])
-    w = Window.partitionBy("file_id", "decl_id").orderBy("offset", "pos")
+    per_var = Window.partitionBy("file_id", "decl_id")
+    u = tokens.where(F.col("decl_id").isNotNull()).withColumn(
+        "decl_offset", F.min(F.when(F.col("is_decl"), F.col("offset"))).over(per_var)
+    ).where(F.col("decl_offset").isNotNull())
+    w = per_var.orderBy("offset", "pos")
     return u.withColumn("usage_ix", (F.row_number().over(w) - 1).cast("int"))
 
 

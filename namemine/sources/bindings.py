@@ -23,6 +23,7 @@ TOKEN_PATTERN = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]"
 # A piece is a token with the blanks in front of it; offsets are running sums of piece lengths.
 PIECE_PATTERN = r"\s*(?:" + TOKEN_PATTERN + ")"
 MAX_CHARS = 65536
+BLANKS = " \t\n\u000b\f\r"
 
 TOKEN_COLUMNS = [
     "project", "file_id", "pos", "offset", "line", "token", "kind", "lit_type",
@@ -30,13 +31,30 @@ TOKEN_COLUMNS = [
 ]
 
 
+def _first_in(token: Column, lo: str, hi: str) -> Column:
+    """First char of ``token`` in [lo, hi] (a plain comparison, no regex per token)."""
+    return F.substring(token, 1, 1).between(lo, hi)
+
+
+def is_lower_word(token: Column) -> Column:
+    return _first_in(token, "a", "z")
+
+
+def is_upper_word(token: Column) -> Column:
+    return _first_in(token, "A", "Z")
+
+
+def is_number(token: Column) -> Column:
+    return _first_in(token, "0", "9")
+
+
 def token_kind(token: Column) -> Column:
     """ident = word starting lower-case (a variable), string = capitalised word (stands for a
     string literal), num = digits, punct = anything else."""
     return (
-        F.when(token.rlike("^[a-z]"), F.lit("ident"))
-        .when(token.rlike("^[A-Z]"), F.lit("string"))
-        .when(token.rlike("^[0-9]"), F.lit("num"))
+        F.when(is_lower_word(token), F.lit("ident"))
+        .when(is_upper_word(token), F.lit("string"))
+        .when(is_number(token), F.lit("num"))
         .otherwise(F.lit("punct"))
     )
 
@@ -89,30 +107,31 @@ def word_tokens(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) ->
     these windows when a query does not use them.
     """
     files = word_files(spark, sf_dir, max_chars)
-    arrays = files.select(
-        "project", "file_id",
-        F.arrays_zip(
-            F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0).alias("piece"),
-            F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0).alias("token"),
-        ).alias("z"),
-    )
-    rows = arrays.select("project", "file_id", F.posexplode("z").alias("pos", "pt")).select(
-        "project", "file_id", F.col("pos").cast("int").alias("pos"),
-        F.col("pt.piece").alias("piece"), F.col("pt.token").alias("token"),
+    # one regex pass: each piece is a token with the blanks in front of it; the token is the
+    # piece without its leading blanks (\s of the pattern = these six chars)
+    rows = files.select(
+        "project", "file_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE_PATTERN), 0)).alias("pos", "piece")
+    ).select(
+        "project", "file_id", F.col("pos").cast("int").alias("pos"), "piece",
+        F.ltrim("piece", F.lit(BLANKS)).alias("token"),
     )
     in_file = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ident = F.col("token").rlike("^[a-z]")
+    ident = is_lower_word(F.col("token"))
     decl_id = F.when(ident, F.concat(F.col("file_id").cast("string"), F.lit(":"), F.col("token")))
-    first_pos = F.min("pos").over(Window.partitionBy("file_id", "token"))
-    return rows.select(
+    # per-file windows first; the (file, token) window then reuses the file partitioning
+    placed = rows.select(
         "project", "file_id", "pos",
         (F.sum(F.length("piece")).over(in_file) - F.length("token")).cast("int").alias("offset"),
         (F.sum(F.length("piece") - F.length(F.regexp_replace("piece", "\n", ""))).over(in_file))
         .cast("int").alias("line"),
         "token",
+    )
+    first_pos = F.min("pos").over(Window.partitionBy("file_id", "token"))
+    return placed.select(
+        "project", "file_id", "pos", "offset", "line", "token",
         token_kind(F.col("token")).alias("kind"),
-        F.when(F.col("token").rlike("^[A-Z]"), F.lit("string"))
-        .when(F.col("token").rlike("^[0-9]"), F.lit("number")).alias("lit_type"),
+        F.when(is_upper_word(F.col("token")), F.lit("string"))
+        .when(is_number(F.col("token")), F.lit("number")).alias("lit_type"),
         decl_id.alias("decl_id"),
         (ident & (F.col("pos") == first_pos)).alias("is_decl"),
         F.lit(False).alias("is_write"),
