@@ -130,11 +130,11 @@ def _suffix_terms(seqs: DataFrame, ids: list[str], seq_col: str, ngrams: DataFra
     subtracted: leave-one-out without touching the model (M4, M5).
     """
     s = F.col(seq_col)
-    mk = [k for k in minus_keys if k not in ids]
+    keep = list(dict.fromkeys([*ids, *scope, *minus_keys]))
     ex = seqs.select(
-        *ids, *scope, *mk,
+        *keep,
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: suffix(s, k))).alias("_i", "g"),
-    ).select(*ids, *scope, *mk, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
+    ).select(*keep, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
     c = ngrams.select(*scope, F.col("ngram").alias("g"), F.col("cnt").alias("c"))
     x = contexts.select(*scope, "ctx", F.col("cnt").alias("x"))
     j = ex.join(c, [*scope, "g"], "left").join(x, [*scope, "ctx"], "left")
@@ -154,18 +154,24 @@ def jm_probability(seqs: DataFrame, ngrams: DataFrame, contexts: DataFrame | Non
                    minus_keys: Sequence[str] = ()) -> DataFrame:
     """M6: smoothed P(last token | previous tokens) for each sequence row -> (ids, p).
 
-    ``ids`` must identify a row of ``seqs``. Counts are looked up with two equi-joins on the
-    suffix and on its context, then regrouped per row and folded in order of k.
+    ``ids`` must identify a row of ``seqs``. The distinct sequences are scored once (code and
+    event streams repeat the same short sequences very often): each is exploded into its
+    suffixes, counts come from two equi-joins on the suffix and on its context, the terms are
+    regrouped per sequence and folded in order of k; the rows get their value back by an
+    equi-join on the sequence.
     """
     ids, scope = _cols(ids), _cols(scope)
     if contexts is None:
         contexts = context_counts(ngrams, scope)
     v = vocab if vocab is not None else vocab_size(ngrams)
-    terms = _suffix_terms(seqs, ids, seq_col, ngrams, contexts, scope, minus, minus_keys)
-    folded = terms.groupBy(*ids).agg(
+    key = [*scope, *[k for k in minus_keys if k not in scope], seq_col]
+    distinct = seqs.select(*key).distinct()
+    terms = _suffix_terms(distinct, key, seq_col, ngrams, contexts, scope, minus, minus_keys)
+    folded = terms.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("k", "c", "x"))).alias("terms")
     )
-    return folded.select(*ids, jm_fold(F.col("terms"), v, lam).alias("p"))
+    scored = folded.select(*key, jm_fold(F.col("terms"), v, lam).alias("p"))
+    return seqs.select(*ids, *[k for k in key if k not in ids]).join(scored, key).select(*ids, "p")
 
 
 def priority_terms(seqs: DataFrame, contexts: DataFrame, ids: list[str], seq_col: str,
