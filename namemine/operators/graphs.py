@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namemine.functions.masks import mask_literal
+from namemine.operators import sequences
 from namemine.session import ensure_checkpoint_dir
 
 # Edge type names, the reversed-type prefix, the sub-graph depth.
@@ -57,8 +58,11 @@ def _token_edge(df: DataFrame, dst: Column, edge_type: str) -> DataFrame:
 
 
 def next_token(tokens: DataFrame) -> DataFrame:
-    """Each token -> the next token of the file."""
-    return _token_edge(tokens, F.lead("pos").over(Window.partitionBy("file_id").orderBy("pos")), NEXT_TOKEN)
+    """Each token -> the next token of the file (a window per chunk of the file with one
+    halo row, so a long file is spread over tasks)."""
+    c = sequences.chunked(tokens, before=0, after=1)
+    nxt = c.withColumn("_next", F.lead("pos").over(Window.partitionBy("file_id", "_chunk").orderBy("pos")))
+    return _token_edge(sequences.unchunk(nxt), F.col("_next"), NEXT_TOKEN)
 
 
 def last_lexical_use(tokens: DataFrame, partition: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from namemine.operators import sequences
 from namemine.functions.lm import (
     LAMBDA, ORDER, TOP_K, UNKNOWN, jm_fold, prefix_drop_last, suffix, usage_priority,
 )
@@ -36,11 +37,12 @@ def with_window(tokens: DataFrame, order: int = ORDER, file_cols: Sequence[str]
                 token_col: str = "token", out: str = "win") -> DataFrame:
     """Add ``out`` = the last ``order`` tokens of the file, the current one last (U3 shape).
 
-    One shuffle by file, a sort by ``pos`` inside it; a file is bounded (64 Ki chars), so no
-    window partition grows with the corpus.
+    The window runs per (file, chunk of positions) with the few rows it needs from the previous
+    chunk copied in, so even a file holding a large share of all rows is spread over tasks.
     """
-    w = Window.partitionBy(*file_cols).orderBy("pos").rowsBetween(-(order - 1), 0)
-    return tokens.withColumn(out, F.collect_list(token_col).over(w))
+    c = sequences.chunked(tokens, before=order - 1, after=0)
+    w = sequences.framed_window(file_cols, order - 1, 0)
+    return sequences.unchunk(c.withColumn(out, F.collect_list(token_col).over(w)))
 
 
 def _explode_suffixes(df: DataFrame, keep: Sequence[str], win: str = "win") -> DataFrame:

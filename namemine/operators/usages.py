@@ -1,7 +1,8 @@
 """Usage mining.
 
 Token rows: ``tokens(project, file_id, pos, offset, line, token, kind, lit_type, decl_id, is_decl, is_write)``.
-All windows are partitioned by file, which is bounded in size (64 Ki chars), so they do not skew.
+Bounded windows run per (file, chunk of positions) with halo rows (``operators.sequences``), so
+a very long file is spread over tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from namemine.functions.lm import ORDER
 from namemine.functions.masks import UNKNOWN_TOKEN, mask_literal
+from namemine.operators import sequences
 
 # Tokens before / after a usage in a centred context, and their delimiter.
 TOKENS_BEFORE = 20
@@ -26,23 +28,22 @@ def declarations(tokens: DataFrame) -> DataFrame:
 def usages(tokens: DataFrame) -> DataFrame:
     """Declaration and references in the same file, ordered by offset -> adds ``usage_ix``.
 
-    The declaration is found by a window over (file_id, decl_id) rather than a self-join: token
-    rows partitioned by file already satisfy it, so no further shuffle. A reference without a
-    declaration in its file is dropped.
+    The declaration offset comes from a (partially aggregated) group joined back, and the usage
+    index from range-partition positions, so a variable with a huge number of usages is not
+    one task. A reference without a declaration in its file is dropped.
     """
-    per_var = Window.partitionBy("file_id", "decl_id")
-    u = tokens.where(F.col("decl_id").isNotNull()).withColumn(
-        "decl_offset", F.min(F.when(F.col("is_decl"), F.col("offset"))).over(per_var)
-    ).where(F.col("decl_offset").isNotNull())
-    w = per_var.orderBy("offset", "pos")
-    return u.withColumn("usage_ix", (F.row_number().over(w) - 1).cast("int"))
+    v = tokens.where(F.col("decl_id").isNotNull())
+    decl = v.where(F.col("is_decl")).groupBy("file_id", "decl_id").agg(F.min("offset").alias("decl_offset"))
+    u = v.join(decl, ["file_id", "decl_id"])
+    return sequences.group_positions(u, ["file_id", "decl_id"], ["offset", "pos"], out="usage_ix")
 
 
 def left_ngrams(tokens: DataFrame, order: int = ORDER) -> DataFrame:
     """For each usage the last ``order`` tokens (the usage last), every token of the same
     variable masked as <unknown> (T5) -> usage rows with ``ngram`` ARRAY<STRING>."""
-    w = Window.partitionBy("file_id").orderBy("pos").rowsBetween(-(order - 1), 0)
-    win = tokens.withColumn("_w", F.collect_list(F.struct("token", "decl_id")).over(w))
+    w = sequences.framed_window(["file_id"], order - 1, 0)
+    c = sequences.chunked(tokens, before=order - 1, after=0)
+    win = sequences.unchunk(c.withColumn("_w", F.collect_list(F.struct("token", "decl_id")).over(w)))
     masked = F.transform(
         "_w",
         lambda e: F.when(e["decl_id"].isNotNull() & (e["decl_id"] == F.col("decl_id")), F.lit(UNKNOWN_TOKEN))
@@ -54,8 +55,9 @@ def left_ngrams(tokens: DataFrame, order: int = ORDER) -> DataFrame:
 def centered_context(tokens: DataFrame, before: int = TOKENS_BEFORE, after: int = TOKENS_AFTER) -> DataFrame:
     """U4: ``before`` tokens + usage + ``after`` tokens, literals and target masked (T4),
     joined by U+2581 -> usage rows with ``context`` STRING."""
-    w = Window.partitionBy("file_id").orderBy("pos").rowsBetween(-before, after)
-    win = tokens.withColumn("_w", F.collect_list(F.struct("token", "lit_type", "decl_id")).over(w))
+    w = sequences.framed_window(["file_id"], before, after)
+    c = sequences.chunked(tokens, before=before, after=after)
+    win = sequences.unchunk(c.withColumn("_w", F.collect_list(F.struct("token", "lit_type", "decl_id")).over(w)))
     masked = F.transform(
         "_w", lambda e: mask_literal(e["token"], e["lit_type"], e["decl_id"], F.col("decl_id"))
     )

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from namemine.operators.sequences import group_positions
 from namemine.sources.tables import read_table
 
 # Fixed values of the word binding.
@@ -145,11 +146,12 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     is a write, ``offset`` = ``event_id``.
     """
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # positions from range partitions, so one very active user is numbered by many tasks
+    ev = group_positions(ev, ["user_id"], ["ts", "event_id"], out="pos")
     rows = ev.select(
         (F.col("user_id") % 10).alias("project"),
         F.col("user_id").alias("file_id"),
-        (F.row_number().over(order) - 1).cast("int").alias("pos"),
+        "pos",
         F.col("event_id").alias("offset"),
         F.lit(0).alias("line"),
         F.col("event_type").alias("token"),
@@ -158,8 +160,10 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("event_type")).alias("decl_id"),
         (F.col("event_type") == "purchase").alias("is_write"),
     )
-    first_pos = F.min("pos").over(Window.partitionBy("file_id", "token"))
-    return rows.withColumn("is_decl", F.col("pos") == first_pos).select(*TOKEN_COLUMNS)
+    # first occurrence by a (partially aggregated) group + equi-join, not a per-user window
+    firsts = rows.groupBy("file_id", "token").agg(F.min("pos").alias("_first"))
+    return rows.join(firsts, ["file_id", "token"]).withColumn(
+        "is_decl", F.col("pos") == F.col("_first")).select(*TOKEN_COLUMNS)
 
 
 # ---------------------------------------------------------------------------------------------
