@@ -24,19 +24,25 @@ CHUNK = 65536
 
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "pos",
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, coarse: Column | None = None) -> DataFrame:
     """0-based position of each row in its group by ``order`` (ties must not exist).
 
-    Rows are range-partitioned on (group, order) and checkpointed to the shared checkpoint dir
-    (fixed ranges on recompute); a row's position = rows of its group in earlier ranges + its
-    local rank in its own range. A hot group spread over many ranges is numbered by many tasks.
+    With ``coarse`` (a column that never decreases along ``order`` inside a group, e.g. the hour
+    of a timestamp or ``pos div chunk``): rows are numbered inside (group, coarse) and shifted by
+    the sizes of the group's earlier coarse buckets; deterministic, no checkpoint.
+    Without it: rows are range-partitioned on (group, order) and checkpointed to the shared
+    checkpoint dir (fixed ranges on recompute), then numbered the same way per range.
+    Either way a hot group is numbered by many tasks.
     """
     group, order = list(group), list(order)
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *group, *order).withColumn("_b", F.spark_partition_id()).checkpoint()
-    local = ranged.withColumn("_l", F.row_number().over(Window.partitionBy("_b", *group).orderBy(*order)))
+    if coarse is not None:
+        ranged = df.withColumn("_b", coarse)
+    else:
+        ensure_checkpoint_dir(spark)
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(n, *group, *order).withColumn("_b", F.spark_partition_id()).checkpoint()
+    local = ranged.withColumn("_l", F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order)))
     counts = ranged.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
     offsets = counts.select(
         *group, "_b",

@@ -35,7 +35,8 @@ def usages(tokens: DataFrame) -> DataFrame:
     v = tokens.where(F.col("decl_id").isNotNull())
     decl = v.where(F.col("is_decl")).groupBy("file_id", "decl_id").agg(F.min("offset").alias("decl_offset"))
     u = v.join(decl, ["file_id", "decl_id"])
-    return sequences.group_positions(u, ["file_id", "decl_id"], ["offset", "pos"], out="usage_ix")
+    return sequences.group_positions(u, ["file_id", "decl_id"], ["offset", "pos"], out="usage_ix",
+                                     coarse=F.floor(F.col("offset") / sequences.CHUNK))
 
 
 def left_ngrams(tokens: DataFrame, order: int = ORDER) -> DataFrame:

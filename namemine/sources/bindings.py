@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namemine.operators.sequences import group_positions
+from namemine.session import ensure_checkpoint_dir
 from namemine.sources.tables import read_table
 
 # Fixed values of the word binding.
@@ -147,7 +148,8 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     # positions from range partitions, so one very active user is numbered by many tasks
-    ev = group_positions(ev, ["user_id"], ["ts", "event_id"], out="pos")
+    ev = group_positions(ev, ["user_id"], ["ts", "event_id"], out="pos",
+                         coarse=F.date_trunc("hour", F.col("ts")).cast("long"))
     rows = ev.select(
         (F.col("user_id") % 10).alias("project"),
         F.col("user_id").alias("file_id"),
@@ -162,8 +164,12 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # first occurrence by a (partially aggregated) group + equi-join, not a per-user window
     firsts = rows.groupBy("file_id", "token").agg(F.min("pos").alias("_first"))
-    return rows.join(firsts, ["file_id", "token"]).withColumn(
+    toks = rows.join(firsts, ["file_id", "token"]).withColumn(
         "is_decl", F.col("pos") == F.col("_first")).select(*TOKEN_COLUMNS)
+    # the token table feeds several branches of every event query: write it once to the
+    # shared checkpoint folder instead of recomputing positions per branch
+    ensure_checkpoint_dir(spark)
+    return toks.checkpoint()
 
 
 # ---------------------------------------------------------------------------------------------
