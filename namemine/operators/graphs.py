@@ -65,12 +65,22 @@ def next_token(tokens: DataFrame) -> DataFrame:
     return _token_edge(sequences.unchunk(nxt), F.col("_next"), NEXT_TOKEN)
 
 
+def _previous_in_group(v: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Each row with ``_prev`` = the position of the previous row of its group (file + ``group``).
+
+    Group positions come from bucket offsets and the previous row is found by an equi-join on
+    (group, position - 1), so a hot variable is never one window task."""
+    keys = ["file_id", *group]
+    g = sequences.group_positions(v, keys, ["pos"], out="_gp", coarse=F.floor(F.col("pos") / sequences.CHUNK))
+    prev = g.select(*keys, (F.col("_gp") + 1).alias("_gp"), F.col("pos").alias("_prev"))
+    return g.join(prev, [*keys, "_gp"], "left")
+
+
 def last_lexical_use(tokens: DataFrame, partition: Sequence[str] = ()) -> DataFrame:
     """Variable token -> previous variable token with the same text (G13 adds ``is_target``
     to the partition to split target and non-target occurrences)."""
     v = tokens.where(F.col("decl_id").isNotNull())
-    w = Window.partitionBy("file_id", "token", *partition).orderBy("pos")
-    return _token_edge(v, F.lag("pos").over(w), LAST_LEXICAL_USE)
+    return _token_edge(_previous_in_group(v, ["token", *partition]), F.col("_prev"), LAST_LEXICAL_USE)
 
 
 def rewire_target(tokens: DataFrame, target_col: str = "target") -> DataFrame:
@@ -96,16 +106,27 @@ def child_edges(ast: DataFrame) -> DataFrame:
 def last_use(tokens: DataFrame) -> DataFrame:
     """Usage -> previous usage of the same declaration (straight-line code)."""
     v = tokens.where(F.col("decl_id").isNotNull())
-    return _token_edge(v, F.lag("pos").over(Window.partitionBy("file_id", "decl_id").orderBy("pos")), LAST_USE)
-
-
-def last_write(tokens: DataFrame) -> DataFrame:
-    """Usage -> latest write strictly before it (an as-of join done as a window: the write
-    position itself still sees the older write)."""
-    v = tokens.where(F.col("decl_id").isNotNull())
-    w = Window.partitionBy("file_id", "decl_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last(F.when(F.col("is_write"), F.col("pos")), ignorenulls=True).over(w)
-    return _token_edge(v, prev, LAST_WRITE)
+    return _token_edge(_previous_in_group(v, ["decl_id"]), F.col("_prev"), LAST_USE)
+
+
+def last_write(tokens: DataFrame, chunk: int = sequences.CHUNK) -> DataFrame:
+    """Usage -> latest write strictly before it (as-of join; the write position itself still
+    sees the older write).
+
+    A scan with carries: inside each (file, variable, chunk of positions) a window takes the
+    latest earlier write (at most ``chunk`` rows per window); the latest write of all earlier
+    chunks of the variable comes from a small per-chunk summary table."""
+    v = tokens.where(F.col("decl_id").isNotNull()).withColumn("_c", F.floor(F.col("pos") / chunk))
+    keys = ["file_id", "decl_id"]
+    w = Window.partitionBy(*keys, "_c").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    local = v.withColumn("_lw", F.max(F.when(F.col("is_write"), F.col("pos"))).over(w))
+    summary = v.groupBy(*keys, "_c").agg(F.max(F.when(F.col("is_write"), F.col("pos"))).alias("_cw"))
+    carry = summary.select(
+        *keys, "_c",
+        F.max("_cw").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+    )
+    j = local.join(carry, [*keys, "_c"])
+    return _token_edge(j, F.coalesce("_lw", "_carry"), LAST_WRITE)
 
 
 def flow_last_use(uses: DataFrame, cfg: DataFrame, max_rounds: int = 64, checkpoint_every: int = 4) -> DataFrame:
