@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from namemine.llm import op1_chat, op7_warc
+from namemine.llm import op1_chat, op6_decontaminate, op7_warc
 from namemine.llm.op2_simhash import op2_simhash
 from namemine.llm.op10_packing import op10_packing
 
 QUERIES = {
     "op1_chat": op1_chat.op1_chat,
     "op2_simhash": op2_simhash,
+    "op6_decontaminate": op6_decontaminate.op6_decontaminate,
     "op7_warc": op7_warc.op7_warc,
     "op10_packing": op10_packing,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 #: Where SQL can't express an operator there is none; ``tests/llm`` holds a brute-force version.
 ORACLE: dict[str, str] = {
     "op1_chat": op1_chat.ORACLE_SQL,
+    "op6_decontaminate": op6_decontaminate.ORACLE_SQL,
     "op7_warc": op7_warc.ORACLE_SQL,
 }
