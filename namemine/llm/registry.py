@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from namemine.llm import op1_chat, op6_decontaminate, op7_warc
 from namemine.llm.op2_simhash import op2_simhash
+from namemine.llm.op5_importance import op5_importance
+from namemine.llm.op8_quality_rules import op8_quality_rules
 from namemine.llm.op10_packing import op10_packing
 
 QUERIES = {
     "op1_chat": op1_chat.op1_chat,
     "op2_simhash": op2_simhash,
+    "op5_importance": op5_importance,
     "op6_decontaminate": op6_decontaminate.op6_decontaminate,
     "op7_warc": op7_warc.op7_warc,
+    "op8_quality_rules": op8_quality_rules,
     "op10_packing": op10_packing,
 }
 
