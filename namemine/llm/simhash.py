@@ -7,8 +7,8 @@ key a choice of ``spare`` blocks loses no pair. In each bucket of such a key:
 
 1. up to ``pivots`` members, picked by hash, are the reference fingerprints, and every member's
    Hamming distances to them are its row of the pivot distance table;
-2. a member within ``max_bits`` of a reference is linked to it, so a dense group of near copies
-   becomes a few stars and its pairs are never listed;
+2. a member is linked to the first reference within ``max_bits`` (and so are the references), so a
+   dense group of near copies becomes a few stars and its pairs are never listed;
 3. only members that these stars leave in different components are paired; a pair is discarded
    if any coordinate of its two table rows differs by more than ``max_bits`` (by the triangle
    inequality it can't be near), and the survivors are verified on the fingerprints.
@@ -107,9 +107,8 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, spare: int = SPARE, pivo
     table = stage_table(
         keyed.join(buckets, ["t", "key"]).withColumn(
             "dist", F.transform("pivots", lambda p: _hamming(p, F.col("fp")).cast("byte"))), "pivot-table")
-    stars = (table.select("fp", F.explode(F.arrays_zip("pivots", "dist")).alias("z"))
-             .where((F.col("z.dist") <= max_bits) & (F.col("z.dist") > 0))
-             .select(F.col("z.pivots").alias("u"), F.col("fp").alias("v")).distinct())
+    near = F.get(F.filter("pivots", lambda p, i: F.get("dist", i) <= max_bits), F.lit(0))
+    stars = table.select(near.alias("u"), F.col("fp").alias("v")).where("u <> v").distinct()
     stars = stage_table(stars, "stars")
     found = connected_components(stars)
     placed = (table.drop("pivots").join(found, table["fp"] == found["node"], "left")
