@@ -6,6 +6,7 @@ from namemine.llm import op1_chat, op6_decontaminate, op7_warc
 from namemine.llm.op2_simhash import op2_simhash
 from namemine.llm.op5_importance import op5_importance
 from namemine.llm.op8_quality_rules import op8_quality_rules
+from namemine.llm.op9_pii import op9_pii
 from namemine.llm.op10_packing import op10_packing
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate.op6_decontaminate,
     "op7_warc": op7_warc.op7_warc,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
