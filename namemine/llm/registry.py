@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from namemine.llm import op1_chat, op6_decontaminate, op7_warc
 from namemine.llm.op2_simhash import op2_simhash
 from namemine.llm.op3_licenses import op3_licenses
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_quality_rules": shipped(op8_quality_rules),
     "op9_pii": shipped(op9_pii),
     "op10_packing": shipped(op10_packing),
+    "pipeline": corpus_pipeline.run,
 }
 
 #: Where SQL can't express an operator there is none; ``tests/llm`` holds a brute-force version.
@@ -31,3 +33,5 @@ ORACLE: dict[str, str] = {
     "op6_decontaminate": op6_decontaminate.ORACLE_SQL,
     "op7_warc": op7_warc.ORACLE_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
