@@ -16,8 +16,6 @@ the items; an empty benchmark hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +43,15 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BETWEEN + "+"))
 
 
-def _windows_at(length: int, words: str = "words") -> str:
-    """SQL for the start positions (from 0) of all runs of ``length`` words."""
-    return f"CASE WHEN size({words}) >= {length} THEN sequence(0, size({words}) - {length}) ELSE array() END"
+def _windows_at(length: int) -> str:
+    """SQL for the start positions (from 0) of all runs of ``length`` of the words ``w``."""
+    return f"CASE WHEN size(w) >= {length} THEN sequence(0, size(w) - {length}) ELSE array() END"
+
+
+def _per_words(sql: str) -> Column:
+    """``sql`` over the words as ``w``. The lambda binds them, so that they are made once a text
+    however often ``sql`` names them and wherever the optimizer moves it."""
+    return F.expr(f"get(transform(array(words), w -> {sql}), 0)")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -59,18 +63,18 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return run.select("item_id", F.array_join("run", " ").alias("window"), "length", F.xxhash64("run").alias("hash")).distinct()
 
 
-def _hits_by_set(windows: DataFrame) -> Column | None:
-    """Array of ``at, length, window`` of a document's verified hits; ``words`` in scope."""
+def _hits_by_set(windows: DataFrame) -> str:
+    """SQL for the array of ``at, length, window`` of verified hits among the words ``w``."""
     found = windows.select("length", "hash", "window").distinct().collect()  # at most MAX_SET
     parts = []
     for length in sorted({r["length"] for r in found}):
         own = [r for r in found if r["length"] == length]
         hashes = ",".join(f"{r['hash']}L" for r in own)
         texts = ",".join(f"'{r['window']}'" for r in own)  # words hold no quote and no backslash
-        run = f"slice(words, at + 1, {length})"
+        run = f"slice(w, at + 1, {length})"
         kept = f"filter({_windows_at(length)}, at -> xxhash64({run}) IN ({hashes}) AND array_join({run}, ' ') IN ({texts}))"
-        parts.append(F.expr(f"transform({kept}, at -> struct(at, {length} AS length, array_join({run}, ' ') AS window))"))
-    return reduce(lambda a, b: F.concat(a, b), parts) if parts else None
+        parts.append(f"transform({kept}, at -> struct(at, {length} AS length, array_join({run}, ' ') AS window))")
+    return f"concat({', '.join(parts)})" if parts else f"CAST(array() AS {_NO_HITS})"
 
 
 _NO_HITS = "array<struct<at:int,length:int,window:string>>"
@@ -84,7 +88,7 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """As ``_hits_by_set``, for a benchmark of any size: ``docs`` with ``row, words``."""
     lengths = [r["length"] for r in windows.select("length").distinct().collect()]  # at most `width`
     keys = windows.select("length", "hash", "window").distinct()
-    slots = F.flatten(F.array(*[F.expr(f"transform({_windows_at(n)}, at -> struct(at, {n} AS length, xxhash64(slice(words, at + 1, {n})) AS hash))") for n in lengths]))
+    slots = F.flatten(F.array(*[_per_words(f"transform({_windows_at(n)}, at -> struct(at, {n} AS length, xxhash64(slice(w, at + 1, {n})) AS hash))") for n in lengths]))
     slim = docs.select("row", "words", F.explode(slots).alias("s"))
     run = F.expr("array_join(slice(words, s.at + 1, s.length), ' ')")
     told = slim.select("row", F.col("s.at").alias("at"), F.col("s.length").alias("length"), F.col("s.hash").alias("hash"), run.alias("window"))
@@ -98,14 +102,14 @@ def _hit_words(hits: Column) -> Column:
 
 
 def with_hits(docs: DataFrame, windows: DataFrame, text: str = "text", max_set: int = MAX_SET) -> DataFrame:
-    """``docs`` with ``words`` and ``hits`` (array of ``at, length, window``)."""
+    """``docs`` with ``n_words`` and ``hits`` (array of ``at, length, window``) in ``scan``."""
     told = docs.withColumn("words", words(F.col(text)))
     if _fits(windows, max_set):
-        hits = _hits_by_set(windows)
-        return told.withColumn("hits", F.array().cast(_NO_HITS) if hits is None else hits)
+        return told.withColumn("scan", _per_words(f"struct(size(w) AS n_words, {_hits_by_set(windows)} AS hits)")).drop("words")
     told = stage_table(told.withColumn("row", F.monotonically_increasing_id()), "windows")
     found = _hits_by_join(told, windows)
-    return told.join(found, "row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(_NO_HITS))).drop("row")
+    hits = F.coalesce("hits", F.array().cast(_NO_HITS))
+    return told.join(found, "row", "left").withColumn("scan", F.struct(F.size("words").alias("n_words"), hits.alias("hits"))).drop("row", "words", "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_set: int = MAX_SET) -> DataFrame:
@@ -113,8 +117,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max
     windows = stage_table(benchmark_windows(benchmark, width), "benchmark-windows")
     told = with_hits(only(docs, doc_id="long", text="string"), windows, max_set=max_set)
     rows = stage_table(
-        told.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"),
-                    F.size(_hit_words(F.col("hits"))).cast("long").alias("n_hit"), F.array_distinct("hits.window").alias("hit_windows")), "hits")
+        told.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("scan.n_words").cast("long").alias("n_words"),
+                    F.size(_hit_words(F.col("scan.hits"))).cast("long").alias("n_hit"), F.array_distinct("scan.hits.window").alias("hit_windows")), "hits")
     hit = rows.where("n_hit > 0").select("row", F.explode("hit_windows").alias("window"))
     items = (hit.join(windows.select("item_id", "window"), "window").where("item_id IS NOT NULL").select("row", "item_id").distinct()
              .groupBy("row").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("items")))
@@ -140,10 +144,10 @@ def _clean(docs: DataFrame, benchmark: DataFrame, width: int, max_set: int, span
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("text").cast("string").alias("text"))
     told = with_hits(held, windows, max_set=max_set)
     if not spans:
-        return told.where(F.size("hits") == 0).select("own.*")
+        return told.where(F.size("scan.hits") == 0).select("own.*")
     gaps, kept = F.split("text", _WORD), F.regexp_extract_all("text", F.lit(f"({_WORD})"), 1)
     pieces = F.transform("kept", lambda w, i: F.when(F.array_contains("out", i), "").otherwise(F.concat(w, F.element_at("gaps", i + 2))))
-    done = told.withColumn("out", _hit_words(F.col("hits"))).withColumn("kept", kept).withColumn("gaps", gaps)
+    done = told.withColumn("out", _hit_words(F.col("scan.hits"))).withColumn("kept", kept).withColumn("gaps", gaps)
     rest = F.when(F.size("out") == 0, F.col("text")).otherwise(F.concat(F.element_at("gaps", 1), F.array_join(pieces, "")))
     fields = [F.col(f"own.`{c}`") if c != "text" else rest.alias("text") for c in docs.columns]
     return done.select(*fields)
