@@ -69,7 +69,7 @@ def features(data: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> tuple[np
     shift = np.uint64(64 - bits)
     same = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
     thrice = np.flatnonzero(same[:-1] & same[1:])
-    in_turn = np.flatnonzero(same[:-2] & same[2:])
+    in_turn = np.flatnonzero(same[:-2] & same[2:] & (w.doc[3:] == w.doc[:-3]))
     doc = np.concatenate((w.doc, w.doc[first], w.doc[thrice], w.doc[in_turn]))
     patterns = np.concatenate((np.zeros(len(thrice), np.int64), np.ones(len(in_turn), np.int64)))
     return doc, np.concatenate(((h >> shift).astype(np.int64), (pair >> shift).astype(np.int64), patterns))
