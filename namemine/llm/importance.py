@@ -85,8 +85,8 @@ def target_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> np.ndarray:
     """Sorted doc_ids labelled good (quality 1, not toxic), at most ``max_target``."""
     slim = only(labels, doc_id="long", quality="int", toxic="int").where("doc_id IS NOT NULL")
     good = slim.groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good")
-    rows = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id").collect()
-    return np.sort(np.asarray([r.doc_id for r in rows], dtype=np.int64))
+    chosen = stage_table(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).select("doc_id"), "target")
+    return np.sort(chosen.toArrow()["doc_id"].to_numpy())
 
 
 def bucket_counts(docs: DataFrame, target: np.ndarray, bits: int = BITS) -> DataFrame:

@@ -38,6 +38,7 @@ MAX_ATOMS, MAX_CHARS = 16, 64
 ISLAND_WORDS = 32
 SAMPLE_DOCS = 400
 SAMPLE_ISLANDS = 300
+MAX_SAMPLE_CHARS = 20_000
 EPOCHS, RATE, PENALTY = 12, 0.5, 1e-3
 SEED = 9
 
@@ -297,9 +298,12 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Train on the documents with a cue whose doc_id and text hash lowest."""
-    slim = only(docs, doc_id="long", text="string").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    rows = slim.orderBy(F.xxhash64("doc_id", "text"), "text").limit(sample).select("text").collect()
+    """Train on the documents with a cue whose doc_id and text hash lowest. Hashes choose them
+    first, so that no more than the chosen texts ever leave the executors."""
+    slim = only(docs, doc_id="long", text="string").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= MAX_SAMPLE_CHARS))
+    slim = slim.select(F.xxhash64("doc_id", "text").alias("hash"), "text")
+    lowest = slim.select("hash").distinct().orderBy("hash").limit(sample).collect()
+    rows = slim.where(F.col("hash") <= lowest[-1].hash).distinct().orderBy("hash", "text").collect() if lowest else []
     return train([r.text for r in rows])
 
 
