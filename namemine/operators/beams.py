@@ -37,8 +37,8 @@ def beam_score(transposed: DataFrame, dictionary: DataFrame) -> DataFrame:
     named = cells.join(dictionary, "token_id", "left")
     g = named.groupBy("item", "beam").agg(F.sort_array(F.collect_list(F.struct("i", "subtoken"))).alias("s"))
     first = F.coalesce(F.element_at("s", 1)["subtoken"], F.lit(""))
-    rest = F.filter(F.slice("s", 2, 1 << 20), lambda e: e["subtoken"].isNotNull() & ~e["subtoken"].isin(PAD, UNK))
-    caps = F.transform(rest, lambda e: F.concat(F.upper(F.substring(e["subtoken"], 1, 1)), F.substring(e["subtoken"], 2, 1 << 20)))
+    rest = F.filter(F.slice("s", F.lit(2), F.size("s")), lambda e: e["subtoken"].isNotNull() & ~e["subtoken"].isin(PAD, UNK))
+    caps = F.transform(rest, lambda e: F.concat(F.upper(F.substring(e["subtoken"], 1, 1)), F.substr(e["subtoken"], F.lit(2))))
     names = g.select("item", "beam", F.concat(first, F.array_join(caps, "")).alias("name"))
     scores = transposed.select("item", "beam", F.exp(F.aggregate("logps", F.lit(0.0), lambda a, x: a + x)).alias("score"))
     return names.join(scores, ["item", "beam"])

@@ -39,7 +39,7 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     t = F.col("edge_type")
     back = edges.select(
         "graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"),
-        F.when(t.startswith(REVERSED), F.substring(t, len(REVERSED) + 1, 1 << 20))
+        F.when(t.startswith(REVERSED), F.substr(t, F.lit(len(REVERSED) + 1)))
         .otherwise(F.concat(F.lit(REVERSED), t)).alias("edge_type"),
     )
     return edge_dedup(edges.select(*EDGE_COLUMNS).unionByName(back))
@@ -292,7 +292,7 @@ def reverse_subgraph(edges: DataFrame) -> DataFrame:
     t = F.col("edge_type")
     back = edges.select(
         "decl_id", "graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"),
-        F.when(t.startswith(REVERSED), F.substring(t, len(REVERSED) + 1, 1 << 20))
+        F.when(t.startswith(REVERSED), F.substr(t, F.lit(len(REVERSED) + 1)))
         .otherwise(F.concat(F.lit(REVERSED), t)).alias("edge_type"),
     )
     return edges.unionByName(back).dropDuplicates(["decl_id", *EDGE_COLUMNS])

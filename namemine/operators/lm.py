@@ -259,7 +259,7 @@ def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | N
     ``usage_rows`` come from U3 (masked left n-grams, usage last). Candidates (M9) are put at
     the last position only; other occurrences of the target stay <unknown>. ``known``
     (T2 table, optional) keeps only names declared with the usage's kind (T3).
-    Ties are broken by name on the 6-digit value.
+    Ties are broken by name (see :func:`top_k`).
     """
     if contexts is None:
         contexts = context_counts(ngrams)
@@ -291,9 +291,10 @@ def top_k(scored: DataFrame, by: Sequence[str], k: int = TOP_K, score: str = "p"
           name: str = "name") -> DataFrame:
     """At most ``k`` rows per group by (score desc, name) -> adds ``rank`` (1-based).
 
-    Scores are compared on 6 digits so that near-ties resolve by name the same way everywhere.
+    Scores are compared on 12 digits: far below the smallest back-stop of a large vocabulary, and
+    still the same whatever the order of a sum.
     """
-    w = Window.partitionBy(*by).orderBy(F.round(F.col(score), 6).desc(), F.col(name))
+    w = Window.partitionBy(*by).orderBy(F.round(F.col(score), 12).desc(), F.col(name))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -356,11 +357,10 @@ def substitute(scope_tokens: DataFrame, cands: DataFrame, order: int = ORDER,
     Windows are built once per scope position; the candidate rows multiply only the scored
     positions of their own variable (at most ``k`` candidates per context suffix, M9).
     """
-    w = Window.partitionBy(scope_col).orderBy("pos").rowsBetween(-(order - 1), 0)
-    win = scope_tokens.select(
-        scope_col, F.col("pos").alias("i"),
-        F.collect_list(F.struct("token", "decl_id")).over(w).alias("w"),
-    )
+    w = sequences.framed_window([scope_col], order - 1, 0)
+    c = sequences.chunked(scope_tokens, before=order - 1, after=0)
+    win = sequences.unchunk(c.withColumn("w", F.collect_list(F.struct("token", "decl_id")).over(w))).select(
+        scope_col, F.col("pos").alias("i"), "w")
     sizes = scope_tokens.groupBy(scope_col).agg((F.max("pos") + 1).alias("n"))
     targets = scope_tokens.where(F.col("decl_id").isNotNull()).select("decl_id", scope_col, "pos")
     pos = union_positions(targets, sizes, order, scope_col)

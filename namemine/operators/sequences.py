@@ -52,7 +52,7 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str | C
         ).alias("_o"),
     )
     return local.join(offsets, [*group, "_b"]).withColumn(
-        out, (F.col("_o") + F.col("_l") - 1).cast("int")
+        out, (F.col("_o") + F.col("_l") - 1).cast("bigint")
     ).drop("_b", "_l", "_o")
 
 

@@ -73,7 +73,7 @@ def dense_index(df: DataFrame, order: list, out: str = "idx", buckets: int | Non
     ).fillna(0, ["_start"])
     # one row per range partition: a proven size bound for the broadcast
     return local.join(F.broadcast(offsets), "_bucket").withColumn(
-        out, (F.col("_start") + F.col("_local")).cast("int")
+        out, (F.col("_start") + F.col("_local")).cast("bigint")
     ).drop("_bucket", "_local", "_start")
 
 

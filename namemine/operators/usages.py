@@ -25,6 +25,14 @@ def declarations(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("is_decl") & F.col("decl_id").isNotNull())
 
 
+def with_declaration(tokens: DataFrame) -> DataFrame:
+    """Usages with the offset of their declaration (``decl_offset``), unnumbered; a reference
+    without a declaration in its file is dropped."""
+    v = tokens.where(F.col("decl_id").isNotNull())
+    decl = v.where(F.col("is_decl")).groupBy("file_id", "decl_id").agg(F.min("offset").alias("decl_offset"))
+    return v.join(decl, ["file_id", "decl_id"])
+
+
 def usages(tokens: DataFrame) -> DataFrame:
     """Declaration and references in the same file, ordered by offset -> adds ``usage_ix``.
 
@@ -32,9 +40,7 @@ def usages(tokens: DataFrame) -> DataFrame:
     index from range-partition positions, so a variable with a huge number of usages is not
     one task. A reference without a declaration in its file is dropped.
     """
-    v = tokens.where(F.col("decl_id").isNotNull())
-    decl = v.where(F.col("is_decl")).groupBy("file_id", "decl_id").agg(F.min("offset").alias("decl_offset"))
-    u = v.join(decl, ["file_id", "decl_id"])
+    u = with_declaration(tokens)
     return sequences.group_positions(u, ["file_id", "decl_id"], ["offset", "pos"], out="usage_ix",
                                      coarse=F.floor(F.col("offset") / sequences.CHUNK))
 
@@ -66,7 +72,7 @@ def centered_context(tokens: DataFrame, before: int = TOKENS_BEFORE, after: int
 
 
 def distance_to_declaration(usage_rows: DataFrame) -> DataFrame:
-    """``abs(declaration offset - usage offset)`` (usage rows from :func:`usages`)."""
+    """``abs(declaration offset - usage offset)`` (usage rows with ``decl_offset``)."""
     return usage_rows.withColumn("distance", F.abs(F.col("offset") - F.col("decl_offset")))
 
 

@@ -138,7 +138,7 @@ def q_size_guard(spark, sf_dir):
 @query("project_split")
 def q_project_split(spark, sf_dir):
     files = B.word_files(spark, sf_dir)
-    train = [f"src{i}" for i in range(2, 11)]
+    train = [f"src{i}" for i in range(2, 20)]  # all other projects
     parts = corpus.project_split(files, train=train, test=["src0", "src1"])
     return parts.select("file_id", "split")
 
@@ -236,7 +236,7 @@ def q_usages(spark, sf_dir):
 
 @query("distance_to_declaration")
 def q_distance(spark, sf_dir):
-    u = usages.distance_to_declaration(usages.usages(B.word_tokens(spark, sf_dir)))
+    u = usages.distance_to_declaration(usages.with_declaration(B.word_tokens(spark, sf_dir)))
     return u.select("decl_id", "pos", F.col("distance").cast("int").alias("distance"))
 
 

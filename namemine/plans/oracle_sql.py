@@ -21,7 +21,7 @@ def oracle(key: str, sql: str) -> None:
 E_TOK = """
 e_raw AS (
   SELECT user_id % 10 AS project, user_id AS file_id,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
          event_id AS "offset", event_type AS token,
          CAST(user_id AS VARCHAR) || ':' || event_type AS decl_id,
          event_type = 'purchase' AS is_write
@@ -122,7 +122,7 @@ e_lw AS (
 e_use AS (
   SELECT file_id, pos, "offset", decl_id, token,
          list_transform(lw, lambda e: CASE WHEN e.d = decl_id THEN '<unknown>' ELSE e.t END) AS ng,
-         CAST(row_number() OVER (PARTITION BY file_id, decl_id ORDER BY "offset", pos) - 1 AS INTEGER) AS usage_ix
+         row_number() OVER (PARTITION BY file_id, decl_id ORDER BY "offset", pos) - 1 AS usage_ix
   FROM e_lw)"""
 
 oracle("left_ngram", f"""
@@ -170,7 +170,7 @@ agg AS (
   SELECT s.decl_id, s.name, sum(jm_p.p * prio.prio) / tot.total AS p
   FROM jm_p JOIN seqs s USING (file_id, pos, name) JOIN prio USING (file_id, pos) JOIN tot ON tot.decl_id = s.decl_id
   GROUP BY s.decl_id, s.name, tot.total),
-rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM agg)"""
+rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM agg)"""
 
 oracle("rank_names", f"""
 WITH {E_RANK}
@@ -226,7 +226,7 @@ SELECT decl_id, name, round(p, 6) AS p FROM sm
 oracle("top10", f"""
 WITH {e_context(E_CC)},
 r AS (SELECT decl_id, name, round(p, 6) AS p,
-             row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm)
+             row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM sm)
 SELECT decl_id, name, p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
 """)
 
@@ -249,8 +249,8 @@ GROUP BY s.decl_id
 W_TOK = r"""
 w_arr AS (
   SELECT source AS project, doc_id AS file_id, n_chars,
-         regexp_extract_all(substr(text, 1, 65536), '\s*(?:[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s])') AS pieces,
-         regexp_extract_all(substr(text, 1, 65536), '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]') AS toks
+         regexp_extract_all(text, '\s*(?:[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s])') AS pieces,
+         regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]') AS toks
   FROM documents),
 w_raw AS (
   SELECT project, file_id, CAST(unnest(range(len(toks))) AS INTEGER) AS pos,
@@ -275,14 +275,14 @@ w_tok AS (
 # Vocabulary of binding W: idx by (cnt desc, token), 1-based.
 W_VOCAB = W_TOK + """,
 w_vocab AS (
-  SELECT CAST(row_number() OVER (ORDER BY cnt DESC, token) AS INTEGER) AS idx, token, cnt
+  SELECT row_number() OVER (ORDER BY cnt DESC, token) AS idx, token, cnt
   FROM (SELECT token, count(*) AS cnt FROM w_tok GROUP BY token))"""
 
 W_USE = W_TOK + """,
 w_decl AS (SELECT file_id, decl_id, "offset" AS decl_offset FROM w_tok WHERE is_decl),
 w_use AS (
   SELECT t.*, d.decl_offset,
-         CAST(row_number() OVER (PARTITION BY t.file_id, t.decl_id ORDER BY t."offset", t.pos) - 1 AS INTEGER) AS usage_ix
+         row_number() OVER (PARTITION BY t.file_id, t.decl_id ORDER BY t."offset", t.pos) - 1 AS usage_ix
   FROM w_tok t JOIN w_decl d ON d.file_id = t.file_id AND d.decl_id = t.decl_id)"""
 
 oracle("corpus_scan", f"""
@@ -299,7 +299,7 @@ FROM documents
 oracle("project_split", f"""
 SELECT doc_id AS file_id, CASE WHEN source IN ('src0', 'src1') THEN 'test' ELSE 'train' END AS split
 FROM documents
-WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9', 'src10')
+WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9', 'src10', 'src11', 'src12', 'src13', 'src14', 'src15', 'src16', 'src17', 'src18', 'src19')
 """)
 
 oracle("file_stats", f"""
@@ -448,7 +448,7 @@ ngram_pred AS (SELECT decl_id, name, p, (SELECT v FROM e_v) AS priority, 'ngram'
 ctx_pred AS (
   SELECT decl_id, name, p, (SELECT v FROM e_v) AS priority, 'context' AS model FROM (
     SELECT decl_id, name, p,
-           row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm)
+           row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM sm)
   WHERE rank <= 10),
 preds AS (SELECT * FROM ngram_pred UNION ALL SELECT * FROM ctx_pred),
 visible AS (SELECT file_id, decl_id AS other, token AS name FROM e_tok WHERE is_decl),
@@ -470,7 +470,7 @@ sc AS (
   SELECT p.decl_id, p.name, sum(p.p * p.priority) / any_value(s.psum) AS p
   FROM preds p JOIN psum s USING (decl_id) GROUP BY p.decl_id, p.name),
 kept AS (SELECT * FROM sc WHERE NOT EXISTS (SELECT 1 FROM clash c WHERE c.decl_id = sc.decl_id AND c.name = sc.name)),
-r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM kept)
+r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM kept)
 SELECT decl_id, name, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND p >= 0.001
 """)
 
@@ -552,7 +552,7 @@ o_l0 AS (
 o_l AS (SELECT *, CAST(min(li) OVER (PARTITION BY l_orderkey, q) AS INTEGER) AS lc FROM o_l0),
 o_ol AS (SELECT * FROM o_o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM o_l)),
 o_leaf AS (
-  SELECT o_custkey AS m, (l_orderkey * 1000 + li) * 3 + 2 AS node_id, l_returnflag AS text, 2 AS d, oi, li, lc FROM o_l
+  SELECT o_custkey AS m, -(l_orderkey * 2147483648 + li) - 1 AS node_id, l_returnflag AS text, 2 AS d, oi, li, lc FROM o_l
   UNION ALL
   SELECT o_custkey, o_orderkey * 3 + 1, o_orderpriority, 1, oi, NULL, oi FROM o_ol
   UNION ALL
@@ -601,7 +601,7 @@ oracle("child_id", f"""
 WITH {O_TREE}
 SELECT c_custkey * 3 AS node_id, 0 AS child_id FROM customer
 UNION ALL SELECT o_orderkey * 3 + 1, oi FROM o_o
-UNION ALL SELECT (l_orderkey * 1000 + li) * 3 + 2, lc FROM o_l
+UNION ALL SELECT -(l_orderkey * 2147483648 + li) - 1, lc FROM o_l
 """)
 
 oracle("leaf_pairs", f"""
@@ -844,12 +844,12 @@ FROM lab JOIN ed USING (decl_id)
 oracle("child_edges", f"""
 WITH {O_TREE}
 SELECT o_custkey AS graph_id, o_custkey * 3 AS src, o_orderkey * 3 + 1 AS dst, 'Child' AS edge_type FROM o_o
-UNION ALL SELECT o_custkey, l_orderkey * 3 + 1, (l_orderkey * 1000 + li) * 3 + 2, 'Child' FROM o_l
+UNION ALL SELECT o_custkey, l_orderkey * 3 + 1, -(l_orderkey * 2147483648 + li) - 1, 'Child' FROM o_l
 """)
 
 oracle("computed_from", f"""
 WITH {O_TREE}
-SELECT a.o_custkey AS graph_id, (a.l_orderkey * 1000 + a.li) * 3 + 2 AS src, (b.l_orderkey * 1000 + b.li) * 3 + 2 AS dst,
+SELECT a.o_custkey AS graph_id, -(a.l_orderkey * 2147483648 + a.li) - 1 AS src, -(b.l_orderkey * 2147483648 + b.li) - 1 AS dst,
        'ComputedFrom' AS edge_type
 FROM o_l a JOIN o_l b ON a.l_orderkey = b.l_orderkey AND a.li = 0 AND b.li > 0
 """)
@@ -859,7 +859,7 @@ WITH {O_TREE},
 calls AS (SELECT a.o_custkey, a.o_orderkey AS call_o, b.o_orderkey AS callee_o FROM o_o a JOIN o_o b ON a.o_custkey = b.o_custkey AND b.oi = a.oi + 1),
 na AS (SELECT l_orderkey, count(*) AS n FROM o_l GROUP BY l_orderkey),
 ok AS (SELECT c.* FROM calls c JOIN na x ON x.l_orderkey = c.call_o JOIN na y ON y.l_orderkey = c.callee_o WHERE x.n = y.n)
-SELECT ok.o_custkey AS graph_id, (a.l_orderkey * 1000 + a.li) * 3 + 2 AS src, (p.l_orderkey * 1000 + p.li) * 3 + 2 AS dst,
+SELECT ok.o_custkey AS graph_id, -(a.l_orderkey * 2147483648 + a.li) - 1 AS src, -(p.l_orderkey * 2147483648 + p.li) - 1 AS dst,
        'FormalArgName' AS edge_type
 FROM ok JOIN o_l a ON a.l_orderkey = ok.call_o JOIN o_l p ON p.l_orderkey = ok.callee_o AND p.li = a.li
 WHERE a.l_returnflag <> 'N' AND p.l_returnflag <> 'N'
@@ -867,7 +867,7 @@ WHERE a.l_returnflag <> 'N' AND p.l_returnflag <> 'N'
 
 oracle("returns_to", f"""
 WITH {O_TREE}
-SELECT l.o_custkey AS graph_id, (l.l_orderkey * 1000 + l.li) * 3 + 2 AS src, l.o_custkey * 3 AS dst, 'ReturnsTo' AS edge_type
+SELECT l.o_custkey AS graph_id, -(l.l_orderkey * 2147483648 + l.li) - 1 AS src, l.o_custkey * 3 AS dst, 'ReturnsTo' AS edge_type
 FROM o_l l JOIN o_o o ON o.o_orderkey = l.l_orderkey
 WHERE l.l_returnflag = 'R' AND o.o_orderpriority <> '1-URGENT'
 """)
@@ -877,7 +877,7 @@ WITH {O_TREE},
 st AS (SELECT o_orderkey, o_orderstatus FROM orders),
 cond AS (SELECT o_custkey, o_orderkey FROM o_o WHERE oi = 0),
 cv AS (SELECT DISTINCT c.o_custkey, c.o_orderkey AS cond_o, l.l_returnflag FROM cond c JOIN o_l l ON l.l_orderkey = c.o_orderkey)
-SELECT DISTINCT b.o_custkey AS graph_id, (l.l_orderkey * 1000 + l.li) * 3 + 2 AS src, cv.cond_o * 3 + 1 AS dst,
+SELECT DISTINCT b.o_custkey AS graph_id, -(l.l_orderkey * 2147483648 + l.li) - 1 AS src, cv.cond_o * 3 + 1 AS dst,
        CASE WHEN st.o_orderstatus = 'O' THEN 'GuardedByNegation' ELSE 'GuardedBy' END AS edge_type
 FROM o_o b JOIN st ON st.o_orderkey = b.o_orderkey JOIN o_l l ON l.l_orderkey = b.o_orderkey
 JOIN cv ON cv.o_custkey = b.o_custkey AND cv.l_returnflag = l.l_returnflag
@@ -900,9 +900,10 @@ SELECT graph_id, label, count(*) AS cnt FROM lab GROUP BY ALL
 
 B_CELLS = """
 b_r AS (SELECT vec_id, embedding, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS step FROM embeddings),
-b_v AS (SELECT label AS item, CAST(step AS INTEGER) AS step, CAST(unnest(range(10)) AS INTEGER) AS beam,
-               CAST(unnest(embedding[1:10]) AS DOUBLE) AS v FROM b_r WHERE step < 5),
-b_c AS (SELECT item, step, beam, CAST(abs(CAST(trunc(v * 1000) AS INTEGER)) % 25 AS INTEGER) AS token_id, v AS logp FROM b_v),
+b_v AS (SELECT CAST(label AS VARCHAR) || ':' || CAST(step // 5 AS VARCHAR) AS item, CAST(step % 5 AS INTEGER) AS step,
+               CAST(unnest(range(len(embedding))) AS INTEGER) AS beam, CAST(unnest(embedding) AS DOUBLE) AS v FROM b_r),
+b_c AS (SELECT item, step, beam, CAST(abs(CAST(trunc(v * 1000) AS INTEGER)) % 25 AS INTEGER) AS token_id, v AS logp
+        FROM b_v WHERE beam < 10),
 b_d AS (SELECT n_nationkey AS token_id, lower(n_name) AS subtoken FROM nation),
 b_s AS (
   SELECT c.item, c.beam,
@@ -1008,7 +1009,7 @@ SELECT * FROM u WHERE (element, name) NOT IN (SELECT element, name FROM ev WHERE
 
 E_REC = E_PRED + """,
 cands_ctx AS (
-  SELECT decl_id, name, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sm),
+  SELECT decl_id, name, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM sm),
 vars AS (SELECT decl_id, file_id, token AS ground_truth FROM e_tok WHERE is_decl AND length(token) > 0),
 rec AS (
   SELECT v.decl_id, v.file_id, v.ground_truth,
@@ -1032,7 +1033,7 @@ psum AS (SELECT decl_id, sum(priority) AS psum FROM (SELECT DISTINCT decl_id, mo
 sc AS (
   SELECT p.decl_id, p.name, sum(p.p * p.priority) / any_value(s.psum) AS p
   FROM preds p JOIN psum s USING (decl_id) GROUP BY p.decl_id, p.name),
-r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 6) DESC, name) AS rank FROM sc)
+r AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM sc)
 SELECT decl_id, name, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND p >= 0.001
 """)
 
@@ -1052,7 +1053,7 @@ SELECT graph_id, label, count(*) AS cnt FROM lab GROUP BY ALL
 # ---------------------------------------------------------------------------------------------
 
 W_NGRAMS = """
-wd AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 65536), '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]') AS t FROM documents),
+wd AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9\\s]') AS t FROM documents),
 wt AS (SELECT doc_id, unnest(t) AS t0, unnest(range(len(t))) AS i FROM wd),
 wl AS (
   SELECT t0, lag(t0, 1) OVER w AS t1, lag(t0, 2) OVER w AS t2, lag(t0, 3) OVER w AS t3,
@@ -1142,7 +1143,7 @@ FROM o_var v
 
 oracle("vocab_read", f"""
 WITH {W_VOCAB}
-SELECT CAST(row_number() OVER (ORDER BY idx) AS INTEGER) AS idx, token, cnt, false AS gap FROM w_vocab WHERE cnt >= 2
+SELECT row_number() OVER (ORDER BY idx) AS idx, token, cnt, false AS gap FROM w_vocab WHERE cnt >= 2
 """)
 
 oracle("vocab_write", f"""

@@ -30,7 +30,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "nam
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; only when none is set (tests), make one.
+    """Return the cluster's checkpoint dir; only when none is set and the master is a local one
+    without executors of its own (tests), make one.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...),
     which every executor can read; we never replace it.
@@ -43,5 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
     else:
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="namemine-ckpt-", dir="/tmp"))
     return sc.getCheckpointDir()

@@ -24,7 +24,6 @@ from namemine.sources.tables import read_table
 TOKEN_PATTERN = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]"
 # A piece is a token with the blanks in front of it; offsets are running sums of piece lengths.
 PIECE_PATTERN = r"\s*(?:" + TOKEN_PATTERN + ")"
-MAX_CHARS = 65536
 BLANKS = " \t\n\u000b\f\r"
 
 TOKEN_COLUMNS = [
@@ -61,46 +60,40 @@ def token_kind(token: Column) -> Column:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores when the scan yields fewer splits than cores (one large file
-    with a single row group); a no-op on a cluster input that is already split finely.
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The documents table (selected columns), hash-partitioned by document.
 
-    Text rows carry all per-row work up to the first shuffle (regex, n-gram generation), so
-    they must not sit in one task.
+    Text rows carry all per-row work up to the first shuffle (regex, n-gram generation). One
+    shuffle of the texts deals them out evenly whatever the file's row groups are, and token rows
+    made from them stay partitioned by file, so per-file windows and groups need no shuffle of
+    token rows, which are many times larger.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 2)
-    return df
-
-
-def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """The documents table (selected columns), spread over the cores."""
-    return spread(read_table(spark, sf_dir, "documents").select(*(cols or ("doc_id", "text", "lang", "source", "n_chars"))))
+    cols = cols or ("doc_id", "text", "lang", "source", "n_chars")
+    return read_table(spark, sf_dir, "documents").select(*dict.fromkeys(["doc_id", *cols])).repartition("doc_id").select(*cols)
 
 
-def word_files(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """``files(project, file_id, path, text, n_chars)`` from documents, clamped to ``max_chars``."""
+def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files(project, file_id, path, text, n_chars)`` from documents (whole texts; S2 clamps)."""
     docs = documents(spark, sf_dir, "source", "doc_id", "text", "n_chars")
     return docs.select(
         F.col("source").alias("project"),
         F.col("doc_id").alias("file_id"),
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
-        F.substring("text", 1, max_chars).alias("text"),
+        "text",
         F.col("n_chars"),
     )
 
 
-def word_token_arrays(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) -> DataFrame:
+def word_token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file with the token array (no shuffle; used by array-based n-gram counting)."""
-    files = word_files(spark, sf_dir, max_chars)
+    files = word_files(spark, sf_dir)
     return files.select(
         "project", "file_id",
         F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0).alias("tokens"),
     )
 
 
-def word_tokens(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) -> DataFrame:
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding W: ``tokens`` rows from documents.
 
     ``decl_id`` = ``doc_id:token`` for words starting lower-case (variables), the first
@@ -108,7 +101,7 @@ def word_tokens(spark: SparkSession, sf_dir: str, max_chars: int = MAX_CHARS) ->
     ``offset`` and ``line`` are running sums over the blank-prefixed pieces; Catalyst drops
     these windows when a query does not use them.
     """
-    files = word_files(spark, sf_dir, max_chars)
+    files = word_files(spark, sf_dir)
     # one regex pass: each piece is a token with the blanks in front of it; the token is the
     # piece without its leading blanks (\s of the pattern = these six chars)
     rows = files.select(
@@ -187,8 +180,9 @@ AST_COLUMNS = ["file_id", "method_id", "node_id", "parent_id", "child_ix", "raw_
 
 def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ast`` rows: customer node (root, id 3k), its orders (id 3k+1, ``child_ix`` by orderkey,
-    range = orderkey), their lines (id 3(1000 orderkey + ix)+2, ``child_ix`` by line attributes,
-    range = quantity, text = return flag)."""
+    range = orderkey), their lines (id -(2^31 orderkey + ix) - 1, ``child_ix`` by line attributes,
+    range = quantity, text = return flag). A line index is a 32-bit number, so no two nodes
+    share an id however many lines an order has."""
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *[
@@ -211,7 +205,7 @@ def order_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ix = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1).cast("int")
     lnode = lo.select("c_nationkey", "o_custkey", "l_orderkey", "l_returnflag", "l_quantity", ix.alias("ix")).select(
         F.col("c_nationkey").alias("file_id"), F.col("o_custkey").alias("method_id"),
-        ((F.col("l_orderkey") * 1000 + F.col("ix")) * 3 + 2).alias("node_id"),
+        (-(F.col("l_orderkey") * F.lit(1 << 31) + F.col("ix")) - 1).alias("node_id"),
         (F.col("l_orderkey") * 3 + 1).alias("parent_id"), F.col("ix").alias("child_ix"),
         F.lit(O_TYPES["line"]).alias("raw_type"), F.col("l_returnflag").alias("text"),
         F.col("l_quantity").cast("bigint").alias("start"), F.col("l_quantity").cast("bigint").alias("end"),
@@ -274,21 +268,20 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BEAM_STEPS = 5
-BEAM_WIDTH = 10
 DICT_SIZE = 25
 
 
 def beam_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``beams(item, step, beam, token_id, logp)``: item = label, step = rank of the vector in its
-    label (first 5), beam = index 0..9 of the embedding, logp = the value,
-    token_id = |trunc(value * 1000)| mod 25."""
+    """``beams(item, step, beam, token_id, logp)``: a label's vectors in order of their ids make
+    items of 5 steps each (item = ``label:number``), beam = index of the value in the embedding,
+    logp = the value, token_id = |trunc(value * 1000)| mod 25. Every vector and value is a cell."""
     emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    ranked = emb.withColumn("step", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int")) \
-        .where(F.col("step") < BEAM_STEPS)
-    cells = ranked.select("label", "step", F.posexplode(F.slice("embedding", 1, BEAM_WIDTH)).alias("beam", "v"))
+    ranked = group_positions(emb, ["label"], ["vec_id"], out="rank", coarse=F.floor(F.col("vec_id") / 65536))
+    item = F.concat_ws(":", F.col("label").cast("string"), F.floor(F.col("rank") / BEAM_STEPS).cast("string"))
+    cells = ranked.select(item.alias("item"), (F.col("rank") % BEAM_STEPS).cast("int").alias("step"), F.posexplode("embedding").alias("beam", "v"))
     v = F.col("v").cast("double")
     return cells.select(
-        F.col("label").alias("item"), "step", F.col("beam").cast("int").alias("beam"),
+        "item", "step", F.col("beam").cast("int").alias("beam"),
         (F.abs((v * 1000).cast("int")) % DICT_SIZE).cast("int").alias("token_id"), v.alias("logp"),
     )
 

@@ -24,7 +24,9 @@ def read_corpus(spark: SparkSession, root: str, glob: str = "*.java", project_de
         .option("pathGlobFilter", glob).text(root)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
-    rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
+    # the whole root, quoted, whatever scheme stands before it
+    below = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
+    rel = F.regexp_replace("path", "^.*?\\Q" + below + "\\E/", "")
     return raw.select(
         F.split(rel, "/").getItem(project_depth - 1).alias("project"),
         F.sha2("path", 256).alias("file_id"),

@@ -14,15 +14,14 @@ from namemine.operators import feedback, lm
 from namemine.sources.bindings import TOKEN_PATTERN
 
 
-def stream_ngram_counts(changes: DataFrame, order: int = lm.ORDER, pattern: str = TOKEN_PATTERN,
-                        max_chars: int = 65536) -> DataFrame:
+def stream_ngram_counts(changes: DataFrame, order: int = lm.ORDER, pattern: str = TOKEN_PATTERN) -> DataFrame:
     """Change log ``(file_id, text, sign)`` (+1 learn, -1 forget) -> current n-gram counts.
 
     Each file is one row: its n-grams come from array functions in the row (no window, which a
     stream could not run), then ``sum(sign)`` per n-gram. Rows that reach 0 are dropped on read.
     """
     toks = changes.select(
-        "sign", F.regexp_extract_all(F.substring("text", 1, max_chars), F.lit(pattern), 0).alias("tokens")
+        "sign", F.regexp_extract_all("text", F.lit(pattern), 0).alias("tokens")
     )
     t = F.col("tokens")
     windows = F.transform(
