@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rename_stats(events: DataFrame, applied: str = "applied", ignored: str = "ignored") -> DataFrame:
-    """F1: number of applied / ignored renames and their score lists (sorted)."""
-    a, i = F.col("action") == applied, F.col("action") == ignored
-    return events.agg(
-        F.count_if(a).alias("applied"), F.count_if(i).alias("ignored"),
-        F.sort_array(F.collect_list(F.when(a, F.col("value")))).alias("applied_scores"),
-        F.sort_array(F.collect_list(F.when(i, F.col("value")))).alias("ignored_scores"),
-    )
+    """F1: applied / ignored renames by score -> ``(action, score, cnt)``, action being applied or
+    ignored. ``value`` is a score or an array of them (an ignore may carry a list); the sum of
+    ``cnt`` is the number of renames with a score, a sorted list of the rows the score list. Rows
+    instead of two lists keep every row and every stream state small."""
+    rows = events.where(F.col("action").isin(applied, ignored))
+    if isinstance(events.schema["value"].dataType, T.ArrayType):
+        rows = rows.withColumn("value", F.explode("value"))
+    name = F.when(F.col("action") == applied, F.lit("applied")).otherwise(F.lit("ignored"))
+    return rows.groupBy(name.alias("action"), F.col("value").alias("score")).agg(F.count("*").alias("cnt"))
 
 
 def latest_state(events: DataFrame, key: str = "element") -> DataFrame:

@@ -8,6 +8,8 @@ rows (straight-line code) or a bounded frontier walk over a user-given ``cfg`` (
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -83,15 +85,17 @@ def last_lexical_use(tokens: DataFrame, partition: Sequence[str] = ()) -> DataFr
     return _token_edge(_previous_in_group(v, ["token", *partition]), F.col("_prev"), LAST_LEXICAL_USE)
 
 
-def rewire_target(tokens: DataFrame, target_col: str = "target") -> DataFrame:
-    """LastLexicalUse per (variable graph, target flag): occurrences of the target chain
-    among themselves, other occurrences of the same text among themselves -> edges with the
-    target variable as ``graph_id`` suffix column ``target``."""
-    t = tokens.where(F.col("decl_id").isNotNull()).withColumn("is_target", F.col("decl_id") == F.col(target_col))
-    w = Window.partitionBy(target_col, "file_id", "token", "is_target").orderBy("pos")
-    e = t.select(target_col, F.col("file_id").alias("graph_id"), F.col("pos").cast("bigint").alias("src"),
-                 F.lag("pos").over(w).cast("bigint").alias("dst"), F.lit(LAST_LEXICAL_USE).alias("edge_type"))
-    return e.dropna(subset=["dst"]).dropDuplicates([target_col, *EDGE_COLUMNS])
+def rewire_target(tokens: DataFrame, targets: DataFrame) -> DataFrame:
+    """The LastLexicalUse edges that a target variable changes in its own graph: occurrences of
+    the target chain among themselves, other occurrences of its text among themselves -> edges with
+    the target variable in ``target``. ``targets(file_id, token, target)``: a variable and its text;
+    tokens of other texts keep their edges (G4) and aren't touched."""
+    t = tokens.where(F.col("decl_id").isNotNull()).join(targets, ["file_id", "token"]) \
+        .withColumn("is_target", F.col("decl_id") == F.col("target"))
+    linked = _previous_in_group(t, ["target", "is_target"])
+    e = linked.select("target", F.col("file_id").alias("graph_id"), F.col("pos").cast("bigint").alias("src"),
+                      F.col("_prev").cast("bigint").alias("dst"), F.lit(LAST_LEXICAL_USE).alias("edge_type"))
+    return e.dropna(subset=["dst"]).dropDuplicates(["target", *EDGE_COLUMNS])
 
 
 def child_edges(ast: DataFrame) -> DataFrame:
@@ -111,73 +115,97 @@ def last_use(tokens: DataFrame) -> DataFrame:
 
 def last_write(tokens: DataFrame, chunk: int = sequences.CHUNK) -> DataFrame:
     """Usage -> latest write strictly before it (as-of join; the write position itself still
-    sees the older write).
-
-    A scan with carries: inside each (file, variable, chunk of positions) a window takes the
-    latest earlier write (at most ``chunk`` rows per window); the latest write of all earlier
-    chunks of the variable comes from a small per-chunk summary table."""
-    v = tokens.where(F.col("decl_id").isNotNull()).withColumn("_c", F.floor(F.col("pos") / chunk))
-    keys = ["file_id", "decl_id"]
-    w = Window.partitionBy(*keys, "_c").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    local = v.withColumn("_lw", F.max(F.when(F.col("is_write"), F.col("pos"))).over(w))
-    summary = v.groupBy(*keys, "_c").agg(F.max(F.when(F.col("is_write"), F.col("pos"))).alias("_cw"))
-    carry = summary.select(
-        *keys, "_c",
-        F.max("_cw").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-    )
-    j = local.join(carry, [*keys, "_c"])
-    return _token_edge(j, F.coalesce("_lw", "_carry"), LAST_WRITE)
-
-
-def flow_last_use(uses: DataFrame, cfg: DataFrame, max_rounds: int = 64, checkpoint_every: int = 4) -> DataFrame:
-    """Last uses along a control-flow graph: from every use walk the ``cfg`` backwards until
-    a use of the same variable; every use met first on some path is a last use -> edges.
-
-    ``uses(file_id, pos, decl_id)``, ``cfg(file_id, from, to)`` between token positions. A
-    breadth-first frontier per (use, variable) with a visited set (anti-join), so loops end; the
-    frontier is persisted each round and checkpointed every few rounds.
+    sees the older write); see :func:`sequences.latest_flagged`."""
+    v = tokens.where(F.col("decl_id").isNotNull())
+    found = sequences.latest_flagged(v, ["file_id", "decl_id"], F.col("is_write"), "_lw", chunk=chunk)
+    return _token_edge(found, F.col("_lw"), LAST_WRITE)
+
+
+def straight_runs(cfg: DataFrame, chunk: int = sequences.CHUNK) -> DataFrame:
+    """``file_id, pos, run``: the straight run of every node of ``cfg``, named by its first node. A run
+    goes on from p to p + 1 while p has no other successor and p + 1 no other predecessor."""
+    edges = cfg.select("file_id", "from", "to").distinct()
+    outs = edges.groupBy("file_id", F.col("from").alias("pos")).agg(F.count("*").alias("n_out"))
+    ins = edges.groupBy("file_id", F.col("to").alias("pos")).agg(F.count("*").alias("n_in"))
+    on = (edges.where(F.col("to") == F.col("from") + 1)
+          .join(outs.where("n_out = 1"), (edges["file_id"] == outs["file_id"]) & (edges["from"] == outs["pos"]), "left_semi")
+          .join(ins.where("n_in = 1"), (edges["file_id"] == ins["file_id"]) & (edges["to"] == ins["pos"]), "left_semi")
+          .select("file_id", F.col("to").alias("pos"), F.lit(False).alias("head")))
+    nodes = edges.select("file_id", F.col("from").alias("pos")).union(edges.select("file_id", "to")).distinct()
+    told = nodes.join(on, ["file_id", "pos"], "left").withColumn("head", F.coalesce("head", F.lit(True)))
+    return sequences.latest_flagged(told, ["file_id"], F.col("head"), "run", inclusive=True, chunk=chunk).select("file_id", "pos", "run")
+
+
+def flow_last_use_write(uses: DataFrame, cfg: DataFrame, max_rounds: int | None = None, chunk: int = sequences.CHUNK) -> DataFrame:
+    """Last uses and last writes along a control-flow graph: from every use walk the ``cfg``
+    backwards; every use (every write) of the same variable met first on some way is a last
+    use (a last write) -> edges.
+
+    ``uses(file_id, pos, decl_id, is_write)``, ``cfg(file_id, from, to)`` between token positions.
+    Inside a straight run the answer is a scan. Only (variable, run) pairs whose first use isn't
+    preceded by a marked one walk back, from run to run (a straight chain of any length takes no
+    round), with a visited set, until the frontier is empty; ``max_rounds`` raises instead of dropping
+    edges.
     """
     ensure_checkpoint_dir(uses.sparkSession)
-    back = cfg.select("file_id", F.col("to").alias("at"), F.col("from").alias("prev")).persist(StorageLevel.MEMORY_AND_DISK)
-    mark = uses.select("file_id", F.col("pos").alias("prev"), "decl_id", F.lit(True).alias("hit"))
-    start = uses.select("file_id", "decl_id", F.col("pos").alias("use"), F.col("pos").alias("at"))
-    visited = start
-    front = start
-    found = None
-    for r in range(max_rounds):
-        step = front.join(back, ["file_id", "at"]).select("file_id", "decl_id", "use", "prev")
-        step = step.join(mark, ["file_id", "prev", "decl_id"], "left").distinct()
-        hits = step.where(F.col("hit")).select("file_id", "decl_id", "use", F.col("prev").alias("last"))
-        found = hits if found is None else found.unionByName(hits)
-        nxt = step.where(F.col("hit").isNull()).select("file_id", "decl_id", "use", F.col("prev").alias("at"))
-        nxt = nxt.join(visited, ["file_id", "decl_id", "use", "at"], "left_anti")
-        nxt = nxt.checkpoint() if (r + 1) % checkpoint_every == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
+    runs = straight_runs(cfg, chunk).checkpoint()
+    to_run = runs.select("file_id", F.col("pos").alias("to"), "run").where(F.col("to") == F.col("run"))
+    from_run = runs.select("file_id", F.col("pos").alias("from"), F.col("run").alias("before"))
+    steps = cfg.select("file_id", "from", "to").distinct().join(to_run, ["file_id", "to"]).join(from_run, ["file_id", "from"]) \
+        .select("file_id", F.col("run").alias("at"), F.col("before").alias("next")).distinct().checkpoint()
+    # a use outside the graph is a run of its own that nothing flows into
+    placed = uses.select("file_id", "pos", "decl_id", "is_write").join(runs, ["file_id", "pos"], "left") \
+        .withColumn("run", F.coalesce("run", "pos"))
+    kinds = F.explode(F.array(F.struct(F.lit(LAST_USE).alias("edge_type"), F.lit(True).alias("mark")),
+                              F.struct(F.lit(LAST_WRITE).alias("edge_type"), F.col("is_write").alias("mark"))))
+    marked = placed.withColumn("k", kinds).select("file_id", "decl_id", "run", "pos", "k.edge_type", "k.mark")
+    keys = ["file_id", "decl_id", "edge_type", "run"]
+    told = sequences.latest_flagged(marked, keys, F.col("mark"), "last", chunk=chunk).select(*keys, "pos", "mark", "last").checkpoint()
+    held = told.where("mark").groupBy("file_id", "decl_id", "edge_type", F.col("run").alias("at")).agg(F.max("pos").alias("last")).checkpoint()
+    starts = told.where(F.col("last").isNull())
+    front = starts.select(*keys).distinct().withColumn("at", F.col("run"))
+    visited = front.limit(0)
+    hits = []
+    for r in count():
+        if max_rounds is not None and r >= max_rounds:
+            raise ValueError(f"the walk isn't over after {max_rounds} rounds")
+        seen = front.join(steps, ["file_id", "at"]).select(*keys, F.col("next").alias("at")).distinct()
+        fresh = seen.join(visited, [*keys, "at"], "left_anti").join(held, ["file_id", "decl_id", "edge_type", "at"], "left") \
+            .select(*keys, "at", "last").checkpoint()
+        if fresh.isEmpty():
             break
-        visited = visited.unionByName(nxt)
-        if (r + 1) % checkpoint_every == 0:
+        hits.append(fresh.where(F.col("last").isNotNull()).select(*keys, "last"))
+        visited = visited.unionByName(fresh.select(*keys, "at"))
+        if (r + 1) % 8 == 0:
             visited = visited.checkpoint()
-            found = found.checkpoint()
-        front = nxt
+        front = fresh.where(F.col("last").isNull()).select(*keys, "at")
+    found = told.where(F.col("last").isNotNull()).select("file_id", "pos", "last", "edge_type")
+    if hits:
+        back = reduce(DataFrame.unionByName, hits).distinct()
+        found = found.unionByName(starts.drop("last").join(back, keys).select("file_id", "pos", "last", "edge_type"))
     return edge_dedup(found.select(
-        F.col("file_id").alias("graph_id"), F.col("use").cast("bigint").alias("src"),
-        F.col("last").cast("bigint").alias("dst"), F.lit(LAST_USE).alias("edge_type"),
-    ))
+        F.col("file_id").alias("graph_id"), F.col("pos").cast("bigint").alias("src"),
+        F.col("last").cast("bigint").alias("dst"), "edge_type"))
 
 
-def subtree_closure(ast: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(ancestor, node, depth) for every node and each of its ancestors (depth >= 0), by one
-    join per level; depth-bounded."""
+def subtree_closure(ast: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None, checkpoint_every: int = 4) -> DataFrame:
+    """(ancestor, node, depth) for every node of ``nodes(node_id)`` (default: all of ``ast``) and each
+    of its ancestors (depth >= 0), one join per level until no node has a parent left; ``max_depth``
+    raises instead of dropping ancestors. Climb only from the nodes that a query asks for."""
+    ensure_checkpoint_dir(ast.sparkSession)
     parent = ast.select("node_id", "parent_id").where(F.col("parent_id").isNotNull()) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    cur = ast.select(F.col("node_id").alias("anc"), "node_id", F.lit(0).alias("depth"))
+    wanted = ast if nodes is None else nodes
+    cur = wanted.select(F.col("node_id").alias("anc"), "node_id", F.lit(0).alias("depth")).distinct()
     out = cur
-    for _ in range(max_depth):
+    for r in count():
         cur = cur.join(parent.withColumnRenamed("node_id", "anc"), "anc").select(
-            F.col("parent_id").alias("anc"), "node_id", (F.col("depth") + 1).alias("depth")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+            F.col("parent_id").alias("anc"), "node_id", (F.col("depth") + 1).alias("depth"))
+        cur = cur.checkpoint() if (r + 1) % checkpoint_every == 0 else cur.persist(StorageLevel.MEMORY_AND_DISK)
         if cur.isEmpty():
             break
+        if max_depth is not None and r >= max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth} levels")
         out = out.unionByName(cur)
     return out
 

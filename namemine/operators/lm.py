@@ -138,9 +138,18 @@ def _suffix_terms(seqs: DataFrame, ids: list[str], seq_col: str, ngrams: DataFra
         F.posexplode(F.transform(F.sequence(F.lit(1), F.size(s)), lambda k: suffix(s, k))).alias("_i", "g"),
     ).select(*keep, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
     c = ngrams.select(*scope, F.col("ngram").alias("g"), F.col("cnt").alias("c"))
-    x = contexts.select(*scope, "ctx", F.col("cnt").alias("x"))
-    j = ex.join(c, [*scope, "g"], "left").join(x, [*scope, "ctx"], "left")
-    cc, xx = F.coalesce("c", F.lit(0)), F.coalesce("x", F.lit(0))
+    x = contexts.select(*scope, F.col("ctx").alias("jctx"), F.col("cnt").alias("x"))
+    if scope:
+        ex, xx = ex.withColumn("jctx", F.col("ctx")), F.coalesce("x", F.lit(0))
+    else:
+        # the empty context is one value for all sequences: a scalar, not a key that holds a row
+        # of every sequence; its rows are dealt by their own token and match nothing
+        empty = contexts.where(F.size("ctx") == 0).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("x")).scalar()
+        ex = ex.withColumn("jctx", F.when(F.col("k") > 1, F.col("ctx")).otherwise(F.concat(F.array(F.lit("")), F.col("g"))))
+        xx = F.when(F.col("k") == 1, empty).otherwise(F.coalesce("x", F.lit(0)))
+        x = x.where(F.size("jctx") > 0)
+    j = ex.join(c, [*scope, "g"], "left").join(x, [*scope, "jctx"], "left")
+    cc = F.coalesce("c", F.lit(0))
     if minus is not None:
         mc = minus[0].select(*minus_keys, F.col("ngram").alias("g"), F.col("cnt").alias("mc"))
         mx = minus[1].select(*minus_keys, "ctx", F.col("cnt").alias("mx"))
@@ -230,24 +239,36 @@ def successors(ngrams: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def candidates(usage_rows: DataFrame, ngrams: DataFrame, ids: Sequence[str] = ("file_id", "pos"),
-               ngram_col: str = "ngram", k: int = TOP_K) -> DataFrame:
+               ngram_col: str = "ngram", k: int = TOP_K, known: DataFrame | None = None) -> DataFrame:
     """M9: names that may follow a usage's context: the union over every context suffix
     (the empty one included) of its top-``k`` successors -> (ids, name) distinct.
 
     The empty context is the same for every usage; its ``k`` names travel as one scalar
-    array (a proven bound of ``k``) instead of a join on a single hot key.
+    array (a proven bound of ``k``) instead of a join on a single hot key. ``known`` (T2 table)
+    keeps only names declared with the usage's ``kind`` (T3): the kinds of a name (few) join
+    the successors, before these meet the usages, so frequent names are no hot keys.
     """
     ids = list(ids)
     succ = successors(ngrams, k)
+    kinds = F.array().cast("array<string>")
+    extra = [] if known is None else ["kind"]
+    if known is not None:
+        of_name = known.groupBy(F.col("token").alias("name")).agg(F.collect_set("kind").alias("kinds"))
+        succ = succ.join(of_name, "name")
+    else:
+        succ = succ.withColumn("kinds", kinds)
     body = prefix_drop_last(F.col(ngram_col))
     # sequence(1, 0) would count down, so rows with an empty body are left out here
     ex = usage_rows.where(F.size(body) > 0).select(
-        *ids, F.explode(F.transform(F.sequence(F.lit(1), F.size(body)), lambda j: suffix(body, j))).alias("ctx")
+        *ids, *extra, F.explode(F.transform(F.sequence(F.lit(1), F.size(body)), lambda j: suffix(body, j))).alias("ctx")
     )
-    from_ctx = ex.join(succ.where(F.size("ctx") > 0).select("ctx", "name"), "ctx").select(*ids, "name")
-    top = succ.where(F.size("ctx") == 0).agg(F.collect_list("name")).scalar()
-    from_empty = usage_rows.select(*ids, F.explode(top).alias("name"))
-    return from_ctx.unionByName(from_empty).distinct()
+    from_ctx = ex.join(succ.where(F.size("ctx") > 0).select("ctx", "name", "kinds"), "ctx").select(*ids, *extra, "name", "kinds")
+    top = succ.where(F.size("ctx") == 0).agg(F.collect_list(F.struct("name", "kinds"))).scalar()
+    from_empty = usage_rows.select(*ids, *extra, F.explode(top).alias("t")).select(*ids, *extra, "t.name", "t.kinds")
+    both = from_ctx.unionByName(from_empty)
+    if known is not None:
+        both = both.where(F.array_contains(F.col("kinds"), F.col("kind")))
+    return both.select(*ids, "name").distinct()
 
 
 def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
@@ -266,12 +287,8 @@ def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | N
     ids = ["file_id", "pos"]
     u = usage_rows.select(*ids, "decl_id", "kind", F.col(ngram_col).alias("ngram"))
     prio = usage_priorities(u, contexts, ids=ids, seq_col="ngram")
-    cands = candidates(u, ngrams, ids, "ngram", k)
-    cands = cands.join(u.select(*ids, "decl_id", "kind", "ngram"), ids)
-    if known is not None:
-        cands = cands.join(
-            known.select("kind", F.col("token").alias("name")), ["kind", "name"], "left_semi"
-        )
+    cands = candidates(u, ngrams, ids, "ngram", k, known)
+    cands = cands.join(u.select(*ids, "decl_id", "ngram"), ids)
     seqs = cands.select(
         *ids, "decl_id", "name",
         F.concat(prefix_drop_last(F.col("ngram")), F.array(F.col("name"))).alias("seq"),
@@ -331,11 +348,8 @@ def context_candidates(usage_rows: DataFrame, ngrams: DataFrame, known: DataFram
     """Union over all target positions of the candidates after the context with every
     target masked -> (decl_id, kind, name) distinct, kind-filtered (T3) when ``known`` is given."""
     ids = ["file_id", "pos"]
-    c = candidates(usage_rows, ngrams, ids, "ngram", k)
-    c = c.join(usage_rows.select(*ids, "decl_id", "kind"), ids).select("decl_id", "kind", "name").distinct()
-    if known is not None:
-        c = c.join(known.select("kind", F.col("token").alias("name")), ["kind", "name"], "left_semi")
-    return c
+    c = candidates(usage_rows, ngrams, ids, "ngram", k, known)
+    return c.join(usage_rows.select(*ids, "decl_id", "kind"), ids).select("decl_id", "kind", "name").distinct()
 
 
 def union_positions(targets: DataFrame, scope_sizes: DataFrame, order: int = ORDER,

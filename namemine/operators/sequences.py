@@ -56,6 +56,24 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str | C
     ).drop("_b", "_l", "_o")
 
 
+def latest_flagged(df: DataFrame, keys: Sequence[str], flag: Column, out: str, inclusive: bool = False,
+                   pos: str = "pos", chunk: int = CHUNK) -> DataFrame:
+    """Adds ``out`` = the latest position with ``flag`` in the row's group before it (or at it, if
+    ``inclusive``); null if there is none.
+
+    A scan with carries: a window takes it inside each (group, chunk of positions), so at most
+    ``chunk`` rows meet in one window; what earlier chunks hold comes from a small per-chunk summary."""
+    keys = list(keys)
+    end = Window.currentRow if inclusive else -1
+    marked = F.when(flag, F.col(pos))
+    v = df.withColumn("_c", F.floor(F.col(pos) / chunk))
+    local = v.withColumn("_in", F.max(marked).over(Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, end)))
+    summary = v.groupBy(*keys, "_c").agg(F.max(marked).alias("_m"))
+    earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(*keys, "_c", F.max("_m").over(earlier).alias("_carry"))
+    return local.join(carry, [*keys, "_c"]).withColumn(out, F.coalesce("_in", "_carry")).drop("_c", "_in", "_carry")
+
+
 def chunked(df: DataFrame, before: int, after: int, chunk: int = CHUNK, pos: str = "pos") -> DataFrame:
     """Rows tagged with ``_chunk`` (= pos div chunk) plus halo copies (``_halo`` true) of the
     ``before`` last rows of the previous chunk and the ``after`` first rows of the next chunk.
@@ -64,10 +82,10 @@ def chunked(df: DataFrame, before: int, after: int, chunk: int = CHUNK, pos: str
     c = F.floor(p / chunk).cast("long")
     own = df.withColumn("_chunk", c).withColumn("_halo", F.lit(False))
     parts = [own]
-    if before > 0:
-        parts.append(df.where(p % chunk >= chunk - before).withColumn("_chunk", c + 1).withColumn("_halo", F.lit(True)))
-    if after > 0:
-        parts.append(df.where(p % chunk < after).withColumn("_chunk", c - 1).withColumn("_halo", F.lit(True)))
+    for j in range(1, -(-before // chunk) + 1):  # one chunk on, unless the frame is wider than a chunk
+        parts.append(df.where(p >= (c + j) * chunk - before).withColumn("_chunk", c + j).withColumn("_halo", F.lit(True)))
+    for j in range(1, -(-after // chunk) + 1):
+        parts.append(df.where(p < (c - j + 1) * chunk + after).withColumn("_chunk", c - j).withColumn("_halo", F.lit(True)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -101,9 +101,8 @@ def q_candidates(spark, sf_dir):
     toks = B.word_tokens(spark, sf_dir)
     ng = lm.ngram_counts_from_arrays(B.word_token_arrays(spark, sf_dir))
     u = usages.left_ngrams(toks)
-    c = lm.candidates(u, ng, ["file_id", "pos"])
-    c = c.join(u.select("file_id", "pos", "decl_id", "kind"), ["file_id", "pos"])
-    c = c.join(tokens.known_names(toks).select("kind", F.col("token").alias("name")), ["kind", "name"], "left_semi")
+    c = lm.candidates(u, ng, ["file_id", "pos"], known=tokens.known_names(toks))
+    c = c.join(u.select("file_id", "pos", "decl_id"), ["file_id", "pos"])
     return c.groupBy("decl_id").agg(F.countDistinct("name").alias("n_names"))
 
 
@@ -484,14 +483,13 @@ def q_path_string(spark, sf_dir):
     return p.groupBy("path").agg(F.count("*").alias("cnt"))
 
 
-def order_path_contexts(spark, sf_dir):
-    methods = trees.method_labels(B.order_methods(spark, sf_dir)).withColumnRenamed("label", "name")
-    return trees.path_contexts(order_leaf_chains(spark, sf_dir), methods.select("method_id", "name"))
+def order_labels(spark, sf_dir):
+    return trees.method_labels(B.order_methods(spark, sf_dir)).withColumnRenamed("label", "name")
 
 
 @query("path_contexts")
 def q_path_contexts(spark, sf_dir):
-    return order_path_contexts(spark, sf_dir).select("method_id", "line")
+    return trees.path_contexts(order_leaf_chains(spark, sf_dir), order_labels(spark, sf_dir)).select("method_id", "line")
 
 
 @query("method_label")
@@ -501,7 +499,8 @@ def q_method_label(spark, sf_dir):
 
 @query("context_cap")
 def q_context_cap(spark, sf_dir):
-    return trees.context_cap(order_path_contexts(spark, sf_dir)).select("method_id", "capped")
+    rows = trees.context_rows(order_leaf_chains(spark, sf_dir))
+    return trees.context_cap(rows, order_labels(spark, sf_dir)).select("method_id", "capped")
 
 
 @query("method_length")
@@ -576,9 +575,9 @@ def event_cfg(toks):
 
 
 @query("flow_last_use_write")
-def q_flow_last_use(spark, sf_dir):
+def q_flow_last_use_write(spark, sf_dir):
     toks = B.event_tokens(spark, sf_dir)
-    return graphs.flow_last_use(toks.select("file_id", "pos", "decl_id"), event_cfg(toks))
+    return graphs.flow_last_use_write(toks.select("file_id", "pos", "decl_id", "is_write"), event_cfg(toks))
 
 
 def order_graph_inputs(spark, sf_dir):
@@ -593,7 +592,7 @@ def q_computed_from(spark, sf_dir):
     first = lines.where(F.col("child_ix") == 0).select(
         F.col("method_id").alias("graph_id"), F.col("node_id").alias("target"), F.col("parent_id").alias("rhs_root"))
     idents = lines.where(F.col("child_ix") > 0).select("node_id")
-    return graphs.computed_from(first, graphs.subtree_closure(ast), idents)
+    return graphs.computed_from(first, graphs.subtree_closure(ast, idents), idents)
 
 
 @query("formal_arg_name")
@@ -624,7 +623,7 @@ def q_returns_to(spark, sf_dir):
     ast = order_tree_typed(spark, sf_dir)
     returns = ast.where((F.col("raw_type") == B.O_TYPES["line"]) & (F.col("text") == "R")).select(
         F.col("method_id").alias("graph_id"), "node_id")
-    return graphs.returns_to(returns, graphs.subtree_closure(ast), ast)
+    return graphs.returns_to(returns, graphs.subtree_closure(ast, returns), ast)
 
 
 @query("guarded_by")
@@ -637,22 +636,22 @@ def q_guarded_by(spark, sf_dir):
         "method_id", F.col("node_id").alias("body_root"), (F.col("o_orderstatus") == "O").alias("negated"))
     branches = cond.join(body, "method_id").withColumnRenamed("method_id", "graph_id")
     idents = lines.select("node_id", F.concat_ws(":", F.col("method_id").cast("string"), "text").alias("decl_id"))
-    return graphs.guarded_by(branches, graphs.subtree_closure(ast), idents)
+    return graphs.guarded_by(branches, graphs.subtree_closure(ast, idents), idents)
 
 
 @query("rewire_target")
 def q_rewire_target(spark, sf_dir):
     toks = B.event_tokens(spark, sf_dir)
-    targets = toks.select("file_id", F.col("decl_id").alias("target")).distinct()
-    return graphs.rewire_target(toks.join(targets, "file_id")).select("target", "graph_id", "src", "dst")
+    targets = usages.declarations(toks).select("file_id", "token", F.col("decl_id").alias("target"))
+    return graphs.rewire_target(toks, targets).select("target", "graph_id", "src", "dst")
 
 
 @query("state_sets")
 def q_state_sets(spark, sf_dir):
     toks = B.event_tokens(spark, sf_dir)
-    half = F.max("pos").over(Window.partitionBy("file_id")) / 2
-    st = toks.select(F.col("file_id").cast("string").alias("decl_id"), F.col("token").alias("ident"),
-                     (F.col("pos") <= half).alias("first"))
+    half = toks.groupBy("file_id").agg((F.max("pos") / 2).alias("half"))
+    st = toks.join(half, "file_id").select(F.col("file_id").cast("string").alias("decl_id"), F.col("token").alias("ident"),
+                     (F.col("pos") <= F.col("half")).alias("first"))
     a, b = st.where("first").drop("first"), st.where("not first").drop("first")
     merged = graphs.state_merge(a, b).select("decl_id", "ident", "cnt", F.lit("merge").alias("op"))
     dist = graphs.state_distinct(a).select("decl_id", "ident", F.lit(1).cast("bigint").alias("cnt"), F.lit("distinct").alias("op"))
@@ -793,15 +792,9 @@ def q_pick_free_name(spark, sf_dir):
 # F: suggestion state and feedback (binding F)
 # ---------------------------------------------------------------------------------------------
 
-def fmt_scores(c):
-    return F.array_join(F.transform(c, lambda x: F.format_string("%.2f", x)), ",")
-
-
 @query("rename_stats")
 def q_rename_stats(spark, sf_dir):
-    s = feedback.rename_stats(B.feedback_events(spark, sf_dir), applied="applied", ignored="ignore")
-    return s.select("applied", "ignored", fmt_scores("applied_scores").alias("applied_scores"),
-                    fmt_scores("ignored_scores").alias("ignored_scores"))
+    return feedback.rename_stats(B.feedback_events(spark, sf_dir), applied="applied", ignored="ignore")
 
 
 @query("latest_state")
@@ -926,15 +919,15 @@ def order_variables(spark, sf_dir):
 @query("scope_root")
 def q_scope_root(spark, sf_dir):
     ast, uses = order_variables(spark, sf_dir)
-    return usages.scope_root(uses, graphs.subtree_closure(ast)).select("decl_id", "scope_root")
+    return usages.scope_root(uses, graphs.subtree_closure(ast, uses)).select("decl_id", "scope_root")
 
 
 @query("scope_context")
 def q_scope_context(spark, sf_dir):
     ast, uses = order_variables(spark, sf_dir)
-    closure = graphs.subtree_closure(ast)
-    roots = usages.scope_root(uses, closure)
     leaves = trees.tree_leaves(ast).select("node_id")
+    closure = graphs.subtree_closure(ast, leaves.unionByName(uses.select("node_id")))
+    roots = usages.scope_root(uses, closure)
     ctx = usages.scope_context(roots, closure, leaves, uses)
     return ctx.groupBy("decl_id").agg(F.count("*").alias("n_tokens"), F.count_if("is_target").alias("n_targets"))
 
@@ -1032,7 +1025,7 @@ def table_stream(spark, sf_dir, name, schema):
 def q_stream_ngram_counts(spark, sf_dir):
     docs = table_stream(spark, sf_dir, "documents", read_table(spark, sf_dir, "documents").schema)
     changes = docs.select(F.col("doc_id").alias("file_id"), "text", F.lit(1).alias("sign"))
-    out = stream_runner.run_complete(stream_jobs.stream_ngram_counts(changes), "ngrams")
+    out = stream_runner.run_updates(stream_jobs.ngram_changes(changes), scratch(spark, "ngrams"), ["n", "ngram"], ["cnt"])
     return out.where(F.col("cnt") > 0).select("n", joined("ngram").alias("ngram"), "cnt")
 
 
@@ -1046,10 +1039,8 @@ def feedback_stream(spark, sf_dir):
 
 @query("stream_rename_stats")
 def q_stream_rename_stats(spark, sf_dir):
-    s = stream_runner.run_complete(
+    return stream_runner.run_complete(
         stream_jobs.stream_rename_stats(feedback_stream(spark, sf_dir), applied="applied", ignored="ignore"), "stats")
-    return s.select("applied", "ignored", fmt_scores("applied_scores").alias("applied_scores"),
-                    fmt_scores("ignored_scores").alias("ignored_scores"))
 
 
 @query("stream_latest_state")

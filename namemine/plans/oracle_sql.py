@@ -760,11 +760,11 @@ SELECT * FROM e_g g WHERE NOT EXISTS (
 
 oracle("rewire_target", f"""
 WITH {E_TOK},
-tg AS (SELECT DISTINCT file_id, decl_id AS target FROM e_tok),
+tg AS (SELECT file_id, token, decl_id AS target FROM e_tok WHERE is_decl),
 r AS (
   SELECT tg.target, t.file_id AS graph_id, CAST(t.pos AS BIGINT) AS src,
          CAST(lag(t.pos) OVER (PARTITION BY tg.target, t.file_id, t.token, t.decl_id = tg.target ORDER BY t.pos) AS BIGINT) AS dst
-  FROM e_tok t JOIN tg USING (file_id))
+  FROM e_tok t JOIN tg ON tg.file_id = t.file_id AND tg.token = t.token)
 SELECT DISTINCT target, graph_id, src, dst FROM r WHERE dst IS NOT NULL
 """)
 
@@ -790,16 +790,16 @@ cfg AS (
     UNION ALL SELECT file_id, pos, pos + 2 FROM e_tok WHERE token = 'click'
     UNION ALL SELECT file_id, pos, pos - 3 FROM e_tok WHERE token = 'signup' AND pos >= 3) c
   JOIN sizes s USING (file_id) WHERE c.dst <= s.last),
-walk(file_id, decl_id, u, here) AS (
-  SELECT file_id, decl_id, pos, pos FROM e_tok
+walk(kind, file_id, decl_id, u, here) AS (
+  SELECT k.kind, file_id, decl_id, pos, pos FROM e_tok, (VALUES ('LastUse'), ('LastWrite')) k(kind)
   UNION
-  SELECT w.file_id, w.decl_id, w.u, c.frm
+  SELECT w.kind, w.file_id, w.decl_id, w.u, c.frm
   FROM walk w JOIN cfg c ON c.file_id = w.file_id AND c.dst = w.here
-  LEFT JOIN e_tok t ON t.file_id = c.file_id AND t.pos = c.frm AND t.decl_id = w.decl_id
+  LEFT JOIN e_tok t ON t.file_id = c.file_id AND t.pos = c.frm AND t.decl_id = w.decl_id AND (w.kind = 'LastUse' OR t.is_write)
   WHERE t.pos IS NULL)
-SELECT DISTINCT w.file_id AS graph_id, CAST(w.u AS BIGINT) AS src, CAST(c.frm AS BIGINT) AS dst, 'LastUse' AS edge_type
+SELECT DISTINCT w.file_id AS graph_id, CAST(w.u AS BIGINT) AS src, CAST(c.frm AS BIGINT) AS dst, w.kind AS edge_type
 FROM walk w JOIN cfg c ON c.file_id = w.file_id AND c.dst = w.here
-JOIN e_tok t ON t.file_id = c.file_id AND t.pos = c.frm AND t.decl_id = w.decl_id
+JOIN e_tok t ON t.file_id = c.file_id AND t.pos = c.frm AND t.decl_id = w.decl_id AND (w.kind = 'LastUse' OR t.is_write)
 """)
 
 oracle("k_hop_subgraph", f"""
@@ -976,11 +976,8 @@ SELECT decl_id AS element, name FROM best WHERE r = 1
 """)
 
 oracle("rename_stats", f"""
-SELECT count(*) FILTER (WHERE event_type = 'purchase') AS applied,
-       count(*) FILTER (WHERE event_type = 'error') AS ignored,
-       coalesce(string_agg(printf('%.2f', value), ',' ORDER BY value) FILTER (WHERE event_type = 'purchase'), '') AS applied_scores,
-       coalesce(string_agg(printf('%.2f', value), ',' ORDER BY value) FILTER (WHERE event_type = 'error'), '') AS ignored_scores
-FROM events
+SELECT CASE event_type WHEN 'purchase' THEN 'applied' ELSE 'ignored' END AS action, value AS score, count(*) AS cnt
+FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL
 """)
 
 oracle("latest_state", f"""

@@ -14,11 +14,12 @@ from namemine.operators import feedback, lm
 from namemine.sources.bindings import TOKEN_PATTERN
 
 
-def stream_ngram_counts(changes: DataFrame, order: int = lm.ORDER, pattern: str = TOKEN_PATTERN) -> DataFrame:
-    """Change log ``(file_id, text, sign)`` (+1 learn, -1 forget) -> current n-gram counts.
+def ngram_changes(changes: DataFrame, order: int = lm.ORDER, pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """Change log ``(file_id, text, sign)`` (+1 learn, -1 forget) -> ``(n, ngram, cnt)`` changes,
+    whose sum is the current model (``runner.run_updates`` adds them up batch by batch).
 
     Each file is one row: its n-grams come from array functions in the row (no window, which a
-    stream could not run), then ``sum(sign)`` per n-gram. Rows that reach 0 are dropped on read.
+    stream could not run). The stream holds no state.
     """
     toks = changes.select(
         "sign", F.regexp_extract_all("text", F.lit(pattern), 0).alias("tokens")
@@ -31,7 +32,7 @@ def stream_ngram_counts(changes: DataFrame, order: int = lm.ORDER, pattern: str
     win = toks.where(F.size(t) > 0).select("sign", F.explode(windows).alias("win"))
     grams = win.select("sign", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("win")), lambda n: lm.suffix(F.col("win"), n))).alias("ngram"))
-    return grams.groupBy(F.size("ngram").alias("n"), "ngram").agg(F.sum("sign").alias("cnt"))
+    return grams.select(F.size("ngram").alias("n"), "ngram", F.col("sign").cast("bigint").alias("cnt"))
 
 
 def stream_rename_stats(events: DataFrame, applied: str = "applied", ignored: str = "ignored") -> DataFrame:

@@ -73,7 +73,7 @@ def test_chains(spark):
     assert g4 == {(5, 1), (9, 5)}
     g6 = {(r["src"], r["dst"]) for r in graphs.last_use(df).collect()}
     assert g6 == {(9, 1)}
-    g13 = graphs.rewire_target(df.withColumn("target", F.lit("d1")))
+    g13 = graphs.rewire_target(df, spark.createDataFrame([(1, "i", "d1")], "file_id int, token string, target string"))
     assert {(r["src"], r["dst"]) for r in g13.collect()} == {(9, 1)}
 
 
