@@ -327,8 +327,10 @@ def q_name_logprob(spark, sf_dir):
 
 @query("unlearn_file")
 def q_unlearn_file(spark, sf_dir):
+    """M3: the model with one file (the first user's events) forgotten."""
     toks = B.event_tokens(spark, sf_dir)
-    ng = lm.unlearn(lm.ngram_counts(toks), lm.ngram_counts(toks.where(F.col("project") == 0)))
+    first = toks.agg(F.min("file_id").alias("f")).scalar()
+    ng = lm.unlearn(lm.ngram_counts(toks), lm.ngram_counts(toks.where(F.col("file_id") == first)))
     return ng.select("n", joined("ngram").alias("ngram"), "cnt")
 
 

@@ -426,9 +426,9 @@ E_GRAMS = E_WIN + """,
 e_g AS (SELECT project, file_id, list_slice(w, len(w) - n + 1, len(w)) AS g FROM e_win, range(1, 7) r(n) WHERE n <= len(w))"""
 
 oracle("unlearn_file", f"""
-WITH {E_GRAMS}
-SELECT CAST(len(g) AS INTEGER) AS n, array_to_string(g, ' ') AS ngram, count(*) FILTER (WHERE project <> 0) AS cnt
-FROM e_g GROUP BY g HAVING count(*) FILTER (WHERE project <> 0) > 0
+WITH {E_GRAMS},
+kept AS (SELECT g FROM e_g WHERE file_id <> (SELECT min(file_id) FROM e_tok))
+SELECT CAST(len(g) AS INTEGER) AS n, array_to_string(g, ' ') AS ngram, count(*) AS cnt FROM kept GROUP BY g
 """)
 
 oracle("file_model", f"""

@@ -150,5 +150,17 @@ def test_rename_scores_of_a_list(spark):
     assert got == {("applied", 0.5, 1), ("ignored", 0.1, 2), ("ignored", 0.2, 1)}
 
 
-def test_catalog_has_no_driver_rows(spark):
+def test_contributors_mix_probabilities(spark):
+    from namemine.operators.contributors import Contributors
+
+    variables = spark.createDataFrame([("v",), ("w",)], "decl_id string")
+    reg = Contributors()
+    none = lambda v: v.selectExpr("decl_id", "'x' AS name", "1.0D AS p", "1L AS priority")
+    reg.register("a", none, lambda v: v.selectExpr("decl_id", "0.5D AS p", "3L AS priority"))
+    reg.register("b", none, lambda v: v.where("decl_id = 'v'").selectExpr("decl_id", "0.1D AS p", "1L AS priority"))
+    got = {r["decl_id"]: round(r["p"], 6) for r in reg.probability(variables).collect()}
+    assert got == {"v": 0.4, "w": 0.5}
+
+
+def test_every_key_is_registered():
     assert len(catalog.QUERIES) >= 105
