@@ -157,6 +157,27 @@ def test_passages_against_all_pairs(spark, odd):
     assert passages.near_duplicate_passages(odd(rows).limit(0)).count() == 0
 
 
+def test_passages_around_a_common_line(spark, odd):
+    """Pairs share 55 words, of which 40 are a line that 300 other texts hold."""
+    draw = random.Random(3)
+    fresh = lambda n: ["v" + str(draw.randrange(100_000)) for _ in range(n)]
+    line, rows = fresh(40), []
+    for i in range(300):
+        rows.append((i, " ".join(fresh(30) + line + fresh(30))))
+    shared = {}
+    for i in range(40):
+        more = fresh(15)
+        passage = line + more if i % 2 else more + line
+        for doc in (1000 + 2 * i, 1001 + 2 * i):
+            shared[doc] = passage
+            rows.append((doc, " ".join(fresh(30) + passage + fresh(30))))
+    draw.shuffle(rows)
+    got = passages.near_duplicate_passages(odd(rows)).collect()
+    text = {d: t.split() for d, t in rows}
+    found = {r.doc_id for r in got if r.class_id == r.doc_id // 2 * 2 and r.n_docs == 2 and text[r.doc_id][r.start_word : r.end_word] == shared.get(r.doc_id)}
+    assert found == set(shared) and len(got) == len(shared)
+
+
 def test_importance_keeps_clean_and_drops_marked(spark, odd):
     draw = random.Random(6)
     words = [f"w{i}" for i in range(400)]
