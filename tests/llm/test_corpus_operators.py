@@ -178,6 +178,38 @@ def test_passages_around_a_common_line(spark, odd):
     assert found == set(shared) and len(got) == len(shared)
 
 
+def test_passages_at_several_places(spark, odd):
+    """One text holds a passage twice, and before that a part of it, whichever of the two texts is first."""
+    draw = random.Random(4)
+    fresh = lambda n: ["v" + str(draw.randrange(100_000)) for _ in range(n)]
+    rows, passage = [], {}
+    for i in range(12):
+        passage[i] = fresh(70)
+        rows.append((2 * i, " ".join(fresh(30) + passage[i][:40] + fresh(30) + passage[i] + fresh(60) + passage[i] + fresh(30))))
+        rows.append((2 * i + 1, " ".join(fresh(50) + passage[i] + fresh(20))))
+    got = sorted(passages.near_duplicate_passages(odd(rows)).collect())
+    assert [(r.doc_id, r.start_word, r.end_word) for r in got] == [x for i in range(12) for x in ((2 * i, 100, 170), (2 * i, 230, 300), (2 * i + 1, 50, 120))]
+
+
+def test_links_take_every_window_across_batches():
+    rows = [(k, t, w) for k in range(3) for t in range(4) for w in range(t + k + 1)]
+    want = set()
+    for k in range(3):
+        own = [r for r in rows if r[0] == k]
+        of = {t: [w for _, x, w in own if x == t] for t in range(4)}
+        for t in range(4):
+            for w in of[t]:
+                want |= {(k, 0, t, 0, w)} if t else set()
+                want |= {(k, t - 1, t, of[t - 1][-1], w)} if t else set()
+                want |= {(k, t, t + 1, w, of[t + 1][0])} if t < 3 else set()
+    for size in (1, 2, 3, 7, 100):
+        twice = [r for r in rows for _ in range(2)]
+        parts = [twice[i : i + size] for i in range(0, len(twice), size)]
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(k, 10 * k + t, 100 * k + w) for k, t, w in part], strict=True)], ["key", "id", "window"]) for part in parts)
+        got = [tuple(r.values()) for b in passages._link(batches) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and {(a // 10, a % 10, b % 10, u % 100, v % 100) for a, b, u, v in got} == want
+
+
 def test_importance_keeps_clean_and_drops_marked(spark, odd):
     draw = random.Random(6)
     words = [f"w{i}" for i in range(400)]
