@@ -15,8 +15,8 @@ personal data). Only this sample reaches the driver.
 
 Defined cases: a null or empty text has no spans; repeated rows are read each; a null ``doc_id`` is
 carried; an empty table gives no rows (the generated formats alone train the field); other
-columns are ignored or passed on. Islands are cut after ``ISLAND_WORDS`` words, so no text, however
-long, makes a large table.
+columns are ignored or passed on. An island is read whole, as a stream: features are held for
+``BLOCK_ATOMS`` atoms at a time, values for the last ``MAX_ATOMS``, and two bytes and a bound for each atom.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from namemine.llm.shared import only
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS, MAX_CHARS = 16, 64
-ISLAND_WORDS = 32
+BLOCK_ATOMS = 512
 SAMPLE_DOCS = 400
 SAMPLE_ISLANDS = 300
 MAX_SAMPLE_CHARS = 20_000
@@ -93,17 +96,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def islands(text: str) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of words with a cue, ``ISLAND_WORDS`` words at most."""
+    """Bounds of runs of words with a cue."""
     start = end = -1
-    n = 0
     for m in _WORD.finditer(text):
-        cue = _CUE.search(m[0]) is not None
-        if cue and start >= 0 and n < ISLAND_WORDS:
-            end, n = m.end(), n + 1
-        else:
-            if start >= 0:
-                yield start, end
-            start, end, n = (m.start(), m.end(), 1) if cue else (-1, -1, 0)
+        if _CUE.search(m[0]):
+            start, end = (m.start() if start < 0 else start), m.end()
+        elif start >= 0:
+            yield start, end
+            start = -1
     if start >= 0:
         yield start, end
 
@@ -157,10 +157,51 @@ def span_features(text: str, start: int, end: int) -> list[float] | None:
     ]
 
 
+def best_spans(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
+    """Entities of the best segmentation of an island; ties go to no entity, then the shorter span."""
+    bounds = array("q", [start])
+    steps, kinds = bytearray(1), bytearray(1)  # atoms of the entity that ends the best reading so far (0: none), its kind
+    value = [0.0]
+    atoms = _ATOM.finditer(text, start, end)
+    while block := list(islice(atoms, BLOCK_ATOMS)):
+        done = len(bounds)
+        bounds.extend(m.end() for m in block)
+        ends, rows = [], []
+        for j in range(done, len(bounds)):
+            for i in range(j - 1, max(-1, j - 1 - MAX_ATOMS), -1):
+                if bounds[j] - bounds[i] > MAX_CHARS:
+                    break
+                f = span_features(text, bounds[i], bounds[j])
+                if f is not None:
+                    ends.append((i, j))
+                    rows.append(f)
+        score = np.asarray(rows, dtype=float).reshape(len(rows), N_FEATURES) @ weights
+        kind, top = score.argmax(axis=1).tolist(), score.max(axis=1).tolist()
+        at = 0
+        for j in range(done, len(bounds)):
+            best, step, its = value[-1], 0, 0
+            while at < len(ends) and ends[at][1] == j:
+                i = ends[at][0]
+                if value[i - j] + top[at] > best + 1e-9:  # value ends with that of j - 1
+                    best, step, its = value[i - j] + top[at], j - i, kind[at]
+                at += 1
+            value.append(best)
+            steps.append(step)
+            kinds.append(its)
+        del value[:-MAX_ATOMS]
+    out, j = [], len(bounds) - 1
+    while j:
+        if steps[j]:
+            out.append((KINDS[kinds[j]], bounds[j - steps[j]], bounds[j]))
+        j -= steps[j] or 1
+    return out[::-1]
+
+
 class Lattice:
     """Candidate segments of one island: ``ends[j]`` lists (i, row of ``features``)."""
 
     def __init__(self, text: str, start: int, end: int):
+        self.text = text
         self.bounds = [start, *[start + m.end() for m in _ATOM.finditer(text[start:end])]]
         n = len(self.bounds) - 1
         self.ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
@@ -178,23 +219,8 @@ class Lattice:
         self.features = np.asarray(rows, dtype=float).reshape(len(rows), N_FEATURES)
 
     def best(self, weights: np.ndarray) -> list[Span]:
-        """The best segmentation's entities; ties go to no entity, then the shorter span."""
-        score = self.features @ weights
-        kind, top = score.argmax(axis=1) if len(score) else [], score.max(axis=1) if len(score) else []
-        n = len(self.bounds) - 1
-        value, back = [0.0] * (n + 1), [(-1, -1)] * (n + 1)
-        for j in range(1, n + 1):
-            value[j], back[j] = value[j - 1], (j - 1, -1)
-            for i, row in self.ends[j]:
-                if value[i] + top[row] > value[j] + 1e-9:
-                    value[j], back[j] = value[i] + top[row], (i, row)
-        out, j = [], n
-        while j:
-            i, row = back[j]
-            if row >= 0:
-                out.append((KINDS[kind[row]], self.bounds[i], self.bounds[j]))
-            j = i
-        return out[::-1]
+        """The best segmentation's entities."""
+        return best_spans(self.text, self.bounds[0], self.bounds[-1], weights)
 
     def gradient(self, weights: np.ndarray, gold: set[Span]) -> np.ndarray:
         """Observed minus expected features: the gradient of the log-likelihood."""
@@ -277,12 +303,21 @@ def train(texts: list[str], epochs: int = EPOCHS, seed: int = SEED) -> np.ndarra
 def all_spans(text: str, weights: np.ndarray, base: list[Span] | None = None) -> list[Span]:
     """Base spans and, where they overlap none, the field's, by start and kind."""
     base = base_spans(text) if base is None else base
-    taken = sorted((s, e) for _, s, e in base)
+    starts: list[int] = []  # of base spans, overlapping ones joined
+    ends: list[int] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     added = []
     if _CUE.search(text):
         for start, end in islands(text):
-            near = [(s, e) for s, e in taken if s < end and e > start]
-            added += [x for x in Lattice(text, start, end).best(weights) if not any(s < x[2] and e > x[1] for s, e in near)]
+            for x in best_spans(text, start, end, weights):
+                k = bisect_left(starts, x[2]) - 1
+                if k < 0 or ends[k] <= x[1]:
+                    added.append(x)
     return sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -123,6 +123,14 @@ def test_segment_search_is_exact():
         assert got == pytest.approx(best[n])
 
 
+def test_field_reads_long_lists_whole():
+    weights = pii.train([])
+    numbers = [f"(555) {100 + i}-{4000 + 7 * i}" for i in range(200)]
+    text = "item9 " + " ".join(numbers)
+    found = pii.all_spans(text, weights)
+    assert [text[s:e] for _, s, e in found] == numbers and {k for k, _, _ in found} == {"phone"}
+
+
 def test_personal_data_of_documents(spark, odd):
     special = [(1, None), (2, ""), (None, "x@y.zz 1.2.3.4"), (3, "é mail a.b@c.de, 4111 1111 1111 1111"), (3, "é mail a.b@c.de, 4111 1111 1111 1111"), (4, "word " * 30_000 + "+1 (017) 555-7713")]
     docs = odd(special)
