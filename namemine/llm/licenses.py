@@ -5,7 +5,8 @@ in a row, and an inverted index maps a kept hash to (template, place). A documen
 looked up, so any run of ``k + winnow - 1`` words shared with a template meets the index. Hits of a
 template that lie near one diagonal (document place minus template place) form a candidate;
 a local alignment in a band around that diagonal gives the matched words, and the match is reported
-if they cover ``coverage`` of the template. Of overlapping matches the one with more matched words
+if they cover ``coverage`` of the template; its words are then taken out and the band is aligned again,
+until coverage is missed, so notices close to each other are all found. Of overlapping matches the one with more matched words
 stays.
 
 All work is inside a document, so nothing is shuffled; the index of the templates (a parameter, a
@@ -169,9 +170,12 @@ class Scanner:
             name, i, template = self.templates[t]
             for d in _clusters(sorted(diagonals), self.band):
                 lo, hi = max(0, d - self.band), min(len(ids), d + len(template) + self.band)
-                matched, first, last = align(ids[lo:hi], template, d - lo, self.band)
-                if matched >= self.coverage * len(template):
+                left = ids[lo:hi].copy()
+                matched, first, last = align(left, template, d - lo, self.band)
+                while matched and matched >= self.coverage * len(template):
                     found.append(Match(name, i, spots[lo + first][0], spots[lo + last - 1][1], matched, matched / len(template)))
+                    left[first:last] = -1  # a further notice may lie in the same band
+                    matched, first, last = align(left, template, d - lo, self.band)
         return _without_overlap(found)
 
 

@@ -102,6 +102,16 @@ def test_license_scan(spark, odd):
     assert licenses.scan_licenses(odd(rows).limit(0)).count() == 0 and licenses.scan_licenses(odd(rows), {}).count() == 0
 
 
+@pytest.mark.parametrize("between", [" ", "\n", " and so on\n", " one two three four five six seven "])
+def test_repeated_license_notices(between):
+    scanner = licenses.Scanner()
+    for name, notice in (("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("MIT", "Released under the MIT License.")):
+        text = "x " + between.join([notice] * 10) + " y"
+        got = scanner.scan(text)
+        assert [m.license for m in got] == [name] * 10
+        assert [text[m.start : m.end] for m in got] == [notice.rstrip(".")] * 10
+
+
 def test_alignment_equals_full_table():
     draw = random.Random(4)
     for _ in range(200):
