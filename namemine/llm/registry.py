@@ -11,6 +11,9 @@ from namemine.llm.op5_importance import op5_importance
 from namemine.llm.op8_quality_rules import op8_quality_rules
 from namemine.llm.op9_pii import op9_pii
 from namemine.llm.op10_packing import op10_packing
+from namemine.llm.op11_whitening import op11_whitening
+from namemine.llm.op12_target_sampling import op12_target_sampling
+from namemine.llm.op13_best_fit import op13_best_fit
 from namemine.llm.shipping import shipped
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_quality_rules": shipped(op8_quality_rules),
     "op9_pii": shipped(op9_pii),
     "op10_packing": shipped(op10_packing),
+    "op11_whitening": shipped(op11_whitening),
+    "op12_target_sampling": shipped(op12_target_sampling),
+    "op13_best_fit": shipped(op13_best_fit),
     "pipeline": corpus_pipeline.run,
 }
 
