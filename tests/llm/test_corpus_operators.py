@@ -246,20 +246,85 @@ def test_importance_keeps_clean_and_drops_marked(spark, odd):
     assert importance.sample(docs.limit(0), labels, bits=16).count() == 0
 
 
+def unlike_sources(copies=1):
+    """Documents of two sources with words of their own, only the first labelled; each eighth says bad words."""
+    draw = random.Random(8)
+    rows, labels, bad = [], [], set()
+    for i in range(1200):
+        source = i % 2
+        t = [draw.choice([f"s{source}w{draw.randrange(300)}", f"both{draw.randrange(50)}"]) for _ in range(draw.randrange(20, 150))]
+        if draw.random() < 0.125:
+            bad.add(i)
+            for _ in range(3):
+                t[draw.randrange(len(t))] = draw.choice(["vile", "awful", "nasty"])
+        rows.append((i, " ".join(t)))
+        if not source and draw.random() < 0.6:
+            labels.append((i, 0 if i in bad else 1, 0))
+    many = range(copies)
+    return ([(i + 10_000 * c, t) for c in many for i, t in rows], [(i + 10_000 * c, q, x) for c in many for i, q, x in labels], {i + 10_000 * c for c in many for i in bad})
+
+
+@pytest.mark.parametrize("copies", [1, 25])
+def test_importance_does_not_depend_on_size_or_topic(spark, odd, copies):
+    rows, labels, bad = unlike_sources(copies)
+    got = importance.sample(odd(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    for source in (0, 1):
+        own = {i for i, _ in rows if i % 2 == source}
+        assert len(kept & own - bad) >= 0.97 * len(own - bad), source
+        assert len(kept & own & bad) <= 0.05 * len(own & bad), source
+
+
+def plain_log_ratio(s, n_s, l, n_l, t, n_t, floor=0.001, dead=0.1, margin=2.0):
+    e = max(floor, 2 / n_t)
+    a, b = (math.log((t / n_t + e) / (x / n + e)) for x, n in ((s, n_s), (l, n_l)))
+    if a * b <= 0:
+        return 0.0
+    error = math.sqrt((t + 1) / (n_t * (t / n_t + e)) ** 2 + (l + 1) / (n_l * (l / n_l + e)) ** 2)
+    return math.copysign(max(0.0, min(abs(a), abs(b)) - dead - margin * error), b)
+
+
+def test_log_ratios_equal_plain_ones(spark):
+    draw = random.Random(9)
+    rows = [(s, min(s, draw.randrange(500)), 0) for s in (draw.randrange(1, 5000) for _ in range(300))]
+    rows = [(s, lab, min(lab, draw.choice([0, 1, lab // 10, lab // 2, lab]))) for s, lab, _ in rows]
+    frame = spark.createDataFrame(rows, "n_raw long, n_labelled long, n_target long")
+    got = [r.r for r in frame.select(importance.log_ratio(5000, 500, 300).alias("r")).collect()]
+    want = [plain_log_ratio(s, 5000, lab, 500, t, 300) for s, lab, t in rows]
+    assert np.allclose(got, want) and any(w > 0 for w in want) and any(w < 0 for w in want)
+
+
 def test_bucket_counts_and_weights_equal_plain_counts(spark, odd):
-    rows = [(1, "a b a"), (2, "B c c c"), (3, None), (4, "x x y y")]
+    rows = [(1, "a b a"), (2, "B c c c"), (3, None), (4, "x x y y"), (None, "a")]
     column = pa.array([t for _, t in rows])
-    plain = {}
+    plain, n = {2: set(range(5))}, [0] * 5
     for first, _, data, bounds in textkit.chunks(column):
         doc, bucket = importance.features(data, bounds, 16)
-        for d, b in zip(doc.tolist(), bucket.tolist(), strict=True):
+        for d, b in set(zip(doc.tolist(), bucket.tolist(), strict=True)):
             plain.setdefault(b, set()).add(first + d)
-    got = {r.bucket: (r.n_raw, r.n_target) for r in importance.bucket_counts(odd(rows), np.asarray([2, 4]), 16).collect()}
-    assert got == {b: (len(d), len(d & {1, 3})) for b, d in plain.items()}
-    assert got[0] == (1, 1) and got[1] == (1, 1)  # thrice, in turn
+            n[first + d] += 1
+    sample = importance.Labels(np.asarray([2, 3, 4]), np.asarray([2, 4]), np.asarray([9]))
+    got = {r.bucket: (r.n_raw, r.n_labelled, r.n_target) for r in importance.bucket_counts(odd(rows), sample, 16).collect()}
+    assert got == {b: (len(d), len(d & {1, 2, 3}), len(d & {1, 3})) for b, d in plain.items()}
+    assert got[0] == (1, 1, 1) and got[1] == (1, 1, 1)  # thrice, in turn
     bucket = sorted(plain)[-1]
     weights = importance.log_weights(column, importance.Model(16, np.asarray([bucket]), np.asarray([-2.0])))
-    assert [w < 0 for w in weights] == [i in plain[bucket] for i in range(4)]
+    assert np.allclose(weights, [-2 / math.sqrt(n[i] + 1) if i in plain[bucket] else 0 for i in range(5)])
+
+
+def test_labels_and_envelope(spark):
+    rows = [(i, i % 3 and 1, 0) for i in range(200)] + [(4, 0, 0), (None, 1, 0), (5, None, None), (7, 1, None)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(1000 + i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    rows += [(1000 + i, 1, 0) for i in range(50)]  # copies of judged texts
+    got = importance.label_sample(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+    good = {i for i in range(200) if i % 3} - {4, 5}
+    assert set(got.target) | set(got.held) == good and not set(got.target) & set(got.held)
+    assert set(got.labelled) <= set(range(200)) and {*got.labelled} & good == {*got.target} and 0.1 < len(got.held) / len(good) < 0.3
+    few = importance.label_sample(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"), max_labels=50)
+    assert 30 < len(few.labelled) <= 50
+    weights = spark.createDataFrame([(i, float(i)) for i in range(1000)], "doc_id long, log_weight double")
+    assert importance.envelope(weights, np.arange(0, 1000, 2), 0.01) == 10.0
+    assert importance.envelope(weights, np.zeros(0, np.int64)) == float("-inf")
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 2000])
@@ -392,3 +457,22 @@ def test_pipeline_equals_plain_stages(spark, documents, texts):
     final = QUERIES["pipeline"](spark, SMALL).collect()
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, final)) == sorted(map(key, packed.collect()))
+
+
+def test_pipeline_defined_cases(spark, odd, tmp_path, texts):
+    """Null, empty and repeated texts, null ids and columns with clashing names go through all stages; so does nothing."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rows = [*list(texts.items())[:30], (None, "no id here"), (90_001, None), (90_002, ""), (90_003, "twice the same text"), (90_003, "twice the same text")]
+    named = odd(rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS long) AS n_chars", "fp", "log_weight", "words", "1 AS scan", "2 AS own", "3 AS component_id")
+    for n, docs in enumerate((named, named.limit(0))):
+        folder = str(tmp_path / str(n))
+        docs.write.parquet(f"{folder}/documents.parquet")
+        (labels if n == 0 else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+        at = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            at = stage_table(stage(spark, at, folder), name)
+            assert name == "packing" or at.columns == docs.columns
+        ids = {r.doc_id for r in at.collect()}
+        assert (None in ids and 90_003 in ids) if n == 0 else not ids
+        assert QUERIES["pipeline"](spark, folder).count() == at.count()
