@@ -225,6 +225,6 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, wit
         total[r["length"]] = r["n"]
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = made.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
+    ranked = made.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).drop("part", "nth", "base")
     out = place(ranked, plan(total, capacity))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
