@@ -139,16 +139,16 @@ def _suffix_terms(seqs: DataFrame, ids: list[str], seq_col: str, ngrams: DataFra
     ).select(*keep, (F.col("_i") + 1).alias("k"), "g", prefix_drop_last(F.col("g")).alias("ctx"))
     c = ngrams.select(*scope, F.col("ngram").alias("g"), F.col("cnt").alias("c"))
     x = contexts.select(*scope, F.col("ctx").alias("jctx"), F.col("cnt").alias("x"))
-    if scope:
-        ex, xx = ex.withColumn("jctx", F.col("ctx")), F.coalesce("x", F.lit(0))
+    # the empty context is one value for all sequences (of a scope): no key that holds a row of
+    # every sequence; its rows are dealt by their own token and match nothing
+    ex = ex.withColumn("jctx", F.when(F.col("k") > 1, F.col("ctx")).otherwise(F.concat(F.array(F.lit("")), F.col("g"))))
+    j = ex.join(c, [*scope, "g"], "left").join(x.where(F.size("jctx") > 0), [*scope, "jctx"], "left")
+    if scope:  # one row a scope, a small table
+        empty = F.col("x0")
+        j = j.join(contexts.where(F.size("ctx") == 0).select(*scope, F.col("cnt").alias("x0")), scope, "left")
     else:
-        # the empty context is one value for all sequences: a scalar, not a key that holds a row
-        # of every sequence; its rows are dealt by their own token and match nothing
-        empty = contexts.where(F.size("ctx") == 0).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("x")).scalar()
-        ex = ex.withColumn("jctx", F.when(F.col("k") > 1, F.col("ctx")).otherwise(F.concat(F.array(F.lit("")), F.col("g"))))
-        xx = F.when(F.col("k") == 1, empty).otherwise(F.coalesce("x", F.lit(0)))
-        x = x.where(F.size("jctx") > 0)
-    j = ex.join(c, [*scope, "g"], "left").join(x, [*scope, "jctx"], "left")
+        empty = contexts.where(F.size("ctx") == 0).agg(F.sum("cnt").alias("x")).scalar()
+    xx = F.coalesce(F.when(F.col("k") == 1, empty).otherwise(F.col("x")), F.lit(0))
     cc = F.coalesce("c", F.lit(0))
     if minus is not None:
         mc = minus[0].select(*minus_keys, F.col("ngram").alias("g"), F.col("cnt").alias("mc"))
@@ -162,8 +162,9 @@ def jm_probability(seqs: DataFrame, ngrams: DataFrame, contexts: DataFrame | Non
                    ids: Sequence[str] | str = ("file_id", "pos"), seq_col: str = "win",
                    lam: float = LAMBDA, scope: Sequence[str] | str | None = None,
                    vocab: Column | None = None, minus: tuple[DataFrame, DataFrame] | None = None,
-                   minus_keys: Sequence[str] = ()) -> DataFrame:
+                   minus_keys: Sequence[str] = (), sizes: DataFrame | None = None) -> DataFrame:
     """M6: smoothed P(last token | previous tokens) for each sequence row -> (ids, p).
+    ``sizes`` (scope columns, ``v``) gives each scope a vocabulary size of its own.
 
     ``ids`` must identify a row of ``seqs``. The distinct sequences are scored once (code and
     event streams repeat the same short sequences very often): each is exploded into its
@@ -174,13 +175,15 @@ def jm_probability(seqs: DataFrame, ngrams: DataFrame, contexts: DataFrame | Non
     ids, scope = _cols(ids), _cols(scope)
     if contexts is None:
         contexts = context_counts(ngrams, scope)
-    v = vocab if vocab is not None else vocab_size(ngrams)
+    v = F.col("v") if sizes is not None else vocab if vocab is not None else vocab_size(ngrams)
     key = [*scope, *[k for k in minus_keys if k not in scope], seq_col]
     distinct = seqs.select(*key).distinct()
     terms = _suffix_terms(distinct, key, seq_col, ngrams, contexts, scope, minus, minus_keys)
     folded = terms.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("k", "c", "x"))).alias("terms")
     )
+    if sizes is not None:
+        folded = folded.join(sizes, scope)
     scored = folded.select(*key, jm_fold(F.col("terms"), v, lam).alias("p"))
     return seqs.select(*ids, *[k for k in key if k not in ids]).join(scored, key).select(*ids, "p")
 

@@ -823,26 +823,36 @@ def q_suggestion_edit(spark, sf_dir):
 # E: evaluation records; D: contributors
 # ---------------------------------------------------------------------------------------------
 
+def event_answers(toks):
+    """An external scorer's answers for the variables that don't begin their file: the file's three
+    most frequent names."""
+    used = toks.groupBy("file_id", F.col("token").alias("name")).agg(F.count("*").alias("cnt"))
+    w = Window.partitionBy("file_id").orderBy(F.desc("cnt"), "name")
+    best = used.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("file_id", "name", F.col("cnt").cast("double").alias("p"), "rank")
+    return usages.declarations(toks).where("pos > 0").select("decl_id", "file_id").join(best, "file_id").drop("file_id")
+
+
 def event_records(spark, sf_dir):
-    toks, u, ng, cx, cands, scope = event_context(spark, sf_dir)
-    ngram = lm.rank_names(u, ng, cx, known=tokens.known_names(toks))
-    ctx = event_context_top10(spark, sf_dir)
-    variables = usages.declarations(toks).select("decl_id", "file_id", F.col("token").alias("name"), "line", "kind")
-    return evaluate.prediction_records(variables, ngram, ctx, scope="project")
+    toks = B.event_tokens(spark, sf_dir)
+    external = event_answers(toks)
+    return evaluate.predict(toks, "global", external).unionByName(evaluate.predict(toks, "project", external))
+
+
+def names_of(c):
+    return F.array_join(F.transform(F.coalesce(c, F.array()), lambda e: e["name"]), "|")
 
 
 @query("prediction_records")
 def q_prediction_records(spark, sf_dir):
     r = event_records(spark, sf_dir)
-    names_of = lambda c: F.array_join(F.transform(F.coalesce(c, F.array()), lambda e: e["name"]), "|")
-    return r.select("decl_id", "ground_truth", names_of(F.col("ngram")).alias("ngram"),
-                    names_of(F.col("context")).alias("context"), "line", "kind", "scope")
+    return r.select("decl_id", "ground_truth", *[names_of(F.col(c)).alias(c) for c in ("ngram", "context", "external")], "line", "kind", "scope")
 
 
 @query("file_predictions")
 def q_file_predictions(spark, sf_dir):
     fp = evaluate.file_predictions(event_records(spark, sf_dir))
-    return fp.select("file_id", F.size("records").alias("n_records"))
+    told = F.transform("records", lambda r: F.concat_ws(":", r["decl_id"], r["scope"], names_of(r["ngram"])))
+    return fp.select("file_id", F.size("records").alias("n_records"), F.array_join(F.sort_array(told), ",").alias("records"))
 
 
 @query("contributors")

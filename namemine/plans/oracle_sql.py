@@ -1004,24 +1004,108 @@ u AS (
 SELECT * FROM u WHERE (element, name) NOT IN (SELECT element, name FROM ev WHERE event_type = 'error')
 """)
 
+# Rankings by the project's own model with the variable's file forgotten, on E_CAND's usages.
+def own_jm(seq_table: str, ids: str, out: str) -> str:
+    """The interpolated probability of ``seq_table`` (file_id, project, s) by project counts less the file's."""
+    own = ", ".join(f"s.{i.strip()}" for i in ids.split(","))
+    return f"""
+{out}_t AS (
+  SELECT {own}, s.project, r.k, coalesce(ng.cnt, 0) - coalesce(mng.cnt, 0) AS c, coalesce(cx.cnt, 0) - coalesce(mcx.cnt, 0) AS x
+  FROM {seq_table} s, range(1, 7) r(k)
+  LEFT JOIN p_ng ng ON ng.project = s.project AND ng.ngram = list_slice(s.s, len(s.s) - r.k + 1, len(s.s))
+  LEFT JOIN p_cx cx ON cx.project = s.project AND cx.ctx = list_slice(s.s, len(s.s) - r.k + 1, len(s.s) - 1)
+  LEFT JOIN f_ng mng ON mng.file_id = s.file_id AND mng.ngram = list_slice(s.s, len(s.s) - r.k + 1, len(s.s))
+  LEFT JOIN f_cx mcx ON mcx.file_id = s.file_id AND mcx.ctx = list_slice(s.s, len(s.s) - r.k + 1, len(s.s) - 1)
+  WHERE r.k <= len(s.s)),
+{out}_h AS (
+  SELECT {ids}, coalesce(min(k) FILTER (WHERE x <= 0), max(k) + 1) - 1 AS h FROM {out}_t GROUP BY ALL),
+{out}_p AS (
+  SELECT {ids}, sum(CASE WHEN k <= h THEN 0.5 * pow(0.5, h - k) * c / x ELSE 0 END) + pow(0.5, h) / any_value(v) AS p
+  FROM {out}_t JOIN {out}_h USING ({ids}) JOIN p_v USING (project) GROUP BY {ids}, h)"""
+
+
+E_OWN = """
+f_grams AS (SELECT project, file_id, list_slice(w, len(w) - n + 1, len(w)) AS g FROM e_win, range(1, 7) r(n) WHERE n <= len(w)),
+f_ng AS (SELECT project, file_id, g AS ngram, count(*) AS cnt FROM f_grams GROUP BY ALL),
+f_cx AS (SELECT file_id, list_slice(ngram, 1, len(ngram) - 1) AS ctx, sum(cnt) AS cnt FROM f_ng GROUP BY ALL),
+p_ng AS (SELECT project, ngram, sum(cnt) AS cnt FROM f_ng GROUP BY ALL),
+p_cx AS (SELECT project, list_slice(ngram, 1, len(ngram) - 1) AS ctx, sum(cnt) AS cnt FROM p_ng GROUP BY ALL),
+p_v AS (SELECT project, count(*) AS v FROM p_ng WHERE len(ngram) = 1 GROUP BY project),
+o_body AS (SELECT b.*, b.file_id % 10 AS project FROM body b),
+o_need AS (SELECT DISTINCT file_id, project, list_slice(b, len(b) - r.j + 1, len(b)) AS ctx FROM o_body, range(0, 6) r(j) WHERE r.j <= len(b)),
+o_all AS (
+  SELECT n.file_id, n.ctx, p.ngram[len(p.ngram)] AS name, p.cnt - coalesce(f.cnt, 0) AS cnt
+  FROM o_need n JOIN p_ng p ON p.project = n.project AND list_slice(p.ngram, 1, len(p.ngram) - 1) = n.ctx
+  LEFT JOIN f_ng f ON f.file_id = n.file_id AND f.ngram = p.ngram),
+o_succ AS (SELECT *, row_number() OVER (PARTITION BY file_id, ctx ORDER BY cnt DESC, name) AS r FROM o_all WHERE cnt > 0),
+o_cand AS (
+  SELECT DISTINCT b.file_id, b.project, b.pos, b.decl_id, b.b, s.name
+  FROM o_body b, range(0, 6) r(j)
+  JOIN o_succ s ON s.r <= 10 AND s.file_id = b.file_id AND s.ctx = list_slice(b.b, len(b.b) - r.j + 1, len(b.b))
+  WHERE r.j <= len(b.b) AND s.name IN (SELECT token FROM e_tok WHERE is_decl)),
+o_seq AS (SELECT file_id, project, pos, decl_id, name, list_append(b, name) AS s FROM o_cand),
+""" + own_jm("o_seq", "file_id, pos, name", "oj") + """,
+op_t AS (
+  SELECT b.file_id, b.pos, r.k, coalesce(cx.cnt, 0) - coalesce(mcx.cnt, 0) AS x
+  FROM o_body b, range(1, 6) r(k)
+  LEFT JOIN p_cx cx ON cx.project = b.project AND cx.ctx = list_slice(b.b, len(b.b) - r.k + 1, len(b.b))
+  LEFT JOIN f_cx mcx ON mcx.file_id = b.file_id AND mcx.ctx = list_slice(b.b, len(b.b) - r.k + 1, len(b.b))
+  WHERE r.k <= len(b.b)),
+op_z AS (
+  SELECT file_id, pos, k, CASE WHEN k < coalesce(min(k) FILTER (WHERE x = 0) OVER (PARTITION BY file_id, pos), 99) THEN x ELSE 0 END AS x
+  FROM op_t),
+op_f AS (
+  SELECT file_id, pos, list_reduce(list_prepend(0::BIGINT, list(x::BIGINT ORDER BY k)), lambda a, x: a // 2 + x) AS prio FROM op_z GROUP BY ALL),
+o_prio AS (SELECT b.file_id, b.pos, b.decl_id, greatest(1, coalesce(op_f.prio, 0)) AS prio FROM body b LEFT JOIN op_f USING (file_id, pos)),
+o_tot AS (SELECT decl_id, sum(prio) AS total FROM o_prio GROUP BY decl_id),
+o_agg AS (
+  SELECT s.decl_id, s.name, sum(oj_p.p * o_prio.prio) / any_value(o_tot.total) AS p
+  FROM oj_p JOIN o_seq s USING (file_id, pos, name) JOIN o_prio USING (file_id, pos) JOIN o_tot ON o_tot.decl_id = s.decl_id
+  GROUP BY s.decl_id, s.name),
+o_rk AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM o_agg),
+o_sub AS (
+  SELECT u.decl_id, u.file_id, u.file_id % 10 AS project, c.name, u.i,
+         list_transform(w.w, lambda e: CASE WHEN e.d = u.decl_id THEN c.name ELSE e.t END) AS s
+  FROM upos u JOIN cwin w USING (file_id, i) JOIN (SELECT DISTINCT decl_id, name FROM o_cand) c ON c.decl_id = u.decl_id),
+""" + own_jm("o_sub", "decl_id, name, i", "oc") + """,
+o_lp AS (SELECT decl_id, name, sum(ln(p)) / 6 AS z FROM oc_p GROUP BY decl_id, name),
+o_e AS (SELECT decl_id, name, exp(z - max(z) OVER (PARTITION BY decl_id)) AS e FROM o_lp),
+o_sm AS (SELECT decl_id, name, e / sum(e) OVER (PARTITION BY decl_id) AS p FROM o_e),
+o_ctx AS (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM o_sm)"""
+
 E_REC = E_PRED + """,
 cands_ctx AS (
   SELECT decl_id, name, row_number() OVER (PARTITION BY decl_id ORDER BY round(p, 12) DESC, name) AS rank FROM sm),
+""" + E_OWN + """,
+answers AS (
+  SELECT d.decl_id, t.token AS name, row_number() OVER (PARTITION BY d.decl_id ORDER BY t.cnt DESC, t.token) AS rank
+  FROM e_tok d JOIN (SELECT file_id, token, count(*) AS cnt FROM e_tok GROUP BY ALL) t USING (file_id)
+  WHERE d.is_decl AND d.pos > 0),
+lists AS (
+  SELECT 'global' AS scope, 'ngram' AS m, decl_id, name, rank FROM rk WHERE rank <= 10
+  UNION ALL SELECT 'global', 'context', decl_id, name, rank FROM cands_ctx WHERE rank <= 10
+  UNION ALL SELECT 'project', 'ngram', decl_id, name, rank FROM o_rk WHERE rank <= 10
+  UNION ALL SELECT 'project', 'context', decl_id, name, rank FROM o_ctx WHERE rank <= 10
+  UNION ALL SELECT s.scope, 'external', decl_id, name, rank FROM answers, (VALUES ('global'), ('project')) s(scope) WHERE rank <= 3),
+joined AS (SELECT scope, m, decl_id, string_agg(name, '|' ORDER BY rank) AS names FROM lists GROUP BY ALL),
 vars AS (SELECT decl_id, file_id, token AS ground_truth FROM e_tok WHERE is_decl AND length(token) > 0),
 rec AS (
-  SELECT v.decl_id, v.file_id, v.ground_truth,
-         coalesce((SELECT string_agg(name, '|' ORDER BY rank) FROM rk WHERE rk.decl_id = v.decl_id AND rk.rank <= 10), '') AS ngram,
-         coalesce((SELECT string_agg(name, '|' ORDER BY rank) FROM cands_ctx c WHERE c.decl_id = v.decl_id AND c.rank <= 10), '') AS context
-  FROM vars v)"""
+  SELECT v.decl_id, v.file_id, v.ground_truth, s.scope, coalesce(n.names, '') AS ngram, coalesce(c.names, '') AS context, coalesce(x.names, '') AS external
+  FROM vars v CROSS JOIN (VALUES ('global'), ('project')) s(scope)
+  LEFT JOIN joined n ON n.decl_id = v.decl_id AND n.scope = s.scope AND n.m = 'ngram'
+  LEFT JOIN joined c ON c.decl_id = v.decl_id AND c.scope = s.scope AND c.m = 'context'
+  LEFT JOIN joined x ON x.decl_id = v.decl_id AND x.scope = s.scope AND x.m = 'external')"""
 
 oracle("prediction_records", f"""
 WITH {E_REC}
-SELECT decl_id, ground_truth, ngram, context, 0 AS line, 'ident' AS kind, 'project' AS scope FROM rec
+SELECT decl_id, ground_truth, ngram, context, external, 0 AS line, 'ident' AS kind, scope FROM rec
 """)
 
 oracle("file_predictions", f"""
-WITH {E_TOK}
-SELECT file_id, CAST(count(*) AS INTEGER) AS n_records FROM e_tok WHERE is_decl GROUP BY file_id
+WITH {E_REC}
+SELECT file_id, CAST(count(*) AS INTEGER) AS n_records,
+       array_to_string(list_sort(list(decl_id || ':' || scope || ':' || ngram)), ',') AS records
+FROM rec GROUP BY file_id
 """)
 
 oracle("contributors", f"""
