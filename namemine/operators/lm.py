@@ -21,6 +21,7 @@ from namemine.operators import sequences
 from namemine.functions.lm import (
     LAMBDA, ORDER, TOP_K, UNKNOWN, jm_fold, prefix_drop_last, suffix, usage_priority,
 )
+from namemine.session import stored
 
 
 def _cols(cols: Sequence[str] | str | None) -> list[str]:
@@ -274,6 +275,55 @@ def candidates(usage_rows: DataFrame, ngrams: DataFrame, ids: Sequence[str] = ("
     return both.select(*ids, "name").distinct()
 
 
+def context_table(ngrams: DataFrame, contexts: DataFrame, k: int = TOP_K, known: DataFrame | None = None) -> DataFrame:
+    """One row per context: ``ctx, x`` (its count), ``top`` (its ``k`` best successors: name, cnt, and the kinds
+    the name is known with) and ``cut`` (no other successor has a larger count; 0 if there is none)."""
+    first = successors(ngrams, k + 1)
+    if known is not None:
+        kinds = known.groupBy(F.col("token").alias("name")).agg(F.collect_set("kind").alias("kinds"))
+        first = first.join(kinds, "name", "left")
+    else:
+        first = first.withColumn("kinds", F.lit(None).cast("array<string>"))
+    ranked = first.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("r"), "name", "cnt", "kinds"))).alias("all"))
+    top = F.transform(F.slice("all", 1, k), lambda t: F.struct(t["name"].alias("name"), t["cnt"].alias("cnt"), t["kinds"].alias("kinds")))
+    return ranked.join(contexts.select("ctx", F.col("cnt").alias("x")), "ctx").select(
+        "ctx", "x", top.alias("top"), F.coalesce(F.get("all", F.lit(k))["cnt"], F.lit(0)).alias("cut"))
+
+
+def _scored_bodies(bodies: DataFrame, table: DataFrame, v: Column, lam: float) -> DataFrame:
+    """``bodies(body)`` distinct -> ``body, prio, cands``: each candidate's ``name, kinds``, its probability as far as
+    the listed successors tell it (``low``), what others could add at most (``extra``) and the context lengths and
+    weights that could (``open``)."""
+    fields = "x", "top", "cut"
+    asked = bodies.where(F.size("body") > 0).select("body", F.explode(F.transform(F.sequence(F.lit(1), F.size("body")), lambda j: suffix(F.col("body"), j))).alias("ctx"))
+    met = asked.join(table.where(F.size("ctx") > 0), "ctx").groupBy("body").agg(F.collect_list(F.struct(F.size("ctx").alias("j"), *fields)).alias("met"))
+    none = table.where(F.size("ctx") == 0).select(F.struct(F.lit(0).alias("j"), *fields)).scalar()  # the empty context is one value
+    # scalars are columns of their own first: they may not stand inside a higher-order function
+    told = bodies.join(met, "body", "left").withColumn("none", none).withColumn("v", v)
+    told = told.withColumn("met", F.array_sort(F.concat(F.array("none"), F.coalesce("met", F.array().cast(met.schema["met"].dataType)))))
+    # a context's own suffixes are contexts too, so the lengths met are 0, 1, ..., h - 1
+    h = F.size("met")
+    live = F.transform("met", lambda m: F.struct(m["j"].alias("j"), m["top"].alias("top"), m["cut"].alias("cut"), (lam * F.pow(F.lit(1 - lam), F.size("met") - 1 - m["j"]) / m["x"]).alias("w")))
+    told = told.select("body", "v", usage_priority(F.transform(F.filter("met", lambda m: m["j"] > 0), lambda m: m["x"])).alias("heard"), h.alias("h"), live.alias("live"))
+    # longer contexts, unseen, halve the priority once each
+    told = told.withColumn("prio", F.greatest(F.lit(1).cast("long"), F.expr("shiftright(IF(h > 1, heard, 0L), size(body) - h + 1)")))
+    told = told.withColumn("rest", F.pow(F.lit(1 - lam), F.col("h")) / F.col("v"))
+    names = F.array_distinct(F.flatten(F.transform("live", lambda i: F.transform(i["top"], lambda t: F.struct(t["name"].alias("name"), t["kinds"].alias("kinds"))))))
+
+    def listed(i: Column, name: Column) -> Column:
+        return F.get(F.filter(i["top"], lambda t: t["name"] == name), F.lit(0))["cnt"]
+
+    def judge(c: Column) -> Column:
+        low = F.aggregate("live", F.lit(0.0), lambda a, i: a + F.coalesce(i["w"] * listed(i, c["name"]), F.lit(0.0)))
+        left = F.filter("live", lambda i: (i["cut"] > 0) & listed(i, c["name"]).isNull())
+        return F.struct(
+            c["name"].alias("name"), c["kinds"].alias("kinds"), (low + F.col("rest")).alias("low"),
+            F.aggregate(left, F.lit(0.0), lambda a, i: a + i["w"] * i["cut"]).alias("extra"),
+            F.transform(left, lambda i: F.struct(i["j"].alias("j"), i["w"].alias("w"))).alias("open"))
+
+    return told.select("body", "prio", F.transform(names, judge).alias("cands"))
+
+
 def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | None = None,
                known: DataFrame | None = None, k: int = TOP_K, lam: float = LAMBDA,
                ngram_col: str = "ngram") -> DataFrame:
@@ -284,27 +334,40 @@ def rank_names(usage_rows: DataFrame, ngrams: DataFrame, contexts: DataFrame | N
     the last position only; other occurrences of the target stay <unknown>. ``known``
     (T2 table, optional) keeps only names declared with the usage's kind (T3).
     Ties are broken by name (see :func:`top_k`).
+
+    The ranking is a bounded aggregation. A usage meets each of its contexts once, as a row with the context's count and
+    its ``k`` best successors: priorities, candidates and nearly all counts come from that one join. A count that
+    isn't among a context's best is at most the next one (``cut``), so each candidate has a lower and an
+    upper sum; those whose upper sum stays below the variable's ``k``-th lower one are dropped, and only for the
+    others are the missing counts looked up.
     """
     if contexts is None:
         contexts = context_counts(ngrams)
-    ids = ["file_id", "pos"]
-    u = usage_rows.select(*ids, "decl_id", "kind", F.col(ngram_col).alias("ngram"))
-    prio = usage_priorities(u, contexts, ids=ids, seq_col="ngram")
-    cands = candidates(u, ngrams, ids, "ngram", k, known)
-    cands = cands.join(u.select(*ids, "decl_id", "ngram"), ids)
-    seqs = cands.select(
-        *ids, "decl_id", "name",
-        F.concat(prefix_drop_last(F.col("ngram")), F.array(F.col("name"))).alias("seq"),
-    )
-    p = jm_probability(seqs, ngrams, contexts, ids=[*ids, "name"], seq_col="seq", lam=lam)
-    total = prio.join(u.select(*ids, "decl_id"), ids).groupBy("decl_id").agg(F.sum("prio").alias("total"))
-    scored = (
-        p.join(seqs.select(*ids, "name", "decl_id"), [*ids, "name"]).join(prio, ids)
-        .groupBy("decl_id", "name").agg(F.sum(F.col("p") * F.col("prio")).alias("wp"))
-        .join(total, "decl_id")
-        .select("decl_id", "name", (F.col("wp") / F.col("total")).alias("p"))
-    )
-    return top_k(scored, ["decl_id"], k)
+    table = context_table(ngrams, contexts, k, known)
+    u = usage_rows.select("decl_id", *([] if known is None else ["kind"]), prefix_drop_last(F.col(ngram_col)).alias("body"))
+    alike = u.groupBy(*u.columns).agg(F.count("*").alias("times"))  # usages that can't be told apart count at once
+    scored = _scored_bodies(alike.select("body").distinct(), table, vocab_size(ngrams), lam)
+    rows = stored(alike.join(scored, "body").withColumn("prio", F.col("prio") * F.col("times")), "judged")
+    each = rows.select("decl_id", *([] if known is None else ["kind"]), "body", "prio", F.explode("cands").alias("c"))
+    if known is not None:
+        each = each.where(F.array_contains("c.kinds", F.col("kind")))
+    total = rows.groupBy("decl_id").agg(F.sum("prio").alias("total"))
+    bounds = each.groupBy("decl_id", F.col("c.name").alias("name")).agg(
+        F.sum(F.col("prio") * F.col("c.low")).alias("low"), F.sum(F.col("prio") * F.col("c.extra")).alias("extra"))
+    bounds = bounds.join(total, "decl_id").select("decl_id", "name", "total", *[(F.col(c) / F.col("total")).alias(c) for c in ("low", "extra")])
+    w = Window.partitionBy("decl_id")
+    placed = bounds.withColumn("_rk", F.row_number().over(w.orderBy(F.desc("low"))))
+    least = F.coalesce(F.max(F.when(F.col("_rk") == k, F.col("low"))).over(w), F.lit(0.0))
+    # a margin wider than what top_k rounds
+    kept = placed.withColumn("_least", least).where(F.col("low") + F.col("extra") + 2e-12 >= F.col("_least"))
+    unsure = kept.where("extra > 0").select("decl_id", "name")
+    ask = each.where(F.size("c.open") > 0).join(unsure.withColumnRenamed("name", "_n"), (F.col("_n") == F.col("c.name")) & (unsure["decl_id"] == each["decl_id"]), "left_semi")
+    ask = ask.select("decl_id", "body", "prio", F.col("c.name").alias("name"), F.explode("c.open").alias("o"))
+    grams = ask.select("decl_id", "name", F.concat(suffix(F.col("body"), F.col("o.j")), F.array(F.col("name"))).alias("ngram"), (F.col("prio") * F.col("o.w")).alias("w"))
+    grams = grams.groupBy("decl_id", "name", "ngram").agg(F.sum("w").alias("w"))
+    found = grams.join(ngrams.select("ngram", "cnt"), "ngram").groupBy("decl_id", "name").agg(F.sum(F.col("w") * F.col("cnt")).alias("more"))
+    exact = kept.join(found, ["decl_id", "name"], "left")
+    return top_k(exact.select("decl_id", "name", (F.col("low") + F.coalesce(F.col("more") / F.col("total"), F.lit(0.0))).alias("p")), ["decl_id"], k)
 
 
 def top_k(scored: DataFrame, by: Sequence[str], k: int = TOP_K, score: str = "p",
