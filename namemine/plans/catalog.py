@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from namemine.functions import names
 from namemine.functions.masks import mask_literal
-from namemine.operators import beams, checks, contributors, evaluate, feedback, graphs, lm, tokens, trees, usages
+from namemine.operators import beams, checks, contributors, evaluate, feedback, graphs, held_out, lm, tokens, trees, usages
+from namemine.session import stored
 from namemine.sources import bindings as B
 from namemine.sources import corpus, sinks
 from namemine.streaming import jobs as stream_jobs
@@ -112,6 +113,78 @@ def q_left_ngram(spark, sf_dir):
     return u.select("decl_id", "pos", "usage_ix", joined("ngram").alias("ngram"))
 
 
+# ---------------------------------------------------------------------------------------------
+# rankings on binding C (words; too slow in SQL, tested against a plain version)
+# ---------------------------------------------------------------------------------------------
+
+def word_model(spark, sf_dir):
+    """Tokens, usages, known names and the model of all conversations, each written once."""
+    toks = B.conversation_tokens(spark, sf_dir)
+    u = stored(usages.left_ngrams(toks), "usages")
+    ng = stored(lm.ngram_counts(toks), "ngrams")
+    return toks, u, tokens.known_names(toks), ng, stored(lm.context_counts(ng), "contexts")
+
+
+def word_visible(toks):
+    return usages.declarations(toks).select(F.col("file_id").alias("scope_id"), "decl_id", F.col("token").alias("name"))
+
+
+@query("rank_names_words")
+def q_rank_names_words(spark, sf_dir):
+    """M10 / M15 on words: ten names of a whole vocabulary for every variable."""
+    _, u, known, ng, cx = word_model(spark, sf_dir)
+    return lm.rank_names(u, ng, cx, known=known).select("decl_id", "name", r6("p").alias("p"), "rank")
+
+
+def word_mix(spark, sf_dir):
+    """M17 / M22 on words: all conversations' model and the own project's without the conversation, without names that the
+    conversation has already, best ten, those below the display threshold dropped."""
+    toks, u, known, ng, cx = word_model(spark, sf_dir)
+    own = held_out.fit(toks)
+    names = stored(held_out.candidates(u, own, known), "names")
+    where = stored(u.select("decl_id", F.col("file_id").alias("scope_id"), "project").distinct(), "variables")
+    v = lm.vocab_size(ng).cast("bigint")
+    both = lm.rank_names(u, ng, cx, known=known).withColumn("priority", v).withColumn("model", F.lit("global")).join(where, "decl_id").unionByName(
+        held_out.rank_names(u, names, own).join(where, "decl_id").join(own.sizes, "project")
+        .withColumn("priority", F.col("v").cast("long")).withColumn("model", F.lit("project")).drop("v"))
+    return toks, lm.mix_rank(stored(both, "mixed"), prior_weight=1, visible=word_visible(toks))
+
+
+@query("mix_rank_words")
+def q_mix_rank_words(spark, sf_dir):
+    return word_mix(spark, sf_dir)[1].select("decl_id", "name", r6("p").alias("p"), "rank")
+
+
+@query("unlikely_names_words")
+def q_unlikely_names_words(spark, sf_dir):
+    """M8 / M23 on words: variables whose own name is improbable."""
+    _, u, _, ng, cx = word_model(spark, sf_dir)
+    return lm.unlikely_names(lm.total_probability(u, ng, cx)).select("decl_id", r6("p").alias("p"))
+
+
+def word_suggestions(spark, sf_dir):
+    toks, u, known, ng, cx = word_model(spark, sf_dir)
+    return toks, lm.rank_names(u, ng, cx, known=known)
+
+
+@query("name_findings_words")
+def q_name_findings_words(spark, sf_dir):
+    """I2 on words: variables whose name isn't among their suggestions."""
+    toks, ranked = word_suggestions(spark, sf_dir)
+    cur = usages.declarations(toks).select(F.col("decl_id").alias("element"), F.col("token").alias("name"))
+    return checks.name_findings(cur, ranked.withColumnRenamed("decl_id", "element"))
+
+
+@query("pick_free_name_words")
+def q_pick_free_name_words(spark, sf_dir):
+    """I5 on words: the best suggestion that no other variable of the conversation is named."""
+    toks, ranked = word_suggestions(spark, sf_dir)
+    seen = word_visible(toks)
+    own = seen.select("decl_id", F.col("scope_id").alias("class_id"))
+    sug = ranked.join(own, "decl_id").select(F.col("decl_id").alias("element"), "class_id", "name", F.col("p").alias("score"))
+    return checks.pick_free_name(sug, seen.select(F.col("scope_id").alias("class_id"), "name", F.col("decl_id").alias("element")))
+
+
 # ---------------------------------------------------------------------------------------------
 # S: sources and sinks (checked keys on binding W)
 # ---------------------------------------------------------------------------------------------
@@ -175,7 +248,7 @@ def q_kind_filter(spark, sf_dir):
 
 @query("mask_literals")
 def q_mask_literals(spark, sf_dir):
-    toks = B.word_tokens(spark, sf_dir).withColumn("target", F.col("decl_id"))
+    toks = B.word_token_rows(spark, sf_dir).withColumn("target", F.col("decl_id"))
     m = tokens.mask_literals(toks)
     return m.groupBy("masked").agg(F.count("*").alias("cnt"))
 
@@ -187,7 +260,7 @@ def q_mask_target(spark, sf_dir):
 
 
 def word_vocab(spark, sf_dir):
-    toks = B.word_tokens(spark, sf_dir)
+    toks = B.word_token_rows(spark, sf_dir)
     return toks, tokens.build_vocab(toks)
 
 
@@ -216,7 +289,7 @@ def q_decode(spark, sf_dir):
 
 @query("model_priority")
 def q_model_priority(spark, sf_dir):
-    return tokens.model_priority(B.word_tokens(spark, sf_dir), "project")
+    return tokens.model_priority(B.word_token_rows(spark, sf_dir), "project")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -470,7 +543,7 @@ def q_subtokens(spark, sf_dir):
 @query("leaf_label")
 def q_leaf_label(spark, sf_dir):
     """X8 on the word tokens as leaves: numbers are integer literals, words are names."""
-    toks = B.word_tokens(spark, sf_dir).select("token", "kind").distinct()
+    toks = B.word_token_rows(spark, sf_dir).select("token", "kind").distinct()
     raw = F.when(F.col("kind") == "num", F.lit("IntegerLiteralExpr")).otherwise(F.lit("NameExpr"))
     return toks.select("token", "kind", names.leaf_label(F.col("token"), raw, F.lit("Block")).alias("label"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from namemine.operators.sequences import group_positions
-from namemine.session import ensure_checkpoint_dir
+from namemine.session import ensure_checkpoint_dir, stored
 from namemine.sources.tables import read_table
 
 # Fixed values of the word binding.
@@ -60,21 +60,22 @@ def token_kind(token: Column) -> Column:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """The documents table (selected columns), hash-partitioned by document.
+def documents(spark: SparkSession, sf_dir: str, *cols: str, by_file: bool = False) -> DataFrame:
+    """The documents table (selected columns); ``by_file`` hash-partitions it by document.
 
-    Text rows carry all per-row work up to the first shuffle (regex, n-gram generation). One
-    shuffle of the texts deals them out evenly whatever the file's row groups are, and token rows
-    made from them stay partitioned by file, so per-file windows and groups need no shuffle of
-    token rows, which are many times larger.
+    Work that is done inside a row needs no shuffle of texts. Where token rows of a file must
+    meet, one shuffle of the texts lets rows made from them stay partitioned by file, so per-file windows
+    and groups need no shuffle of token rows, which are many times larger.
     """
     cols = cols or ("doc_id", "text", "lang", "source", "n_chars")
+    if not by_file:
+        return read_table(spark, sf_dir, "documents").select(*cols)
     return read_table(spark, sf_dir, "documents").select(*dict.fromkeys(["doc_id", *cols])).repartition("doc_id").select(*cols)
 
 
-def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_files(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
     """``files(project, file_id, path, text, n_chars)`` from documents (whole texts; S2 clamps)."""
-    docs = documents(spark, sf_dir, "source", "doc_id", "text", "n_chars")
+    docs = documents(spark, sf_dir, "source", "doc_id", "text", "n_chars", by_file=by_file)
     return docs.select(
         F.col("source").alias("project"),
         F.col("doc_id").alias("file_id"),
@@ -93,6 +94,22 @@ def word_token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding W without what its files' other tokens decide (offset, line, declarations): ``project, file_id, pos,
+    token, kind, lit_type, decl_id``, made row by row."""
+    arrays = word_token_arrays(spark, sf_dir)
+    rows = arrays.select("project", "file_id", F.posexplode("tokens").alias("pos", "token"))
+    return rows.select("project", "file_id", "pos", "token", *_word_columns(F.col("token"), F.col("file_id")))
+
+
+def _word_columns(token: Column, file_id: Column) -> list[Column]:
+    return [
+        token_kind(token).alias("kind"),
+        F.when(is_upper_word(token), F.lit("string")).when(is_number(token), F.lit("number")).alias("lit_type"),
+        F.when(is_lower_word(token), F.concat(file_id.cast("string"), F.lit(":"), token)).alias("decl_id"),
+    ]
+
+
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding W: ``tokens`` rows from documents.
 
@@ -101,7 +118,7 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``offset`` and ``line`` are running sums over the blank-prefixed pieces; Catalyst drops
     these windows when a query does not use them.
     """
-    files = word_files(spark, sf_dir)
+    files = word_files(spark, sf_dir, by_file=True)
     # one regex pass: each piece is a token with the blanks in front of it; the token is the
     # piece without its leading blanks (\s of the pattern = these six chars)
     rows = files.select(
@@ -111,8 +128,6 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.ltrim("piece", F.lit(BLANKS)).alias("token"),
     )
     in_file = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ident = is_lower_word(F.col("token"))
-    decl_id = F.when(ident, F.concat(F.col("file_id").cast("string"), F.lit(":"), F.col("token")))
     # per-file windows first; the (file, token) window then reuses the file partitioning
     placed = rows.select(
         "project", "file_id", "pos",
@@ -124,15 +139,31 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_pos = F.min("pos").over(Window.partitionBy("file_id", "token"))
     return placed.select(
         "project", "file_id", "pos", "offset", "line", "token",
-        token_kind(F.col("token")).alias("kind"),
-        F.when(is_upper_word(F.col("token")), F.lit("string"))
-        .when(is_number(F.col("token")), F.lit("number")).alias("lit_type"),
-        decl_id.alias("decl_id"),
-        (ident & (F.col("pos") == first_pos)).alias("is_decl"),
+        *_word_columns(F.col("token"), F.col("file_id")),
+        (is_lower_word(F.col("token")) & (F.col("pos") == first_pos)).alias("is_decl"),
         F.lit(False).alias("is_write"),
     )
 
 
+def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binding C: the words of ``conversations`` in order of turns, a real vocabulary to rank names from.
+
+    File = conversation, project = ``conv_id`` modulo 10, line = turn; tokens, kinds and variables as in
+    binding W. Positions come from per-turn numbers, so a very long conversation is numbered by many tasks; rows
+    without a conversation are left out, turns alike follow each other in order of role and text. Written once."""
+    turns = read_table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select(
+        "conv_id", F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), "text")
+    rows = turns.select("conv_id", "turn", "role", F.xxhash64("text").alias("_h"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)).alias("i", "token"))
+    placed = group_positions(rows, ["conv_id"], ["turn", "role", "_h", "i"], out="pos", coarse=F.col("turn"))
+    firsts = placed.groupBy("conv_id", "token").agg(F.min("pos").alias("_first"))
+    told = placed.join(firsts, ["conv_id", "token"])
+    return stored(told.select(
+        (F.col("conv_id") % 10).alias("project"), F.col("conv_id").alias("file_id"), "pos", F.col("pos").alias("offset"), F.col("turn").alias("line"), "token",
+        *_word_columns(F.col("token"), F.col("conv_id")),
+        (is_lower_word(F.col("token")) & (F.col("pos") == F.col("_first"))).alias("is_decl"), F.lit(False).alias("is_write"),
+    ), "conversation-tokens")
+
+
 def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding E: one token per event, per user ordered by (ts, event_id), 0-based ``pos``.
 
