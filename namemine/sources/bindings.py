@@ -63,14 +63,16 @@ def token_kind(token: Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str, *cols: str, by_file: bool = False) -> DataFrame:
     """The documents table (selected columns); ``by_file`` hash-partitions it by document.
 
-    Work that is done inside a row needs no shuffle of texts. Where token rows of a file must
+    Work that is done inside a row needs no shuffle of texts, unless the table lies in fewer files than there
+    are cores to read them: then its rows are dealt out first. Where token rows of a file must
     meet, one shuffle of the texts lets rows made from them stay partitioned by file, so per-file windows
     and groups need no shuffle of token rows, which are many times larger.
     """
     cols = cols or ("doc_id", "text", "lang", "source", "n_chars")
-    if not by_file:
-        return read_table(spark, sf_dir, "documents").select(*cols)
-    return read_table(spark, sf_dir, "documents").select(*dict.fromkeys(["doc_id", *cols])).repartition("doc_id").select(*cols)
+    table = read_table(spark, sf_dir, "documents")
+    if not by_file and len(table.inputFiles()) >= spark.sparkContext.defaultParallelism:
+        return table.select(*cols)
+    return table.select(*dict.fromkeys(["doc_id", *cols])).repartition("doc_id").select(*cols)
 
 
 def word_files(spark: SparkSession, sf_dir: str, by_file: bool = False) -> DataFrame:
