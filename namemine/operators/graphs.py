@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from namemine.functions.masks import mask_literal
 from namemine.operators import sequences
+from namemine.operators.ancestry import enclosing, nearest_marked
 from namemine.session import ensure_checkpoint_dir
 
 # Edge type names, the reversed-type prefix, the sub-graph depth.
@@ -210,12 +211,13 @@ def subtree_closure(ast: DataFrame, nodes: DataFrame | None = None, max_depth: i
     return out
 
 
-def computed_from(assigns: DataFrame, closure: DataFrame, idents: DataFrame) -> DataFrame:
+def computed_from(assigns: DataFrame, ast: DataFrame, idents: DataFrame) -> DataFrame:
     """Assigned variable -> every identifier inside the right-hand side.
 
-    ``assigns(graph_id, target, rhs_root)``, ``closure(anc, node_id, depth)``, ``idents(node_id)``.
+    ``assigns(graph_id, target, rhs_root)``, ``idents(node_id)``.
     """
-    rhs = assigns.join(closure.withColumnRenamed("anc", "rhs_root"), "rhs_root").join(idents, "node_id")
+    inside = enclosing(ast, assigns.select(F.col("rhs_root").alias("node_id")), idents)
+    rhs = assigns.join(inside.withColumnRenamed("anc", "rhs_root"), "rhs_root")
     return edge_dedup(rhs.select("graph_id", F.col("target").alias("src"), F.col("node_id").alias("dst"),
                                  F.lit(COMPUTED_FROM).alias("edge_type")))
 
@@ -237,31 +239,31 @@ def formal_arg_name(args: DataFrame, params: DataFrame) -> DataFrame:
     ))
 
 
-def returns_to(returns: DataFrame, closure: DataFrame, ast: DataFrame,
+def returns_to(returns: DataFrame, ast: DataFrame,
                method_types: Sequence[str] = ("MethodDeclaration",),
                stop_types: Sequence[str] = ("LambdaExpr", "ClassOrInterfaceDeclaration")) -> DataFrame:
     """Return statement -> nearest enclosing method; none when a lambda or class comes first.
 
-    ``returns(graph_id, node_id)``; nearest = the typed ancestor of least depth (``min_by``).
+    ``returns(graph_id, node_id)``; nearest = the nearest ancestor of any of these types.
     """
-    typed = ast.select(F.col("node_id").alias("anc"), F.col("raw_type").alias("anc_type"))
-    anc = returns.join(closure.where(F.col("depth") > 0), "node_id").join(typed, "anc") \
-        .where(F.col("anc_type").isin(*method_types, *stop_types))
-    near = anc.groupBy("graph_id", "node_id").agg(F.min_by(F.struct("anc", "anc_type"), "depth").alias("n"))
-    return edge_dedup(near.where(F.col("n.anc_type").isin(*method_types)).select(
-        "graph_id", F.col("node_id").alias("src"), F.col("n.anc").alias("dst"), F.lit(RETURNS_TO).alias("edge_type"),
+    typed = ast.where(F.col("raw_type").isin(*method_types, *stop_types)).select("node_id", F.col("raw_type").alias("anc_type"))
+    near = nearest_marked(ast, typed).select(F.col("node_id").alias("parent_id"), "anc")
+    up = returns.join(ast.select("node_id", "parent_id"), "node_id").join(near, "parent_id")
+    found = up.join(typed.withColumnRenamed("node_id", "anc"), "anc").where(F.col("anc_type").isin(*method_types))
+    return edge_dedup(found.select(
+        "graph_id", F.col("node_id").alias("src"), F.col("anc").alias("dst"), F.lit(RETURNS_TO).alias("edge_type"),
     ))
 
 
-def guarded_by(branches: DataFrame, closure: DataFrame, idents: DataFrame) -> DataFrame:
+def guarded_by(branches: DataFrame, ast: DataFrame, idents: DataFrame) -> DataFrame:
     """Identifiers in a then / loop body whose variable also occurs in the condition ->
     GuardedBy the condition; in an else branch -> GuardedByNegation.
 
     ``branches(graph_id, cond_root, body_root, negated)``; ``idents(node_id, decl_id)``.
     """
-    cond_vars = branches.join(closure.withColumnRenamed("anc", "cond_root"), "cond_root") \
-        .join(idents, "node_id").select("cond_root", "decl_id").distinct()
-    body = branches.join(closure.withColumnRenamed("anc", "body_root"), "body_root").join(idents, "node_id")
+    in_cond, in_body = (enclosing(ast, branches.select(F.col(c).alias("node_id")), idents).withColumnRenamed("anc", c) for c in ("cond_root", "body_root"))
+    cond_vars = in_cond.join(idents, "node_id").select("cond_root", "decl_id").distinct()
+    body = branches.join(in_body, "body_root").join(idents, "node_id")
     hit = body.join(cond_vars, ["cond_root", "decl_id"], "left_semi")
     return edge_dedup(hit.select(
         "graph_id", F.col("node_id").alias("src"), F.col("cond_root").alias("dst"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from namemine.functions.lm import ORDER
 from namemine.functions.masks import UNKNOWN_TOKEN, mask_literal
 from namemine.operators import sequences
+from namemine.operators.ancestry import common_ancestors, enclosing
 
 # Tokens before / after a usage in a centred context, and their delimiter.
 TOKENS_BEFORE = 20
@@ -113,25 +114,16 @@ def type_list(decls: DataFrame, type_parents: DataFrame, type_col: str = "type")
     ).drop("_parents")
 
 
-def scope_root(uses: DataFrame, closure: DataFrame) -> DataFrame:
-    """Smallest tree node holding all usages of a variable: the common ancestors (an
-    ancestor counted for every usage), the innermost one = least total distance to the usages.
-
-    ``uses(decl_id, node_id)``, ``closure(anc, node_id, depth)`` (depth 0 = the node itself,
-    which is not one of its own ancestors). Variables without a common ancestor get none
-    (their file is the scope).
-    """
-    n = uses.groupBy("decl_id").agg(F.countDistinct("node_id").alias("n_uses"))
-    anc = uses.join(closure.where(F.col("depth") > 0), "node_id").groupBy("decl_id", "anc").agg(
-        F.countDistinct("node_id").alias("n"), F.sum("depth").alias("dist"))
-    common = anc.join(n, "decl_id").where(F.col("n") == F.col("n_uses"))
-    return common.groupBy("decl_id").agg(F.min_by("anc", F.struct("dist", "anc")).alias("scope_root"))
+def scope_root(uses: DataFrame, ast: DataFrame) -> DataFrame:
+    """Smallest tree node above all usages of a variable, ``uses(decl_id, node_id)``; a usage isn't above itself.
+    Variables without a common ancestor get none (their file is the scope)."""
+    return common_ancestors(ast, uses).withColumnRenamed("anc", "scope_root")
 
 
-def scope_context(roots: DataFrame, closure: DataFrame, leaves: DataFrame, uses: DataFrame) -> DataFrame:
+def scope_context(roots: DataFrame, ast: DataFrame, leaves: DataFrame, uses: DataFrame) -> DataFrame:
     """The tokens (leaves) inside each variable's scope root with a target flag ->
-    (decl_id, node_id, is_target). An equi-join through the closure instead of a range join."""
-    inside = roots.join(closure.withColumnRenamed("anc", "scope_root"), "scope_root").join(leaves, "node_id")
-    t = uses.select("decl_id", "node_id", F.lit(True).alias("is_target"))
+    (decl_id, node_id, is_target)."""
+    inside = roots.join(enclosing(ast, roots.select(F.col("scope_root").alias("node_id")), leaves).withColumnRenamed("anc", "scope_root"), "scope_root")
+    t = uses.select("decl_id", "node_id", F.lit(True).alias("is_target")).distinct()
     return inside.join(t, ["decl_id", "node_id"], "left").select(
         "decl_id", "node_id", F.coalesce("is_target", F.lit(False)).alias("is_target"))

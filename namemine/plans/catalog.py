@@ -667,7 +667,7 @@ def q_computed_from(spark, sf_dir):
     first = lines.where(F.col("child_ix") == 0).select(
         F.col("method_id").alias("graph_id"), F.col("node_id").alias("target"), F.col("parent_id").alias("rhs_root"))
     idents = lines.where(F.col("child_ix") > 0).select("node_id")
-    return graphs.computed_from(first, graphs.subtree_closure(ast, idents), idents)
+    return graphs.computed_from(first, ast, idents)
 
 
 @query("formal_arg_name")
@@ -698,7 +698,7 @@ def q_returns_to(spark, sf_dir):
     ast = order_tree_typed(spark, sf_dir)
     returns = ast.where((F.col("raw_type") == B.O_TYPES["line"]) & (F.col("text") == "R")).select(
         F.col("method_id").alias("graph_id"), "node_id")
-    return graphs.returns_to(returns, graphs.subtree_closure(ast, returns), ast)
+    return graphs.returns_to(returns, ast)
 
 
 @query("guarded_by")
@@ -711,7 +711,7 @@ def q_guarded_by(spark, sf_dir):
         "method_id", F.col("node_id").alias("body_root"), (F.col("o_orderstatus") == "O").alias("negated"))
     branches = cond.join(body, "method_id").withColumnRenamed("method_id", "graph_id")
     idents = lines.select("node_id", F.concat_ws(":", F.col("method_id").cast("string"), "text").alias("decl_id"))
-    return graphs.guarded_by(branches, graphs.subtree_closure(ast, idents), idents)
+    return graphs.guarded_by(branches, ast, idents)
 
 
 @query("rewire_target")
@@ -1004,16 +1004,15 @@ def order_variables(spark, sf_dir):
 @query("scope_root")
 def q_scope_root(spark, sf_dir):
     ast, uses = order_variables(spark, sf_dir)
-    return usages.scope_root(uses, graphs.subtree_closure(ast, uses)).select("decl_id", "scope_root")
+    return usages.scope_root(uses, ast).select("decl_id", "scope_root")
 
 
 @query("scope_context")
 def q_scope_context(spark, sf_dir):
     ast, uses = order_variables(spark, sf_dir)
     leaves = trees.tree_leaves(ast).select("node_id")
-    closure = graphs.subtree_closure(ast, leaves.unionByName(uses.select("node_id")))
-    roots = usages.scope_root(uses, closure)
-    ctx = usages.scope_context(roots, closure, leaves, uses)
+    roots = stored(usages.scope_root(uses, ast), "scope-roots")
+    ctx = usages.scope_context(roots, ast, leaves, uses)
     return ctx.groupBy("decl_id").agg(F.count("*").alias("n_tokens"), F.count_if("is_target").alias("n_targets"))
 
 
