@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 def rename_stats(events: DataFrame, applied: str = "applied", ignored: str = "ignored") -> DataFrame:
     """F1: applied / ignored renames by score -> ``(action, score, cnt)``, action being applied or
-    ignored. ``value`` is a score or an array of them (an ignore may carry a list); the sum of
-    ``cnt`` is the number of renames with a score, a sorted list of the rows the score list. Rows
-    instead of two lists keep every row and every stream state small."""
+    ignored. ``value`` is a score or an array of them (an ignore carries a list); a sorted list of the rows is
+    the score list. Rows instead of two lists keep every row and every stream state small. How many renames
+    there were, with any number of scores each, is :func:`rename_counters`."""
     rows = events.where(F.col("action").isin(applied, ignored))
     if isinstance(events.schema["value"].dataType, T.ArrayType):
         rows = rows.withColumn("value", F.explode("value"))
@@ -24,6 +24,18 @@ def rename_stats(events: DataFrame, applied: str = "applied", ignored: str = "ig
     return rows.groupBy(name.alias("action"), F.col("value").alias("score")).agg(F.count("*").alias("cnt"))
 
 
+def rename_counters(events: DataFrame, applied: str = "applied", ignored: str = "ignored") -> DataFrame:
+    """F1: ``(action, n_renames, n_scores)``: an event counts once, whether its ``value`` is a score, a list of
+    scores, an empty list or null."""
+    rows = events.where(F.col("action").isin(applied, ignored))
+    if isinstance(events.schema["value"].dataType, T.ArrayType):
+        scores = F.coalesce(F.size("value"), F.lit(0))
+    else:
+        scores = F.col("value").isNotNull().cast("int")
+    name = F.when(F.col("action") == applied, F.lit("applied")).otherwise(F.lit("ignored"))
+    return rows.groupBy(name.alias("action")).agg(F.count("*").alias("n_renames"), F.sum(F.greatest(scores, F.lit(0)).cast("long")).alias("n_scores"))
+
+
 def latest_state(events: DataFrame, key: str = "element") -> DataFrame:
     """keyed store: ``put`` replaces the value and clears both flags; ``recalculate`` /
     ``ignore`` only act on an existing key. Per key: value of the latest put by (ts, event_id),

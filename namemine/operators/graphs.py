@@ -108,10 +108,15 @@ def child_edges(ast: DataFrame) -> DataFrame:
     ))
 
 
-def last_use(tokens: DataFrame) -> DataFrame:
-    """Usage -> previous usage of the same declaration (straight-line code)."""
+def last_use(tokens: DataFrame, self_edges: str | None = None) -> DataFrame:
+    """Usage -> previous usage of the same declaration (straight-line code). ``self_edges`` names a flag of
+    usages that are visited twice (operands of unary and compound assignments): their second visit finds the first
+    one as the last use, an edge to themselves. Last writes (G7) don't change on a second visit."""
     v = tokens.where(F.col("decl_id").isNotNull())
-    return _token_edge(_previous_in_group(v, ["decl_id"]), F.col("_prev"), LAST_USE)
+    edges = _token_edge(_previous_in_group(v, ["decl_id"]), F.col("_prev"), LAST_USE)
+    if self_edges is None:
+        return edges
+    return edges.unionByName(_token_edge(v.where(F.col(self_edges)), F.col("pos"), LAST_USE))
 
 
 def last_write(tokens: DataFrame, chunk: int = sequences.CHUNK) -> DataFrame:
@@ -343,11 +348,12 @@ def node_labels(nodes: DataFrame, target_col: str = "target", label: Column | No
     return nodes.withColumn("label", label)
 
 
-def graph_record(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per variable: node map ``{index: label}`` and edge lists per type of index pairs.
+def graph_record(nodes: DataFrame, edges: DataFrame, variables: DataFrame | None = None) -> DataFrame:
+    """Per variable: node map ``{index: label}`` and edge lists per type of index pairs, with what
+    ``variables(decl_id, file, name, types, span)`` says of it.
 
     ``nodes(decl_id, node, label)``; ``edges(decl_id, src, dst, edge_type)``; node indices are
-    dense per variable in node order. A variable without nodes gets no record.
+    dense per variable in node order. A variable without nodes, or not among ``variables`` (no identifier, no usage), gets no record.
     """
     ix = nodes.withColumn("ix", (F.row_number().over(Window.partitionBy("decl_id").orderBy("node")) - 1).cast("int"))
     node_map = ix.groupBy("decl_id").agg(F.map_from_entries(F.collect_list(F.struct("ix", "label"))).alias("node_labels"))
@@ -356,4 +362,5 @@ def graph_record(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     el = edges.join(s, ["decl_id", "src"]).join(d, ["decl_id", "dst"])
     per_type = el.groupBy("decl_id", "edge_type").agg(F.sort_array(F.collect_list(F.array("si", "di"))).alias("pairs"))
     edge_map = per_type.groupBy("decl_id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "pairs"))).alias("edges"))
-    return node_map.join(edge_map, "decl_id", "left")
+    record = node_map.join(edge_map, "decl_id", "left")
+    return record if variables is None else variables.join(record, "decl_id")

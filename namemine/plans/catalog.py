@@ -764,23 +764,42 @@ def q_node_labels(spark, sf_dir):
     return lab.groupBy(F.col("method_id").alias("graph_id"), "label").agg(F.count("*").alias("cnt"))
 
 
-@query("graph_record")
-def q_graph_record(spark, sf_dir):
+def event_records_of_graphs(spark, sf_dir):
+    """G18 on binding E: a variable's file is its user, its span the place of its declaration."""
     toks, sub = event_subgraphs(spark, sf_dir)
+    sub = stored(sub, "subgraphs")
     nodes = sub.select("decl_id", "graph_id", F.col("src").alias("node")).distinct()
     tok = toks.select(F.col("file_id").alias("graph_id"), F.col("pos").cast("bigint").alias("node"),
                       F.col("token").alias("text"), "lit_type", F.col("decl_id").alias("tok_decl"))
     labeled = nodes.join(tok, ["graph_id", "node"]).select(
         "decl_id", "node",
         mask_literal(F.col("text"), F.col("lit_type"), F.col("tok_decl"), F.col("decl_id")).alias("label"))
-    rec = graphs.graph_record(labeled, sub.select("decl_id", "src", "dst", "edge_type"))
+    variables = usages.declarations(toks).select(
+        "decl_id", F.col("file_id").cast("string").alias("file"), F.col("token").alias("name"), F.array("kind").alias("types"),
+        F.struct(F.col("offset").alias("start"), (F.col("offset") + F.length("token")).alias("end")).alias("span"))
+    return graphs.graph_record(labeled, sub.select("decl_id", "src", "dst", "edge_type"), variables)
+
+
+def n_edges_of(rec):
+    return F.aggregate(F.map_values(rec), F.lit(0), lambda a, v: a + F.size(v))
+
+
+@query("graph_record")
+def q_graph_record(spark, sf_dir):
+    rec = event_records_of_graphs(spark, sf_dir)
     return rec.select(
-        "decl_id", F.size("node_labels").alias("n_nodes"), F.size(F.map_keys("edges")).alias("n_types"),
-        F.aggregate(F.map_values("edges"), F.lit(0), lambda a, v: a + F.size(v)).alias("n_edges"),
+        "decl_id", "file", "name", joined("types").alias("types"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"),
+        F.size("node_labels").alias("n_nodes"), F.size(F.map_keys("edges")).alias("n_types"), n_edges_of("edges").alias("n_edges"),
         F.size(F.filter(F.map_values("node_labels"), lambda x: x == "<var>")).alias("n_target_nodes"),
     )
 
 
+@query("self_edges")
+def q_self_edges(spark, sf_dir):
+    """G6 with operands visited twice (binding E: writes): their second visit links them to themselves."""
+    return graphs.last_use(B.event_tokens(spark, sf_dir), self_edges="is_write")
+
+
 # ---------------------------------------------------------------------------------------------
 # B: beams (binding B)
 # ---------------------------------------------------------------------------------------------
@@ -872,6 +891,15 @@ def q_rename_stats(spark, sf_dir):
     return feedback.rename_stats(B.feedback_events(spark, sf_dir), applied="applied", ignored="ignore")
 
 
+@query("rename_counters")
+def q_rename_counters(spark, sf_dir):
+    """F1's two counters; an ignore carries a list of scores here: none, one or two."""
+    ev = B.feedback_events(spark, sf_dir)
+    n = (F.col("event_id") % 3).cast("int")
+    several = F.when(F.col("action") == "ignore", F.slice(F.array("value", "value"), 1, n)).otherwise(F.array("value"))
+    return feedback.rename_counters(ev.withColumn("value", several), applied="applied", ignored="ignore")
+
+
 @query("latest_state")
 def q_latest_state(spark, sf_dir):
     return feedback.latest_state(B.feedback_events(spark, sf_dir))
@@ -1076,13 +1104,16 @@ def q_usage_dataset_json(spark, sf_dir):
 
 @query("chunked_json")
 def q_chunked_json(spark, sf_dir):
-    toks, sub = event_subgraphs(spark, sf_dir)
-    rec = sub.groupBy("decl_id").agg(F.count("*").alias("n_edges"))
+    """Graph records in chunks of 25, read back."""
     path = scratch(spark, "chunks")
-    sinks.write_chunked_json(rec, path, per_file=100)
-    back = spark.read.schema("decl_id string, n_edges long").json(path)
-    per_file = back.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"))
-    return per_file.agg(F.sum("n").alias("n_records"), (F.max("n") <= 100).alias("within_limit"))
+    records = event_records_of_graphs(spark, sf_dir)
+    sinks.write_chunked_json(records, path, ["decl_id"], per_file=25)
+    shape = "array<struct<decl_id: string, name: string, node_labels: map<string, string>, edges: map<string, array<array<int>>>>>"
+    back = spark.read.text(path).select(F.col("chunk").cast("long").alias("chunk"), F.from_json("value", shape).alias("r"))
+    return back.select(
+        "chunk", F.size("r").alias("n_records"), F.coalesce(F.get("r", F.lit(0))["decl_id"], F.lit("")).alias("first_decl"),
+        F.aggregate("r", F.lit(0), lambda a, x: a + F.size(x["node_labels"])).alias("n_nodes"),
+        F.aggregate("r", F.lit(0), lambda a, x: a + n_edges_of(x["edges"])).alias("n_edges"))
 
 
 @query("resume_antijoin")

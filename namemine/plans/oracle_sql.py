@@ -372,8 +372,8 @@ SELECT decl_id, pos, usage_ix FROM w_use
 """)
 
 oracle("distance_to_declaration", f"""
-WITH {W_USE}
-SELECT decl_id, pos, CAST(abs("offset" - decl_offset) AS INTEGER) AS distance FROM w_use
+WITH {W_TOK}
+SELECT decl_id, pos, CAST("offset" - min("offset") OVER (PARTITION BY decl_id) AS INTEGER) AS distance FROM w_tok WHERE decl_id IS NOT NULL
 """)
 
 oracle("line_position", f"""
@@ -818,7 +818,7 @@ both_dirs AS (
 SELECT DISTINCT decl_id, src, dst, edge_type FROM both_dirs
 """)
 
-oracle("graph_record", f"""
+E_RECORDS = f"""
 WITH RECURSIVE {E_EDGES},
 reach(decl_id, graph_id, node, hop) AS (
   SELECT decl_id, file_id, CAST(pos AS BIGINT), 0 FROM e_tok
@@ -835,12 +835,26 @@ nodes AS (SELECT DISTINCT decl_id, graph_id, src AS node FROM sub),
 lab AS (
   SELECT n.decl_id, count(*) AS n_nodes, count(*) FILTER (WHERE t.decl_id = n.decl_id) AS n_target_nodes
   FROM nodes n JOIN e_tok t ON t.file_id = n.graph_id AND t.pos = n.node GROUP BY n.decl_id),
-ed AS (SELECT decl_id, count(*) AS n_edges, count(DISTINCT edge_type) AS n_types FROM sub GROUP BY decl_id)
-SELECT decl_id, CAST(n_nodes AS INTEGER) AS n_nodes, CAST(n_types AS INTEGER) AS n_types,
+ed AS (SELECT decl_id, count(*) AS n_edges, count(DISTINCT edge_type) AS n_types FROM sub GROUP BY decl_id),
+recs AS (
+  SELECT t.decl_id, CAST(t.file_id AS VARCHAR) AS file, t.token AS name, t."offset" AS span_start, t."offset" + length(t.token) AS span_end,
+         n_nodes, n_types, n_edges, n_target_nodes
+  FROM e_tok t JOIN lab USING (decl_id) JOIN ed USING (decl_id) WHERE t.is_decl)"""
+
+oracle("graph_record", f"""
+{E_RECORDS}
+SELECT decl_id, file, name, 'ident' AS types, span_start, span_end, CAST(n_nodes AS INTEGER) AS n_nodes, CAST(n_types AS INTEGER) AS n_types,
        CAST(n_edges AS INTEGER) AS n_edges, CAST(n_target_nodes AS INTEGER) AS n_target_nodes
-FROM lab JOIN ed USING (decl_id)
+FROM recs
+""")
+
+oracle("self_edges", f"""
+WITH {E_EDGES}
+SELECT * FROM e_lu WHERE dst IS NOT NULL
+UNION ALL SELECT file_id, CAST(pos AS BIGINT), CAST(pos AS BIGINT), 'LastUse' FROM e_tok WHERE is_write
 """)
 
+
 oracle("child_edges", f"""
 WITH {O_TREE}
 SELECT o_custkey AS graph_id, o_custkey * 3 AS src, o_orderkey * 3 + 1 AS dst, 'Child' AS edge_type FROM o_o
@@ -980,6 +994,12 @@ SELECT CASE event_type WHEN 'purchase' THEN 'applied' ELSE 'ignored' END AS acti
 FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL
 """)
 
+oracle("rename_counters", """
+SELECT CASE event_type WHEN 'purchase' THEN 'applied' ELSE 'ignored' END AS action, count(*) AS n_renames,
+       CAST(sum(CASE event_type WHEN 'purchase' THEN 1 ELSE event_id % 3 END) AS BIGINT) AS n_scores
+FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL
+""")
+
 oracle("latest_state", f"""
 WITH p AS (
   SELECT user_id, value, ts, event_id,
@@ -1247,8 +1267,11 @@ SELECT project, CAST(file_id AS VARCHAR) AS path, CAST(count(*) AS INTEGER) AS n
 """)
 
 oracle("chunked_json", f"""
-WITH {E_TOK}
-SELECT count(*) AS n_records, true AS within_limit FROM e_tok WHERE is_decl
+{E_RECORDS},
+placed AS (SELECT *, (row_number() OVER (ORDER BY decl_id) - 1) // 25 AS chunk FROM recs)
+SELECT chunk, CAST(count(*) AS INTEGER) AS n_records, min(decl_id) AS first_decl, CAST(sum(n_nodes) AS INTEGER) AS n_nodes, CAST(sum(n_edges) AS INTEGER) AS n_edges
+FROM placed GROUP BY chunk
+UNION ALL SELECT count(*) // 25, 0, '', 0, 0 FROM recs HAVING count(*) % 25 = 0
 """)
 
 oracle("resume_antijoin", """
