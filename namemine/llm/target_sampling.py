@@ -11,8 +11,8 @@ partition) and written with their position; every run gives its rows at regular
 give regular splitters; rows go to the segment between two splitters, each segment is merged in its own task,
 and segment sizes, added up in front of each segment, turn positions into exact ranks. Segments that
 start behind the last drawn rank aren't exchanged at all. Ties are broken by doc_id and then by the row's place, so
-splitters part equal keys as well, and no segment grows with a key. Runs and segments number at most ``RUNS``, so at
-most ``RUNS ** 2`` slim samples reach the driver.
+splitters part equal keys as well, and no segment grows with a key. Runs and segments number at most ``RUNS``, so fewer than
+``2 * RUNS ** 2`` slim samples reach the driver.
 
 Defined cases: null and empty texts have no features, weight 0 and aren't eligible; a null doc_id draws
 its noise from the empty id and comes last among ties; repeated rows have equal scores and follow each other in
