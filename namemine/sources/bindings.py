@@ -99,8 +99,10 @@ def word_token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binding W without what its files' other tokens decide (offset, line, declarations): ``project, file_id, pos,
     token, kind, lit_type, decl_id``, made row by row."""
-    arrays = word_token_arrays(spark, sf_dir)
-    rows = arrays.select("project", "file_id", F.posexplode("tokens").alias("pos", "token"))
+    # the match stands inside the generator: of a column of matches, a size filter would be inferred and
+    # pushed below the rows' deal, where it matches every text a second time
+    files = word_files(spark, sf_dir)
+    rows = files.select("project", "file_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), 0)).alias("pos", "token"))
     return rows.select("project", "file_id", "pos", "token", *_word_columns(F.col("token"), F.col("file_id")))
 
 
