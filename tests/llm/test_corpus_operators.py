@@ -201,6 +201,51 @@ def test_passages_at_several_places(spark, odd):
     assert [(r.doc_id, r.start_word, r.end_word) for r in got] == [x for i in range(12) for x in ((2 * i, 100, 170), (2 * i, 230, 300), (2 * i + 1, 50, 120))]
 
 
+def test_passages_of_many_words(spark, odd):
+    """Runs wider than 8 bits, far down a text."""
+    draw = random.Random(6)
+    fresh = lambda n: ["v" + str(draw.randrange(100_000)) for _ in range(n)]
+    rows, at = [], {}
+    for i in range(8):
+        passage = fresh(320)
+        for doc in (2 * i, 2 * i + 1):
+            at[doc] = draw.randrange(400, 900)
+            rows.append((doc, " ".join(fresh(at[doc]) + passage + fresh(50))))
+    got = sorted(passages.near_duplicate_passages(odd(rows), min_words=300).collect())
+    assert [(r.doc_id, r.start_word, r.end_word, r.class_id) for r in got] == [(d, a, a + 320, d // 2 * 2) for d, a in sorted(at.items())]
+    for n in (4, 1 << 14):
+        with pytest.raises(ValueError):
+            passages.near_duplicate_passages(odd(rows), min_words=n)
+
+
+def plain_shared_passages(a, b, similarity, min_shingles):
+    todo, out = [([i for i, x in enumerate(a) if x in set(b)], [i for i, x in enumerate(b) if x in set(a)])], []
+    while todo:
+        at, bt = todo.pop()
+        if min(len(at), len(bt)) < similarity * min_shingles / 2 or min(at[-1] - at[0], bt[-1] - bt[0]) + 1 < min_shingles:
+            continue
+        x, y = set(a[at[0] : at[-1] + 1]), set(b[bt[0] : bt[-1] + 1])
+        if len(x & y) >= similarity * len(x | y):
+            out.append((at[0], at[-1] + 1, bt[0], bt[-1] + 1))
+            continue
+        ga, gb = ([q - p for p, q in zip(z[:-1], z[1:], strict=True)] for z in (at, bt))
+        mine, cut = (at, ga.index(max(ga)) + 1) if max(ga) >= max(gb) else (bt, gb.index(max(gb)) + 1)
+        for part in (mine[:cut], mine[cut:]):
+            todo.append((part, [i for i in bt if b[i] in {a[k] for k in part}]) if mine is at else ([i for i in at if a[i] in {b[k] for k in part}], part))
+    return out
+
+
+def test_verification_equals_sets():
+    rng = np.random.default_rng(9)
+    for trial in range(300):
+        parts = [rng.integers(0, 10**6, int(rng.integers(5, 60))) for _ in range(4)]
+        a, b = (np.concatenate([p for p in parts if rng.random() < 0.8] + [rng.integers(0, 40, int(rng.integers(0, 30)))]) for _ in range(2))
+        b = a.copy() if trial % 7 == 0 else b
+        flip = rng.random(len(b)) < (0.0, 0.02, 0.1)[trial % 3]
+        b[flip] = rng.integers(0, 10**6, int(flip.sum()))
+        assert passages.shared_passages(a, b, 0.8, 20) == plain_shared_passages(a.tolist(), b.tolist(), 0.8, 20)
+
+
 def test_links_take_every_window_across_batches():
     rows = [(k, t, w) for k in range(3) for t in range(4) for w in range(t + k + 1)]
     want = set()
