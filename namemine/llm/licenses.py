@@ -5,12 +5,18 @@ in a row, and an inverted index maps a kept hash to (template, place). A documen
 looked up, so any run of ``k + winnow - 1`` words shared with a template meets the index. Hits of a
 template that lie near one diagonal (document place minus template place) form a candidate;
 a local alignment in a band around that diagonal gives the matched words, and the match is reported
-if they cover ``coverage`` of the template; its words are then taken out and the band is aligned again,
-until coverage is missed, so notices close to each other are all found. Of overlapping matches the one with more matched words
-stays.
+if they cover ``coverage`` of the template and of the text's words between its ends; its words are then
+taken out and the band is aligned again, until coverage is missed, so notices close to each other are all
+found. Places where a template occurs word for word need no alignment.
+
+Licences differ by a few words. A template marks these in braces: ``{GNU General Public License}`` must
+occur in the match, its words in a row. A match that covers a template but lacks a marked phrase is
+some other licence: it is reported as ``unknown`` unless a named match overlaps it. Of overlapping matches
+a named one goes before an unknown one, then the one with more matched words, the higher coverage, the
+earlier start, the first licence and template by name and number stays.
 
 All work is inside a document, so nothing is shuffled; the index of the templates (a parameter, a
-few hundred words) travels with the task.
+few thousand words) travels with the task.
 
 Defined cases: a null or empty text has no match; repeated rows are scanned each; a null ``doc_id``
 is carried; an empty table or no templates give no rows; other columns are ignored.
@@ -19,6 +25,7 @@ is carried; an empty table or no templates give no rows; other columns are ignor
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,43 +44,103 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
-#: Public license notices (fixed values), by SPDX identifier.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+UNKNOWN = "unknown"
+
+#: Public license notices (fixed values), by SPDX identifier; phrases in braces tell a license from its neighbours.
+NOTICES: dict[str, tuple[str, ...]] = {
+    "Apache-1.1": ("Licensed under the {Apache Software License, Version 1.1}.",),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "Licensed under the {Apache License, Version 2.0}.",
+        'Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the '
         "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
     "MIT": (
-        "Released under the MIT License.",
+        "Released under the {MIT} License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        'documentation files (the "Software"), to {deal in the Software without restriction}, including without limitation the '
         "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSL-1.0": (
+        "Distributed under the {Boost Software License, Version 1.0}.",
+        "Permission is hereby granted, free of charge, to any {person or organization} obtaining a copy of the software and "
+        'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, '
+        "and transmit the Software, and to prepare derivative works of the Software",
     ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "BSD-2-Clause": (
+        "Released under the {BSD 2-Clause} License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided {with the "
+        "distribution. THIS SOFTWARE IS PROVIDED}",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "BSD-3-Clause": (
+        "Released under the {BSD 3-Clause} License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met",
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. 3. {Neither the name of} the copyright holder {nor the names of its contributors} may be used to endorse or "
+        "promote products derived from this software without specific prior written permission.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "granted, {provided that the above copyright notice} and this permission notice appear in all copies.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. {In no event will the authors} be held liable "
+        "for any damages arising from the use of this software.",
+    ),
+    "MPL-1.1": (
+        'The contents of this file are subject to the {Mozilla Public License Version 1.1} (the "License"); you may not use this '
+        "file except in compliance with the License.",
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the {Eclipse Public License 2.0}",),
+    "Unlicense": ("This is {free and unencumbered software} released into the public domain.",),
+    "CC0-1.0": (
+        "Licensed under {CC0 1.0}.",
+        "To the extent possible under law, the author has {waived all copyright} and related or neighboring rights to this work.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 
+#: Public names of the Creative Commons elements, the editions' names and the GNU licenses (fixed values).
+CC_ELEMENTS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_EDITIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+GNU = {
+    "GPL": ("GNU General Public License", ("2", "3")),
+    "LGPL": ("GNU Lesser General Public License", ("2.1", "3")),
+    "AGPL": ("GNU Affero General Public License", ("3",)),
+}
+
+
+def _templates() -> dict[str, tuple[str, ...]]:
+    """``NOTICES`` and the notices of the two families, made from their names."""
+    out = dict(NOTICES)
+    for code, title in CC_ELEMENTS.items():
+        for version, edition in CC_EDITIONS.items():
+            named = title if version == "4.0" else title.replace("NoDerivatives", "NoDerivs")
+            whole = f"This work is licensed under a {{Creative Commons {named} {version}}} {edition} License."
+            out[f"CC-{code}-{version}"] = (f"Licensed under {{CC {code} {version}}}.", whole)
+    for code, (title, versions) in GNU.items():
+        for version in versions:
+            out[f"{code}-{version if '.' in version else version + '.0'}"] = (
+                f"This work is licensed under the {{{title}, version {version}}}.",
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the {{{title}}} as published "
+                f"by the Free Software Foundation, either {{version {version}}} of the License, or (at your option) any later version.",
+            )
+    return out
+
+
+TEMPLATES = _templates()
+
 
 class Match(NamedTuple):
-    """A reported match; bounds in code points, end exclusive."""
+    """A reported match; bounds in code points, end exclusive. ``template`` is the notice's number within its
+    license, -1 if that is unknown."""
 
     license: str
     template: int
@@ -128,26 +195,48 @@ def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND
     return best[1], best[2], best[3]
 
 
+class Template(NamedTuple):
+    license: str
+    number: int
+    words: np.ndarray
+    phrases: list[np.ndarray]
+    times: np.ndarray  # of each known word's id
+
+
+def _at(ids: np.ndarray, phrase: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The places among ``first`` where ``phrase`` stands word for word."""
+    first = first[(first >= 0) & (first <= len(ids) - len(phrase))]
+    for i, word in enumerate(phrase):
+        first = first[ids[first + i] == word]
+    return first
+
+
+def _holds(ids: np.ndarray, phrases: list[np.ndarray]) -> bool:
+    return all(len(_at(ids, p, np.flatnonzero(ids == p[0]))) for p in phrases)
+
+
 class Scanner:
     """The inverted index of the templates, and the scan of a text."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]] | None = None, k: int = K, winnow: int = WINNOW, band: int = BAND, coverage: float = COVERAGE):
         self.k, self.band, self.coverage = k, band, coverage
         self.words: dict[str, int] = {}
-        self.templates: list[tuple[str, int, np.ndarray]] = []
-        for name, texts in (TEMPLATES if templates is None else templates).items():
-            for i, text in enumerate(texts):
-                ids = [self.words.setdefault(w.lower(), len(self.words) + 1) for w in _WORD.findall(text)]
-                self.templates.append((name, i, np.asarray(ids, dtype=np.int64)))
+        numbered = [(name, i, text) for name, texts in (TEMPLATES if templates is None else templates).items() for i, text in enumerate(texts)]
+        made = [(name, i, self._ids(text), [self._ids(p) for p in re.findall(r"\{([^}]*)\}", text) if _WORD.search(p)]) for name, i, text in numbered]
+        self.templates = [Template(*t, np.bincount(t[2], minlength=len(self.words) + 1)) for t in made]
         self.index: dict[int, list[tuple[int, int]]] = {}
-        for t, (_, _, ids) in enumerate(self.templates):
-            grams = _kgrams(ids, k)
+        starts: set[int] = set()  # of the index's k-grams: cheap test
+        for t, template in enumerate(self.templates):
+            grams = _kgrams(template.words, k)
             for place in winnowed(grams, winnow):
                 self.index.setdefault(int(grams[place]), []).append((t, place))
+                starts.add(int(template.words[place]))
         self.keys = np.sort(np.fromiter(self.index, np.uint64, len(self.index)))
-        #: cheap test: a k-gram of the index starts with one of these words
-        self.starts = {w for w, i in self.words.items() if any(int(_kgrams(ids[p : p + k], k)[0]) in self.index for _, _, ids in self.templates for p in np.flatnonzero(ids[: len(ids) - k + 1] == i))}
-        self.cue = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(sorted(map(re.escape, self.starts), key=len, reverse=True)) + r")(?![A-Za-z0-9])", re.IGNORECASE) if self.starts else None
+        cues = sorted((re.escape(w) for w, i in self.words.items() if i in starts), key=len, reverse=True)
+        self.cue = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(cues) + r")(?![A-Za-z0-9])", re.IGNORECASE) if cues else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray([self.words.setdefault(w.lower(), len(self.words) + 1) for w in _WORD.findall(text)], dtype=np.int64)
 
     def scan(self, text: str) -> list[Match]:
         if not text or self.cue is None or not self.cue.search(text):
@@ -161,22 +250,46 @@ class Scanner:
         places = np.flatnonzero(runs)
         grams = _kgrams(ids, self.k)[places]
         hit = np.isin(grams, self.keys)
-        by_template: dict[int, list[int]] = {}
+        by_template: dict[int, list[tuple[int, int]]] = {}  # (place, diagonal)
         for place, gram in zip(places[hit].tolist(), grams[hit].tolist(), strict=True):
             for t, at in self.index[gram]:
-                by_template.setdefault(t, []).append(place - at)
-        found = []
-        for t, diagonals in by_template.items():
-            name, i, template = self.templates[t]
-            for d in _clusters(sorted(diagonals), self.band):
-                lo, hi = max(0, d - self.band), min(len(ids), d + len(template) + self.band)
-                left = ids[lo:hi].copy()
-                matched, first, last = align(left, template, d - lo, self.band)
-                while matched and matched >= self.coverage * len(template):
-                    found.append(Match(name, i, spots[lo + first][0], spots[lo + last - 1][1], matched, matched / len(template)))
-                    left[first:last] = -1  # a further notice may lie in the same band
-                    matched, first, last = align(left, template, d - lo, self.band)
-        return _without_overlap(found)
+                by_template.setdefault(t, []).append((place, place - at))
+        hits = {t: np.asarray(x) for t, x in by_template.items()}
+        found = [m for t, x in hits.items() for m in self._whole(ids, self.templates[t], np.unique(x[:, 1]))]
+        taken = np.zeros(len(ids), np.int64)  # words of the longest notice that stands word for word here
+        for m in sorted(found, key=lambda m: m.n_matched):
+            taken[m.start : m.end] = m.n_matched
+        for t, x in hits.items():
+            left = np.where(taken >= len(self.templates[t].words), -1, ids)  # a match on other words would lose to that notice
+            found += self._near(left, self.templates[t], np.unique(x[left[x[:, 0]] > 0, 1]))
+        kept = _without_overlap(found)
+        return [Match(m.license, m.template, spots[m.start][0], spots[m.end - 1][1], m.n_matched, m.coverage) for m in kept]
+
+    def _whole(self, ids: np.ndarray, template: Template, diagonals: np.ndarray) -> Iterator[Match]:
+        """The places (in words) where a template stands word for word."""
+        n, end = len(template.words), -1
+        for at in _at(ids, template.words, diagonals).tolist():
+            if at >= end:
+                end = at + n
+                yield Match(template.license, template.number, at, end, n, 1.0)
+
+    def _near(self, ids: np.ndarray, template: Template, diagonals: np.ndarray) -> Iterator[Match]:
+        """Other matches of a template, of which one that lacks a marked phrase is unknown."""
+        n = len(template.words)
+        for d in _clusters(diagonals.tolist(), self.band):
+            lo, hi = max(0, d - self.band), min(len(ids), d + n + self.band)
+            part = ids[lo:hi].copy()
+            while True:
+                here = np.bincount(part[part > 0], minlength=len(template.times))
+                if np.minimum(here, template.times).sum() < self.coverage * n:  # no alignment can match so many
+                    break
+                matched, first, last = align(part, template.words, d - lo, self.band)
+                if matched < self.coverage * n:
+                    break
+                if matched >= self.coverage * (last - first):
+                    named = _holds(part[first:last], template.phrases)
+                    yield Match(template.license if named else UNKNOWN, template.number if named else -1, lo + first, lo + last, matched, matched / n)
+                part[first:last] = -1  # a further notice may lie in the same band
 
 
 def _clusters(diagonals: list[int], band: int) -> Iterator[int]:
@@ -194,11 +307,13 @@ def _clusters(diagonals: list[int], band: int) -> Iterator[int]:
 
 
 def _without_overlap(found: list[Match]) -> list[Match]:
+    """The matches that no better one overlaps, by start."""
     kept: list[Match] = []
-    for m in sorted(found, key=lambda m: (-m.n_matched, -m.coverage, m.start, m.license, m.template)):
-        if all(m.end <= o.start or m.start >= o.end for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m.start)
+    for m in sorted(found, key=lambda m: (m.license == UNKNOWN, -m.n_matched, -m.coverage, m.start, m.license, m.template)):
+        i = bisect_left(kept, m.start, key=lambda o: o.start)
+        if (i == len(kept) or kept[i].start >= m.end) and (i == 0 or kept[i - 1].end <= m.start):
+            insort(kept, m, key=lambda o: o.start)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, **how) -> DataFrame:

@@ -85,9 +85,12 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def notice(name, i=0):
+    return licenses.TEMPLATES[name][i].replace("{", "").replace("}", "")
+
+
 def test_license_scan(spark, odd):
-    gpl = licenses.TEMPLATES["GPL-3.0"][0]
-    long = licenses.TEMPLATES["MIT"][1]
+    gpl, long = notice("GPL-3.0"), notice("MIT", 1)
     edited = long.replace("any person", "anyone").replace("free of charge", "at no charge")
     rows = [(1, f"text\n{gpl}\nmore"), (2, None), (3, ""), (4, "word " * 30_000 + edited), (5, "this work is the general public of a version"), (None, f"{gpl} {gpl}"), (6, "RELEASED!! under the (MIT) License"), (6, "RELEASED!! under the (MIT) License")]
     got = licenses.scan_licenses(odd(rows)).collect()
@@ -112,6 +115,51 @@ def test_repeated_license_notices(between):
         assert [text[m.start : m.end] for m in got] == [notice.rstrip(".")] * 10
 
 
+GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+BSD = notice("BSD-3-Clause", 1)
+
+
+@pytest.mark.parametrize("name, text", [
+    ("GPL-2.0", GPL.format("General Public License", 2)),
+    ("LGPL-3.0", GPL.format("Lesser General Public License", 3)),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("BSD-2-Clause", BSD[: BSD.index("3. ")] + "THIS SOFTWARE IS PROVIDED BY THE AUTHORS"),
+    ("BSD-3-Clause", BSD + " THIS SOFTWARE IS PROVIDED BY THE AUTHORS"),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
+    ("unknown", "Released under the BSD License."),
+    ("unknown", GPL.format("Whole Public License", 3)),
+    ("unknown", "Licensed under the Apache License, Version 9.0."),
+])
+def test_neighbour_licenses(name, text):
+    assert [m.license for m in licenses.Scanner().scan(f"x y {text} z")] == [name]
+
+
+def test_every_notice_is_found_and_told_apart():
+    scanner = licenses.Scanner()
+    for name, texts in licenses.TEMPLATES.items():
+        for i in range(len(texts)):
+            text = f"a b {notice(name, i)} c d"
+            assert [(m.license, m.template, m.coverage) for m in scanner.scan(text)] == [(name, i, 1.0)]
+    alone = licenses.Scanner({"GPL-3.0": licenses.TEMPLATES["GPL-3.0"]})
+    assert [m.license for m in alone.scan(GPL.format("General Public License", 2))] == ["unknown"]
+
+
+def test_many_foreign_words_are_no_match():
+    scanner = licenses.Scanner({"T": ("one two three four five six seven eight nine ten",)})
+    found = lambda t: [(m.n_matched, m.coverage) for m in scanner.scan(t)]
+    assert found("one two three four five x six seven eight nine ten") == [(10, 1.0)]
+    assert found("one two three x x four five six x x seven eight nine ten") == []
+
+
+def test_a_hundred_thousand_notices():
+    lines = [notice("MIT"), notice("CC-BY-NC-4.0"), "Licensed under the Apache License, Version 2.0."]
+    got = licenses.Scanner().scan("\n".join(lines[i % 3] for i in range(100_000)))
+    assert len(got) == 100_000 and all(a.end < b.start for a, b in zip(got[:-1], got[1:], strict=True))
+
+
 def test_alignment_equals_full_table():
     draw = random.Random(4)
     for _ in range(200):
