@@ -20,7 +20,6 @@ from namemine.session import stored
 from namemine.sources import bindings as B
 from namemine.sources import corpus, sinks
 from namemine.streaming import jobs as stream_jobs
-from namemine.streaming import runner as stream_runner
 from namemine.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1140,7 +1139,7 @@ def table_stream(spark, sf_dir, name, schema):
 def q_stream_ngram_counts(spark, sf_dir):
     docs = table_stream(spark, sf_dir, "documents", read_table(spark, sf_dir, "documents").schema)
     changes = docs.select(F.col("doc_id").alias("file_id"), "text", F.lit(1).alias("sign"))
-    out = stream_runner.run_updates(stream_jobs.ngram_changes(changes), scratch(spark, "ngrams"), ["n", "ngram"], ["cnt"])
+    out = stream_jobs.stream_ngram_counts(changes, scratch(spark, "ngrams"))
     return out.where(F.col("cnt") > 0).select("n", joined("ngram").alias("ngram"), "cnt")
 
 
@@ -1154,10 +1153,9 @@ def feedback_stream(spark, sf_dir):
 
 @query("stream_rename_stats")
 def q_stream_rename_stats(spark, sf_dir):
-    return stream_runner.run_complete(
-        stream_jobs.stream_rename_stats(feedback_stream(spark, sf_dir), applied="applied", ignored="ignore"), "stats")
+    return stream_jobs.stream_rename_stats(feedback_stream(spark, sf_dir), scratch(spark, "stats"), applied="applied", ignored="ignore")
 
 
 @query("stream_latest_state")
 def q_stream_latest_state(spark, sf_dir):
-    return stream_runner.run_complete(stream_jobs.stream_latest_state(feedback_stream(spark, sf_dir)), "state")
+    return stream_jobs.stream_latest_state(feedback_stream(spark, sf_dir), scratch(spark, "state"))

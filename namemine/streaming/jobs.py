@@ -1,8 +1,8 @@
 """Structured Streaming forms of the incremental state.
 
 The reference keeps counts and feedback state up to date in place; here a change log / event
-log is a file stream and the state is a streaming aggregation (RocksDB state store when the
-session enables it). The aggregations are order-free, so the result equals the batch form.
+log is a file stream, each row of it a change, and the state is the merge of all changes, kept in folders
+(``runner.run_updates``). Merging is order-free, so the result equals the batch form.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from namemine.operators import feedback, lm
 from namemine.sources.bindings import TOKEN_PATTERN
+from namemine.streaming.runner import run_updates
 
 
 def ngram_changes(changes: DataFrame, order: int = lm.ORDER, pattern: str = TOKEN_PATTERN) -> DataFrame:
@@ -35,13 +36,25 @@ def ngram_changes(changes: DataFrame, order: int = lm.ORDER, pattern: str = TOKE
     return grams.select(F.size("ngram").alias("n"), "ngram", F.col("sign").cast("bigint").alias("cnt"))
 
 
-def stream_rename_stats(events: DataFrame, applied: str = "applied", ignored: str = "ignored") -> DataFrame:
+def merge_counts(changes: DataFrame) -> DataFrame:
+    """Sums of ``cnt`` by all other columns; what adds up to nothing goes."""
+    keys = [c for c in changes.columns if c != "cnt"]
+    return changes.groupBy(*keys).agg(F.sum("cnt").alias("cnt")).where("cnt <> 0")
+
+
+def stream_ngram_counts(changes: DataFrame, root: str, order: int = lm.ORDER, pattern: str = TOKEN_PATTERN) -> DataFrame:
+    """The current model ``(n, ngram, cnt)`` over a change log ``(file_id, text, sign)``."""
+    return run_updates(ngram_changes(changes, order, pattern), root, merge_counts)
+
+
+def stream_rename_stats(events: DataFrame, root: str, applied: str = "applied", ignored: str = "ignored") -> DataFrame:
     """R2: F1 over an event stream."""
-    return feedback.rename_stats(events, applied, ignored)
+    return run_updates(feedback.rename_scores(events, applied, ignored), root, merge_counts)
 
 
-def stream_latest_state(events: DataFrame, key: str = "element") -> DataFrame:
+def stream_latest_state(events: DataFrame, root: str, key: str = "element") -> DataFrame:
     """F2 per element over an event stream. Event-time order comes from the (ts, event_id)
-    comparison inside the aggregation, so a late event lands in its place without a watermark;
-    the state holds one row per element."""
-    return feedback.latest_state(events, key)
+    comparison inside the merge, so a late event lands in its place without a watermark; a batch
+    writes one row for each element that its events name."""
+    changes = feedback.state_changes(events, key)
+    return feedback.current_state(run_updates(changes, root, lambda c: feedback.merge_states(c, key)), key)

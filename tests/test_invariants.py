@@ -62,7 +62,7 @@ def test_stream_equals_batch(spark):
     fb = ev.select("ts", "event_id", F.col("user_id").alias("element"),
                    F.when(F.col("event_type") == "view", "put").when(F.col("event_type") == "click", "recalculate")
                    .when(F.col("event_type") == "error", "ignore").alias("action"), "value")
-    streamed = runner.run_complete(jobs.stream_latest_state(fb), "test_state")
+    streamed = jobs.stream_latest_state(fb, runner.stream_dir(spark, "test_state"))
     from namemine.operators import feedback
     batch = feedback.latest_state(B.feedback_events(spark, SMOKE_DIR))
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0

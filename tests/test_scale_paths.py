@@ -10,7 +10,7 @@ from namemine.operators import feedback, graphs, lm, sequences, trees, usages
 from namemine.plans import catalog
 from namemine.sources import bindings as B
 from namemine.sources import corpus
-from namemine.streaming import jobs, runner
+from namemine.streaming import jobs
 
 
 def edges_of(df):
@@ -132,7 +132,7 @@ def test_change_log_learns_and_forgets_over_batches_and_restarts(spark, tmp_path
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
 
     def counts():
-        out = runner.run_updates(jobs.ngram_changes(spark.readStream.schema(schema).parquet(log)), str(tmp_path / "out"), ["n", "ngram"], ["cnt"])
+        out = jobs.stream_ngram_counts(spark.readStream.schema(schema).parquet(log), str(tmp_path / "out"))
         return {" ".join(r["ngram"]): r["cnt"] for r in out.where("cnt > 0").collect()}
 
     add((1, "a b a", 1), (2, "b c", 1))
