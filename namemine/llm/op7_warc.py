@@ -9,8 +9,8 @@ from namemine.sources.tables import read_table
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = write_archives(read_table(spark, sf_dir, "pages"), min_bytes=0)
-    return read_archives(spark, paths, payloads=False).drop("url")
+    archives = write_archives(read_table(spark, sf_dir, "pages"), min_bytes=0)
+    return read_archives(archives, payloads=False).drop("url")
 
 
 #: DuckDB's sha1() gives hex; its base32 is built from five-bit groups of the digest's bits.

@@ -7,8 +7,12 @@ record: version line, mandatory headers, declared against real lengths, closing
 the payload's SHA-1 against its header.
 
 Tasks write their archives to a folder that all executors share and return a manifest row per
-archive; only archives of the manifest are read, so what a lost or repeated attempt leaves behind
-does no harm.
+archive. The manifest is a table that the reader deals out, a few archives a task, so no list of
+archives passes through the driver; only archives of the manifest are read, so what a lost or repeated
+attempt leaves behind does no harm, and each must hold as many records as its row says.
+
+Which payloads repeat is found on slim rows. Those that make up over a ``HOT``-th of all repeated rows
+(fewer than ``HOT``) are told by a broadcast, and their rows are dealt evenly; the rows of others join by key.
 
 Defined cases: a null html is an empty payload; a null url has no target header; a null page_id is
 written as an empty identifier and read back as null; among equal payloads of at least
@@ -27,10 +31,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from namemine.llm.shared import only, shared_path
+from namemine.llm.shared import only, shared_path, stage_table
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -41,6 +45,10 @@ SAMPLE_RECORDS, SAMPLE_BYTES = 256, 4 << 20
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 STEP = 1 << 16
+#: A payload with more than a 1000th of the repeated rows is frequent.
+HOT = 1000
+#: Most tasks that read archives.
+READERS = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no date, and archives are to be reproducible
 URN = "urn:x-page:"
@@ -244,8 +252,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, archive_bytes: int) -
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], ["path", "n_records"])
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> list[str]:
-    """Write a record for each row of ``pages`` (page_id, url, html); the archives' paths."""
+def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record for each row of ``pages`` (page_id, url, html); the manifest ``path, n_records`` of
+    the archives."""
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     files, root = _file_system(folder)
@@ -253,43 +262,52 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = (only(pages, page_id="long", url="string", html="string").withColumn("payload", payload).drop("html")
             .withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload")))
-    shared = rows.where(F.col("size") >= min_bytes)
-    firsts = (shared.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("sha1", "size", "first"))
-    told = rows.join(firsts, ["sha1", "size"], "left").select("page_id", "url", "payload", "size", "sha1", "first")
-    manifest = told.mapInArrow(lambda it: _write(it, folder, archive_bytes), "path string, n_records long")
-    return [r.path for r in manifest.collect()]  # a name for each archive, as a listing would give
-
-
-def read_archives(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFrame:
-    """A row per page of the archives: page_id, url, payload_bytes, payload_digest,
+    repeated = (rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size")
+                .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    repeated = stage_table(repeated, "repeated")
+    n_rows = repeated.agg(F.sum("n")).first()[0] or 0
+    hot = repeated.where(F.col("n") * HOT > n_rows).select("sha1", "size", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
+    rest = repeated.where(F.col("n") * HOT <= n_rows).select(F.col("sha1").alias("key"), "size", "first")
+    spread = F.concat(F.lit("#"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)))  # equals no digest
+    told = (rows.join(F.broadcast(hot), ["sha1", "size"], "left").withColumn("key", F.when(F.col("hot"), spread).otherwise(F.col("sha1")))
+            .join(rest.hint("merge"), ["key", "size"], "left")
+            .select("page_id", "url", "payload", "size", "sha1", F.coalesce("hot_first", "first").alias("first")))
+    return stage_table(told.mapInArrow(lambda it: _write(it, folder, archive_bytes), "path string, n_records long"), "manifest")
+
+
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """``archives`` (path, n_records) -> a row per page: page_id, url, payload_bytes, payload_digest,
     record_type, refers_to and, if asked for, the payload (null for a revisit). A broken record or
-    archive raises ``WarcError``."""
+    archive raises ``WarcError``, and so does a number of records other than ``n_records`` (unless null)."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     schema += ", payload binary" if payloads else ""
-    if not paths:
-        return spark.createDataFrame([], schema)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
-        for batch in batches:
-            for content in batch.column(0):
-                rows, size = [], 0
 
-                def flush():
-                    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)  # noqa: B023
+        def table(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-                for record in decode_archive(content.as_buffer()):
+        for batch in batches:
+            for path, n_records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files, at = _file_system(path)
+                with files.open_input_file(at) as source:
+                    content = source.read_buffer()
+                rows, size, count = [], 0, 0
+                for record in decode_archive(content):
                     row = page_record(record)
                     if row is not None:
                         rows.append(row)
                         size += len(record)
+                        count += 1
                     if len(rows) >= 5000 or payloads and size >= 8 << 20:
-                        yield flush()
+                        yield table(rows)
                         rows, size = [], 0
+                if n_records is not None and count != n_records:
+                    raise WarcError(f"{path} holds {count} records, not {n_records}")
                 if rows:
-                    yield flush()
+                    yield table(rows)
 
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return files.mapInArrow(run, schema)
+    listed = only(archives, path="string", n_records="long")
+    return listed.repartition(max(1, min(listed.count(), READERS)), "path").mapInArrow(run, schema)

@@ -432,10 +432,12 @@ def test_kth_largest(spark, k):
 PAGES = [(3, "http://a/\r\nX: y", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (None, "u", "<p>é</p>"), (5, "u", "x" * 300_000), (6, "v", "WARC/1.1\r\n\r\n"), (7, "v", "only null ids"), (7, "v", "only null ids")]
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)  # no payload is frequent, some are, all are
     pages = spark.createDataFrame([(*r, 9) for r in PAGES], "page_id long, url string, html string, payload int").repartition(2)
-    paths = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=400)
-    got = warc.read_archives(spark, paths).collect()
+    archives = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=400)
+    got = warc.read_archives(archives).collect()
     assert len(got) == len(PAGES)
     first = {}
     for i, _, h in PAGES:
@@ -449,8 +451,11 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("response", None) if is_first else ("revisit", first[h]))
         assert r.payload_bytes == len(h.encode()) and r.payload == (h.encode() if is_first else None)
         assert r.url == (url and " ".join(url.splitlines()))
-    assert warc.read_archives(spark, warc.write_archives(pages.limit(0))).count() == 0
-    least = warc.read_archives(spark, warc.write_archives(pages, min_bytes=10)).collect()
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    least = warc.read_archives(warc.write_archives(pages, min_bytes=10)).collect()
+    wrong = archives.selectExpr("path", "n_records + 1 AS n_records")
+    with pytest.raises(Exception, match="records, not"):
+        warc.read_archives(wrong).collect()
     assert sum(r.record_type == "revisit" for r in least) == 0
 
 
