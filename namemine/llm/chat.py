@@ -1,9 +1,11 @@
 """Chat formatting (operator 1), native.
 
-A ``ChatTemplate`` declares each role's marks, which roles are trained on, the allowed turn order
-(a finite-state machine) and the control strings. Turns become text segments with a loss flag each;
-control strings inside texts are escaped so that they can be read back: a run ``<`` + backslashes +
-``|`` gets one more backslash, and the marks alone hold ``<|``.
+A ``ChatTemplate`` declares the marks around a turn's role and text, which roles are trained on and the
+allowed turn order (a finite-state machine). Turns become text segments with a loss flag each.
+Escapes follow from the template's own marks: between the first two characters of ``open`` or of ``close``
+inside a text (with any backslashes between them) goes one more backslash, so the marks alone hold these
+pairs; in a role a backslash and the first characters of the marks are written as a backslash and a second
+character. Both are read back exactly; marks for which that can't hold are refused (``ValueError``).
 
 Defined cases: a null text is empty; a null role is the role of empty name, never allowed; rows of
 a conversation are ordered by turn (nulls first), equal turns by role and text, repeated rows stay;
@@ -20,9 +22,6 @@ from pyspark.sql import functions as F
 
 from namemine.llm.shared import only
 
-_ROLES = ("system", "user", "assistant", "tool")
-
-
 @dataclass(frozen=True)
 class ChatTemplate:
     """Segments of a turn: ``open`` + role + ``middle`` | text | ``close``."""
@@ -39,24 +38,53 @@ class ChatTemplate:
         "assistant": ("user", "tool"), "tool": ("assistant", "tool"),
     })
 
+    def __post_init__(self):
+        for mark in (self.open, self.close):
+            if len(mark) < 2 or mark[0] == mark[1] or "\\" in mark[:2]:
+                raise ValueError(f"a mark must start with two unlike characters other than a backslash, not {mark!r}")
+        if not self.middle or self.middle[0] in "\\0123456789" or self.open[0].isdigit() or self.close[0].isdigit():
+            raise ValueError("no mark may be empty or start with a backslash or a digit")
+        head = self.open + self.middle
+        if self.close in head or any(x.endswith(self.close[:k]) for x in (self.open, self.middle) for k in range(1, len(self.close))):
+            raise ValueError("the closing mark can't be told from the marks before a text")
+
+    @property
+    def pairs(self) -> list[str]:
+        return sorted({self.open[:2], self.close[:2]})
+
+    @property
+    def firsts(self) -> list[str]:
+        return sorted({m[0] for m in (self.open, self.middle, self.close)})
+
+
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+def escape(text: Column, template: ChatTemplate | None = None) -> Column:
+    for first, second in (template or ChatTemplate()).pairs:
+        text = F.regexp_replace(text, rf"({_quoted(first)}\\*)({_quoted(second)})", r"$1\\$2")
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
+def unescape(text: Column, template: ChatTemplate | None = None) -> Column:
+    for first, second in (template or ChatTemplate()).pairs:
+        text = F.regexp_replace(text, rf"({_quoted(first)}\\*)\\({_quoted(second)})", "$1$2")
+    return text
 
 
-def _escape_role(role: Column) -> Column:
-    plain = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
-    return F.replace(plain, F.lit("<|"), F.lit("<\\|"))
+def _escape_role(role: Column, template: ChatTemplate) -> Column:
+    role = F.replace(role, F.lit("\\"), F.lit("\\\\"))
+    for i, first in enumerate(template.firsts):
+        role = F.replace(role, F.lit(first), F.lit(f"\\{i}"))
+    return role
 
 
-def _unescape_role(role: Column) -> Column:
-    plain = F.replace(role, F.lit("<\\|"), F.lit("<|"))
-    lines = F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
-    return F.replace(lines, F.lit("\\\\"), F.lit("\\"))
+def _unescape_role(role: Column, template: ChatTemplate) -> Column:
+    for i, first in enumerate(template.firsts):
+        to = "\\$" if first == "$" else first
+        role = F.regexp_replace(role, rf"(?<!\\)((?:\\\\)*)\\{i}", "$1" + to)
+    return F.replace(role, F.lit("\\\\"), F.lit("\\"))
 
 
 def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
@@ -82,10 +110,10 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
     machine = F.aggregate("turns", begin, step)
 
     def segments(turn: Column) -> Column:
-        head = F.concat(F.lit(t.open), _escape_role(turn["role"]), F.lit(t.middle))
+        head = F.concat(F.lit(t.open), _escape_role(turn["role"], t), F.lit(t.middle))
         return F.array(
             F.struct(head.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(turn["text"]).alias("text"), turn["role"].isin(list(t.loss_roles)).alias("loss")),
+            F.struct(escape(turn["text"], t).alias("text"), turn["role"].isin(list(t.loss_roles)).alias("loss")),
             F.struct(F.lit(t.close).alias("text"), F.lit(False).alias("loss")),
         )
 
@@ -101,20 +129,21 @@ def format_chats(turns: DataFrame, template: ChatTemplate | None = None) -> Data
 def read_turns(formatted: Column, template: ChatTemplate | None = None) -> Column:
     """The turns (array of ``role, text``) read back from a formatted text."""
     t = template or ChatTemplate()
-    parts = F.split(formatted, "\\Q" + t.close + "\\E")
+    parts = F.split(formatted, _quoted(t.close))
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
     skip = len(t.open)
 
     def turn(part: Column) -> Column:
-        at = F.instr(part, F.lit(t.middle))
+        rest = F.substring(part, F.lit(skip + 1), F.length(part))
+        at = F.instr(rest, F.lit(t.middle))
         return F.struct(
-            _unescape_role(F.substring(part, F.lit(skip + 1), at - skip - 1)).alias("role"),
-            unescape(F.substring(part, at + len(t.middle), F.length(part))).alias("text"))
+            _unescape_role(F.substring(rest, F.lit(1), at - 1), t).alias("role"),
+            unescape(F.substring(rest, at + len(t.middle), F.length(rest)), t).alias("text"))
 
     return F.transform(parts, turn)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: ChatTemplate | None = None) -> Column:
     """All text under the loss mask, unescaped."""
     trained = F.filter(segments, lambda s: s["loss"])
-    return F.array_join(F.transform(trained, lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(trained, lambda s: unescape(s["text"], template)), "")
