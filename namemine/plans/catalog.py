@@ -18,7 +18,7 @@ from namemine.functions.masks import mask_literal
 from namemine.operators import beams, checks, contributors, evaluate, feedback, graphs, held_out, lm, tokens, trees, usages
 from namemine.session import stored
 from namemine.sources import bindings as B
-from namemine.sources import corpus, sinks
+from namemine.sources import corpus, sinks, stored_model
 from namemine.streaming import jobs as stream_jobs
 from namemine.sources.tables import read_table
 
@@ -75,6 +75,16 @@ def q_jm_probability(spark, sf_dir):
     return p.select("file_id", "pos", r6("p").alias("p"))
 
 
+@query("stored_probability")
+def q_stored_probability(spark, sf_dir):
+    """M6 on a model stored in buckets (S6, S7): the lookups don't shuffle it."""
+    toks, ng, _ = event_model(spark, sf_dir)
+    path = scratch(spark, "buckets")
+    stored_model.write_buckets(ng, path)
+    p = lm.jm_probability(lm.with_window(toks), *stored_model.read_buckets(spark, path), ids=["file_id", "pos"])
+    return p.select("file_id", "pos", r6("p").alias("p"))
+
+
 @query("usage_priority")
 def q_usage_priority(spark, sf_dir):
     toks, _, cx = event_model(spark, sf_dir)

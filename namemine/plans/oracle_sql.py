@@ -93,6 +93,8 @@ WITH {E_MODEL}, {jm_sql('e_win', 'file_id, pos', 'w', 'e_ng', 'e_cx', 'e_v')}
 SELECT file_id, pos, round(p, 6) AS p FROM jm_p
 """)
 
+oracle("stored_probability", ORACLE["jm_probability"])
+
 oracle("usage_priority", f"""
 WITH {E_MODEL},
 pr_t AS (
