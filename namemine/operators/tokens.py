@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,22 @@ def known_names(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("is_decl")).select("kind", "token").distinct()
 
 
+def supported_parents(parents: Mapping[str, str | None], supported: Collection[str]) -> dict[str, str]:
+    """Each kind of a hierarchy (kind -> its parent, null at a root) with the nearest supported kind on its way
+    up, itself included; kinds without one are left out. A hierarchy that turns back on itself is refused."""
+    out = {}
+    for kind in {*parents, *supported}:
+        at, seen = kind, set()
+        while at is not None and at not in supported:
+            if at in seen:
+                raise ValueError(f"{kind} is its own ancestor")
+            seen.add(at)
+            at = parents.get(at)
+        if at is not None:
+            out[kind] = at
+    return out
+
+
 def kind_filter(candidates: DataFrame, known: DataFrame, parents: Mapping[str, str],
                 kind_col: str = "kind", name_col: str = "name") -> DataFrame:
     """Keep candidates whose name is known for the supported parent kind of the target.

@@ -255,6 +255,21 @@ def q_kind_filter(spark, sf_dir):
     return kept.groupBy("kind").agg(F.count("*").alias("n_kept"))
 
 
+#: Binding C: the roles as kinds; names are known for those who speak and for machines.
+ROLE_PARENTS = {"user": "person", "person": "speaker", "assistant": "speaker", "tool": "machine", "system": "machine", "speaker": None, "machine": None}
+
+
+@query("kind_filter_hierarchy")
+def q_kind_filter_hierarchy(spark, sf_dir):
+    """T3 up a hierarchy: words of a role that users (speakers) or system turns (machines) say too."""
+    parents = tokens.supported_parents(ROLE_PARENTS, ("speaker", "machine"))
+    said = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("name"))
+    known = said.where("kind IN ('user', 'system')").select(
+        F.when(F.col("kind") == "user", "speaker").otherwise("machine").alias("kind"), F.col("name").alias("token")).distinct()
+    return tokens.kind_filter(said, known, parents).groupBy("kind").agg(F.count("*").alias("n_kept"), F.countDistinct("name").alias("n_names"))
+
+
 @query("mask_literals")
 def q_mask_literals(spark, sf_dir):
     toks = B.word_token_rows(spark, sf_dir).withColumn("target", F.col("decl_id"))

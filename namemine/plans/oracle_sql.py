@@ -326,6 +326,13 @@ WHERE kind IN ('ident') AND EXISTS (SELECT 1 FROM w_tok k WHERE k.is_decl AND k.
 GROUP BY kind
 """)
 
+oracle("kind_filter_hierarchy", """
+WITH said AS (SELECT role AS kind, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS name FROM conversations),
+told AS (SELECT *, CASE WHEN kind IN ('user', 'assistant') THEN 'speaker' WHEN kind IN ('tool', 'system') THEN 'machine' END AS parent FROM said),
+known AS (SELECT DISTINCT parent, name FROM told WHERE kind IN ('user', 'system'))
+SELECT kind, count(*) AS n_kept, count(DISTINCT name) AS n_names FROM told SEMI JOIN known USING (parent, name) GROUP BY kind
+""")
+
 oracle("mask_literals", f"""
 WITH {W_TOK},
 m AS (

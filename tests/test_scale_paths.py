@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import token_rows
-from namemine.operators import feedback, graphs, lm, sequences, trees, usages
+from namemine.operators import feedback, graphs, lm, sequences, tokens, trees, usages
 from namemine.plans import catalog
 from namemine.sources import bindings as B
 from namemine.sources import corpus
@@ -164,3 +164,14 @@ def test_contributors_mix_probabilities(spark):
 
 def test_every_key_is_registered():
     assert len(catalog.QUERIES) >= 105
+
+
+def test_names_up_a_hierarchy_of_kinds(spark):
+    parents = {"param": "variable", "field": "variable", "variable": "element", "element": None, "label": "mark", "mark": None}
+    assert tokens.supported_parents(parents, ["variable", "field"]) == {"param": "variable", "field": "field", "variable": "variable"}
+    with pytest.raises(ValueError):
+        tokens.supported_parents({"a": "b", "b": "a"}, ["c"])
+    known = spark.createDataFrame([("variable", "x"), ("field", "y")], "kind string, token string")
+    asked = [(k, n) for k in ("param", "field", "label", "unheard", None) for n in ("x", "y", None)]
+    kept = tokens.kind_filter(spark.createDataFrame(asked, "kind string, name string"), known, tokens.supported_parents(parents, ["variable", "field"]))
+    assert sorted((r["kind"], r["name"]) for r in kept.collect()) == [("field", "y"), ("param", "x")]
