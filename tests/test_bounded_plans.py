@@ -16,3 +16,50 @@ def test_prediction_lists_are_read_from_files(spark):
             plan = told._jdf.queryExecution().optimizedPlan().toString()
             assert "Join" not in plan and "Window" not in plan
             assert told.count() > 0
+
+
+def test_counting_arrays_shuffles_windows_not_suffixes(spark):
+    from namemine.operators import lm
+
+    words = [f"w{i * i % 89}" for i in range(200)]
+    files = spark.createDataFrame([(1, words), (2, words[:2]), (3, words[5:6]), (4, []), (5, None)], "file_id long, tokens array<string>")
+    counts = lm.ngram_counts_from_arrays(files)
+    expected: dict = {}
+    for ws in (words, words[:2], words[5:6]):
+        for i in range(len(ws)):
+            for n in range(1, min(6, i + 1) + 1):
+                g = tuple(ws[i - n + 1:i + 1])
+                expected[g] = expected.get(g, 0) + 1
+    assert {tuple(r["ngram"]): (r["n"], r["cnt"]) for r in counts.collect()} == {g: (len(g), c) for g, c in expected.items()}
+    plan = counts.where("n >= 3")._jdf.queryExecution().sparkPlan().toString()
+    # the suffixes are made above the windows' shuffle
+    top = plan[:plan.index("Exchange")] if "Exchange" in plan else ""
+    assert "Generate explode" in top
+
+
+def test_token_rows_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    from namemine.sources import bindings as B
+
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab Cd 1\n"), 10).alias("text"),
+                                  F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.lit(80).alias("n_chars"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(B, "TASK_CHARS", 100)
+    assert B.documents(spark, str(tmp_path), "doc_id", "text", by_file=True).rdd.getNumPartitions() == 40 * 80 // 100
+    toks = B.word_tokens(spark, str(tmp_path))
+    assert toks.agg(F.count("*"), F.max("offset"), F.max("line")).first()[:] == (40 * 30, 78, 9)
+
+
+def test_names_of_a_variable_are_brought_together_at_once(spark):
+    from namemine.operators import lm, tokens, usages
+
+    toks = token_rows(spark, {1: ["a", "b", "a", "b", "a", "c"], 2: ["b", "a"]}, {(1, p): f"1:{t}" for p, t in enumerate("ababac")} | {(2, 0): "2:b", (2, 1): "2:a"})
+    u, ng, known = usages.left_ngrams(toks), lm.ngram_counts(toks), tokens.known_names(toks)
+    by_usage = lm.candidates(u, ng, ["file_id", "pos"], known=known, k=1).join(u.select("file_id", "pos", "decl_id"), ["file_id", "pos"])
+    expected = {(r["decl_id"], r["name"]) for r in by_usage.collect()}
+    each = lm.candidates(u, ng, ["decl_id"], known=known, k=1)
+    assert sorted((r["decl_id"], r["name"]) for r in each.collect()) == sorted(expected)
+    whole = lm.context_candidates(u, ng, known, 1)
+    assert {(r["decl_id"], r["name"]) for r in whole.collect()} == expected
+    # no candidates of single usages, which are brought together afterwards
+    left = whole._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "pos" not in left and "decl_id" in left
