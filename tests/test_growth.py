@@ -43,3 +43,10 @@ def test_usages_without_a_declaration_are_dropped_in_either_form(spark):
     want = {(0, "x", 0, 9, 0), (0, "x", 1, 9, 1)}
     for together in (False, True):
         assert {(r.file_id, r.decl_id, r.pos, r.decl_offset, r.usage_ix) for r in usages.usages(toks, together=together).collect()} == want
+
+
+def test_chunks_are_split_once(spark, tmp_path):
+    q = catalog.QUERIES["subtokens"](spark, documents(spark, tmp_path, ["getName setName getName", "getName"]))
+    assert {(r.subtoken, r.cnt) for r in q.collect()} == {("get", 3), ("set", 1), ("name", 4)}
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [chunk" in plan
