@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from namemine.operators import usages
+from namemine.operators import checks, usages
 from namemine.plans import catalog
 
 
@@ -50,3 +50,11 @@ def test_chunks_are_split_once(spark, tmp_path):
     assert {(r.subtoken, r.cnt) for r in q.collect()} == {("get", 3), ("set", 1), ("name", 4)}
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [chunk" in plan
+
+
+def test_hits_of_conditions_are_not_shuffled(unsent):
+    conds = unsent.createDataFrame([("0:1", 0, "if a and bb"), ("0:2", 0, "else bb"), ("1:0", 1, "a"), ("2:0", None, "a")], "cond_id string, method_id long, text string")
+    params = unsent.createDataFrame([(0, 1, "int", "a"), (0, 0, "Box", "bb"), (1, 0, "int", "q"), (None, 0, "int", "a")], "method_id long, ix int, type string, name string")
+    got = checks.captured_params(conds, params)
+    assert exchanges(got) == 2
+    assert {tuple(r) for r in got.collect()} == {("0:1", "Box bb, int a", "bb, a"), ("0:2", "Box bb", "bb")}
