@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from namemine.operators import checks, usages
+from namemine.operators import checks, graphs, usages
 from namemine.plans import catalog
 
 
@@ -58,3 +58,37 @@ def test_hits_of_conditions_are_not_shuffled(unsent):
     got = checks.captured_params(conds, params)
     assert exchanges(got) == 2
     assert {tuple(r) for r in got.collect()} == {("0:1", "Box bb, int a", "bb, a"), ("0:2", "Box bb", "bb")}
+
+
+def test_subgraphs_are_copied_without_comparing_all_edges(spark):
+    chain = [(0, i, i + 1, "Next") for i in range(6)] + [(0, i + 1, i, "reversedNext") for i in range(6)]
+    edges = [*chain, *chain[:2], (0, 0, 9, "One"), (0, 1, 1, "Self"), (1, 0, 1, "reversedreversedX"), (1, 0, 1, "X"), (1, 1, 0, "reversedX"), (1, 3, 0, None)]
+    starts = [("a", 0, 0), ("a", 0, 0), ("b", 0, 3), ("c", 1, 0), ("d", 1, 3), ("e", 2, 0)]
+
+    def turned(e):
+        t = e[3]
+        return (e[0], e[2], e[1], None if t is None else t[len("reversed"):] if t.startswith("reversed") else f"reversed{t}")
+
+    for depth in (1, 2, 4, 8):
+        want = set()
+        for v, g, n in starts:
+            met = front = {n}
+            for _ in range(depth - 1):
+                front = {e[2] for e in edges if e[0] == g and e[1] in front} - met
+                met = met | front
+            copied = {e for e in edges if e[0] == g and e[1] in met}
+            want |= {(v, *e) for e in copied | {turned(e) for e in copied}}
+        got = graphs.k_hop_subgraph(spark.createDataFrame(edges, "graph_id long, src long, dst long, edge_type string"),
+                                    spark.createDataFrame(starts, "decl_id string, graph_id long, node long"), depth)
+        rows = [tuple(r) for r in got.select("decl_id", "graph_id", "src", "dst", "edge_type").collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert got._jdf.queryExecution().sparkPlan().toString().startswith("Union")
+
+
+def test_a_variables_nodes_and_edges_meet_once(unsent):
+    nodes = unsent.createDataFrame([("v", 7, "x"), ("v", 3, "y"), ("v", 9, "z"), ("w", 1, "q")], "decl_id string, node long, label string")
+    edges = unsent.createDataFrame([("v", 7, 3, "A"), ("v", 3, 9, "A"), ("v", 9, 9, "B"), ("v", 7, 4, "A"), ("u", 1, 1, "A")], "decl_id string, src long, dst long, edge_type string")
+    got = graphs.graph_record(nodes, edges)
+    assert exchanges(got) == 1
+    assert {r.decl_id: (r.node_labels, r.edges) for r in got.collect()} == {
+        "v": ({0: "y", 1: "x", 2: "z"}, {"A": [[0, 2], [1, 0]], "B": [[2, 2]]}), "w": ({0: "q"}, None)}
