@@ -7,6 +7,7 @@ import os
 import pytest
 from namemine.operators import checks, graphs, usages
 from namemine.plans import catalog
+from namemine.sources import sinks
 
 
 @pytest.fixture()
@@ -92,3 +93,14 @@ def test_a_variables_nodes_and_edges_meet_once(unsent):
     assert exchanges(got) == 1
     assert {r.decl_id: (r.node_labels, r.edges) for r in got.collect()} == {
         "v": ({0: "y", 1: "x", 2: "z"}, {"A": [[0, 2], [1, 0]], "B": [[2, 2]]}), "w": ({0: "q"}, None)}
+
+
+def test_chunks_number_keys_not_records(spark, tmp_path, monkeypatch):
+    seen, plain = [], sinks.dense_index
+    monkeypatch.setattr(sinks, "dense_index", lambda df, *a: seen.append(df.columns) or plain(df, *a))
+    rows = spark.createDataFrame([(k, "x" * 9, None) for k in (2, 1, None, 1)], "key long, text string, none string")
+    sinks.write_chunked_json(rows, str(tmp_path / "c"), ["key"], per_file=3)
+    assert "text" not in seen[0]
+    back = {r.chunk: r.value for r in spark.read.text(str(tmp_path / "c")).collect()}
+    one, two = '{"key":1,"text":"xxxxxxxxx"}', '{"key":2,"text":"xxxxxxxxx"}'
+    assert back == {0: f'[{{"text":"xxxxxxxxx"}},{one},{one}]', 1: f"[{two}]"}
