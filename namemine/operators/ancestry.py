@@ -16,23 +16,35 @@ from namemine.session import stored
 _ROUNDS = 62
 
 
+def _parents(ast: DataFrame) -> DataFrame:
+    return ast.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("node_id")).distinct()
+
+
 def nearest_marked(ast: DataFrame, marked: DataFrame) -> DataFrame:
     """``node_id, anc`` for every node: itself if it is in ``marked(node_id)``, else its nearest marked ancestor,
     null if there is none. Each round every pointer that hasn't arrived takes over the pointer of the node that it
     points at, so its reach doubles."""
-    flags = marked.select("node_id").distinct().withColumn("_m", F.lit(True))
+    flags = marked.select("node_id", F.lit(True).alias("_m"), F.lit(False).alias("_p")).unionByName(_parents(ast).select("node_id", F.lit(False).alias("_m"), F.lit(True).alias("_p"))) \
+        .groupBy("node_id").agg(F.max("_m").alias("_m"), F.max("_p").alias("_p"))
     start = ast.select("node_id", "parent_id").join(flags, "node_id", "left")
-    own = F.col("_m").isNotNull()
-    state = stored(start.select("node_id", F.when(own, F.col("node_id")).otherwise(F.col("parent_id")).alias("anc"),
-                                (own | F.col("parent_id").isNull()).alias("there")), "nearest")
+    own = F.coalesce("_m", F.lit(False))
+    every = stored(start.select("node_id", F.when(own, F.col("node_id")).otherwise(F.col("parent_id")).alias("anc"),
+                                (own | F.col("parent_id").isNull()).alias("there"), F.coalesce("_p", F.lit(False)).alias("inner")), "nearest")
+
+    def jump(moving: DataFrame, state: DataFrame) -> DataFrame:
+        step = state.select(F.col("node_id").alias("anc"), F.col("anc").alias("_anc"), F.col("there").alias("_there"))
+        return moving.select("node_id", "anc").join(step, "anc", "left").select(
+            "node_id", F.col("_anc").alias("anc"), F.coalesce("_there", F.lit(True)).alias("there"))  # an unknown parent ends the way
+
+    # nothing points at a leaf: the rounds move inner nodes only, leaves follow their parent once
+    state = every.where("inner").drop("inner")
     for _ in range(_ROUNDS):
         moving = state.where(~F.col("there"))
         if moving.isEmpty():
-            return state.select("node_id", "anc")
-        step = state.select(F.col("node_id").alias("anc"), F.col("anc").alias("_anc"), F.col("there").alias("_there"))
-        moved = moving.drop("there").join(step, "anc", "left").select(
-            "node_id", F.col("_anc").alias("anc"), F.coalesce("_there", F.lit(True)).alias("there"))  # an unknown parent ends the way
-        state = stored(state.where("there").unionByName(moved), "nearest")
+            leaves = every.where(~F.col("inner")).drop("inner")
+            moved = jump(leaves.where(~F.col("there")), state)
+            return state.unionByName(leaves.where("there")).unionByName(moved).select("node_id", "anc")
+        state = stored(state.where("there").unionByName(jump(moving, state)), "nearest")
     raise ValueError("the parents of some nodes run in a circle")
 
 
@@ -73,11 +85,12 @@ def common_ancestors(ast: DataFrame, groups: DataFrame, key: str = "decl_id") ->
     """``key, anc``: the innermost node above (not at) all nodes of each group of ``groups(key, node_id)``; groups without one
     are left out. Members rise to the same depth and then by falling powers of two as long as they stay apart; members that
     meet are one row from then on."""
-    levels, depth = jumps(ast)
-    if not levels:
-        return groups.limit(0).select(key, F.col("node_id").alias("anc"))
-    parent = levels[0]
-    members = groups.select(key, "node_id").distinct().join(parent, "node_id", "left").select(key, F.col("anc").alias("at"))
+    # members' parents and all above them are inner nodes: only those jump
+    inner = stored(ast.select("node_id", "parent_id").join(_parents(ast), "node_id", "left_semi"), "inner")
+    levels, depth = jumps(inner)
+    known = lambda nodes: nodes.where(F.col("parent_id").isNotNull()).select("node_id", F.col("parent_id").alias("anc"))
+    parent = known(inner)
+    members = groups.select(key, "node_id").join(known(ast), "node_id", "left").select(key, F.col("anc").alias("at"))
     rootless = members.where(F.col("at").isNull()).select(key).distinct()
     low = members.join(rootless, key, "left_anti").distinct().join(depth.select(F.col("node_id").alias("at"), "depth"), "at")
     least = low.groupBy(key).agg(F.min("depth").alias("least"))
@@ -85,11 +98,11 @@ def common_ancestors(ast: DataFrame, groups: DataFrame, key: str = "decl_id") ->
     for j, level in enumerate(levels):
         bit = F.col("rise").bitwiseAND(1 << j) != 0
         up = at.where(bit).join(level.select(F.col("node_id").alias("at"), "anc"), "at").select(key, F.col("anc").alias("at"), "rise")
-        at = stored(at.where(~bit).unionByName(up).distinct(), "members")
-    at = at.select(key, "at").distinct()
+        at = stored(at.where(~bit).unionByName(up.withColumn("rise", F.col("rise").bitwiseAND(~(1 << j)))).distinct(), "members")
+    at = at.select(key, "at") if levels else at.select(key, "at").distinct()
 
     def apart(rows: DataFrame, column: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.countDistinct(column).alias("n")).where("n > 1").select(key)
+        return rows.groupBy(key).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo < hi").select(key)
 
     split = stored(at.join(apart(at, "at"), key, "left_semi"), "apart")
     met = at.join(split.select(key).distinct(), key, "left_anti").select(key, F.col("at").alias("anc"))
@@ -99,5 +112,5 @@ def common_ancestors(ast: DataFrame, groups: DataFrame, key: str = "decl_id") ->
         kept = split.join(rising, key, "left_anti")
         split = stored(kept.unionByName(lifted.join(rising, key, "left_semi").select(key, F.col("anc").alias("at")).distinct()), "apart")
     over = split.join(parent.select(F.col("node_id").alias("at"), "anc"), "at", "left").groupBy(key).agg(
-        F.countDistinct("anc").alias("n"), F.count_if(F.col("anc").isNull()).alias("none"), F.min("anc").alias("anc"))
-    return met.unionByName(over.where("n = 1 AND none = 0").select(key, "anc"))
+        F.max("anc").alias("hi"), F.count_if(F.col("anc").isNull()).alias("none"), F.min("anc").alias("anc"))
+    return met.unionByName(over.where("anc = hi AND none = 0").select(key, "anc"))

@@ -104,3 +104,34 @@ def test_chunks_number_keys_not_records(spark, tmp_path, monkeypatch):
     back = {r.chunk: r.value for r in spark.read.text(str(tmp_path / "c")).collect()}
     one, two = '{"key":1,"text":"xxxxxxxxx"}', '{"key":2,"text":"xxxxxxxxx"}'
     assert back == {0: f'[{{"text":"xxxxxxxxx"}},{one},{one}]', 1: f"[{two}]"}
+
+
+def test_leaves_are_moved_once_not_in_every_round(spark, monkeypatch):
+    from namemine.operators import ancestry
+
+    # a chain 0 - 1 - 2 - 3 with four leaves at each node, and a node id that comes twice
+    nodes = [(0, None), (1, 0), (2, 1), (3, 2), (3, 2)] + [(100 + 4 * i + j, i) for i in range(4) for j in range(4)] + [(900, 77)]
+    ast = spark.createDataFrame(nodes, "node_id long, parent_id long")
+    sizes, plain = [], ancestry.stored
+    monkeypatch.setattr(ancestry, "stored", lambda df, name: (lambda out: sizes.append((name, out.count())) or out)(plain(df, name)))
+    near = [(r.node_id, r.anc) for r in ancestry.nearest_marked(ast, spark.createDataFrame([(1,)], "node_id long")).collect()]
+    assert all(n <= 5 for name, n in sizes[1:])
+    below = {1, 2, 3, *range(104, 116)}
+    assert set(near) == {(n, 1 if n in below else None) for n, _ in nodes}
+    assert near.count((112, 1)) == 2  # a row for each row of its parent
+    sizes.clear()
+    uses = spark.createDataFrame([("v", 112), ("v", 104), ("v", 104), ("w", 108), ("w", 109), ("x", 0), ("y", 900)], "decl_id string, node_id long")
+    assert sorted(map(tuple, ancestry.common_ancestors(ast, uses).collect())) == [("v", 1), ("w", 2)]
+    assert all(n <= 5 for name, n in sizes if name in ("jump", "inner"))
+    flat = spark.createDataFrame([(1, None), (1, None), (2, 1), (3, 1)], "node_id long, parent_id long")
+    assert list(map(tuple, ancestry.common_ancestors(flat, spark.createDataFrame([("v", 2), ("v", 3)], "decl_id string, node_id long")).collect())) == [("v", 1)]
+
+
+def test_order_tree_is_made_once(spark, monkeypatch):
+    from conftest import SMOKE_DIR
+    from namemine.sources import bindings as B
+
+    made, plain = [], B.order_tree
+    monkeypatch.setattr(B, "order_tree", lambda *a: made.append(1) or plain(*a))
+    q = catalog.QUERIES["guarded_by"](spark, SMOKE_DIR)
+    assert made == [1] and "lineitem.parquet" not in str(q.inputFiles())
