@@ -135,3 +135,56 @@ def test_order_tree_is_made_once(spark, monkeypatch):
     monkeypatch.setattr(B, "order_tree", lambda *a: made.append(1) or plain(*a))
     q = catalog.QUERIES["guarded_by"](spark, SMOKE_DIR)
     assert made == [1] and "lineitem.parquet" not in str(q.inputFiles())
+
+
+def test_variables_that_are_never_written_do_not_walk(spark):
+    # a file cut into runs by loops; its "r" is read everywhere and written nowhere
+    n = 8
+    cfg = spark.createDataFrame([(0, i, i + 1) for i in range(n)] + [(0, i, i - 1) for i in range(1, n)], "file_id long, from long, to long")
+    uses = spark.createDataFrame([(0, i, "r", False) for i in range(n)] + [(1, 3, "r", True)], "file_id long, pos long, decl_id string, is_write boolean")
+    got = {tuple(r) for r in graphs.flow_last_use_write(uses, cfg, max_rounds=3).collect()}
+    # last uses of neighbours take few rounds; last writes of "r" would take a round for each run
+    assert got == {(0, i, j, "LastUse") for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n}
+
+
+def test_positions_of_a_variable_come_from_their_windows(unsent):
+    from namemine.operators import lm
+
+    rows = [(0, 0, "a", "x"), (0, 1, "b", None), (0, 2, None, None), (0, 3, "c", None), (0, 4, "a", "x"), (0, 5, "d", "y"), (1, 0, "a", "z"), (None, 0, "a", "x")]
+    scope = unsent.createDataFrame(rows, "scope_id long, pos long, token string, decl_id string")
+    cands = unsent.createDataFrame([("x", "p"), ("x", "q"), ("x", "q"), ("y", "q"), ("u", "p")], "decl_id string, name string")
+    subs = lm.substitute(scope, cands, order=2)
+    assert exchanges(subs) == 3  # the windows and both sides of the names' join
+    told = [(r.decl_id, r.name, r.i, tuple(r.seq)) for r in subs.collect()]
+    # "q" is given twice for "x"; the row without a scope is left out
+    want = [("x", v, i, s(v)) for v in ("p", "q", "q") for i, s in ((0, lambda v: (v,)), (1, lambda v: (v, "b")), (4, lambda v: ("c", v)), (5, lambda v: (v, "d")))]
+    assert sorted(told) == sorted([*want, ("y", "q", 5, ("a", "q"))])
+    ng = lm.ngram_counts(scope.withColumnRenamed("scope_id", "file_id").where("token IS NOT NULL"), order=2)
+    p = {(r.decl_id, r.name, r.i): r.p for r in lm.jm_probability(subs.dropDuplicates(), ng, ids=["decl_id", "name", "i"], seq_col="seq").collect()}
+    import math
+    expected = {}
+    for d, v, i, _ in told:
+        expected[d, v] = expected.get((d, v), 0) + math.log(p[d, v, i])
+    got = {(r.decl_id, r.name): r.logprob for r in lm.context_logprob(scope, cands, ng, order=2).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_suffixes_do_not_carry_their_sequence(unsent):
+    from namemine.operators import lm
+
+    seqs = unsent.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["b"])], "id long, win array<string>")
+    ng = unsent.createDataFrame([(1, ["a"], 2), (1, ["b"], 2), (2, ["a", "b"], 1)], "n int, ngram array<string>, cnt long")
+    got = lm.jm_probability(seqs, ng, ids=["id"])
+    assert {r.id: round(r.p, 6) for r in got.collect()} == {1: 0.75, 2: 0.75, 3: 0.5}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in line and "win" in line.split("[", 1)[-1].split("]")[-1] for line in plan.splitlines())
+
+
+def test_windows_are_counted_alike_either_way(spark):
+    from helpers import token_rows
+    from namemine.operators import lm
+
+    toks = token_rows(spark, {1: list("abcabcab"), 2: list("ab"), 3: ["c"]})
+    for by in (None, ["project", "file_id"]):
+        one, two = (sorted(map(str, lm.ngram_counts(toks, by=by, dealt=d).collect())) for d in (False, True))
+        assert one == two and len(one) > 10
