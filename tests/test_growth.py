@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from namemine.operators import checks, graphs, usages
+from namemine.operators import checks, graphs, lm, usages
 from namemine.plans import catalog
 from namemine.sources import sinks
 
@@ -188,3 +188,28 @@ def test_windows_are_counted_alike_either_way(spark):
     for by in (None, ["project", "file_id"]):
         one, two = (sorted(map(str, lm.ngram_counts(toks, by=by, dealt=d).collect())) for d in (False, True))
         assert one == two and len(one) > 10
+
+
+def toy_model(spark):
+    words = {0: "a b a b a c b", 1: "b a c a", 2: "c"}
+    rows = [(f, i, i, t, "ident", f"{f}:{t}", t not in s.split()[:i]) for f, s in words.items() for i, t in enumerate(s.split())]
+    toks = spark.createDataFrame(rows, "file_id long, pos int, offset int, token string, kind string, decl_id string, is_decl boolean")
+    ng = lm.ngram_counts(toks)
+    return usages.left_ngrams(toks), ng, lm.context_counts(ng), toks.select("kind", "token").distinct()
+
+
+def test_a_name_is_weighed_in_the_lookup_of_its_probability(unsent):
+    u, ng, cx, _ = toy_model(unsent)
+    one, two = lm.total_probability(u, ng), lm.total_probability(u, ng, cx)
+    assert {r.decl_id: round(r.p, 12) for r in one.collect()} == {r.decl_id: round(r.p, 12) for r in two.collect()}
+    # contexts aren't counted apart from the n-grams
+    assert exchanges(one) < exchanges(two)
+
+
+def test_a_variables_names_are_judged_where_its_usages_lie(unsent):
+    u, ng, cx, known = toy_model(unsent)
+    for k in (1, 2, 10):
+        one, two = (lm.rank_names(u, ng, c, known=known, k=k) for c in (None, cx))
+        assert {(r.decl_id, r.name, round(r.p, 12), r["rank"]) for r in one.collect()} == {(r.decl_id, r.name, round(r.p, 12), r["rank"]) for r in two.collect()}
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [decl_id") == 2 and "Join LeftSemi" not in plan
