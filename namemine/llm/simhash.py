@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from namemine.llm.components import connected_components
 from namemine.llm.shared import only, stage_table
+from namemine.session import never_broadcast
 
 SHINGLE = 4
 SEED = 42
@@ -105,21 +106,21 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS, spare: int = SPARE, pivo
     buckets = (least.groupBy("t", "key").agg(F.sort_array(F.collect_list("p")).alias("pivots"), F.sum("n").alias("n"))
                .where("n > 1").drop("n"))
     table = stage_table(
-        keyed.join(buckets, ["t", "key"]).withColumn(
+        keyed.join(never_broadcast(buckets), ["t", "key"]).withColumn(
             "dist", F.transform("pivots", lambda p: _hamming(p, F.col("fp")).cast("byte"))), "pivot-table")
     near = F.get(F.filter("pivots", lambda p, i: F.get("dist", i) <= max_bits), F.lit(0))
     stars = table.select(near.alias("u"), F.col("fp").alias("v")).where("u <> v").distinct()
     stars = stage_table(stars, "stars")
     found = connected_components(stars)
-    placed = (table.drop("pivots").join(found, table["fp"] == found["node"], "left")
+    placed = (table.drop("pivots").join(never_broadcast(found), table["fp"] == found["node"], "left")
               .select("t", "key", "fp", "dist", F.coalesce("component", "fp").alias("c")))
     open_buckets = (placed.groupBy("t", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                     .where("lo < hi").select("t", "key"))
-    left = stage_table(placed.join(open_buckets, ["t", "key"], "left_semi"), "apart")
+    left = stage_table(placed.join(never_broadcast(open_buckets), ["t", "key"], "left_semi"), "apart")
     a = left.select("t", "key", *[F.col(c).alias(f"{c}_a") for c in ("fp", "dist", "c")])
     b = left.select("t", "key", *[F.col(c).alias(f"{c}_b") for c in ("fp", "dist", "c")])
     far = F.exists(F.zip_with("dist_a", "dist_b", lambda x, y: F.abs(x - y)), lambda d: d > max_bits)
-    pairs = (a.join(b, [a["t"] == b["t"], a["key"] == b["key"], F.col("c_a") < F.col("c_b"), ~far,
+    pairs = (a.join(never_broadcast(b), [a["t"] == b["t"], a["key"] == b["key"], F.col("c_a") < F.col("c_b"), ~far,
                         _hamming(F.col("fp_a"), F.col("fp_b")) <= max_bits])
              .select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")).distinct())
     return found.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(pairs)
@@ -131,17 +132,17 @@ def components(rows: DataFrame, smallest: Column, **how) -> DataFrame:
     classes = stage_table(rows.groupBy("fp").agg(F.min(smallest).alias("least")), "classes")
     found = connected_components(links(classes.select("fp"), **how))
     placed = stage_table(
-        classes.join(found, classes["fp"] == found["node"], "left")
+        classes.join(never_broadcast(found), classes["fp"] == found["node"], "left")
         .select("fp", "least", F.coalesce("component", "fp").alias("c")), "placed")
     by_component = placed.groupBy("c").agg(F.min("least").alias("smallest"))
-    return placed.join(by_component, "c").select("fp", "smallest")
+    return placed.join(never_broadcast(by_component), "c").select("fp", "smallest")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest reachable doc_id)."""
     rows = stage_table(fingerprints(only(docs, doc_id="long", text="string"), shingle, seed), "fingerprints")
     found = components(rows, F.col("doc_id"), max_bits=max_bits)
-    return rows.join(found, "fp").select(
+    return rows.join(never_broadcast(found), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("smallest").alias("component_id"))
 
 

@@ -68,6 +68,24 @@ def test_simhash_links_random_fingerprints(spark):
     assert {v: got.get(v, v) for v in signed} == want
 
 
+def test_simhash_never_broadcasts_by_an_estimate(spark, odd, monkeypatch):
+    """An exploded table of a small file looks small: whatever a join's sides are taken for, they are sorted."""
+    plans = []
+
+    def staged(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return stage_table(df, name)
+
+    monkeypatch.setattr(simhash, "stage_table", staged)
+    monkeypatch.setattr(components, "stage_table", staged)
+    docs = odd([(i, f"some words {i % 3} that are alike") for i in range(9)])
+    for told in (simhash.near_duplicates(docs),):
+        plans.append(("result", told._jdf.queryExecution().sparkPlan().toString()))
+    assert {"pivot-table", "apart", "placed", "edges"} <= {name for name, _ in plans}
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 8
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def test_keep_one(spark, odd):
     rows = [(3, "same text here now"), (1, "same text here now"), (1, "same text here now"), (None, "same text here now"), (None, "other"), (7, None), (6, "")]
     docs = odd(rows)
