@@ -157,4 +157,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
     rows = stage_table(fingerprints(slim, shingle, seed), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
     kept = components(rows, order, max_bits=max_bits).select(F.col("smallest.row").alias("kept_row")).distinct()
-    return numbered.join(kept, numbered[spot] == kept["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    return numbered.join(never_broadcast(kept), numbered[spot] == kept["kept_row"], "left_semi").select(*[F.col(f"`{c}`") for c in columns])

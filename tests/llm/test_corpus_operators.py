@@ -79,7 +79,7 @@ def test_simhash_never_broadcasts_by_an_estimate(spark, odd, monkeypatch):
     monkeypatch.setattr(simhash, "stage_table", staged)
     monkeypatch.setattr(components, "stage_table", staged)
     docs = odd([(i, f"some words {i % 3} that are alike") for i in range(9)])
-    for told in (simhash.near_duplicates(docs),):
+    for told in (simhash.near_duplicates(docs), simhash.keep_one(docs)):
         plans.append(("result", told._jdf.queryExecution().sparkPlan().toString()))
     assert {"pivot-table", "apart", "placed", "edges"} <= {name for name, _ in plans}
     assert sum("SortMergeJoin" in plan for _, plan in plans) >= 8
