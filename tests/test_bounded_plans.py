@@ -63,3 +63,18 @@ def test_names_of_a_variable_are_brought_together_at_once(spark):
     # no candidates of single usages, which are brought together afterwards
     left = whole._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert "pos" not in left and "decl_id" in left
+
+
+def test_masked_ngrams_of_files_together_are_not_shuffled(spark):
+    from namemine.operators import usages
+
+    words = [f"w{i * i % 13}" for i in range(60)]
+    files = {1: words, 2: words[:3], 3: ["a"], 4: words[7:40]}
+    toks = token_rows(spark, files, {(f, p): f"{f}:{t}" for f, ts in files.items() for p, t in enumerate(ts) if p % 3})
+    lost = toks.limit(1).withColumn("file_id", F.lit(None).cast(toks.schema["file_id"].dataType))
+    toks = toks.unionByName(lost).repartition(3, "file_id")
+    cols = ["file_id", "pos", "decl_id", "usage_ix", "ngram"]
+    whole, apart = (usages.left_ngrams(toks, together=t).select(*cols) for t in (True, False))
+    assert whole.count() > 40 and sorted(map(str, whole.collect())) == sorted(map(str, apart.collect()))
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1  # the files' own
