@@ -78,3 +78,44 @@ def test_masked_ngrams_of_files_together_are_not_shuffled(spark):
     assert whole.count() > 40 and sorted(map(str, whole.collect())) == sorted(map(str, apart.collect()))
     plan = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange") == 1  # the files' own
+
+
+def test_model_joins_are_never_broadcast_by_an_estimate(spark, monkeypatch):
+    """Stored tables of few words are small files of many rows, and their suffixes many more."""
+    from namemine import session
+    from namemine.operators import held_out, lm
+
+    plans = []
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return session.stored(df, name)
+
+    for module in (evaluate, held_out, lm):
+        monkeypatch.setattr(module, "stored", stored)
+    files = {f: list("abcab")[:f + 2] for f in range(4)}
+    toks = token_rows(spark, files, {(f, p): f"{f}:{t}" for f, ts in files.items() for p, t in enumerate(ts)})
+    for scope in evaluate.SCOPES:
+        plans.append(evaluate.predict(toks, scope)._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joins) >= 20
+    # only what has a row for each scope or kind may be sent to all
+    assert not [line for line in joins if "Broadcast" in line and not any(f"{k}#" in line.split("]")[0] for k in ("project", "kind", "name"))]
+
+
+def test_terms_without_counted_contexts_equal_joined_ones(spark):
+    from namemine.operators import lm
+
+    files = {f: [f"w{i * (f + 2) % 5}" for i in range(3 + 4 * f)] for f in range(5)} | {9: ["only"]}
+    toks = token_rows(spark, files).withColumn("project", F.col("file_id") % 2)
+    own = lm.ngram_counts(toks, by=["project", "file_id"])
+    ng = lm.ngram_counts(toks, by="project")
+    cx, own_cx = lm.context_counts(ng, "project"), lm.context_counts(own, "file_id")
+    seqs = lm.with_window(toks).select("project", "file_id", "pos", "win").unionByName(
+        spark.createDataFrame([(0, 77, 0, ["w1", "new"]), (1, 1, 500, ["new", "w0"]), (5, 1, 501, ["w1"]), (0, None, 502, ["w1", "w3"])], "project int, file_id long, pos int, win array<string>"))
+    sizes = ng.where("n = 1").groupBy("project").agg(F.count("*").cast("double").alias("v"))
+    how = {"ids": ["file_id", "pos"], "scope": "project", "sizes": sizes, "minus_keys": ["file_id"]}
+    got = lm.jm_probability(seqs, ng, minus=(own, None), **how)
+    want = lm.jm_probability(seqs, ng, cx, minus=(own, own_cx), **how)
+    table = lambda df: sorted(((r["file_id"] or -1, r["pos"], round(r["p"], 12)) for r in df.collect()))
+    assert len(table(got)) > 50 and table(got) == table(want)
